@@ -35,6 +35,16 @@ def _pair_bucket(pair: Column, level: int, bits: int) -> Column:
     return _bucket([left["bucket"], left["rank"], right["bucket"], F.coalesce(right["rank"], F.lit(-1))], level, bits)
 
 
+def _pair_namer(level: int, bits: int):
+    return lambda pair: _name(_pair_bucket(pair, level, bits))
+
+
+def _pair_entry(level: int, bits: int):
+    return lambda pair: F.struct(
+        F.lit(level).alias("level"), _pair_bucket(pair, level, bits).alias("bucket"), pair.alias("content")
+    )
+
+
 def _name(bucket: Column, rank: Column | None = None) -> Column:
     return F.struct(bucket.alias("bucket"), (F.lit(0) if rank is None else rank).cast("int").alias("rank"))
 
@@ -99,16 +109,9 @@ def name_texts(keyed: DataFrame, block_chars: int = BLOCK_CHARS, bits: int = 64)
     for level in range(1, depth + 1):
         steps = steps.withColumn(f"pairs{level}", _pairs(F.col("names" if level == 1 else f"names{level - 1}")))
         steps = steps.withColumn(
-            f"names{level}", F.transform(f"pairs{level}", lambda p, level=level: _name(_pair_bucket(p, level, bits)))
-        )
-        entries.append(
-            F.transform(
-                f"pairs{level}",
-                lambda p, level=level: F.struct(
-                    F.lit(level).alias("level"), _pair_bucket(p, level, bits).alias("bucket"), p.alias("content")
-                ),
-            )
+            f"names{level}", F.transform(f"pairs{level}", _pair_namer(level, bits))
         )
+        entries.append(F.transform(f"pairs{level}", _pair_entry(level, bits)))
     top = "names" if depth == 0 else f"names{depth}"
     if depth == 0 or _ranks_in_crowded(steps.select(F.explode(F.concat(*entries)).alias("e")).select("e.*")) is None:
         return steps.select("uid", "id", "sha", F.get(top, F.lit(0)).alias("name"))
@@ -118,8 +121,7 @@ def name_texts(keyed: DataFrame, block_chars: int = BLOCK_CHARS, bits: int = 64)
         )
         ranks = _ranks_in_crowded(flat)
         if ranks is None:
-            named = lambda p, level=level: _name(_pair_bucket(p, level, bits))
-            rows = rows.withColumn("names", F.transform(_pairs(F.col("names")), named))
+            rows = rows.withColumn("names", F.transform(_pairs(F.col("names")), _pair_namer(level, bits)))
         else:
             rows = settle(_with_ranks(flat, ranks))
     return rows.select("uid", "id", "sha", F.get("names", F.lit(0)).alias("name"))

@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chainloom.llm.common import table
 from chainloom.llm.exact_dedup import exact_dedup
+from chainloom.llm.licenses import license_scan
+from chainloom.llm.mixing import mix
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +34,9 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_mixing": op7_mixing,
 }
 
 SQL: dict[str, str] = {
