@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: White space as all word rules here see it, and its complement.
+#: White space as all word rules here see it.
 SPACE = r"\x20\x09-\x0D"
-WORD = rf"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,5 +49,25 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once for a row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def split_words(text: Column) -> Column:
+    """The words of a text: maximal runs without white space."""
+    return F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
+
+
+def count_words(text: Column) -> Column:
+    """How many words; splitting is linear, while each match of a counting pattern costs a copy of the text."""
+
+    def count(parts: Column) -> Column:
+        empty = lambda i: F.when(F.try_element_at(parts, F.lit(i)) == "", F.lit(1)).otherwise(F.lit(0))
+        return F.when(F.size(parts) == 1, 1 - empty(1)).otherwise(F.size(parts) - empty(1) - empty(-1))
+
+    return bind(F.split(text, f"[{SPACE}]+", -1), count).cast("long")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chainloom.llm.common import lower_ascii, settle, text_of
+from chainloom.llm.common import bind, lower_ascii, settle, text_of
 
-BLOCK_CHARS = 1024
+BLOCK_CHARS = 4096
 #: Texts up to this length are cut by position, longer ones by one pass of a pattern.
 CUT_BY_POSITION = 32768
+NAMES = "array<struct<bucket:bigint,rank:int>>"
+ENTRY = "struct<level:int,bucket:bigint,content:struct<left:struct<bucket:bigint,rank:int>,right:struct<bucket:bigint,rank:int>>>"
 
 
 def _bucket(content: list[Column], level: int, bits: int) -> Column:
@@ -35,45 +37,68 @@ def _pair_bucket(pair: Column, level: int, bits: int) -> Column:
     return _bucket([left["bucket"], left["rank"], right["bucket"], F.coalesce(right["rank"], F.lit(-1))], level, bits)
 
 
-def _pair_namer(level: int, bits: int):
-    return lambda pair: _name(_pair_bucket(pair, level, bits))
+def _pair_entry(pair: Column, level: Column | int, bits: int) -> Column:
+    return F.struct(
+        F.lit(level).cast("int").alias("level"), _pair_bucket(pair, level, bits).alias("bucket"), pair.alias("content")
+    )
 
 
-def _pair_entry(level: int, bits: int):
-    return lambda pair: F.struct(
-        F.lit(level).alias("level"), _pair_bucket(pair, level, bits).alias("bucket"), pair.alias("content")
-    )
+def _level(names: Column, level: Column | int, bits: int) -> Column:
+    """The names of the next level."""
+    return F.transform(_pairs(names), lambda pair: _name(_pair_bucket(pair, level, bits)))
+
+
+def _climb(names: Column, depth: int, bits: int, entries: bool) -> Column:
+    """Names at the top level, or else all (level, bucket, pair) entries met on the way up."""
+    nothing = F.array().cast(f"array<{ENTRY}>")
+
+    def step(acc: Column, level: Column) -> Column:
+        met = F.concat(acc["met"], F.transform(_pairs(acc["names"]), lambda p: _pair_entry(p, level, bits))) if entries else acc["met"]
+        return F.struct(_level(acc["names"], level, bits).alias("names"), met.alias("met"))
+
+    levels = F.sequence(F.lit(1), F.lit(depth))
+    zero = F.struct(names.cast(NAMES).alias("names"), nothing.alias("met"))
+    return F.aggregate(levels, zero, step, lambda acc: acc["met" if entries else "names"])
 
 
 def _name(bucket: Column, rank: Column | None = None) -> Column:
     return F.struct(bucket.alias("bucket"), (F.lit(0) if rank is None else rank).cast("int").alias("rank"))
 
 
-def _blocks(norm: Column, chars: int) -> Column:
+def _blocks(text: Column, chars: int) -> Column:
+    return bind(text, lambda norm: _cut(norm, chars))
+
+
+def _cut(norm: Column, chars: int) -> Column:
     n = F.length(norm)
     by_place = F.transform(
         F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / chars).cast("int")),
         lambda i: F.substring(norm, i * chars + 1, F.lit(chars)),
     )
-    return F.when(n <= CUT_BY_POSITION, by_place).otherwise(F.regexp_extract_all(norm, F.lit("(?s).{1,%d}" % chars), F.lit(0)))
+    return F.when(n <= CUT_BY_POSITION, by_place).otherwise(F.filter(F.split(norm, r"(?<=\G(?s:.{%d}))" % chars, -1), lambda b: b != ""))
 
 
-def _pairs(names: Column) -> Column:
+def _pairs(all_names: Column) -> Column:
     """Adjacent names two by two; a single last name stands with null."""
-    last = F.floor((F.size(names) - 1) / 2).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(F.get(names, i * 2).alias("left"), F.get(names, i * 2 + 1).alias("right")),
-    )
+
+    def pairs(names: Column) -> Column:
+        last = F.floor((F.size(names) - 1) / 2).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(F.get(names, i * 2).alias("left"), F.get(names, i * 2 + 1).alias("right")),
+        )
+
+    return bind(all_names, pairs)
 
 
 def _ranks_in_crowded(entries: DataFrame) -> DataFrame | None:
     """(level, bucket, content, rank) where a bucket holds several distinct contents; None if none does."""
     distinct = entries.select("level", "bucket", "content").distinct()
     crowded = distinct.groupBy("level", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    if crowded.isEmpty():
+        return None
     by = W.partitionBy("level", "bucket").orderBy("content")
-    ranks = settle(distinct.join(crowded, ["level", "bucket"]).withColumn("rank", F.row_number().over(by) - F.lit(1)))
-    return None if ranks.isEmpty() else ranks
+    return settle(distinct.join(crowded, ["level", "bucket"]).withColumn("rank", F.row_number().over(by) - F.lit(1)))
 
 
 def _with_ranks(flat: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -105,23 +130,19 @@ def name_texts(keyed: DataFrame, block_chars: int = BLOCK_CHARS, bits: int = 64)
     longest = rows.agg(F.max(F.size("names"))).first()[0] or 1
     depth = (longest - 1).bit_length()
     # First all levels at once, as if no bucket of pairs were crowded; that is checked on the distinct pairs.
-    steps, entries = rows, []
-    for level in range(1, depth + 1):
-        steps = steps.withColumn(f"pairs{level}", _pairs(F.col("names" if level == 1 else f"names{level - 1}")))
-        steps = steps.withColumn(
-            f"names{level}", F.transform(f"pairs{level}", _pair_namer(level, bits))
-        )
-        entries.append(F.transform(f"pairs{level}", _pair_entry(level, bits)))
-    top = "names" if depth == 0 else f"names{depth}"
-    if depth == 0 or _ranks_in_crowded(steps.select(F.explode(F.concat(*entries)).alias("e")).select("e.*")) is None:
-        return steps.select("uid", "id", "sha", F.get(top, F.lit(0)).alias("name"))
+    if depth == 0:
+        return rows.select("uid", "id", "sha", F.get("names", F.lit(0)).alias("name"))
+    met = rows.select(F.explode(_climb(F.col("names"), depth, bits, True)).alias("e")).select("e.*")
+    if _ranks_in_crowded(met) is None:
+        top = _climb(F.col("names"), depth, bits, False)
+        return rows.select("uid", "id", "sha", F.get(top, F.lit(0)).alias("name"))
     for level in range(1, depth + 1):
         flat = rows.select("uid", "id", "sha", F.posexplode(_pairs(F.col("names"))).alias("pos", "content")).select(
             "*", F.lit(level).alias("level"), _pair_bucket(F.col("content"), level, bits).alias("bucket")
         )
         ranks = _ranks_in_crowded(flat)
         if ranks is None:
-            rows = rows.withColumn("names", F.transform(_pairs(F.col("names")), _pair_namer(level, bits)))
+            rows = rows.withColumn("names", _level(F.col("names"), level, bits))
         else:
             rows = settle(_with_ranks(flat, ranks))
     return rows.select("uid", "id", "sha", F.get("names", F.lit(0)).alias("name"))

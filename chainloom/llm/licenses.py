@@ -15,10 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import lower_ascii, text_of
+from chainloom.llm.common import bind, lower_ascii, text_of
 
-#: Maximal runs of digits, letters and characters beyond ASCII, after A-Z became a-z.
-LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words: all of ASCII but digits and a-z, after A-Z became a-z.
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Base phrases and their labels (fixed values of the result's contract).
@@ -27,36 +26,36 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 #: A document without any of these holds no license statement, and no rule is run on it.
 GATE = ("licen", "spdx", "permission", "redistribution", "subject to")
 
-#: License families: label, the pattern of its name in words, a string that every such name holds.
+#: License families: label, the pattern of its name in words, strings of which every such name holds one.
 FAMILIES = (
     ("mit", "mit", "mit"),
     ("apache", "apache(?: software foundation)?", "apache"),
-    ("gpl", "(?:gnu )?(?:general public|gpl(?:v[123])?)", "g"),
-    ("lgpl", "(?:gnu )?(?:(?:lesser|library) (?:general public|gpl)|lgpl(?:v[123])?)", "g"),
-    ("agpl", "(?:gnu )?(?:affero (?:general public|gpl)|agpl(?:v3)?)", "g"),
+    ("gpl", "(?:gnu )?(?:general public|gpl(?:v[123])?)", "general public|gpl"),
+    ("lgpl", "(?:gnu )?(?:(?:lesser|library) (?:general public|gpl)|lgpl(?:v[123])?)", "lesser|library|lgpl"),
+    ("agpl", "(?:gnu )?(?:affero (?:general public|gpl)|agpl(?:v3)?)", "affero|agpl"),
     ("bsd", "(?:(?:[234]|two|three|four) clause )?(?:new |modified |simplified )?bsd", "bsd"),
-    ("mpl", "(?:mozilla(?: public)?|mpl)", "m"),
-    ("epl", "(?:eclipse(?: public)?|epl)", "e"),
+    ("mpl", "(?:mozilla(?: public)?|mpl)", "mozilla| mpl "),
+    ("epl", "(?:eclipse(?: public)?|epl)", "eclipse| epl "),
     ("isc", "isc", "isc"),
     ("zlib", "zlib(?: libpng)?", "zlib"),
-    ("boost", "(?:boost(?: software)?|bsl)", "b"),
+    ("boost", "(?:boost(?: software)?|bsl)", "boost| bsl "),
     ("artistic", "(?:perl )?artistic", "artistic"),
-    ("cc0", "(?:cc0|cc zero|creative commons zero)", "c"),
-    ("cc-by", "(?:cc by|creative commons attribution)", "c"),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", "c"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", "c"),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "c"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "c"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "c"),
+    ("cc0", "(?:cc0|cc zero|creative commons zero)", "cc0|cc zero|creative commons"),
+    ("cc-by", "(?:cc by|creative commons attribution)", " cc by|creative commons"),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", " cc by|creative commons"),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", " cc by|creative commons"),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", " cc by|creative commons"),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", " cc by|creative commons"),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", " cc by|creative commons"),
     ("unlicense", "(?:the )?unlicense", "unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"),
-    ("ofl", "(?:sil )?(?:open font|ofl)", "o"),
-    ("odbl", "(?:odbl|open database|odc open database)", "o"),
-    ("eupl", "(?:eupl|european union public)", "eu"),
-    ("cddl", "(?:cddl|common development and distribution)", "c"),
-    ("python", "(?:python(?: software foundation)?|psf)", "p"),
+    ("ofl", "(?:sil )?(?:open font|ofl)", "open font| ofl "),
+    ("odbl", "(?:odbl|open database|odc open database)", "odbl|open database"),
+    ("eupl", "(?:eupl|european union public)", "eupl|european union"),
+    ("cddl", "(?:cddl|common development and distribution)", "cddl|common development"),
+    ("python", "(?:python(?: software foundation)?|psf)", "python| psf "),
     ("postgresql", "postgresql", "postgresql"),
-    ("proprietary", "(?:proprietary|commercial|end user)", "r"),
+    ("proprietary", "(?:proprietary|commercial|end user)", "proprietary|commercial|end user"),
 )
 #: A version as it may follow a name.
 VERSION = "(?: (?:version |v)?[0-9]+(?: [0-9]+)?(?: international| only| or later)?)?"
@@ -82,7 +81,8 @@ class Rule:
     priority: int
     name: str
     label: str
-    keywords: tuple[str, str]
+    families: tuple[str, ...]
+    held: str
     pattern: str
     confidence: float
 
@@ -99,18 +99,18 @@ def signature_rules() -> list[Rule]:
     for name, around, held, confidence in STATEMENTS:
         for label, family, key in specific:
             pattern = "(?<= )" + around.replace("F", family) + "(?= )"
-            rules.append(Rule(len(rules), f"{label}/{name}", label, (key, held), pattern, confidence))
+            rules.append(Rule(len(rules), f"{label}/{name}", label, tuple(key.split("|")), held, pattern, confidence))
     return rules
 
 
-RULE_TYPE = "array<struct<priority:int,label:string,k1:string,k2:string,pattern:string,confidence:double>>"
+RULE_TYPE = "array<struct<priority:int,label:string,families:array<string>,held:string,pattern:string,confidence:double>>"
 DETECTION = "struct<start:int,neg_end:int,priority:int,label:string,confidence:double>"
 
 
 def _rule_column(rules: list[Rule]) -> Column:
     """The rules as one constant."""
     rows = [
-        {"priority": r.priority, "label": r.label, "k1": r.keywords[0], "k2": r.keywords[1], "pattern": r.pattern, "confidence": r.confidence}
+        {"priority": r.priority, "label": r.label, "families": list(r.families), "held": r.held, "pattern": r.pattern, "confidence": r.confidence}
         for r in rules
     ]
     return F.from_json(F.lit(json.dumps(rows)), RULE_TYPE)
@@ -123,7 +123,7 @@ def _n_words(x: Column) -> Column:
 
 def _detections(norm: Column, rules: Column) -> Column:
     """All matches of all rules whose keywords the text holds, sorted by start, longest first, best rule first."""
-    held = F.filter(rules, lambda r: F.contains(norm, r["k1"]) & F.contains(norm, r["k2"]))
+    held = F.filter(rules, lambda r: F.contains(norm, r["held"]) & F.exists(r["families"], lambda f: F.contains(norm, f)))
     found = F.filter(
         F.transform(held, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(norm, r["pattern"], F.lit(0)).alias("hits"))),
         lambda x: F.size(x["hits"]) > 0,
@@ -179,13 +179,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives no rows. Only the id and text columns are read.
     """
     rules_col = _rule_column(signature_rules() if rules is None else rules)
-    low = docs.select(F.col(id_col).alias("id"), lower_ascii(text_of(text_col)).alias("low"))
-    gate = F.lit(False)
-    for word in GATE:
-        first = word.split(" ")[0]  # words of a phrase may stand on two lines
-        gate = gate | F.contains("low", F.lit(first))
-    joined = F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NOT_WORDS, " ")), F.lit(" "))
-    step = low.select("id", F.regexp_count("low", F.lit(LICENSE_WORD)).cast("long").alias("n_words"), F.when(gate, joined).alias("norm"))
+
+    def read(low: Column) -> Column:
+        gate = F.lit(False)
+        for word in GATE:
+            gate = gate | F.contains(low, F.lit(word.split(" ")[0]))  # words of a phrase may stand on two lines
+
+        def counted(words: Column) -> Column:
+            n = F.when(words == "", F.lit(0)).otherwise(_n_words(words) + 1)
+            return F.struct(n.cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), words, F.lit(" "))).alias("norm"))
+
+        return bind(F.trim(F.regexp_replace(low, NOT_WORDS, " ")), counted)
+
+    step = docs.select(F.col(id_col).alias("id"), bind(lower_ascii(text_of(text_col)), read).alias("read"))
+    step = step.select("id", "read.n_words", "read.norm")
     has_base = F.contains("norm", F.lit(" license "))
     step = step.withColumn("words", F.when(has_base, F.split(F.trim("norm"), " ")))
     base = []
@@ -194,7 +201,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         base.append(F.transform(places, _labelled(label)))
     none = F.array().cast("array<struct<at:int,label:string>>")
     step = step.withColumn("base", F.when(has_base, F.concat(*base)).otherwise(none)).drop("words")
-    step = step.withColumn("found", F.when(F.col("norm").isNotNull(), _detections(F.col("norm"), rules_col)))
+    step = step.withColumn("found", F.when(F.col("norm").isNotNull(), bind(F.col("norm"), lambda n: _detections(n, rules_col))))
     step = step.withColumn("kept", F.coalesce(_survivors(F.col("found")), F.array().cast(f"array<{DETECTION}>"))).drop("norm", "found")
     at = F.transform("base", lambda b: b["at"].cast("long"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))

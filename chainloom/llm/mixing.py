@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chainloom.llm.common import WORD, settle, text_of
+from chainloom.llm.common import count_words, settle, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -101,7 +101,7 @@ def mix(
     sized = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        count_words(text).alias("size"),
         F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("order"),
     ).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     sized = settle(sized)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chainloom.llm.common import table
 from chainloom.llm.exact_dedup import exact_dedup
+from chainloom.llm.fingerprints import compare_edited
 from chainloom.llm.licenses import license_scan
+from chainloom.llm.line_dedup import line_dedup
 from chainloom.llm.mixing import mix
 
 
@@ -16,6 +18,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -33,12 +44,36 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (
+  SELECT doc_id, p, l[p + 1] AS a, l[p + 2] AS b, l[p + 3] AS c
+  FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS p FROM d WHERE len(l) >= 3)
+  WHERE trim(l[p + 1]) <> '' OR trim(l[p + 2]) <> '' OR trim(l[p + 3]) <> ''),
+f AS (
+  SELECT *, first_value(doc_id) OVER o AS fd, first_value(p) OVER o AS fp
+  FROM w WINDOW o AS (PARTITION BY a, b, c ORDER BY doc_id, p)),
+r AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN fd = doc_id THEN greatest(p, fp + 3) ELSE p END, p + 3)) AS q
+  FROM f WHERE NOT (fd = doc_id AND fp = p)),
+k AS (
+  SELECT d.doc_id, list(q) AS gone FROM d JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(l) END AS n_lines, coalesce(len(gone), 0) AS n_removed,
+       CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(
+         [l[i + 1] FOR i IN range(0, len(l)) IF NOT list_contains(gone, i)], chr(10)), '') END AS text
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op7_mixing": op7_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
 }
