@@ -12,6 +12,18 @@ from chainloom.llm.fingerprints import compare_edited
 from chainloom.llm.licenses import license_scan
 from chainloom.llm.line_dedup import line_dedup
 from chainloom.llm.mixing import mix
+from chainloom.llm.packing import pack
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +78,7 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
