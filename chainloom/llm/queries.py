@@ -12,6 +12,7 @@ from chainloom.llm.fingerprints import compare_edited
 from chainloom.llm.licenses import license_scan
 from chainloom.llm.line_dedup import line_dedup
 from chainloom.llm.mixing import mix
+from chainloom.llm.near_dedup import near_dedup
 from chainloom.llm.packing import pack
 
 
@@ -56,6 +57,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op8_fingerprints": op8_fingerprints,
     "op7_mixing": op7_mixing,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
