@@ -14,6 +14,7 @@ from chainloom.llm.line_dedup import line_dedup
 from chainloom.llm.mixing import mix
 from chainloom.llm.near_dedup import near_dedup
 from chainloom.llm.packing import pack
+from chainloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -61,6 +62,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).drop("evidence")
+
+
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_fingerprints": op8_fingerprints,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
