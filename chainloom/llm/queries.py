@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from chainloom.llm.common import table
 from chainloom.llm.exact_dedup import exact_dedup
 from chainloom.llm.fingerprints import compare_edited
+from chainloom.llm.html_text import extract_text
 from chainloom.llm.licenses import license_scan
 from chainloom.llm.line_dedup import line_dedup
 from chainloom.llm.mixing import mix
 from chainloom.llm.near_dedup import near_dedup
 from chainloom.llm.packing import pack
+from chainloom.llm.token_counts import count_tokens, sample_edits
 from chainloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -68,6 +70,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).drop("evidence")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).drop("n_repeated")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), sample_edits())
+
+
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -95,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_fingerprints": op8_fingerprints,
+    "op5_html_extract": op5_html_extract,
+    "op9_token_counts": op9_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
