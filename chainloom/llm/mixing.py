@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chainloom.llm.common import count_words, settle, text_of
+from chainloom.llm.common import SPACE, count_words, settle, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -95,6 +95,20 @@ def mix(
     the border cuts makes no difference to the result as a set. If all sizes are 0, all targets are 0. Null ids are
     ordered by their text. Other columns are not read.
     """
+    placed = place(docs, id_col, text_col, source_col, weights, slopes, share, max_repeats, seed, buckets)
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return placed.select(
+        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.alias("taken"),
+        "passes", F.get("passes", F.lit(0))["position"].alias("position"),
+    ).orderBy(F.col("position").asc_nulls_last(), id_col)
+
+
+def _order(id_col: str, text: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)
+
+
+def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, slopes, share: float, max_repeats: float, seed: int, buckets: int) -> DataFrame:
+    """Rows (id, order, size, source, source_size, target, passes), one for each document."""
     if not all(-1 < s < 1 for s in slopes):
         raise ValueError("slopes must lie between -1 and 1")
     text = text_of(text_col)
@@ -102,7 +116,7 @@ def mix(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         count_words(text).alias("size"),
-        F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text).alias("order"),
+        _order(id_col, text, seed).alias("order"),
     ).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     sized = settle(sized)
     plan = settle(_source_plan(sized, weights, slopes, share, max_repeats))
@@ -127,12 +141,30 @@ def mix(
         return F.struct(F.lit(p).alias("pass"), words.alias("words"), demand_time(begin, F.col("target"), F.col("slope")).alias("position"))
 
     passes = F.filter(F.array(*[one(p) for p in range(math.ceil(max_repeats))]), lambda x: x["words"] > 0)
-    return (
-        placed.withColumn("passes", passes)
-        .select(
-            F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target",
-            F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "passes",
-            F.get("passes", F.lit(0))["position"].alias("position"),
-        )
-        .orderBy(F.col("position").asc_nulls_last(), id_col)
-    )
+    return placed.select("id", "order", "size", "source", "source_size", "target", passes.alias("passes"))
+
+
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS,
+    slopes: Sequence[float] = SLOPES, share: float = SHARE, max_repeats: float = MAX_REPEATS, seed: int = 7, buckets: int = BUCKETS,
+) -> DataFrame:
+    """The mix itself: the rows and columns of ``docs``, once for each pass that takes them, in ranges sorted by position.
+
+    A document that is taken in part keeps its first words with their white space; documents not taken are left out.
+    Edge cases are those of :func:`mix`; rows that repeat appear as often as their passes say together.
+    """
+    placed = place(docs, id_col, text_col, source_col, weights, slopes, share, max_repeats, seed, buckets)
+    placed = settle(placed.filter(F.size("passes") > 0).select("id", "order", "size", "passes"))
+    used = placed.groupBy("id", "order").agg(F.first("size").alias("__size"), F.flatten(F.collect_list("passes")).alias("__passes"), F.count(F.lit(1)).alias("n"))
+    keyed = docs.withColumn("__order", _order(id_col, text_of(text_col), seed))
+    if not used.filter("n > 1").isEmpty():  # rows that repeat: one of them stands for all
+        keyed = keyed.dropDuplicates([id_col, "__order"])
+    used = used.select(F.col("id").alias("__id"), F.col("order").alias("__placed"), "__size", "__passes")
+    joined = keyed.join(used, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__order") == F.col("__placed")))
+    rows = joined.withColumn("__pass", F.explode("__passes"))
+    # A cut behind every word keeps the white space before it.
+    words = F.split(F.col(text_col), f"(?<=[^{SPACE}])(?=[{SPACE}])", -1)
+    part = F.array_join(F.slice(words, F.lit(1), F.col("__pass.words").cast("int")), "")
+    text = F.when(F.col("__pass.words") < F.col("__size"), part).otherwise(F.col(text_col))
+    rows = rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("__pass.position").alias("__position"))
+    return rows.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
