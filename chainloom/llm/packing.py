@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from bisect import insort
 
 import numpy as np
@@ -26,7 +28,7 @@ MAX_TOKENS = 2048
 END_ID = 0
 #: Hash buckets of each length, for ranks.
 BUCKETS = 256
-#: Words whose ids a task remembers before it forgets all and starts anew.
+#: Words whose ids a worker remembers before it forgets those it met in one batch only.
 CACHED_WORDS = 1_000_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often) of a sequence's pieces
@@ -46,6 +48,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # words met in more than one batch
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -55,29 +58,32 @@ class WordIds:
         distinct = set().union(*split)
         new = distinct.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = distinct
+            kept = self.again if len(self.again) < CACHED_WORDS // 2 else distinct - new
+            self.known = {w: self.known[w] for w in kept}
+            self.again = set()
+            new = distinct.difference(self.known)
+        self.again |= distinct - new
         self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
     def _learn(self, new: set[str]) -> None:
-        known, parts, alone = self.known, {}, []
+        known, bases, parts, alone = self.known, [], [], []
         for word in new:
-            low = word.lower() if word.isascii() else word.translate(_LOWER)
-            base, tail = (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else (low, "")
-            if base.isalpha():
-                parts[word] = (base, tail)
+            if word.isalpha():
+                bases.append(word)
+            elif word[-1] in ".," and (base := word[:-1]).isalpha():
+                parts.append((word, base, word[-1]))
             else:
                 alone.append(word)
-        self._letters(list({base for base, _ in parts.values()}.difference(known)), alone)
+        self._letters(list({base for _, base, _ in parts}.difference(known).union(bases)), alone)
         alone += [t for t in (".", ",") if t not in known]
         for at in range(0, len(alone), 5000):
             few = alone[at : at + 5000]
             for word, e in zip(few, self.tokenizer.encode_batch_fast(few, add_special_tokens=False), strict=True):
                 known[word] = np.array(e.ids, "<u4").tobytes()
-        for word, (base, tail) in parts.items():
-            known[word] = known[base] + known[tail] if tail else known[base]
+        for word, base, tail in parts:
+            known[word] = known[base] + known[tail]
 
     def _letters(self, bases: list[str], alone: list[str]) -> None:
         groups = [bases[at : at + 500] for at in range(0, len(bases), 500)]
@@ -94,15 +100,22 @@ class WordIds:
                 lo = hi
 
 
-_LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+def word_ids(path: str) -> WordIds:
+    """The tokenizer of this worker process, with the words that its earlier tasks have learned."""
+    held = sys.modules.setdefault("chainloom_worker", types.ModuleType("chainloom_worker")).__dict__
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
 
 
 def words_of(text: str) -> list[str]:
-    """Words between white space as Unicode has it; the four separators U+001C to U+001F are not white space.
+    """Words between white space as Unicode has it, A-Z in lower case, which the tokenizer would do itself; the four
+    separators U+001C to U+001F are not white space.
 
-    >>> words_of(" a\\tb\\x1cc ")
+    >>> words_of(" A\\tb\\x1cc ")
     ['a', 'b\\x1cc']
     """
+    text = text.lower() if text.isascii() else text.encode().lower().decode()
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return [w for w in _SPACES.split(text) if w]
     return text.split()
@@ -123,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
         import pyarrow as pa
 
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
