@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CHAIN = W.partitionBy("chain").orderBy("pos")
+
+def in_order():
+    """Each chain by position."""
+    return W.partitionBy("chain").orderBy("pos")
+
 
 
 def chains(rows: DataFrame, chain: str, order: list[str], token: str, *carried: str) -> DataFrame:
@@ -26,7 +30,7 @@ def word_chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def adjacent_pairs(tokens: DataFrame) -> DataFrame:
     """(chain, pos, left, right) for each token that has a successor."""
-    return tokens.select("chain", "pos", F.col("token").alias("left"), F.lead("token").over(CHAIN).alias("right")).filter(F.col("right").isNotNull())
+    return tokens.select("chain", "pos", F.col("token").alias("left"), F.lead("token").over(in_order()).alias("right")).filter(F.col("right").isNotNull())
 
 
 def pair_counts(tokens: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def matched(tokens: DataFrame, pair: DataFrame) -> DataFrame:
     Overlapping occurrences (x x x for the pair x x) form a run; in each run every second one is taken.
     """
     pair = pair.select(F.col("left").alias("l"), F.col("right").alias("r"))
-    after = F.lead("token").over(CHAIN)
+    after = F.lead("token").over(in_order())
     flagged = tokens.withColumn("next", after).crossJoin(F.broadcast(pair))  # the pair is one row
     flagged = flagged.withColumn("hit", F.coalesce((F.col("token") == F.col("l")) & (F.col("next") == F.col("r")), F.lit(False)))
     run = F.col("pos") - F.row_number().over(W.partitionBy("chain", "hit").orderBy("pos"))
@@ -63,9 +67,9 @@ def matched(tokens: DataFrame, pair: DataFrame) -> DataFrame:
 
 def merge_pair(tokens: DataFrame, pair: DataFrame, joiner: str = "+") -> DataFrame:
     """The chains after one merge: taken pairs become one token named left + joiner + right."""
-    out = matched(tokens, pair).withColumn("dead", F.lag("take", 1, False).over(CHAIN)).filter(~F.col("dead"))
+    out = matched(tokens, pair).withColumn("dead", F.lag("take", 1, False).over(in_order())).filter(~F.col("dead"))
     name = F.when(F.col("take"), F.concat("l", F.lit(joiner), "r")).otherwise(F.col("token"))
-    return out.select("chain", (F.row_number().over(CHAIN) - 1).cast("long").alias("pos"), name.alias("token"))
+    return out.select("chain", (F.row_number().over(in_order()) - 1).cast("long").alias("pos"), name.alias("token"))
 
 
 def token_ids(tokens: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def decode_ids(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def start_pointers(tokens: DataFrame, joiner: str = "+") -> DataFrame:
     """(chain, k, start): for each original position, where its token begins. A token's width is its number of parts."""
     width = F.size(F.split("token", rf"\{joiner}"))
-    before = F.coalesce(F.sum("width").over(CHAIN.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("width").over(in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     spans = tokens.withColumn("width", width).withColumn("start", before)
     return spans.select("chain", "start", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("k"))
 

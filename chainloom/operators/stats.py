@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-EVERYTHING = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
 
 def codebook_utility(tokens: DataFrame, token: str, size: int | None = None, eps: float = 1e-8) -> DataFrame:
     """One row: perplexity, entropy, both by vocabulary size, and the share of tokens used. ``size`` counts unused ones."""

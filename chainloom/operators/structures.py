@@ -10,7 +10,6 @@ from chainloom.functions.geometry import bond_angle, dihedral, norm, sub
 from chainloom.sources.text import one_letter
 
 BACKBONE = ("N", "CA", "C")
-ORDER = W.partitionBy("chain_id").orderBy("k")
 #: Van der Waals radii in Angstrom (fixed values).
 RADII = {"H": 1.2, "C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8}
 
@@ -35,7 +34,8 @@ def valid_chains(backbone_atoms: DataFrame) -> DataFrame:
 def bonds(backbone_atoms: DataFrame) -> DataFrame:
     """(chain_id, k, kind, len, ang, dih): bond k joins atoms k and k + 1; the angle is at atom k, the dihedral about
     bond k - 1 ends at atom k + 1. Values that need atoms before the chain are null."""
-    at = lambda shift: tuple(F.lag(c, shift).over(ORDER) if shift > 0 else F.lead(c, -shift).over(ORDER) if shift < 0 else F.col(c) for c in "xyz")
+    order = W.partitionBy("chain_id").orderBy("k")
+    at = lambda shift: tuple(F.lag(c, shift).over(order) if shift > 0 else F.lead(c, -shift).over(order) if shift < 0 else F.col(c) for c in "xyz")
     two, one, here, after = at(2), at(1), at(0), at(-1)
     rows = backbone_atoms.select(
         "chain_id", "k", (F.col("k") % 3).alias("kind"), norm(sub(after, here)).alias("len"),
