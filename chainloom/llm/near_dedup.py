@@ -11,7 +11,7 @@ No bucket emits all its pairs:
 * documents with the same shingle set are one class, and only classes are compared;
 * round one compares each member of a bucket with the bucket's most central member. That is enough where all members
   then hang together;
-* round two takes the buckets that still hold several components and joins them by prefix filtering: two sets that
+* round two takes the buckets that still hold several components beside that member and joins them by prefix filtering: two sets that
   similar must share one of each other's rarest shingles, so for each rare shingle the members of all but its largest
   component are paired with the members of other components. This loses no link, and within the large component of a
   group of copies no pair is made.
@@ -214,6 +214,7 @@ def near_dedup(
     scores = members.groupBy("cid").agg(F.sum("size").alias("score"))
     members = settle(members.join(scores, "cid").select("cid", "bucket", "score"))
     leaders = members.groupBy("bucket").agg(F.max(F.struct("score", "cid")).alias("top")).select("bucket", F.col("top.cid").alias("a"))
+    leaders = settle(leaders)
     stars = members.join(leaders, "bucket").filter("cid <> a").select("a", F.col("cid").alias("b"))
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     involved = scores.select("cid").join(classes, "cid")
@@ -227,8 +228,9 @@ def near_dedup(
     full = settle(full.select("cid", "n", "sh"))
     links = settle(_verified(stars, full, part, whole))
     comps = components(links)
-    # Round two: buckets with several components.
-    placed = members.select("cid", "bucket").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+    # Round two: buckets that hold several components beside their leader, with which all have been compared.
+    placed = members.select("cid", "bucket").join(leaders, "bucket").filter("cid <> a").drop("a")
+    placed = placed.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
     placed = settle(placed.select("cid", "bucket", F.coalesce("comp", "cid").alias("comp")))
     split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
     rest = settle(placed.join(split, "bucket", "left_semi").select("cid", "comp").distinct())
@@ -255,7 +257,8 @@ def _prefix_pairs(sets: DataFrame, part: int, whole: int) -> DataFrame:
     """Pairs (a, b) in different components that may be similar, from rows (cid, comp, n, sh).
 
     Sorted by how many of these sets hold a shingle, rarest first, two sets with at least part/whole in common share a
-    shingle among the first n - ceil(n * part / whole) + 1 of each.
+    shingle among the first n - ceil(n * part / whole) + 1 of each. At the first one they share, what both have left
+    must be enough; that rules out a set whose own shingles, which no other holds, stand before it in its order.
     """
     flat = sets.select("cid", "comp", "n", F.explode("sh").alias("s"))
     held = flat.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
@@ -264,13 +267,18 @@ def _prefix_pairs(sets: DataFrame, part: int, whole: int) -> DataFrame:
         F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all")
     )
     first = F.col("n") - F.ceil(F.col("n") * F.lit(part) / F.lit(whole)) + 1
-    heads = ranked.select("cid", "comp", "n", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("h"))
-    heads = settle(heads.filter("h.df > 1").select("cid", "comp", "n", F.col("h.s").alias("s")))
+    heads = ranked.select("cid", "comp", "n", F.posexplode(F.slice("all", F.lit(1), first.cast("int"))).alias("pos", "h"))
+    # What is left of a set behind a place bounds what two sets can share from there on.
+    heads = heads.filter("h.df > 1").select("cid", "comp", "n", F.col("h.s").alias("s"), (F.col("n") - F.col("pos")).alias("left"))
+    heads = settle(heads)
     parts = heads.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k"))
     largest = parts.groupBy("s").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     largest = largest.select("s", F.col("top.comp").alias("big"))
     here = heads.join(largest, "s")
     x, y = here.filter("comp <> big").alias("x"), here.alias("y")
-    fits = F.expr(f"x.s = y.s AND x.comp <> y.comp AND (y.comp = y.big OR x.cid < y.cid) AND {whole} * least(x.n, y.n) >= {part} * greatest(x.n, y.n)")
+    fits = F.expr(
+        f"x.s = y.s AND x.comp <> y.comp AND (y.comp = y.big OR x.cid < y.cid)"
+        f" AND {whole} * least(x.left, y.left) >= {part} * (x.n + y.n - least(x.left, y.left))"
+    )
     pairs = x.join(y, fits).select(F.col("x.cid").alias("p"), F.col("y.cid").alias("q"))
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
