@@ -157,3 +157,44 @@ def best_hierarchy(unary: np.ndarray, split: np.ndarray) -> tuple[float, float,
         else:
             leaves.append((i, j))
     return float(inside[0, n]), float(best[0, n]), leaves
+
+
+def end_frame(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Axes and origin at the last three points."""
+    a, b, c = points[-3:]
+    x = (c - b) / np.linalg.norm(c - b)
+    z = np.cross(x, a - b)
+    z = z / np.linalg.norm(z)
+    return np.stack([x, np.cross(z, x), z], axis=1), b
+
+
+def fit_glue(lengths, angles, torsions, slots: list[tuple[str, int]], choices: list[np.ndarray], target: tuple[np.ndarray, np.ndarray], weight_r: float = 0.5, weight_t: float = 0.1, rounds: int = 5, brute: int = 5) -> list[int]:
+    """Bins for some angles of a chain, so that its end comes nearest to a target frame.
+
+    ``slots`` name what is free, ("ang" or "dih", index); ``choices`` are the bin centres of each. Few bins are tried in
+    all combinations; otherwise one slot after another is set to its best bin until nothing changes.
+    """
+    import itertools
+
+    angles, torsions = np.array(angles, float), np.array(torsions, float)
+
+    def loss(pick) -> float:
+        for (kind, at), options, k in zip(slots, choices, pick, strict=True):
+            (angles if kind == "ang" else torsions)[at] = options[k]
+        r, t = end_frame(rebuild_chain(np.asarray(lengths, float), angles, torsions))
+        return weight_r * float(((r - target[0]) ** 2).sum()) + weight_t * float(((t - target[1]) ** 2).sum())
+
+    if all(len(c) <= brute for c in choices):
+        return list(min(itertools.product(*(range(len(c)) for c in choices)), key=loss))
+    start = [int(np.abs(np.angle(np.exp(1j * (c - (angles if k == "ang" else torsions)[at])))).argmin()) for (k, at), c in zip(slots, choices, strict=True)]
+    pick, best = start, loss(start)
+    for _ in range(rounds):
+        before = best
+        for s in range(len(slots)):
+            for k in range(len(choices[s])):
+                trial = [*pick[:s], k, *pick[s + 1 :]]
+                if (now := loss(trial)) < best - 1e-12:
+                    pick, best = trial, now
+        if best >= before - 1e-12:
+            break
+    return pick

@@ -152,3 +152,69 @@ def capacity_bits(n_prototypes: int, lengths: list[int], k: int, m: float, bins:
     """Bits to store the prototypes (32 for each of 3 n - 3 numbers) and one chain of ``m`` tokens with three glue values
     of ``bins`` bins at each junction."""
     return sum(32.0 * (3 * n - 3) for n in lengths[:n_prototypes]) + m * math.log2(max(k, 1)) + 3 * (m - 1) * math.log2(max(bins, 1))
+
+
+def kl_by_group(p: DataFrame, q: DataFrame, group: list[str], keys: list[str], pseudo: float = 0.0) -> DataFrame:
+    """(group, kl) as :func:`kl` within each group."""
+    on = [*group, *keys]
+    both = p.withColumnRenamed("n", "__p").join(q.withColumnRenamed("n", "__q"), on, "full")
+    both = both.select(*group, (F.coalesce("__p", F.lit(0)) + pseudo).alias("a"), (F.coalesce("__q", F.lit(0)) + pseudo).alias("b"))
+    w = W.partitionBy(*group)
+    both = both.withColumn("pa", F.col("a") / F.sum("a").over(w)).withColumn("pb", F.col("b") / F.sum("b").over(w))
+    term = F.when(F.col("a") == 0, F.lit(0.0)).when(F.col("b") == 0, F.lit(float("inf"))).otherwise(F.col("pa") * F.log(F.col("pa") / F.col("pb")))
+    return both.groupBy(*group).agg(F.sum(term).alias("kl"))
+
+
+def floored_density(counts: DataFrame, nx: int, ny: int, floor: float = 1e-8) -> DataFrame:
+    """(bx, by, p): densities of a 2-D histogram over its whole grid, with a floor, summing to 1."""
+    spark = counts.sparkSession
+    grid = spark.range(nx * ny).select((F.col("id") % nx).alias("bx"), F.floor(F.col("id") / nx).alias("by"))
+    full = grid.join(counts, ["bx", "by"], "left").select("bx", "by", F.coalesce("n", F.lit(0)).alias("n"))
+    total = full.agg(F.sum("n").alias("t"))
+    scale = 1 + nx * ny * floor
+    share = F.when(F.col("t") > 0, F.col("n") / F.col("t")).otherwise(F.lit(0.0))
+    return full.crossJoin(F.broadcast(total)).select("bx", "by", ((share + floor) / scale).alias("p"))
+
+
+def symmetric_grid_kl(p: DataFrame, q: DataFrame, base: float = math.e) -> DataFrame:
+    """One row, kl: both divergences of two densities over the same grid, added."""
+    both = p.withColumnRenamed("p", "a").join(q.withColumnRenamed("p", "b"), ["bx", "by"])
+    return both.agg((F.sum((F.col("a") - F.col("b")) * F.log(F.col("a") / F.col("b"))) / math.log(base)).alias("kl"))
+
+
+def torsion_divergence(a: DataFrame, b: DataFrame, bins: int = 36, units: str = "radians", base: float = math.e) -> DataFrame:
+    """One row, kl, of two tables of (phi, psi): ``units`` says what the bins of a whole turn span."""
+    turn = 2 * math.pi if units == "radians" else 360.0
+    cell = lambda c: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(c) + turn / 2) / (turn / bins)))).cast("bigint")
+    density = lambda t: floored_density(histogram_2d(t, cell("phi"), cell("psi")), bins, bins)
+    return symmetric_grid_kl(density(a), density(b), base)
+
+
+def clipped_counts_divergence(a: DataFrame, b: DataFrame, x: str, y: str, most: int) -> DataFrame:
+    """One row, kl in bits, of two tables of element counts, clipped to the last bin."""
+    cell = lambda c: F.least(F.lit(most - 1).cast("bigint"), F.col(c).cast("bigint"))
+    density = lambda t: floored_density(histogram_2d(t, cell(x), cell(y)), most, most)
+    return symmetric_grid_kl(density(a), density(b), 2)
+
+
+def mean_by_position(rows: DataFrame, array: str) -> DataFrame:
+    """(pos, mean, n): element-wise means of arrays of any lengths."""
+    return rows.select(F.posexplode(array).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def best_score(scores: DataFrame, key: str, ref: str, score: str) -> DataFrame:
+    """(key, score, ref): the best score and its reference, NaN left out, ties to the smaller reference."""
+    good = scores.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    first = F.row_number().over(W.partitionBy(key).orderBy(F.desc(score), ref))
+    return good.withColumn("__r", first).filter("__r = 1").select(key, score, ref)
+
+
+def pass_summary(scores: DataFrame, score: str, cutoff: float) -> DataFrame:
+    """One row: mean score and the share at or above the cutoff."""
+    return scores.agg(F.avg(score).alias("mean"), F.avg((F.col(score) >= cutoff).cast("double")).alias("pass_rate"))
+
+
+def perplexity(losses: DataFrame, loss: str, n: str) -> DataFrame:
+    """One row: the token-weighted mean loss and its exponential."""
+    mean = F.sum(F.col(loss) * F.col(n)) / F.sum(n)
+    return losses.agg(mean.alias("loss"), F.exp(mean).alias("perplexity"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chainloom.functions.geometry import bond_angle, dihedral, norm, sub
+from chainloom.functions.geometry import Vector, add, bond_angle, cross, dihedral, dot, frame, norm, scale, sub, unit
 from chainloom.sources.text import one_letter
 
 BACKBONE = ("N", "CA", "C")
@@ -90,3 +90,54 @@ def voxels(points: DataFrame, chain: str, grid: int = 64, padding: float = 2.0)
     rows = points.join(box, chain)
     step = F.greatest(*[F.col(f"hi{c}") - F.col(f"lo{c}") + 2 * padding for c in "xyz"]) / grid
     return rows.select(F.col(chain).alias("chain"), *[F.least(F.lit(grid - 1), F.floor((F.col(c) - F.col(f"lo{c}") + padding) / step)).alias(f"v{c}") for c in "xyz"]).distinct()
+
+
+def place(a: Vector, b: Vector, c: Vector, length: float, angle: float, torsion) -> Vector:
+    """The point d with |cd| = length, angle bcd, torsion abcd, as columns."""
+    bc = unit(sub(c, b))
+    n = unit(cross(sub(b, a), bc))
+    m = cross(n, bc)
+    t = torsion if not isinstance(torsion, float) else F.lit(torsion)
+    along, across = -length * F.cos(F.lit(angle)), length * F.sin(F.lit(angle))
+    return add(c, add(scale(bc, along), add(scale(m, across * F.cos(t)), scale(n, across * F.sin(t)))))
+
+
+def oxygens(backbone_atoms: DataFrame, length: float = 1.2359, angle: float = 2.0993) -> DataFrame:
+    """(chain_id, res_id, x, y, z): the oxygen of each residue but the last, opposite the next nitrogen."""
+    by = W.partitionBy("chain_id").orderBy("k")
+    nxt = lambda s: tuple(F.lead(c, s).over(by) for c in "xyz")
+    rows = backbone_atoms.select("chain_id", "res_id", "k", *[F.col(c).alias(f"n{c}") for c in "xyz"], *[v.alias(f"{p}{c}") for p, s in (("a", 1), ("c", 2), ("m", 3)) for c, v in zip("xyz", nxt(s), strict=True)])
+    rows = rows.filter((F.col("k") % 3 == 0) & F.col("mx").isNotNull())
+    v = lambda p: tuple(F.col(f"{p}{c}") for c in "xyz")
+    psi = dihedral(v("n"), v("a"), v("c"), v("m"))
+    o = place(v("n"), v("a"), v("c"), length, angle, psi + F.lit(3.141592653589793))
+    return rows.select("chain_id", "res_id", *[x.alias(c) for x, c in zip(o, "xyz", strict=True)])
+
+
+def residue_frames(backbone_atoms: DataFrame) -> DataFrame:
+    """(chain_id, r, ox, oy, oz, x1..x3, y1..y3, z1..z3): origin CA and axes of each whole residue."""
+    pick = lambda atom, c: F.max(F.when(F.col("atom") == atom, F.col(c))).alias(f"{atom}{c}")
+    wide = backbone_atoms.groupBy("chain_id", F.floor(F.col("k") / 3).alias("r")).agg(*[pick(a, c) for a in BACKBONE for c in "xyz"])
+    v = lambda a: tuple(F.col(f"{a}{c}") for c in "xyz")
+    axes = frame(v("N"), v("CA"), v("C"))
+    named = [x.alias(f"{p}{i + 1}") for p, axis in zip("xyz", axes, strict=True) for i, x in enumerate(axis)]
+    return wide.filter("Nx IS NOT NULL AND CAx IS NOT NULL AND Cx IS NOT NULL").select("chain_id", "r", *[F.col(f"CA{c}").alias(f"o{c}") for c in "xyz"], *named)
+
+
+def local_side_chains(atoms: DataFrame, backbone_atoms: DataFrame) -> DataFrame:
+    """(chain_id, res_id, atom, u, v, w): atoms beyond the backbone in their residue's frame."""
+    frames = residue_frames(backbone_atoms)
+    numbers = backbone_atoms.filter("atom = 'CA'").select("chain_id", "res_id", "ins_code", F.floor(F.col("k") / 3).alias("r"))
+    side = atoms.filter(~F.col("atom").isin(*BACKBONE, "O", "OXT")).join(numbers, ["chain_id", "res_id", "ins_code"]).join(frames, ["chain_id", "r"])
+    d = sub(tuple(F.col(c) for c in "xyz"), tuple(F.col(f"o{c}") for c in "xyz"))
+    axis = lambda p: tuple(F.col(f"{p}{i}") for i in (1, 2, 3))
+    return side.select("chain_id", "res_id", "atom", *[dot(d, axis(p)).alias(n) for p, n in zip("xyz", "uvw", strict=True)])
+
+
+def nearest_partners(points: DataFrame, chain: str, index: str) -> DataFrame:
+    """(chain, i, j): the nearest other point of the same chain, ties to the lower index; a chain bounds its pairs."""
+    a = points.select(chain, F.col(index).alias("i"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    b = points.select(chain, F.col(index).alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    d = norm(sub(tuple(F.col(f"a{c}") for c in "xyz"), tuple(F.col(f"b{c}") for c in "xyz")))
+    best = a.join(b, chain).filter("i <> j").groupBy(chain, "i").agg(F.min(F.struct(d.alias("d"), "j")).alias("m"))
+    return best.select(chain, "i", "m.j")

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainloom.functions.angles import circular_mean, circular_rmse, radian_l1, radian_smooth_l1, wrap
-from chainloom.operators import bins, chains, clusters, intervals, lookups, sequences, splits, stats, structures
+from chainloom.functions.angles import TWO_PI, circular_mean, circular_rmse, radian_l1, radian_smooth_l1, wrap
+from chainloom.functions import features
+from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, motifs, sequences, splits, stats, structures
 from chainloom.plans.learn import encode, learn
 from chainloom.sources import sinks, text
 from chainloom.streaming import streams
@@ -855,3 +856,191 @@ def pdb_parse(spark, d):
     return text.atoms(rows).select("chain_id", "atom_id", "atom", "res", "res_id", "ins_code", "x", "y", "z")
 
 
+
+
+# --- motifs with glue ---------------------------------------------------------------------------------------------
+
+
+def glued(spark, d) -> DataFrame:
+    """Events as a motif table: the glue is a bin of the value, null at the end of a chain."""
+    rows = values(spark, d)
+    last = F.lead("pos").over(motifs.by_chain()).isNull()
+    g = F.when(~last, F.pmod(F.floor(F.col("value") / 20), F.lit(4)).cast("int"))
+    zero = F.when(~last, F.lit(0))
+    return rows.select("chain", "pos", "token", F.col("pos").alias("start"), F.lit(1).cast("long").alias("width"), g.alias("g1"), zero.alias("g2"), zero.alias("g3"))
+
+
+def motif_ctes(steps: int) -> str:
+    w = "PARTITION BY chain ORDER BY pos"
+    out = [T0, f"m0 AS (SELECT chain, pos, token, pos AS start, 1 AS width, CASE WHEN lead(pos) OVER ({w}) IS NOT NULL THEN CAST(floor(value / 20) AS INT) % 4 END AS g FROM t0)"]
+    for k in range(steps):
+        out += [
+            f"b{k} AS (SELECT l, r, g, count(*) AS n FROM (SELECT token AS l, lead(token) OVER ({w}) AS r, g FROM m{k}) WHERE r IS NOT NULL GROUP BY l, r, g ORDER BY n DESC, l, r, g LIMIT 1)",
+            f"f{k} AS (SELECT *, coalesce(token = (SELECT l FROM b{k}) AND lead(token) OVER ({w}) = (SELECT r FROM b{k}) AND g = (SELECT g FROM b{k}), false) AS hit FROM m{k})",
+            f"r{k} AS (SELECT *, pos - row_number() OVER (PARTITION BY chain, hit ORDER BY pos) AS isl FROM f{k})",
+            f"h{k} AS (SELECT *, hit AND (row_number() OVER (PARTITION BY chain, hit, isl ORDER BY pos) - 1) % 2 = 0 AS take FROM r{k})",
+            f"d{k} AS (SELECT *, lag(take, 1, false) OVER ({w}) AS dead, lead(g) OVER ({w}) AS ng, lead(width) OVER ({w}) AS nw FROM h{k})",
+            f"m{k + 1} AS (SELECT chain, row_number() OVER ({w}) - 1 AS pos, CASE WHEN take THEN 'm{k + 1}' ELSE token END AS token, start, CASE WHEN take THEN width + nw ELSE width END AS width, CASE WHEN take THEN ng ELSE g END AS g FROM d{k} WHERE NOT dead)",
+        ]
+    return "WITH " + ",\n".join(out)
+
+
+@query(motif_ctes(0) + ", p AS (SELECT token AS l, lead(token) OVER (PARTITION BY chain ORDER BY pos) AS r, g FROM m0) SELECT l AS \"left\", r AS \"right\", g AS g1, count(*) AS n FROM p WHERE r IS NOT NULL GROUP BY l, r, g")
+def motif_pair_counts(spark, d):
+    return motifs.motif_pair_counts(glued(spark, d)).drop("g2", "g3")
+
+
+@query(motif_ctes(3) + " SELECT chain, pos, token, start, width, coalesce(g, -1) AS g1 FROM m3")
+def motif_merge_3(spark, d):
+    return motifs.learn_motifs(glued(spark, d), 3)[1].select("chain", "pos", "token", "start", "width", F.coalesce("g1", F.lit(-1)).alias("g1"))
+
+
+MOTIF_IDS = motif_ctes(2) + ", i AS (SELECT token, row_number() OVER (ORDER BY CASE WHEN regexp_matches(token, '^m[0-9]+$') THEN 0 ELSE 1 END, token) - 1 AS id FROM (SELECT DISTINCT token FROM m2)), k AS (SELECT count(*) AS k FROM i)"
+
+
+@query(MOTIF_IDS + """ SELECT chain, pos * 4 AS ord, id FROM m2 JOIN i USING (token) UNION ALL SELECT chain, pos * 4 + 1, k + g FROM m2, k WHERE g IS NOT NULL
+UNION ALL SELECT chain, pos * 4 + 2, k + 4 FROM m2, k WHERE g IS NOT NULL UNION ALL SELECT chain, pos * 4 + 3, k + 5 FROM m2, k WHERE g IS NOT NULL""")
+def motif_sequence(spark, d):
+    table_, ids = learned_motifs(spark, d)
+    return motifs.id_sequence(table_, ids, (4, 1, 1))
+
+
+def learned_motifs(spark, d) -> tuple[DataFrame, DataFrame]:
+    found = motifs.learn_motifs(glued(spark, d), 2)[1]
+    return found, motifs.motif_ids(found)
+
+
+@query(motif_ctes(2) + " SELECT chain, pos, token, coalesce(g, -1) AS g1 FROM m2")
+def motif_round_trip(spark, d):
+    """Ids and back."""
+    table_, ids = learned_motifs(spark, d)
+    back = motifs.from_sequence(motifs.id_sequence(table_, ids, (4, 1, 1)), ids, (4, 1, 1))
+    return back.select("chain", "pos", "token", F.coalesce("g1", F.lit(-1)).alias("g1"))
+
+
+@query(motif_ctes(0) + " SELECT chain, pos, token, coalesce(g, -1) AS g1 FROM m0")
+def motif_unfold(spark, d):
+    """Learning, then undoing every merge, gives the first chains."""
+    vocabulary, found = motifs.learn_motifs(glued(spark, d), 3)
+    return motifs.unfold(found, vocabulary).select("chain", "pos", "token", F.coalesce("g1", F.lit(-1)).alias("g1"))
+
+
+@query(motif_ctes(3) + " SELECT chain, pos, token FROM m3")
+def motif_encode_frozen(spark, d):
+    first = glued(spark, d)
+    return motifs.encode_motifs(first, motifs.learn_motifs(first, 3)[0]).select("chain", "pos", "token")
+
+
+@query()
+def glue_fit(spark, d):
+    """Bins of three free angles that bring each prototype chain's end nearest to where it was."""
+    from chainloom.functions.numeric import end_frame, fit_glue, rebuild_chain
+
+    import numpy as np
+
+    rows = []
+    for label, flat in prototypes(spark, d).items():
+        turn = np.array(flat[:9]) % 3
+        lengths, bend = np.full(11, 1.5), np.full(10, 1.9)
+        target = end_frame(rebuild_chain(lengths, bend, turn))
+        centres = np.linspace(-math.pi, math.pi, 9)[:-1] + math.pi / 8
+        rows.append((label, *fit_glue(lengths, bend, turn, [("dih", 3), ("dih", 4), ("dih", 5)], [centres] * 3, target)))
+    return spark.createDataFrame(rows, "label int, b1 int, b2 int, b3 int")
+
+
+# --- filters, features, summaries ---------------------------------------------------------------------------------
+
+
+@query("SELECT user_id AS chain, count(*) AS n FROM events GROUP BY 1 HAVING count(*) BETWEEN 3 AND 400")
+def length_filter(spark, d):
+    sizes = event_chains(spark, d).groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
+    return filters.by_length(sizes, "n", 3, 400)
+
+
+@query("WITH s AS (SELECT user_id AS chain, count(*) AS n, count(*) FILTER (value > 2) AS have FROM events GROUP BY 1) SELECT chain, n FROM s WHERE have >= n - 1 AND have > 0")
+def gap_filter(spark, d):
+    rows = values(spark, d)
+    sizes = rows.groupBy("chain").agg(F.count(F.lit(1)).alias("n"))
+    return filters.without_gaps(rows.withColumn("v", F.when(F.col("value") > 2, F.col("value"))), "chain", "v", sizes, "n")
+
+
+@query("SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN lang <> 'en' THEN 'language' END AS reason, count(*) AS n FROM documents WHERE n_chars < 100 OR lang <> 'en' GROUP BY 1")
+def quarantine(spark, d):
+    docs = table(spark, d, "documents")
+    _, dropped = filters.quarantine(docs, {"short": F.col("n_chars") < 100, "language": F.col("lang") != "en"})
+    return dropped.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT min(value) >= -0.00001 AS lower_ok, max(value) <= 1000.00001 AS upper_ok FROM events")
+def tolerant_range(spark, d):
+    return table(spark, d, "events").agg(filters.within("value", lo=0).alias("lower_ok"), filters.within("value", hi=1000).alias("upper_ok"))
+
+
+@query("SELECT s_suppkey, upper(substr(s_name, 1, 4)) AS code, upper(substr(s_name, 5, 1)) AS chain FROM supplier")
+def code_and_chain(spark, d):
+    code, chain = features.code_and_chain(F.col("s_name"))
+    return table(spark, d, "supplier").select("s_suppkey", code.alias("code"), chain.alias("chain"))
+
+
+@query("SELECT p_partkey, round(100.0 * list_sum(list_transform(range(1, least(len(p_type), len(p_brand)) + 1), lambda i: CASE WHEN p_type[i] = p_brand[i] THEN 1 ELSE 0 END)) / least(len(p_type), len(p_brand)), 6) AS identity FROM part")
+def identity_percent(spark, d):
+    return table(spark, d, "part").select("p_partkey", r6(features.identity_percent(F.col("p_type"), F.col("p_brand"))).alias("identity"))
+
+
+@query(RUNS + f", v AS ({T0.replace('t0 AS (', 'SELECT * FROM (', 1)}) SELECT r.chain, r.lo, round(avg(v.value), 6) AS mean, round(var_pop(v.value), 6) AS variance, round(count(*) / 500, 6) AS length, round(ln(count(*) + 1e-6) / 6, 6) AS log_length FROM runs r JOIN v ON v.chain = r.chain AND v.pos >= r.lo AND v.pos < r.hi GROUP BY 1, 2")
+def segment_features(spark, d):
+    spans = intervals.runs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+    inside = spans.select("chain", "lo", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos")).join(values(spark, d), ["chain", "pos"])
+    return rounded(features.segment_features(inside, ["chain", "lo"], "value"))
+
+
+@query(f"WITH {T0} SELECT CAST(pos AS INT) AS pos, round(avg(value), 6) AS mean, count(*) AS n FROM t0 GROUP BY 1")
+def mean_by_position(spark, d):
+    arrays = values(spark, d).groupBy("chain").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("v"))
+    return rounded(stats.mean_by_position(arrays, "v"))
+
+
+@query("""WITH h AS (SELECT l_linestatus AS s, l_returnflag AS f, CAST(floor(l_quantity / 10) AS BIGINT) AS b, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+x AS (SELECT coalesce(a.s, r.s) AS s, coalesce(a.n, 0) + 1.0 AS a, coalesce(r.n, 0) + 1.0 AS r FROM (SELECT s, b, sum(n) AS n FROM h WHERE f = 'N' OR f = 'A' GROUP BY s, b) a FULL JOIN (SELECT s, b, sum(n) AS n FROM h GROUP BY s, b) r ON a.b = r.b AND a.s = r.s),
+t AS (SELECT s, a / sum(a) OVER (PARTITION BY s) AS pa, r / sum(r) OVER (PARTITION BY s) AS pr FROM x) SELECT s AS l_linestatus, round(sum(pa * ln(pa / pr)), 6) AS kl FROM t GROUP BY s""")
+def kl_by_group(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("b", F.floor(F.col("l_quantity") / 10))
+    count = lambda df: df.groupBy("l_linestatus", "b").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(stats.kl_by_group(count(rows.filter("l_returnflag IN ('N', 'A')")), count(rows), ["l_linestatus"], ["b"], pseudo=1.0))
+
+
+@query("""WITH v AS (SELECT event_type, value % 6.283185307179586 - 3.141592653589793 AS phi, (value * 3) % 6.283185307179586 - 3.141592653589793 AS psi FROM events),
+c AS (SELECT event_type, greatest(0, least(11, CAST(floor((phi + pi()) / (2 * pi() / 12)) AS BIGINT))) AS bx, greatest(0, least(11, CAST(floor((psi + pi()) / (2 * pi() / 12)) AS BIGINT))) AS "by" FROM v),
+g AS (SELECT i % 12 AS bx, i // 12 AS "by" FROM (SELECT unnest(range(0, 144)) AS i)),
+d AS (SELECT bx, "by", (count(*) FILTER (event_type = 'click') / (SELECT count(*) FROM c WHERE event_type = 'click') + 1e-8) / (1 + 144e-8) AS a, (count(*) FILTER (event_type = 'view') / (SELECT count(*) FROM c WHERE event_type = 'view') + 1e-8) / (1 + 144e-8) AS b FROM c GROUP BY 1, 2),
+f AS (SELECT coalesce(a, 1e-8 / (1 + 144e-8)) AS a, coalesce(b, 1e-8 / (1 + 144e-8)) AS b FROM g LEFT JOIN d USING (bx, "by"))
+SELECT round(sum((a - b) * ln(a / b)), 6) AS kl FROM f""")
+def torsion_divergence(spark, d):
+    v = F.col("value")
+    rows = table(spark, d, "events").select("event_type", (v % TWO_PI - math.pi).alias("phi"), ((v * 3) % TWO_PI - math.pi).alias("psi"))
+    return rounded(stats.torsion_divergence(rows.filter("event_type = 'click'"), rows.filter("event_type = 'view'"), 12))
+
+
+@query("SELECT round(avg(l_discount), 6) AS mean, round(avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM lineitem")
+def pass_summary(spark, d):
+    return rounded(stats.pass_summary(table(spark, d, "lineitem"), "l_discount", 0.05))
+
+
+@query("SELECT round(sum(value * user_id) / sum(user_id), 6) AS loss, round(exp(sum(value * user_id) / sum(user_id) / 10), 6) AS perplexity FROM events")
+def perplexity(spark, d):
+    rows = table(spark, d, "events").select("value", "user_id")
+    out = stats.perplexity(rows, "value", "user_id")
+    return rounded(out.select("loss", F.exp(F.col("loss") / 10).alias("perplexity")))
+
+
+@query("SELECT s_nationkey, s_acctbal, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM supplier) WHERE rn = 1")
+def best_score(spark, d):
+    return stats.best_score(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal")
+
+
+@query()
+def aligned_chains(spark, d):
+    """Each chain's tokens against those of its even places."""
+    rows = event_chains(spark, d).groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("all"))
+    tokens = F.transform("all", lambda x: x["token"])
+    return align.align(rows.select("chain", tokens.alias("a"), F.filter(tokens, lambda _, i: i % 2 == 0).alias("b")), "chain", "a", "b")
