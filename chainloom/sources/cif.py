@@ -36,7 +36,7 @@ def loop_rows(text: str, category: str) -> Iterator[dict[str, str]]:
 
 def atom_sites(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Atoms of all chains; selenium of selenomethionine counts as the sulphur of methionine."""
-    files = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(batches) -> Iterator:
         import pandas as pd
