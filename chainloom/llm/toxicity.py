@@ -29,8 +29,8 @@ EXAMPLES_PER_CLASS = 1500
 NEIGHBOURS = 15
 #: Terms need so many examples, and a chi-squared statistic that chance alone exceeds once in two million terms: there
 #: are as many terms to choose from, and families of near copies make the rarer ones look telling.
-MIN_EXAMPLES, MIN_CHI2 = 5, 25.0
-MAX_TERMS = 50_000
+MIN_EXAMPLES, MIN_CHI2 = 4, 25.0
+MAX_TERMS = 20_000
 BLOCK = 64
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -45,6 +45,13 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_TABLE).split()
 
 
+def family_of(words: list[bytes]) -> int:
+    """A number that near copies mostly share: the least hash of three words in a row."""
+    import xxhash
+
+    return min((xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) >> 1
+
+
 def held_out(id_col: str) -> Column:
     """Rows whose labels must not be learned."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
@@ -170,27 +177,28 @@ def fit_toxicity(
         import pyarrow as pa
 
         for batch in batches:
-            out: dict[str, list] = {"row": [], "term": [], "tf": []}
+            out: dict[str, list] = {"row": [], "term": [], "tf": [], "family": []}
             for row, text in enumerate(batch.column(2).to_pylist()):
-                for term, tf in Counter(words_of(text)).items():
+                words = words_of(text)
+                family = family_of(words)
+                for term, tf in Counter(words).items():
                     out["row"].append(row)
                     out["term"].append(term)
                     out["tf"].append(tf)
+                    out["family"].append(family)
             at = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(out["term"], pa.binary()), pa.array(out["tf"], pa.int32())],
-                names=["id", "y", "term", "tf"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(out["term"], pa.binary()), pa.array(out["tf"], pa.int32()), pa.array(out["family"], pa.int64())],
+                names=["id", "y", "term", "tf", "family"],
             )
 
-    bags = settle(rows.mapInArrow(term_counts, f"id {id_type}, y int, term binary, tf int"))
-    # Near copies would make their words look telling; a family of them, told by the least hash of its terms, counts once.
-    family = bags.groupBy("id", "y").agg(F.min(F.xxhash64("term")).alias("family"))
-    sizes = {int(r[0]): int(r[1]) for r in family.groupBy("y").agg(F.countDistinct("family")).collect()}
+    bags = settle(rows.mapInArrow(term_counts, f"id {id_type}, y int, term binary, tf int, family bigint"))
+    # Near copies would make their words look telling, so a family of them counts once.
+    sizes = {int(r[0]): int(r[1]) for r in bags.groupBy("y").agg(F.countDistinct("family")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if min(n0, n1) == 0:
         return empty
-    kin = bags.join(family.select("id", "family"), "id")
-    per = kin.groupBy("term").agg(
+    per = bags.groupBy("term").agg(
         F.countDistinct(F.when(F.col("y") == 1, F.col("family"))).alias("a"),
         F.countDistinct(F.when(F.col("y") == 0, F.col("family"))).alias("b"),
     )
@@ -220,9 +228,9 @@ def fit_toxicity(
     idf = np.array([math.log((1 + n_docs) / (1 + df_of.get(i, 0))) + 1 for i in range(len(terms))])
     bag: dict = {}
     y_of: dict = {}
-    for r in bags.join(F.broadcast(kept.select("term")), "term", "left_semi").collect():  # bounded by examples and terms
-        if (t := vocabulary.get(bytes(r["term"]))) is not None:
-            bag.setdefault(r["id"], {})[t] = int(r["tf"])
+    chosen_terms = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in terms], "term binary"))  # MAX_TERMS at most
+    for r in bags.join(chosen_terms, "term", "left_semi").collect():  # bounded by examples and terms
+        bag.setdefault(r["id"], {})[vocabulary[bytes(r["term"])]] = int(r["tf"])
     for r in rows.select("id", "y").distinct().collect():
         y_of[r["id"]] = int(r["y"])
     have = Counter(y_of.values())
