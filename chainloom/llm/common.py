@@ -15,6 +15,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"\x20\x09-\x0D"
 
 
+_SETTLED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -36,9 +39,19 @@ def settle(df: DataFrame) -> DataFrame:
     executor costs no more than rereading a file."""
     path = f"{shared_dir(df.sparkSession)}/chainloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process has settled; for the end of a job, when no result that reads it is needed any more."""
+    done = 0
+    while _SETTLED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def text_of(text_col: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

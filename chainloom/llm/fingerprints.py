@@ -146,7 +146,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_hashes. The
     edited text has its last third of code points replaced by as many first ones, or all, of the next lower id's text.
 
-    Edge cases: null texts count as empty; two empty fingerprints are alike with 1. A null id comes after all others.
+    Edge cases: ids must be integers. Null texts count as empty; two empty fingerprints are alike with 1. A null id comes
+    after all others.
     Rows of one id follow each other in the order of a hash of their text. A table of one row is its own next. An
     empty table gives no rows. Other columns are not read.
     """
