@@ -137,8 +137,8 @@ def vocab_sizes(spark, d):
     tokens = event_chains(spark, d)
     out = None
     for k in range(4):
-        now = tokens if k == 0 else learn(tokens, k)[1]
-        row = chains.chain_sizes(now).select(F.lit(k).alias("step"), "k", "chains", "tokens", "mean_tokens")
+        tokens = learn(tokens, 1)[1] if k else tokens
+        row = chains.chain_sizes(tokens).select(F.lit(k).alias("step"), "k", "chains", "tokens", "mean_tokens")
         out = row if out is None else out.unionByName(row)
     return out
 

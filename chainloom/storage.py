@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SETTLED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset, as on one machine, a temporary one is made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,4 +27,14 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back."""
     path = f"{shared_dir(df.sparkSession)}/chainloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process has settled; for the end of a job, when no result that reads it is needed any more."""
+    done = 0
+    while _SETTLED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done

@@ -203,3 +203,11 @@ def test_patience(spark):
     rows = [("a", e, v) for e, v in enumerate([5, 4, 4.5, 4.2, 4.1, 3, 1])] + [("b", 0, 1.0)]
     df = spark.createDataFrame([(r, e, float(v)) for r, e, v in rows], "run string, epoch int, loss double")
     assert {tuple(r) for r in sequences.patience_stop(df, "run", "epoch", "loss", 3).collect()} == {("a", 4, 4.0), ("b", None, 1.0)}
+
+
+def test_sweep_deletes_what_was_settled(spark):
+    from chainloom import storage
+
+    storage.sweep(spark)
+    kept = storage.settle(spark.range(3))
+    assert kept.count() == 3 and storage.sweep(spark) == 1 and storage.sweep(spark) == 0
