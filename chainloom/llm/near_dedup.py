@@ -40,7 +40,7 @@ BASE, RATE = 1.1, 20.0
 #: Candidates likelier to lie more than this below the threshold than above are not verified: about 8 standard errors of
 #: the estimate from 125 registers.
 ESTIMATE_BELOW = 0.25
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

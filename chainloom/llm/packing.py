@@ -29,7 +29,7 @@ END_ID = 0
 #: Hash buckets of each length, for ranks.
 BUCKETS = 256
 #: Words whose ids a worker remembers before it forgets those it met in one batch only.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often) of a sequence's pieces
 
