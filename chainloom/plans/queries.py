@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from chainloom.functions.angles import TWO_PI, circular_mean, circular_rmse, radian_l1, radian_smooth_l1, wrap
 from chainloom.functions import features
-from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, motifs, sequences, splits, stats, structures
+from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, motifs, sampling, sequences, splits, stats, structures
 from chainloom.plans.learn import encode, learn
 from chainloom.sources import sinks, text
 from chainloom.streaming import streams
@@ -1044,3 +1044,50 @@ def aligned_chains(spark, d):
     rows = event_chains(spark, d).groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("all"))
     tokens = F.transform("all", lambda x: x["token"])
     return align.align(rows.select("chain", tokens.alias("a"), F.filter(tokens, lambda _, i: i % 2 == 0).alias("b")), "chain", "a", "b")
+
+
+# --- examples for sequence models ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH {T0}, n AS (SELECT chain, 1 + CAST(floor({UNIT.format(seed=11, key='chain')} * (count(*) - 1)) AS BIGINT) AS cut FROM t0 GROUP BY chain HAVING count(*) > 1)
+SELECT t0.chain, cut, round(value, 6) AS target FROM t0 JOIN n ON t0.chain = n.chain AND pos = cut""")
+def prefix_examples(spark, d):
+    return rounded(sampling.prefix_examples(values(spark, d), "chain", "pos", "value", 11))
+
+
+NOISE_KEY = "chain || ':' || pos"
+
+
+@query(f"""WITH {T0}, b AS (SELECT t, 0.0001 + 0.0199 * t / 49 AS beta FROM (SELECT unnest(range(0, 50)) AS t)), a AS (SELECT t, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS ab FROM b),
+e AS (SELECT chain, pos, value, CAST(floor({UNIT.format(seed=5, key='chain')} * 50) AS BIGINT) AS t, sqrt(-2 * ln(greatest({UNIT.format(seed=12, key='(' + NOISE_KEY + ')')}, 1e-12))) * cos(2 * pi() * {UNIT.format(seed=13, key='(' + NOISE_KEY + ')')}) AS noise FROM t0),
+m AS (SELECT *, sqrt(ab) * value + sqrt(1 - ab) * noise AS x FROM e JOIN a USING (t))
+SELECT chain, pos, t, round(noise, 6) AS noise, round((x + pi()) - floor((x + pi()) / (2 * pi())) * 2 * pi() - pi(), 6) AS noised FROM m""")
+def noised_angles(spark, d):
+    alphas = sequences.alpha_terms(sequences.beta_schedule(spark, "linear", 50))
+    return rounded(sampling.noised(values(spark, d), "chain", "pos", "value", alphas, 5))
+
+
+@query(f"""WITH {T0}, s AS (SELECT chain, count(*) AS length FROM t0 GROUP BY chain), o AS (SELECT length, row_number() OVER (ORDER BY length) - 1 AS i FROM s)
+SELECT draw, length FROM (SELECT unnest(range(0, 200)) AS draw) JOIN o ON i = CAST(floor({UNIT.format(seed=21, key='draw')} * (SELECT count(*) FROM s)) AS BIGINT)""")
+def sampled_lengths(spark, d):
+    sizes = event_chains(spark, d).groupBy("chain").agg(F.count(F.lit(1)).alias("length"))
+    return sampling.sampled_lengths(sizes, "length", 200, 21)
+
+
+@query(f"""WITH {TS}, p AS (SELECT token AS state, lead(token) OVER (PARTITION BY chain ORDER BY pos) AS token FROM t0 UNION ALL SELECT NULL, token FROM t0 WHERE pos = 0), c AS (SELECT state, token, count(*) AS c FROM p GROUP BY 1, 2)
+SELECT coalesce(state, '^') AS state, coalesce(token, '$') AS token, round((sum(c) OVER w - c) / sum(c) OVER (PARTITION BY state), 6) AS lo, round(sum(c) OVER w / sum(c) OVER (PARTITION BY state), 6) AS hi
+FROM c WINDOW w AS (PARTITION BY state ORDER BY token NULLS LAST ROWS UNBOUNDED PRECEDING)""")
+def next_token_model(spark, d):
+    model = sampling.next_token_model(event_chains(spark, d))
+    return rounded(model.select(F.coalesce("state", F.lit("^")).alias("state"), F.coalesce("token", F.lit("$")).alias("token"), "lo", "hi"))
+
+
+@query()
+def sample_chains(spark, d):
+    return sampling.sample_chains(sampling.next_token_model(event_chains(spark, d)), 50, 12, 1)
+
+
+@query(motif_ctes(0) + " SELECT DISTINCT chain, true AS ok FROM m0")
+def grammatical(spark, d):
+    table_, ids = learned_motifs(spark, d)
+    return sampling.grammatical(motifs.id_sequence(table_, ids, (4, 1, 1)), ids.count(), (4, 1, 1))
