@@ -1,57 +1,22 @@
-"""What several corpus operators share: the shared folder, row keys and plain text columns."""
+"""What several corpus operators share: settling in the shared folder, and plain text columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainloom.storage import settle, shared_dir, sweep
+
+__all__ = ["bind", "count_words", "lower_ascii", "settle", "shared_dir", "split_words", "sweep", "table", "text_of"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: White space as all word rules here see it.
 SPACE = r"\x20\x09-\x0D"
 
 
-_SETTLED: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one in ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine,
-    a temporary folder is made and set as the checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chainloom-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there, and a lost
-    executor costs no more than rereading a file."""
-    path = f"{shared_dir(df.sparkSession)}/chainloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _SETTLED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sweep(spark: SparkSession) -> int:
-    """Delete what this process has settled; for the end of a job, when no result that reads it is needed any more."""
-    done = 0
-    while _SETTLED:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
-        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return done
-
-
 def text_of(text_col: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -209,7 +209,8 @@ def near_dedup(
     classes = settle(some.groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     keys = F.array(*[F.xxhash64(F.lit(j), F.substring("regs", j * rows + 1, rows)) for j in range(bands)])
     banded = classes.select("cid", F.explode(keys).alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # Aggregates are settled before they join their own rows: then a hot bucket, shingle or component can be split.
+    sizes = settle(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = settle(banded.join(sizes, "bucket"))
     scores = members.groupBy("cid").agg(F.sum("size").alias("score"))
     members = settle(members.join(scores, "cid").select("cid", "bucket", "score"))
@@ -233,6 +234,7 @@ def near_dedup(
     placed = placed.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
     placed = settle(placed.select("cid", "bucket", F.coalesce("comp", "cid").alias("comp")))
     split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    split = settle(split)
     rest = settle(placed.join(split, "bucket", "left_semi").select("cid", "comp").distinct())
     if not rest.isEmpty():
         found = _prefix_pairs(rest.join(full, "cid"), part, whole)
@@ -241,7 +243,7 @@ def near_dedup(
         comps = components(links)
     named = classes.select("cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
     named = settle(named.select("cid", "rep", F.coalesce("comp", "cid").alias("comp")))
-    lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    lowest = settle(named.groupBy("comp").agg(F.min("rep").alias("component_id")))
     by_class = named.join(lowest, "comp").select("cid", "component_id")
     out = sketched.select("id", "n", "cid").join(by_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
@@ -261,7 +263,7 @@ def _prefix_pairs(sets: DataFrame, part: int, whole: int) -> DataFrame:
     must be enough; that rules out a set whose own shingles, which no other holds, stand before it in its order.
     """
     flat = sets.select("cid", "comp", "n", F.explode("sh").alias("s"))
-    held = flat.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    held = settle(flat.groupBy("s").agg(F.count(F.lit(1)).alias("df")))
     # One set's own shingles are gathered, never those of a group.
     ranked = flat.join(held, "s").groupBy("cid").agg(
         F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all")
@@ -273,8 +275,8 @@ def _prefix_pairs(sets: DataFrame, part: int, whole: int) -> DataFrame:
     heads = settle(heads)
     parts = heads.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k"))
     largest = parts.groupBy("s").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    largest = largest.select("s", F.col("top.comp").alias("big"))
-    here = heads.join(largest, "s")
+    largest = settle(largest.select("s", F.col("top.comp").alias("big")))
+    here = settle(heads.join(largest, "s"))
     x, y = here.filter("comp <> big").alias("x"), here.alias("y")
     fits = F.expr(
         f"x.s = y.s AND x.comp <> y.comp AND (y.comp = y.big OR x.cid < y.cid)"
