@@ -29,7 +29,7 @@ END_ID = 0
 #: Hash buckets of each length, for ranks.
 BUCKETS = 256
 #: Words whose ids a worker remembers before it forgets those it met in one batch only.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often) of a sequence's pieces
 
@@ -132,11 +132,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     end = np.array([END_ID], "<u4").tobytes()
 
     def encode(batches):
+        import gc
         import zlib
 
         import pyarrow as pa
 
         words = word_ids(tokenizer_path)
+        gc.disable()  # nothing here makes cycles, and looking for them walks over many short lists
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
