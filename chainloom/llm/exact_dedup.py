@@ -163,6 +163,7 @@ def exact_dedup(
     keyed = docs.select(F.col(id_col).alias("id"), lower_ascii(text_of(text_col)).alias("norm"))
     named = name_texts(keyed, block_chars, bits).select("id", "sha", "name.bucket", "name.rank")
     groups = named.groupBy("bucket", "rank").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = settle(groups)  # then both sides of the join are plain shuffles, and a group of a third of all rows can be split
     return named.join(groups, ["bucket", "rank"]).select(
         F.col("id").alias(id_col),
         "keep_id",
