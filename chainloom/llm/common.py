@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.storage import settle, shared_dir, sweep
 
-__all__ = ["bind", "count_words", "lower_ascii", "settle", "shared_dir", "split_words", "sweep", "table", "text_of"]
+__all__ = ["bind", "count_words", "lower_ascii", "settle", "shared_dir", "small_batches", "split_words", "sweep", "table", "text_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -17,6 +18,21 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"\x20\x09-\x0D"
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of few rows for what is written or collected inside: texts are long, and executors hold a batch
+    several times over."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def text_of(text_col: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import settle, text_of
+from chainloom.llm.common import settle, small_batches, text_of
 
 WORDS = 5
 #: Links need WHOLE * intersection >= PART * union.
@@ -204,7 +204,9 @@ def near_dedup(
     every other; a component of null ids alone has a null component_id and is kept. An empty table gives no rows. Only
     the id and text columns are read.
     """
-    sketched = settle(sketch(docs, id_col, text_col, words, bands * rows))
+    spark = docs.sparkSession
+    with small_batches(spark):
+        sketched = settle(sketch(docs, id_col, text_col, words, bands * rows))
     some = sketched.filter("cid IS NOT NULL")
     classes = settle(some.groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
     keys = F.array(*[F.xxhash64(F.lit(j), F.substring("regs", j * rows + 1, rows)) for j in range(bands)])
@@ -226,7 +228,8 @@ def near_dedup(
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     texts = texts.join(needed.select(F.col("id").alias("need")).distinct(), F.expr("id <=> need"), "left_semi")
     full = _sets(texts, words).join(needed.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
-    full = settle(full.select("cid", "n", "sh"))
+    with small_batches(spark):
+        full = settle(full.select("cid", "n", "sh"))
     links = settle(_verified(stars, full, part, whole))
     comps = components(links)
     # Round two: buckets that hold several components beside their leader, with which all have been compared.

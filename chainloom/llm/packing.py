@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chainloom.llm.common import settle, text_of
+from chainloom.llm.common import settle, small_batches, text_of
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -282,7 +282,8 @@ def pack(
     null. Pieces of equal length are interchangeable; ties are dealt by hash, id and piece. An empty table gives no rows.
     Only the id and text columns are read.
     """
-    pieces = settle(token_pieces(docs, tokenizer_path, id_col, text_col, max_tokens, with_ids))
+    with small_batches(docs.sparkSession):
+        pieces = settle(token_pieces(docs, tokenizer_path, id_col, text_col, max_tokens, with_ids))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = settle(dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import settle, text_of
+from chainloom.llm.common import settle, small_batches, text_of
 
 #: The bound of the sample: labelled examples of each class.
 EXAMPLES_PER_CLASS = 1500
@@ -192,7 +192,9 @@ def fit_toxicity(
                 names=["id", "y", "term", "tf", "family"],
             )
 
-    bags = settle(rows.mapInArrow(term_counts, f"id {id_type}, y int, term binary, tf int, family bigint"))
+    spark = docs.sparkSession
+    with small_batches(spark):
+        bags = settle(rows.mapInArrow(term_counts, f"id {id_type}, y int, term binary, tf int, family bigint"))
     # Near copies would make their words look telling, so a family of them counts once.
     sizes = {int(r[0]): int(r[1]) for r in bags.groupBy("y").agg(F.countDistinct("family")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -223,7 +225,9 @@ def fit_toxicity(
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([n, *(df[x] for x in keys[1:])], pa.int64())], names=["t", "df"])
 
     # One row for each term and task, then one for each term: at most MAX_TERMS rows reach the driver.
-    df_of = {int(r[0]): int(r[1]) for r in docs.select(text_of(text_col)).mapInArrow(frequencies, "t bigint, df bigint").groupBy("t").agg(F.sum("df")).collect()}
+    seen = docs.select(text_of(text_col)).mapInArrow(frequencies, "t bigint, df bigint").groupBy("t").agg(F.sum("df"))
+    with small_batches(spark):
+        df_of = {int(r[0]): int(r[1]) for r in seen.collect()}
     n_docs = df_of.get(-1, 0)
     idf = np.array([math.log((1 + n_docs) / (1 + df_of.get(i, 0))) + 1 for i in range(len(terms))])
     bag: dict = {}

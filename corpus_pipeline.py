@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import settle, table, text_of
+from chainloom.llm.common import BATCH_ROWS, settle, table, text_of
 from chainloom.llm.line_dedup import line_dedup
 from chainloom.llm.mixing import mixed_documents
 from chainloom.llm.near_dedup import near_dedup
@@ -22,6 +22,7 @@ REJECT_AT = 0.5
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of REJECT_AT or more go. Null and empty texts have a score as well."""
+    spark.conf.set(BATCH_ROWS, "500")  # for this application: whole documents pass through Arrow batches
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = docs.withColumn("__toxicity", toxicity_of(model, text_of("text"))["score"])
     return scored.filter(F.col("__toxicity") < REJECT_AT).drop("__toxicity")
