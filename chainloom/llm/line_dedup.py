@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import bind, text_of
+from chainloom.llm.common import bind, settle, text_of
 
 WINDOW_LINES = 3
 
@@ -65,6 +65,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     windows = clear.select(*key, F.explode(found).alias("w")).select("__id", "__hash", "w.pos", "w.h1", "w.h2")
     place = F.struct("__id", "__hash", "pos")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = settle(first)  # then the join below is of two plain shuffles, and a hot window can be split
     same_doc = F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__hash") == F.col("first.__hash"))
     later = (
         windows.join(first, ["h1", "h2"])
