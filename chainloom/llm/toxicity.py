@@ -1,21 +1,22 @@
 """Toxicity scores from the nearest labelled examples.
 
-Examples are a bounded sample of the labelled documents, both classes in equal numbers. Terms are those words of the
-examples whose presence depends on the label; a document is a vector over them, (1 + ln tf) * idf, with document
-frequencies counted over the whole corpus. The nearest examples by exact cosine vote, weighted by their distance and by
+Examples are a bounded sample of the labelled documents, both classes in equal numbers. Terms are all words of the
+examples; a document is a vector over them, (1 + ln tf) * idf * strength, with document frequencies counted over the
+whole corpus. A term's strength grows with how much its presence depends on the label, and no term has none, so every
+document that shares a word with an example has neighbours. The nearest examples by exact cosine vote, weighted by their distance and by
 how frequent their class is among all labels; the vote becomes a probability by a monotone fit to the votes that the
 examples give each other, each without itself. The nearest examples are returned as evidence.
 
-The search is exact. Examples lie in blocks; for each term the index keeps the largest weight in each block, so the sum
-over a document's terms bounds every score in a block. Blocks are read in the order of their bounds, and reading ends
-when no bound reaches the k-th best score so far.
+The search is exact. Examples lie in blocks; for each term the index keeps the largest weight in each block that holds
+it, so the sum over a document's terms bounds every score in a block. Blocks are read in the order of their bounds,
+several at a time, and reading ends when no bound reaches the k-th best score so far.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +28,11 @@ from chainloom.llm.common import settle, small_batches, text_of
 #: The bound of the sample: labelled examples of each class.
 EXAMPLES_PER_CLASS = 1500
 NEIGHBOURS = 15
-#: Terms need so many examples, and a chi-squared statistic that chance alone exceeds once in two million terms: there
-#: are as many terms to choose from, and families of near copies make the rarer ones look telling.
-MIN_EXAMPLES, MIN_CHI2 = 4, 25.0
-MAX_TERMS = 20_000
+#: A term's strength is chi2^2 / (chi2^2 + HALF_CHI2^2), LEAST_STRENGTH at least: chi2 with Yates' correction, as words of one
+#: or two examples look telling by chance.
+HALF_CHI2, LEAST_STRENGTH = 15.0, 0.01
+#: The weight of the prior in a vote, in neighbours of cosine 0.5 or so.
+FAR = 0.2
 BLOCK = 64
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -57,40 +59,77 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+def strengths(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How telling terms are that a of n1 toxic and b of n0 other families hold.
+
+    >>> strengths(np.array([0, 1, 4, 40]), np.array([1, 0, 0, 2]), 44, 265).round(2).tolist()
+    [0.01, 0.01, 0.59, 1.0]
+    """
+    n = float(n1 + n0)
+    apart = np.maximum(np.abs(a * float(n0) - b * float(n1)) - n / 2, 0.0)  # |ad - bc| without c and d
+    chi2 = n * apart * apart / np.maximum((a + b) * (n - a - b) * float(n1) * float(n0), 1.0)
+    return np.maximum(chi2**2 / (chi2**2 + HALF_CHI2**2), LEAST_STRENGTH)
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges first..last (exclusive), and which range each is from."""
+    n = last - first
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (first - (np.cumsum(n) - n))[of], of
+
+
 class BlockMaxIndex:
     """Exact cosine search over unit vectors given as {term: weight}."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int):
-        n = len(vectors)
-        self.n, self.blocks = n, -(-n // BLOCK)
-        cells = sorted((t, i, w) for i, v in enumerate(vectors) for t, w in v.items())
-        self.terms = np.array([c[0] for c in cells], np.int64)
-        self.ids = np.array([c[1] for c in cells], np.int64)
-        self.weights = np.array([c[2] for c in cells], np.float64)
-        # Postings of a term in a block lie at start[term * blocks + block].
-        self.start = np.searchsorted(self.terms * self.blocks + self.ids // BLOCK, np.arange(terms * self.blocks + 1))
-        self.most = np.zeros((terms, self.blocks))
-        np.maximum.at(self.most, (self.terms, self.ids // BLOCK), self.weights)
+        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        size = np.array([len(v) for v in vectors], np.int64)
+        term = np.fromiter((t for v in vectors for t in v), np.int64, int(size.sum()))
+        ids = np.repeat(np.arange(self.n), size)
+        order = np.lexsort((ids, term))
+        term, ids = term[order], ids[order]
+        self.ids = ids.astype(np.int32)
+        self.weights = np.fromiter((w for v in vectors for w in v.values()), np.float64, len(order))[order]
+        # A cell is a term in a block that holds it: cells of a term lie together, as do postings of a cell.
+        cell = term * max(self.blocks, 1) + ids // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.first = np.append(first, len(cell)).astype(np.int32)
+        self.block = (ids[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.start = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[int, float]]:
         """The k best (example, cosine) with a positive cosine, ties by example number."""
-        bound = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        floor = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < floor - 1e-12):
+        cells, of = _ranges(self.start[terms].astype(np.int64), self.start[terms + 1].astype(np.int64))
+        block, w = self.block[cells], weights[of]
+        bound = np.bincount(block, w * self.most[cells], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        place = np.empty(self.blocks, np.int64)
+        place[order] = np.arange(self.blocks)
+        place = place[block]
+        best_id, best, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
+        at, step = 0, 4
+        while at < self.blocks:
+            full = len(best) == k
+            end = min(self.blocks, at + step, int((bound > 0).sum()), *([int((bound >= floor - 1e-12).sum())] if full else []))
+            if end <= at:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                score[self.ids[lo:hi] - b * BLOCK] += w * self.weights[lo:hi]
-            for i in np.flatnonzero((score > 0) & (score >= floor - 1e-12)).tolist():
-                if b * BLOCK + i != without:
-                    best.append((-float(score[i]), b * BLOCK + i))
-            best = sorted(best)[:k]
+            here = np.flatnonzero((place >= at) & (place < end))
+            chosen = cells[here]
+            posts, of = _ranges(self.first[chosen].astype(np.int64), self.first[chosen + 1].astype(np.int64))
+            score = np.bincount(self.ids[posts], w[here][of] * self.weights[posts], self.n)
+            if without >= 0:
+                score[without] = 0.0
+            found = np.flatnonzero((score > 0) & (score >= floor - 1e-12))
+            if len(found) > k:
+                found = found[score[found] >= np.partition(score[found], -k)[-k]]
+            best_id, best = np.append(best_id, found), np.append(best, score[found])
+            top = np.lexsort((best_id, -best))[:k]
+            best_id, best = best_id[top], best[top]
             if len(best) == k:
-                floor = -best[-1][0]
-        return [(i, -s) for s, i in best]
+                floor = float(best[-1])
+            at, step = end, step * 4
+        return list(zip(best_id.tolist(), best.tolist(), strict=True))
 
 
 def monotone_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +150,8 @@ class ToxicityModel:
     """What scoring needs: bounded by the sample of examples."""
 
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times the term's strength
+    unseen: float  # the same of a word that no example holds: it has no neighbours, but a share in the norm
     index: BlockMaxIndex | None
     example_ids: list
     labels: np.ndarray
@@ -121,19 +161,21 @@ class ToxicityModel:
     knots: tuple[np.ndarray, np.ndarray] | None
     k: int
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: dict[int, int], unseen: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
         weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
-        norm = math.sqrt(float(weights @ weights))
+        norm = math.sqrt(float(weights @ weights) + self.unseen**2 * sum((1 + math.log(n)) ** 2 for n in unseen))
         return terms, weights / norm if norm else weights
 
     def vote(self, near: list[tuple[int, float]]) -> float | None:
-        """The weighted share of toxic neighbours; None without neighbours."""
+        """The weighted share of toxic neighbours, drawn to the prior where all are far; None without neighbours."""
         if not near:
             return None
         i = np.array([x for x, _ in near])
-        w = self.class_weight[self.labels[i]] / (0.05 + 1 - np.array([min(1.0, s) for _, s in near]))
-        return float((w * self.labels[i]).sum() / w.sum())
+        s = np.array([min(1.0, s) for _, s in near])
+        w = self.class_weight[self.labels[i]] * s / (0.05 + 1 - s)
+        none = FAR / len(self.labels)
+        return float(((w * self.labels[i]).sum() + none * self.prior) / (w.sum() + none))
 
     def probability(self, vote: float | None) -> float:
         if vote is None or self.knots is None:
@@ -141,10 +183,11 @@ class ToxicityModel:
         return float(np.interp(vote, *self.knots))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        found = [t for t in map(self.vocabulary.get, words_of(text or "")) if t is not None]
+        bag = Counter(words_of(text or ""))
+        found = {t: n for w, n in bag.items() if (t := self.vocabulary.get(w)) is not None}
         if not found or self.index is None:
             return self.prior_without_terms, []
-        terms, weights = self.vector(Counter(found))
+        terms, weights = self.vector(found, [n for w, n in bag.items() if w not in self.vocabulary])
         near = self.index.nearest(terms, weights, self.k)
         return self.probability(self.vote(near)), near
 
@@ -163,7 +206,7 @@ def fit_toxicity(
     counts = {int(r[0]): int(r[1]) for r in known.groupBy("y").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    empty = ToxicityModel({}, np.zeros(0), None, [], np.zeros(0, int), np.ones(2), prior, prior, None, k)
+    empty = ToxicityModel({}, np.zeros(0), 0.0, None, [], np.zeros(0, int), np.ones(2), prior, prior, None, k)
     if min(counts.get(0, 0), counts.get(1, 0)) == 0:
         return empty
     # The sample: the first ids by hash, as many of each class; that bound is what makes the broadcast safe.
@@ -177,39 +220,27 @@ def fit_toxicity(
         import pyarrow as pa
 
         for batch in batches:
-            out: dict[str, list] = {"row": [], "term": [], "tf": [], "family": []}
-            for row, text in enumerate(batch.column(2).to_pylist()):
-                words = words_of(text)
-                family = family_of(words)
-                for term, tf in Counter(words).items():
-                    out["row"].append(row)
-                    out["term"].append(term)
-                    out["tf"].append(tf)
-                    out["family"].append(family)
-            at = pa.array(out["row"], pa.int64())
+            words = [words_of(text) for text in batch.column(2).to_pylist()]
+            bags = [Counter(x) for x in words]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(out["term"], pa.binary()), pa.array(out["tf"], pa.int32()), pa.array(out["family"], pa.int64())],
-                names=["id", "y", "term", "tf", "family"],
-            )
+                [
+                    batch.column(0), batch.column(1), pa.array([family_of(x) for x in words], pa.int64()),
+                    pa.array([list(x) for x in bags], pa.list_(pa.binary())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32())),
+                ],
+                names=["id", "y", "family", "terms", "tfs"],
+            )
 
     spark = docs.sparkSession
     with small_batches(spark):
-        bags = settle(rows.mapInArrow(term_counts, f"id {id_type}, y int, term binary, tf int, family bigint"))
-    # Near copies would make their words look telling, so a family of them counts once.
-    sizes = {int(r[0]): int(r[1]) for r in bags.groupBy("y").agg(F.countDistinct("family")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if min(n0, n1) == 0:
-        return empty
-    per = bags.groupBy("term").agg(
-        F.countDistinct(F.when(F.col("y") == 1, F.col("family"))).alias("a"),
-        F.countDistinct(F.when(F.col("y") == 0, F.col("family"))).alias("b"),
-    )
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = n1 - a, n0 - b
-    chi2 = (n0 + n1) * (a * d - b * c) * (a * d - b * c) / F.greatest((a + b) * (c + d) * F.lit(float(n1)) * F.lit(float(n0)), F.lit(1.0))
-    kept = per.withColumn("chi2", chi2).filter((a + b >= MIN_EXAMPLES) & (F.col("chi2") >= MIN_CHI2))
-    terms = [bytes(r[0]) for r in kept.orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS).select("term").collect()]
-    if not terms:
+        bags = settle(rows.mapInArrow(term_counts, f"id {id_type}, y int, family bigint, terms array<binary>, tfs array<int>"))
+        examples = bags.toArrow()  # bounded by the sample
+    # Of rows with one id, the one with the first words counts.
+    held: dict = {}
+    for row in sorted(zip(*(examples.column(x).to_pylist() for x in ("id", "y", "family", "terms", "tfs")), strict=True), key=lambda x: (str(x[0]), x[3], x[4])):
+        held.setdefault(row[0], row)
+    examples = list(held.values())
+    terms = sorted({t for x in examples for t in x[3]})
+    if not terms or len({x[1] for x in examples}) < 2:
         return empty
     vocabulary = {t: i for i, t in enumerate(terms)}
 
@@ -224,26 +255,35 @@ def fit_toxicity(
         keys = [-1, *df]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([n, *(df[x] for x in keys[1:])], pa.int64())], names=["t", "df"])
 
-    # One row for each term and task, then one for each term: at most MAX_TERMS rows reach the driver.
-    seen = docs.select(text_of(text_col)).mapInArrow(frequencies, "t bigint, df bigint").groupBy("t").agg(F.sum("df"))
+    # One row for each term and task, then one for each term of the examples: these reach the driver.
+    seen = docs.select(text_of(text_col)).mapInArrow(frequencies, "t bigint, df bigint").groupBy("t").agg(F.sum("df").alias("df"))
     with small_batches(spark):
-        df_of = {int(r[0]): int(r[1]) for r in seen.collect()}
-    n_docs = df_of.get(-1, 0)
-    idf = np.array([math.log((1 + n_docs) / (1 + df_of.get(i, 0))) + 1 for i in range(len(terms))])
-    bag: dict = {}
-    y_of: dict = {}
-    chosen_terms = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in terms], "term binary"))  # MAX_TERMS at most
-    for r in bags.join(chosen_terms, "term", "left_semi").collect():  # bounded by examples and terms
-        bag.setdefault(r["id"], {})[vocabulary[bytes(r["term"])]] = int(r["tf"])
-    for r in rows.select("id", "y").distinct().collect():
-        y_of[r["id"]] = int(r["y"])
+        seen = settle(seen).toArrow()
+    df_of = dict(zip(seen.column("t").to_pylist(), seen.column("df").to_pylist(), strict=True))
+    df = np.array([df_of.get(i, 0) for i in range(len(terms))])
+    return learned(examples, vocabulary, np.log((1 + df_of.get(-1, 0)) / (1 + df)) + 1, prior, k)
+
+
+def learned(examples: list[tuple], vocabulary: dict[bytes, int], idf: np.ndarray, prior: float, k: int = NEIGHBOURS) -> ToxicityModel:
+    """The model of examples (id, y, family, terms, tfs) with both classes among them."""
+    y_of = {x[0]: int(x[1]) for x in examples}
+    bag = {x[0]: {vocabulary[t]: n for t, n in zip(x[3], x[4], strict=True)} for x in examples if x[3]}
+    # Near copies would make their words look telling, so a family of them counts once.
+    families = {f: i for i, f in enumerate(sorted({(int(x[1]), x[2]) for x in examples}))}
+    toxic = np.array([y for y, _ in families])
+    pairs = np.unique(np.array([vocabulary[t] * len(families) + families[int(x[1]), x[2]] for x in examples for t in x[3]], np.int64))
+    term, is_toxic = pairs // len(families), toxic[pairs % len(families)] == 1
+    a, b = np.bincount(term[is_toxic], minlength=len(vocabulary)), np.bincount(term[~is_toxic], minlength=len(vocabulary))
+    idf = idf * strengths(a, b, int(toxic.sum()), int((1 - toxic).sum()))
     have = Counter(y_of.values())
     weight = np.array([(1 - prior) / have[0], prior / have[1]])
-    model = ToxicityModel(vocabulary, idf, None, [], np.zeros(0, int), weight, prior, prior, None, k)
+    single = a + b == 1
+    unseen = float(idf[single].mean()) if single.any() else float(idf.min())
+    model = ToxicityModel(vocabulary, idf, unseen, None, [], np.zeros(0, int), weight, prior, prior, None, k)
     vectors = {i: model.vector(x) for i, x in bag.items()}
     # Examples with the same heaviest terms lie in one block, so that bounds are tight.
     order = sorted(vectors, key=lambda i: ([int(t) for t in vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3]], str(i)))
-    model.index = BlockMaxIndex([dict(zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True)) for i in order], len(terms))
+    model.index = BlockMaxIndex([dict(zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True)) for i in order], len(vocabulary))
     model.example_ids = order
     model.labels = np.array([y_of[i] for i in order], int)
     without = [i for i in y_of if i not in bag]

@@ -195,6 +195,23 @@ def test_toxicity_on_planted_words(spark):
     assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in model.example_ids)
 
 
+def test_toxicity_keeps_rare_telling_words(spark):
+    """44 toxic and 265 clean families, as in the small sample: a word in four toxic ones alone has a chi-squared of 24.4."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    ids = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, " ".join([word() for _ in range(30)] + (["achli" if n < 4 else "vile"] if n < 44 else []))) for n, i in enumerate(ids[:309])]
+    labels = [(i, int(n < 44)) for n, i in enumerate(ids[:309])]
+    rows += [(1000, "some achli here"), (1001, rows[200][1][:23])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit_toxicity(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, model).collect()}
+    assert {w.encode() for _, t in rows[:309] for w in t.split()} == set(model.vocabulary)
+    assert all(got[i].predicted == 1 for i in (*ids[:44], 1000)) and sum(got[i].predicted for i in ids[44:309]) == 0
+    assert got[1000].evidence and {e.label for e in got[1000].evidence[:3]} == {1}
+    assert got[1001].evidence[0].example == str(ids[200]) and got[1001].predicted == 0  # words that tell nothing have neighbours too
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     model = toxicity.fit_toxicity(df, spark.createDataFrame([], "doc_id bigint, toxic int"))
