@@ -239,6 +239,24 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in before.select("doc_id").collect()}
 
 
+def test_pipeline_near_copies_from_four_fifths_on(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(0, 120, 2):
+        # 200 words are 196 shingles; n changed words at the end leave 196 - n of them: likeness (196 - n) / (196 + n).
+        base, n = [word() for _ in range(200)], rng.choice([4, 12, 17, 20, 21, 23, 30])
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base[: 200 - n] + [word() for _ in range(n)]))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = {b for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    strict = {b for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert len(strict) < len(near) < 60
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in cp.near_dedup_stage(spark, df, "").collect()} == set(range(len(rows))) - near
+
+
 @tables
 def test_pipeline_stages_on_nothing(spark):
     import corpus_pipeline as cp
