@@ -23,9 +23,6 @@ NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels (fixed values of the result's contract).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: A document without any of these holds no license statement, and no rule is run on it.
-GATE = ("licen", "spdx", "permission", "redistribution", "subject to")
-
 #: License families: label, the pattern of its name in words, strings of which every such name holds one.
 FAMILIES = (
     ("mit", "mit", "mit"),
@@ -71,6 +68,26 @@ STATEMENTS = (
     ("header", "licen[sc]e (?:is |name )?F" + VERSION, "licen", 0.65),
     ("name", "F" + VERSION + " licen[sc]e[sd]?", "licen", 0.6),
     ("agreement", "F licen[sc]e agreement", "agreement", 0.6),
+    *[
+        (verb, verb + " under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?F" + VERSION + "(?: licen[sc]e)?" + VERSION, verb, 0.9)
+        for verb in ("released", "distributed", "available", "published", "provided")
+    ],
+)
+#: Licenses known by their bodies, without a name: label, pattern, a string it always holds.
+BODIES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("bsd", "redistribution and use in source and binary forms(?: with or without modification)? are permitted", "redistribution and use"),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary"),
+    ("gpl", "this (?:program|library|software) is free software you can redistribute it and or modify it(?! under the terms of the gnu (?:lesser|library|affero))", "free software you can"),
+    ("lgpl", "this (?:program|library|software) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library)", "free software you can"),
+    ("agpl", "this (?:program|library|software) is free software you can redistribute it and or modify it under the terms of the gnu affero", "free software you can"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "including commercial applications"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "person or organization"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("wtfpl", "you just do what the fuck you want to", "you just do what"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", "documentation for any purpose"),
 )
 
 
@@ -100,9 +117,17 @@ def signature_rules() -> list[Rule]:
         for label, family, key in specific:
             pattern = "(?<= )" + around.replace("F", family) + "(?= )"
             rules.append(Rule(len(rules), f"{label}/{name}", label, tuple(key.split("|")), held, pattern, confidence))
+    for k, (label, body, held) in enumerate(BODIES):
+        rules.append(Rule(len(rules), f"{label}/body{k}", label, (held,), held, f"(?<= ){body}(?= )", 0.9))
     return rules
 
 
+def gate_words(rules: list[Rule]) -> list[str]:
+    """The longest word of each rule's keyword: a text without any of them holds no rule's keyword. Words of a keyword
+    may stand on two lines, so the raw text is asked for single words only."""
+    return sorted({max(r.held.split(), key=len) for r in rules})
+
+
 RULE_TYPE = "array<struct<priority:int,label:string,families:array<string>,held:string,pattern:string,confidence:double>>"
 DETECTION = "struct<start:int,neg_end:int,priority:int,label:string,confidence:double>"
 
@@ -178,12 +203,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows and null ids give a row each. Of matches with the same interval the rule of better priority stays. An empty
     table gives no rows. Only the id and text columns are read.
     """
-    rules_col = _rule_column(signature_rules() if rules is None else rules)
+    rules = signature_rules() if rules is None else rules
+    rules_col = _rule_column(rules)
+    gates = sorted({*gate_words(rules), "license"})  # base phrases end in this word
 
     def read(low: Column) -> Column:
         gate = F.lit(False)
-        for word in GATE:
-            gate = gate | F.contains(low, F.lit(word.split(" ")[0]))  # words of a phrase may stand on two lines
+        for word in gates:
+            gate = gate | F.contains(low, F.lit(word))
 
         def counted(words: Column) -> Column:
             n = F.when(words == "", F.lit(0)).otherwise(_n_words(words) + 1)

@@ -148,6 +148,30 @@ def test_license_rules_against_python(spark):
         assert [(d.start, d.end, d.rule, d.label) for d in r.detections] == detect_by_hand(words, rules), texts[r.doc_id]
 
 
+def test_licenses_without_a_name_or_the_word(spark):
+    want = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files": "mit",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted": "isc",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "This program is free software; you can redistribute it and/or modify it": "gpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public": "lgpl",
+        "Distributed under the terms of the GPL v2": "gpl",
+        "Released under CC BY 4.0": "cc-by",
+        "It is available\nunder the Apache 2.0": "apache",
+        "See the GNU GPL v3": "",
+        "released under pressure": "",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    assert [got[i].labels for i in range(len(want))] == list(want.values())
+    assert all((got[i].score > 0) == bool(x) for i, x in enumerate(want.values()))
+
+
+def test_license_gate_lets_every_rule_through():
+    rules = licenses.signature_rules()
+    assert all(any(w in r.held for w in licenses.gate_words(rules)) for r in rules)
+
+
 # --- pages
 
 PAGE = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav>{}<footer>c</footer></body></html>"
