@@ -71,7 +71,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages")).drop("n_repeated")
+    return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,12 @@ import xxhash
 from pyspark.sql import functions as F
 
 from chainloom.llm import fingerprints as fp
-from chainloom.llm import html_text, licenses, packing, token_counts, toxicity
+from chainloom.llm import licenses, packing, token_counts, toxicity
 
 MASK = (1 << 64) - 1
 
 
-@pytest.mark.parametrize("module", [html_text, licenses, packing, token_counts, toxicity])
+@pytest.mark.parametrize("module", [licenses, packing, token_counts, toxicity])
 def test_doctests(module):
     assert doctest.testmod(module).failed == 0
 
@@ -172,55 +172,6 @@ def test_license_gate_lets_every_rule_through():
     assert all(any(w in r.held for w in licenses.gate_words(rules)) for r in rules)
 
 
-# --- pages
-
-PAGE = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav>{}<footer>c</footer></body></html>"
-
-
-@pytest.mark.parametrize(
-    ("body", "text"),
-    [
-        ("<article><h1>A</h1><p>b <b>c</b>d<br>e<p>f &amp; g&nbsp;h</article>", "A b cd e f & g h"),
-        ("<div class='cookie-notice'>no</div><main><p>yes</p><aside>no</aside><form>no</form></main>", "yes"),
-        ("<article><header><h1>T</h1></header><p>x</p><div class=comments><p>no</p></div><div id='ad-1'>no</div></article>", "T x"),
-        ("<article><p>a<script>var x='</p>'</script>b</p><style>p{}</style><!-- c --><p hidden>no</p></article>", "ab"),
-        ("<p>loose &lt;text&gt;</p><ul><li><a>l1</a></li><li><a>l2</a></li></ul>", "loose <text>"),
-        ("", ""),
-        ("<article><p>1 < 2 &unknown; &#65; &#x42;</article>", "1 < 2 &unknown; A B"),
-        ("<div class='page with-sidebar'><article><p>in</p></article></div>", "in"),
-    ],
-)
-def test_main_text(body, text):
-    assert html_text.extract_host([PAGE.format(body)])[0][0] == text
-
-
-def test_repeated_substrings_against_python():
-    rng = random.Random(6)
-    for least in (2, 3, 5, 8):
-        streams = [np.array([rng.randrange(3) for _ in range(rng.randrange(40))]) for _ in range(6)]
-        where = {}
-        for s, x in enumerate(streams):
-            for i in range(len(x) - least + 1):
-                where.setdefault(tuple(x[i : i + least]), set()).add(s)
-        want = []
-        for x in streams:
-            gone = set()
-            for i in range(len(x) - least + 1):
-                if len(where[tuple(x[i : i + least])]) > 1:
-                    gone |= set(range(i, i + least))
-            want += [i in gone for i in range(len(x))]
-        assert html_text.repeated_tokens(streams, least).tolist() == want
-
-
-def test_suffix_array_removes_what_pages_share(spark):
-    menu = "home products about us contact imprint terms of service privacy"
-    rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div><p>story number {i} with its own words {i * 7} {i * 11}</p>", "x") for i in range(5)]
-    rows += [(None, None, None, "x"), (9, "http://other.example/", f"<div>{menu}</div>", "x")]
-    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")).collect()}
-    assert got == {**{i: f"story number {i} with its own words {i * 7} {i * 11}" for i in range(5)}, None: "", 9: menu}
-    assert html_text.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
-
-
 # --- token counts
 
 
