@@ -12,12 +12,15 @@ _SETTLED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, as on one machine, a temporary one is made."""
+    """The folder in ``spark.checkpoint.dir``. Only a local session may do without: a temporary one is made. On a
+    cluster, executors would each write to their own disk, so a missing setting is an error there."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chainloom-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
@@ -31,10 +34,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete what this process has settled; for the end of a job, when no result that reads it is needed any more."""
-    done = 0
-    while _SETTLED:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
-        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return done
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete what this process has settled, but for the first ``since`` tables and the last ``keep``; for when no result
+    that reads it is needed any more."""
+    end = len(_SETTLED) - keep
+    gone, _SETTLED[since:end] = _SETTLED[since:end], []
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
+def settled() -> int:
+    """How many settled tables there are, as a mark for :func:`sweep`."""
+    return len(_SETTLED)
