@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chainloom.storage import settle, shared_dir, sweep
 
-__all__ = ["bind", "count_words", "lower_ascii", "settle", "shared_dir", "small_batches", "split_words", "sweep", "table", "text_of"]
+__all__ = ["bind", "count_words", "free_name", "lower_ascii", "row_hash", "settle", "shared_dir", "small_batches", "split_words", "sweep", "table", "text_of"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,6 +33,20 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(BATCH_ROWS, before)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``docs`` has that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(docs: DataFrame, seed: int) -> Column:
+    """A 64-bit hash of whole rows; maps, which have no hash, count as JSON."""
+    columns = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(F.lit(seed), *columns)
+
+
 def text_of(text_col: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import bind, settle, text_of
+from chainloom.llm.common import bind, free_name, settle, text_of
 
 WINDOW_LINES = 3
 
@@ -55,7 +55,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Edge cases: a null text stays null and has 0 lines; an empty text has one empty line. Texts with fewer than
     ``width`` lines have no window and stay whole. Windows of blank lines alone are no windows. Rows that share id and
     text are one document listed more than once: they all become the same. If every line goes, the text is empty.
-    Columns of ``docs`` named n_lines or n_removed are replaced. An empty table gives no rows.
+    Columns of ``docs`` named n_lines or n_removed are replaced; others may have any name. An empty table gives no rows.
     """
     clear = docs.drop("n_lines", "n_removed")
     key = [F.col(id_col).alias("__id"), F.xxhash64(text_of(text_col)).alias("__hash")]
@@ -78,13 +78,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered = later.select("__id", "__hash", F.explode(F.sequence("lo", "hi")).alias("pos")).groupBy("__id", "__hash").agg(
         F.collect_set("pos").alias("__gone")
     )
-    keyed = clear.select("*", *key)
-    gone = covered.select(F.col("__id").alias("__gid"), F.col("__hash").alias("__ghash"), "__gone")
-    joined = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__hash") == F.col("__ghash")), "left")
-    new_text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_kept(lines, F.col("__gone")))
+    mine, hashed, gid, ghash, away = (free_name(clear, x) for x in ("__id", "__hash", "__gid", "__ghash", "__gone"))
+    keyed = clear.select("*", F.col(id_col).alias(mine), F.xxhash64(text_of(text_col)).alias(hashed))
+    gone = covered.select(F.col("__id").alias(gid), F.col("__hash").alias(ghash), F.col("__gone").alias(away))
+    joined = keyed.join(gone, F.col(mine).eqNullSafe(F.col(gid)) & (F.col(hashed) == F.col(ghash)), "left")
+    new_text = F.when(F.col(away).isNull(), F.col(text_col)).otherwise(_kept(lines, F.col(away)))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
     return joined.select(
-        *[new_text.alias(c) if c == text_col else F.col(c) for c in clear.columns],
+        *[new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in clear.columns],
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+        F.when(F.col(away).isNull(), F.lit(0)).otherwise(F.size(away)).cast("long").alias("n_removed"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chainloom.llm.common import SPACE, count_words, settle, text_of
+from chainloom.llm.common import SPACE, count_words, free_name, row_hash, settle, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -46,7 +46,7 @@ def _source_plan(sized: DataFrame, weights, slopes, share: float, most: float) -
     unit = 0.0
     all_weight = float(plan.agg(F.sum("weight")).first()[0] or 0)
     # Water filling: sources below a unit share fill up in the order of size / weight, so one threshold decides.
-    for _ in range(10_000):
+    while True:  # each round fills one more source at least, or is the last
         rest = all_weight - full_weight
         if rest <= 1e-12:
             break
@@ -95,7 +95,7 @@ def mix(
     the border cuts makes no difference to the result as a set. If all sizes are 0, all targets are 0. Null ids are
     ordered by their text. Other columns are not read.
     """
-    placed = place(docs, id_col, text_col, source_col, weights, slopes, share, max_repeats, seed, buckets)
+    placed = place(docs, id_col, text_col, source_col, _order(id_col, text_col, seed), F.lit(0), weights, slopes, share, max_repeats, buckets)
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return placed.select(
         F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.alias("taken"),
@@ -103,20 +103,23 @@ def mix(
     ).orderBy(F.col("position").asc_nulls_last(), id_col)
 
 
-def _order(id_col: str, text: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)
+def _order(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col))
 
 
-def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, slopes, share: float, max_repeats: float, seed: int, buckets: int) -> DataFrame:
-    """Rows (id, order, size, source, source_size, target, passes), one for each document."""
+def place(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, order: Column, tie: Column, weights, slopes, share: float, max_repeats: float, buckets: int
+) -> DataFrame:
+    """Rows (id, order, tie, size, source, source_size, target, passes), one for each document. A source's stream is
+    ordered by ``order``, then ``tie``, id and size."""
     if not all(-1 < s < 1 for s in slopes):
         raise ValueError("slopes must lie between -1 and 1")
-    text = text_of(text_col)
     sized = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
-        count_words(text).alias("size"),
-        _order(id_col, text, seed).alias("order"),
+        count_words(text_of(text_col)).alias("size"),
+        order.alias("order"),
+        tie.alias("tie"),
     ).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     sized = settle(sized)
     plan = settle(_source_plan(sized, weights, slopes, share, max_repeats))
@@ -127,7 +130,7 @@ def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     offsets = sums.join(plan, F.expr("b.source <=> p.source")).select(
         F.col("b.source").alias("o_source"), F.col("bucket").alias("o_bucket"), "base", "source_size", "target", "slope"
     )
-    inner = W.partitionBy("source", "bucket").orderBy("order", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "bucket").orderBy("order", "tie", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         sized.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
         .join(offsets, F.expr("source <=> o_source AND bucket = o_bucket"))
@@ -141,7 +144,7 @@ def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
         return F.struct(F.lit(p).alias("pass"), words.alias("words"), demand_time(begin, F.col("target"), F.col("slope")).alias("position"))
 
     passes = F.filter(F.array(*[one(p) for p in range(math.ceil(max_repeats))]), lambda x: x["words"] > 0)
-    return placed.select("id", "order", "size", "source", "source_size", "target", passes.alias("passes"))
+    return placed.select("id", "order", "tie", "size", "source", "source_size", "target", passes.alias("passes"))
 
 
 def mixed_documents(
@@ -151,20 +154,23 @@ def mixed_documents(
     """The mix itself: the rows and columns of ``docs``, once for each pass that takes them, in ranges sorted by position.
 
     A document that is taken in part keeps its first words with their white space; documents not taken are left out.
-    Edge cases are those of :func:`mix`; rows that repeat appear as often as their passes say together.
+    Rows are told apart by all their columns, so every row is taken as its own source's plan says. Rows equal in every
+    column appear as often as their passes say together. Otherwise the edge cases are those of :func:`mix`; columns may
+    have any name, an empty table gives no rows.
     """
-    placed = place(docs, id_col, text_col, source_col, weights, slopes, share, max_repeats, seed, buckets)
-    placed = settle(placed.filter(F.size("passes") > 0).select("id", "order", "size", "passes"))
-    used = placed.groupBy("id", "order").agg(F.first("size").alias("__size"), F.flatten(F.collect_list("passes")).alias("__passes"), F.count(F.lit(1)).alias("n"))
-    keyed = docs.withColumn("__order", _order(id_col, text_of(text_col), seed))
-    if not used.filter("n > 1").isEmpty():  # rows that repeat: one of them stands for all
-        keyed = keyed.dropDuplicates([id_col, "__order"])
-    used = used.select(F.col("id").alias("__id"), F.col("order").alias("__placed"), "__size", "__passes")
-    joined = keyed.join(used, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__order") == F.col("__placed")))
-    rows = joined.withColumn("__pass", F.explode("__passes"))
+    # The order is that of mix; a hash of the whole row beside it makes the key that finds the row again.
+    order, tie, size, passes, one, position, o, t = (free_name(docs, x) for x in ("__order", "__tie", "__size", "__passes", "__pass", "__position", "__o", "__t"))
+    keyed = docs.select("*", _order(id_col, text_col, seed).alias(order), row_hash(docs, seed).alias(tie))
+    placed = place(keyed, id_col, text_col, source_col, F.col(order), F.col(tie), weights, slopes, share, max_repeats, buckets)
+    placed = settle(placed.filter(F.size("passes") > 0).select("order", "tie", "size", "passes"))
+    if not placed.groupBy("order", "tie").count().filter("count > 1").isEmpty():  # equal rows: one of them stands for all
+        keyed = keyed.dropDuplicates([order, tie])
+    used = placed.select(F.col("order").alias(o), F.col("tie").alias(t), F.col("size").alias(size), F.col("passes").alias(passes))
+    joined = keyed.join(used, (F.col(order) == F.col(o)) & (F.col(tie) == F.col(t)))
+    rows = joined.withColumn(one, F.explode(passes))
     # A cut behind every word keeps the white space before it.
     words = F.split(F.col(text_col), f"(?<=[^{SPACE}])(?=[{SPACE}])", -1)
-    part = F.array_join(F.slice(words, F.lit(1), F.col("__pass.words").cast("int")), "")
-    text = F.when(F.col("__pass.words") < F.col("__size"), part).otherwise(F.col(text_col))
-    rows = rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("__pass.position").alias("__position"))
-    return rows.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
+    part = F.array_join(F.slice(words, F.lit(1), F.col(one)["words"].cast("int")), "")
+    text = F.when(F.col(one)["words"] < F.col(size), part).otherwise(F.col(text_col))
+    rows = rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(one)["position"].alias(position))
+    return rows.repartitionByRange(position).sortWithinPartitions(position).drop(position)

@@ -40,6 +40,7 @@ class WordIds:
     The tokenizer lower-cases, splits at white space before anything else, and marks the last token of each run of
     letters; so the ids of a text are those of its words one after another. Words are remembered. New ones are encoded
     many at a time, and a run of letters with a full stop or comma behind it is put together from its two parts.
+    Special tokens are matched before lower-casing, so a text that holds one in any case goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -52,8 +53,17 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hint = os.path.commonprefix(self.special)
+
+    def _holds_special(self, text: str) -> bool:
+        return self.hint in text.lower() and any(s in text.lower() for s in self.special)
 
     def of(self, texts: list[str]) -> list[bytes]:
+        if odd := [i for i, t in enumerate(texts) if self.special and self.hint[:1] in t and self._holds_special(t)]:
+            whole = {i: np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() for i in odd}
+            plain = iter(self.of([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(plain) for i in range(len(texts))]
         split = [words_of(t) for t in texts]
         distinct = set().union(*split)
         new = distinct.difference(self.known)
@@ -279,8 +289,9 @@ def pack(
     pieces of that many and a last, shorter one. A sequence holds at most ``max_tokens`` tokens, its offsets have no gap.
 
     Edge cases: a null or empty text is one piece of the closing id alone. Repeated rows are packed each. Null ids stay
-    null. Pieces of equal length are interchangeable; ties are dealt by hash, id and piece. An empty table gives no rows.
-    Only the id and text columns are read.
+    null. Pieces of equal length are interchangeable; ties are dealt by hash, id and piece. Very long texts are encoded
+    whole, a few documents at a time. An empty table gives no rows. Only the id and text columns are read, so names of
+    others don't matter.
     """
     with small_batches(docs.sparkSession):
         pieces = settle(token_pieces(docs, tokenizer_path, id_col, text_col, max_tokens, with_ids))
