@@ -162,10 +162,10 @@ def mixed_documents(
     order, tie, size, passes, one, position, o, t = (free_name(docs, x) for x in ("__order", "__tie", "__size", "__passes", "__pass", "__position", "__o", "__t"))
     keyed = docs.select("*", _order(id_col, text_col, seed).alias(order), row_hash(docs, seed).alias(tie))
     placed = place(keyed, id_col, text_col, source_col, F.col(order), F.col(tie), weights, slopes, share, max_repeats, buckets)
-    placed = settle(placed.filter(F.size("passes") > 0).select("order", "tie", "size", "passes"))
+    placed = settle(placed.select("order", "tie", "size", "passes"))
     if not placed.groupBy("order", "tie").count().filter("count > 1").isEmpty():  # equal rows: one of them stands for all
         keyed = keyed.dropDuplicates([order, tie])
-    used = placed.select(F.col("order").alias(o), F.col("tie").alias(t), F.col("size").alias(size), F.col("passes").alias(passes))
+    used = placed.filter(F.size("passes") > 0).select(F.col("order").alias(o), F.col("tie").alias(t), F.col("size").alias(size), F.col("passes").alias(passes))
     joined = keyed.join(used, (F.col(order) == F.col(o)) & (F.col(tie) == F.col(t)))
     rows = joined.withColumn(one, F.explode(passes))
     # A cut behind every word keeps the white space before it.
