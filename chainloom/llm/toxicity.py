@@ -9,7 +9,7 @@ examples give each other, each without itself. The nearest examples are returned
 
 The search is exact. Examples lie in blocks; for each term the index keeps the largest weight in each block that holds
 it, so the sum over a document's terms bounds every score in a block. Blocks are read in the order of their bounds,
-several at a time, and reading ends when no bound reaches the k-th best score so far.
+a few at first; then those that can still reach the k-th best score, if any can.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ HALF_CHI2, LEAST_STRENGTH = 15.0, 0.01
 #: The weight of the prior in a vote, in neighbours of cosine 0.5 or so.
 FAR = 0.2
 BLOCK = 64
+#: A median block bound of over this part of the largest one calls for whole lists at once.
+FLAT = 0.25
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -74,8 +76,8 @@ def strengths(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges first..last (exclusive), and which range each is from."""
     n = last - first
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(of)) + (first - (np.cumsum(n) - n))[of], of
+    of = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return np.arange(len(of), dtype=np.int32) + np.repeat(first - (np.cumsum(n) - n).astype(np.int32), n), of
 
 
 class BlockMaxIndex:
@@ -98,26 +100,37 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.start = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
 
+    def _whole_lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The scores of all examples: whole lists are joined as they lie, without picking postings one by one."""
+        first, last = self.first[self.start[terms]], self.first[self.start[terms + 1]]
+        spans = [slice(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        parts = np.concatenate([self.weights[x] for x in spans])
+        parts *= np.repeat(weights, last - first)
+        return np.bincount(np.concatenate([self.ids[x] for x in spans]), parts, self.n)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[int, float]]:
         """The k best (example, cosine) with a positive cosine, ties by example number."""
-        cells, of = _ranges(self.start[terms].astype(np.int64), self.start[terms + 1].astype(np.int64))
+        cells, of = _ranges(self.start[terms], self.start[terms + 1])
         block, w = self.block[cells], weights[of]
         bound = np.bincount(block, w * self.most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        place = np.empty(self.blocks, np.int64)
-        place[order] = np.arange(self.blocks)
-        place = place[block]
         best_id, best, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        at, step = 0, 4
+        # Where most blocks promise about as much as the best one, no few of them can rule out the others.
+        at, step = 0, self.blocks if np.median(bound) > FLAT * bound.max(initial=0.0) else 4
         while at < self.blocks:
             full = len(best) == k
             end = min(self.blocks, at + step, int((bound > 0).sum()), *([int((bound >= floor - 1e-12).sum())] if full else []))
             if end <= at:
                 break
-            here = np.flatnonzero((place >= at) & (place < end))
-            chosen = cells[here]
-            posts, of = _ranges(self.first[chosen].astype(np.int64), self.first[chosen + 1].astype(np.int64))
-            score = np.bincount(self.ids[posts], w[here][of] * self.weights[posts], self.n)
+            if 2 * (end - at) > self.blocks:  # most blocks: whole lists lie together and need no picking
+                score, best_id, best = self._whole_lists(terms, weights), best_id[:0], best[:0]
+            else:
+                read = np.zeros(self.blocks, bool)
+                read[order[at:end]] = True
+                here = np.flatnonzero(read[block])
+                first, last = self.first[cells[here]], self.first[cells[here] + 1]
+                posts, _ = _ranges(first, last)
+                score = np.bincount(self.ids[posts], np.repeat(w[here], last - first) * self.weights[posts], self.n)
             if without >= 0:
                 score[without] = 0.0
             found = np.flatnonzero((score > 0) & (score >= floor - 1e-12))
@@ -128,7 +141,7 @@ class BlockMaxIndex:
             best_id, best = best_id[top], best[top]
             if len(best) == k:
                 floor = float(best[-1])
-            at, step = end, step * 4
+            at, step = end, self.blocks
         return list(zip(best_id.tolist(), best.tolist(), strict=True))
 
 
@@ -162,9 +175,14 @@ class ToxicityModel:
     k: int
 
     def vector(self, counts: dict[int, int], unseen: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
-        norm = math.sqrt(float(weights @ weights) + self.unseen**2 * sum((1 + math.log(n)) ** 2 for n in unseen))
+        return self.weighted(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)), np.array(list(unseen), np.int64))
+
+    def weighted(self, terms: np.ndarray, counts: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(terms)
+        terms = terms[order]
+        weights = (1 + np.log(counts[order])) * self.idf[terms]
+        rest = 1 + np.log(unseen)
+        norm = math.sqrt(float(weights @ weights) + self.unseen**2 * float(rest @ rest))
         return terms, weights / norm if norm else weights
 
     def vote(self, near: list[tuple[int, float]]) -> float | None:
@@ -184,10 +202,11 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         bag = Counter(words_of(text or ""))
-        found = {t: n for w, n in bag.items() if (t := self.vocabulary.get(w)) is not None}
-        if not found or self.index is None:
+        terms = np.fromiter((self.vocabulary.get(w, -1) for w in bag), np.int64, len(bag))
+        counts, found = np.fromiter(bag.values(), np.int64, len(bag)), terms >= 0
+        if not found.any() or self.index is None:
             return self.prior_without_terms, []
-        terms, weights = self.vector(found, [n for w, n in bag.items() if w not in self.vocabulary])
+        terms, weights = self.weighted(terms[found], counts[found], counts[~found])
         near = self.index.nearest(terms, weights, self.k)
         return self.probability(self.vote(near)), near
 
@@ -198,8 +217,10 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learn from labelled rows that aren't held out; document frequencies come from all of ``docs``.
 
-    Edge cases: null ids or labels teach nothing; an id with several labels counts as toxic if one is; with a single
-    class or no labels at all, every score is the share of toxic labels (0 without any).
+    Edge cases: null ids or labels teach nothing; an id with several labels counts as toxic if one is; of several
+    documents with one id, the one whose sorted words come first is the example. Ties among examples go to the earlier
+    one. With a single class, no labels or no documents at all, every score is the share of toxic labels (0 without
+    any). Very long texts are read whole, a few documents at a time. Only the named columns are read.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = settle(known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")))
@@ -221,11 +242,11 @@ def fit_toxicity(
 
         for batch in batches:
             words = [words_of(text) for text in batch.column(2).to_pylist()]
-            bags = [Counter(x) for x in words]
+            bags = [sorted(Counter(x).items()) for x in words]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array([family_of(x) for x in words], pa.int64()),
-                    pa.array([list(x) for x in bags], pa.list_(pa.binary())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32())),
+                    pa.array([[t for t, _ in x] for x in bags], pa.list_(pa.binary())), pa.array([[n for _, n in x] for x in bags], pa.list_(pa.int32())),
                 ],
                 names=["id", "y", "family", "terms", "tfs"],
             )
@@ -233,12 +254,10 @@ def fit_toxicity(
     spark = docs.sparkSession
     with small_batches(spark):
         bags = settle(rows.mapInArrow(term_counts, f"id {id_type}, y int, family bigint, terms array<binary>, tfs array<int>"))
-        examples = bags.toArrow()  # bounded by the sample
-    # Of rows with one id, the one with the first words counts.
-    held: dict = {}
-    for row in sorted(zip(*(examples.column(x).to_pylist() for x in ("id", "y", "family", "terms", "tfs")), strict=True), key=lambda x: (str(x[0]), x[3], x[4])):
-        held.setdefault(row[0], row)
-    examples = list(held.values())
+        # Of rows with one id, the one with the first words speaks for it: one row for each id of the sample comes here.
+        one = bags.groupBy("id").agg(F.min(F.struct("terms", "tfs", "y", "family")).alias("x"))
+        examples = one.select("id", "x.y", "x.family", "x.terms", "x.tfs").toArrow()
+    examples = sorted(zip(*(examples.column(x).to_pylist() for x in ("id", "y", "family", "terms", "tfs")), strict=True), key=lambda x: str(x[0]))
     terms = sorted({t for x in examples for t in x[3]})
     if not terms or len({x[1] for x in examples}) < 2:
         return empty
@@ -329,9 +348,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """One row per document: ``id_col``, held_out, score, predicted, evidence.
 
     Edge cases: a null, empty or termless text gets the share of toxic examples among those without terms. Repeated
-    rows and null ids give a row each; a null id isn't held out. Scores depend on the text alone.
+    rows and null ids give a row each; a null id isn't held out. Scores depend on the text alone, of which every word
+    counts, however long it is. An empty table gives no rows. Other columns are not read, so their names don't matter.
     """
-    scored = docs.select(F.col(id_col), toxicity_of(model, text_of(text_col)).alias("s"))
+    with small_batches(docs.sparkSession):
+        scored = settle(docs.select(F.col(id_col), toxicity_of(model, text_of(text_col)).alias("s")))
     return scored.select(
         id_col,
         held_out(id_col).alias("held_out"),
