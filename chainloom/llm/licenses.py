@@ -1,10 +1,13 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-Rules are patterns over a document's words (lower-cased, joined by single spaces). Each has a keyword, a priority and
-a label; a document runs a rule only if it holds the rule's keyword, and runs none if it holds no keyword at all.
-Detections are intervals of words. Of overlapping ones, an interval contained in another goes, and of two that
-overlap in part the one with the better priority stays. Everything happens inside a row with SQL functions: no
-shuffle, no Python, and memory bounded by one document.
+Rules (`license_rules.py`) are hand-written patterns over a document's words, lower-cased and joined by single spaces.
+Each has keywords, a confidence and a label, and its place in the list is its priority. The words of a document are
+met with all keywords at once; a document without any runs no rule, and others run only rules whose keywords they hold.
+
+Detections are intervals of words. Rules are taken in the order of their priority: a detection stays if no word of it
+belongs to a better one that stayed, which also suppresses what a better detection contains; of detections of one rule,
+which never overlap, all such stay. Everything happens inside a row with SQL functions: no shuffle, no Python, memory
+bounded by one document, and time linear in its words for each rule that matches.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.common import bind, lower_ascii, text_of
+from chainloom.llm.license_rules import table as rule_table
 
 #: What separates words: all of ASCII but digits and a-z, after A-Z became a-z.
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,172 +27,82 @@ NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels (fixed values of the result's contract).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: License families: label, the pattern of its name in words, strings of which every such name holds one.
-FAMILIES = (
-    ("mit", "mit", "mit"),
-    ("apache", "apache(?: software foundation)?", "apache"),
-    ("gpl", "(?:gnu )?(?:general public|gpl(?:v[123])?)", "general public|gpl"),
-    ("lgpl", "(?:gnu )?(?:(?:lesser|library) (?:general public|gpl)|lgpl(?:v[123])?)", "lesser|library|lgpl"),
-    ("agpl", "(?:gnu )?(?:affero (?:general public|gpl)|agpl(?:v3)?)", "affero|agpl"),
-    ("bsd", "(?:(?:[234]|two|three|four) clause )?(?:new |modified |simplified )?bsd", "bsd"),
-    ("mpl", "(?:mozilla(?: public)?|mpl)", "mozilla| mpl "),
-    ("epl", "(?:eclipse(?: public)?|epl)", "eclipse| epl "),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib(?: libpng)?", "zlib"),
-    ("boost", "(?:boost(?: software)?|bsl)", "boost| bsl "),
-    ("artistic", "(?:perl )?artistic", "artistic"),
-    ("cc0", "(?:cc0|cc zero|creative commons zero)", "cc0|cc zero|creative commons"),
-    ("cc-by", "(?:cc by|creative commons attribution)", " cc by|creative commons"),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", " cc by|creative commons"),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", " cc by|creative commons"),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", " cc by|creative commons"),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", " cc by|creative commons"),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", " cc by|creative commons"),
-    ("unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("ofl", "(?:sil )?(?:open font|ofl)", "open font| ofl "),
-    ("odbl", "(?:odbl|open database|odc open database)", "odbl|open database"),
-    ("eupl", "(?:eupl|european union public)", "eupl|european union"),
-    ("cddl", "(?:cddl|common development and distribution)", "cddl|common development"),
-    ("python", "(?:python(?: software foundation)?|psf)", "python| psf "),
-    ("postgresql", "postgresql", "postgresql"),
-    ("proprietary", "(?:proprietary|commercial|end user)", "proprietary|commercial|end user"),
-)
-#: A version as it may follow a name.
-VERSION = "(?: (?:version |v)?[0-9]+(?: [0-9]+)?(?: international| only| or later)?)?"
-#: Ways to state a license, best first: name, pattern around the family's name F, a string it always holds, confidence.
-STATEMENTS = (
-    ("spdx", "spdx license identifier F" + VERSION, "spdx", 1.0),
-    ("under", "licen[sc]ed under (?:the )?(?:terms of (?:the )?)?F" + VERSION + "(?: licen[sc]e)?" + VERSION, "licen", 0.95),
-    ("subject", "subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?F" + VERSION + "(?: licen[sc]e)?" + VERSION, "subject to", 0.9),
-    ("grant", "(?:permission is (?:hereby )?granted|redistribution is permitted) under (?:the )?F" + VERSION + "(?: licen[sc]e)?", "under", 0.9),
-    ("version", "F licen[sc]e (?:version |v)[0-9]+(?: [0-9]+)?", "licen", 0.85),
-    ("dual", "dual licen[sc]ed (?:under )?(?:the )?F" + VERSION, "dual licen", 0.8),
-    ("see", "see (?:the )?F" + VERSION + " licen[sc]e", "see", 0.7),
-    ("header", "licen[sc]e (?:is |name )?F" + VERSION, "licen", 0.65),
-    ("name", "F" + VERSION + " licen[sc]e[sd]?", "licen", 0.6),
-    ("agreement", "F licen[sc]e agreement", "agreement", 0.6),
-    *[
-        (verb, verb + " under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?F" + VERSION + "(?: licen[sc]e)?" + VERSION, verb, 0.9)
-        for verb in ("released", "distributed", "available", "published", "provided")
-    ],
-)
-#: Licenses known by their bodies, without a name: label, pattern, a string it always holds.
-BODIES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
-    ("bsd", "redistribution and use in source and binary forms(?: with or without modification)? are permitted", "redistribution and use"),
-    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source"),
-    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary"),
-    ("gpl", "this (?:program|library|software) is free software you can redistribute it and or modify it(?! under the terms of the gnu (?:lesser|library|affero))", "free software you can"),
-    ("lgpl", "this (?:program|library|software) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library)", "free software you can"),
-    ("agpl", "this (?:program|library|software) is free software you can redistribute it and or modify it under the terms of the gnu affero", "free software you can"),
-    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "including commercial applications"),
-    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "person or organization"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
-    ("wtfpl", "you just do what the fuck you want to", "you just do what"),
-    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", "documentation for any purpose"),
-)
-
 
 @dataclass(frozen=True)
 class Rule:
-    """One signature: patterns match words between single spaces; a lower priority number wins."""
+    """One signature: the pattern matches words between single spaces; a lower priority number wins."""
 
     priority: int
-    name: str
     label: str
-    families: tuple[str, ...]
-    held: str
+    keywords: tuple[str, ...]
     pattern: str
     confidence: float
 
 
 def signature_rules() -> list[Rule]:
-    """Every family in every statement; the order is the priority: better statements first, and in a statement the
-    more specific family first.
+    """All rules; their order is the priority.
 
     >>> len(signature_rules()) >= 200
     True
     """
-    rules: list[Rule] = []
-    specific = sorted(FAMILIES, key=lambda f: -len(f[1]))
-    for name, around, held, confidence in STATEMENTS:
-        for label, family, key in specific:
-            pattern = "(?<= )" + around.replace("F", family) + "(?= )"
-            rules.append(Rule(len(rules), f"{label}/{name}", label, tuple(key.split("|")), held, pattern, confidence))
-    for k, (label, body, held) in enumerate(BODIES):
-        rules.append(Rule(len(rules), f"{label}/body{k}", label, (held,), held, f"(?<= ){body}(?= )", 0.9))
-    return rules
-
-
-def gate_words(rules: list[Rule]) -> list[str]:
-    """The longest word of each rule's keyword: a text without any of them holds no rule's keyword. Words of a keyword
-    may stand on two lines, so the raw text is asked for single words only."""
-    return sorted({max(r.held.split(), key=len) for r in rules})
+    return [Rule(k, label, words, f"(?<= )(?:{pattern})(?= )", confidence) for k, (label, confidence, words, pattern) in enumerate(rule_table())]
 
 
-RULE_TYPE = "array<struct<priority:int,label:string,families:array<string>,held:string,pattern:string,confidence:double>>"
-DETECTION = "struct<start:int,neg_end:int,priority:int,label:string,confidence:double>"
+RULE_TYPE = "array<struct<priority:int,label:string,keywords:array<string>,pattern:string,confidence:double>>"
+DETECTION = "struct<start:int,end:int,rule:int,label:string,confidence:double>"
 
 
 def _rule_column(rules: list[Rule]) -> Column:
-    """The rules as one constant."""
-    rows = [
-        {"priority": r.priority, "label": r.label, "families": list(r.families), "held": r.held, "pattern": r.pattern, "confidence": r.confidence}
-        for r in rules
-    ]
+    """The rules as one constant, best first."""
+    rows = [{"priority": r.priority, "label": r.label, "keywords": list(r.keywords), "pattern": r.pattern, "confidence": r.confidence} for r in sorted(rules, key=lambda r: r.priority)]
     return F.from_json(F.lit(json.dumps(rows)), RULE_TYPE)
 
 
-def _n_words(x: Column) -> Column:
-    """Spaces in a piece of the joined text, one before each of its words or one after each."""
-    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+#: They mark the first and the last word of a match; no word holds them.
+FIRST, LAST = "\x01", "\x02"
 
 
-def _detections(norm: Column, rules: Column) -> Column:
-    """All matches of all rules whose keywords the text holds, sorted by start, longest first, best rule first."""
-    held = F.filter(rules, lambda r: F.contains(norm, r["held"]) & F.exists(r["families"], lambda f: F.contains(norm, f)))
-    found = F.filter(
-        F.transform(held, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(norm, r["pattern"], F.lit(0)).alias("hits"))),
-        lambda x: F.size(x["hits"]) > 0,
-    )
-    cut = F.transform(found, lambda x: F.struct(x["r"].alias("r"), x["hits"].alias("hits"), F.split(norm, x["r"]["pattern"], -1).alias("gaps")))
-
-    def places(x: Column) -> Column:
-        # Word numbers come from counting spaces: the gap before a match ends with the space before its first word.
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{DETECTION}>").alias("out"))
-
-        def step(acc: Column, both: Column) -> Column:
-            first = acc["at"] + _n_words(both["gap"]) - 1
-            after = first + _n_words(both["hit"]) + 1
-            one = F.struct(
-                first.cast("int").alias("start"), (-after).cast("int").alias("neg_end"), x["r"]["priority"].alias("priority"),
-                x["r"]["label"].alias("label"), x["r"]["confidence"].alias("confidence"),
-            )
-            return F.struct(
-                (acc["at"] + _n_words(both["gap"]) + _n_words(both["hit"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out")
-            )
+def _places(norm: Column, rule: Column) -> Column:
+    """Intervals array<struct<start, end>> of a rule's matches, in order: matches are marked in the text, and the marked
+    words counted."""
+    marked = F.regexp_replace(norm, rule["pattern"], F.lit(FIRST + "$0" + LAST))
 
-        both = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), x["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def found(words: Column) -> Column:
+        at = lambda mark, after: F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i + after)), lambda i: i.isNotNull())
+        return F.zip_with(at(FIRST, 0), at(LAST, 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
-    return F.array_sort(F.flatten(F.transform(cut, places)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return bind(marked, lambda m: F.when(F.contains(m, F.lit(FIRST)), bind(F.split(F.trim(m), " "), found)).otherwise(none))
 
 
-def _survivors(sorted_detections: Column) -> Column:
-    """Containment and priority, in one pass over detections sorted by start, longest first."""
-    empty = F.array().cast(f"array<{DETECTION}>")
+def _detections(norm: Column, keys: Column, n_words: Column, rules: Column) -> Column:
+    """The detections that stay, best rule first."""
+    run = F.filter(rules, lambda r: F.arrays_overlap(r["keywords"], keys))
+    found = F.transform(run, lambda r: F.struct(r.alias("rule"), _places(norm, r).alias("places")))
+    found = F.filter(found, lambda x: F.size(x["places"]) > 0)
+    start = F.struct(F.array_repeat(F.lit(False), n_words.cast("int")).alias("taken"), F.array().cast(f"array<{DETECTION}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        free = F.filter(x["places"], lambda p: ~F.exists(F.sequence(p["start"], p["end"] - 1), lambda i: F.get(acc["taken"], i)))
+
+        def settled(kept: Column) -> Column:
+            # The words of what stays: false up to its start, true up to its end, piece by piece.
+            before = F.zip_with(kept, F.concat(F.array(F.lit(0)), F.transform(kept, lambda p: p["end"])), lambda p, e: F.struct(p.alias("p"), e.alias("e")))
+            runs = F.transform(
+                F.filter(before, lambda y: y["p"].isNotNull()),
+                lambda y: F.concat(F.array_repeat(F.lit(False), y["p"]["start"] - y["e"]), F.array_repeat(F.lit(True), y["p"]["end"] - y["p"]["start"])),
+            )
+            taken = F.zip_with(acc["taken"], F.flatten(runs), lambda a, b: a | F.coalesce(b, F.lit(False)))
+            rule = x["rule"]
+            rows = F.transform(
+                kept,
+                lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), rule["priority"].alias("rule"), rule["label"].alias("label"), rule["confidence"].alias("confidence")),
+            )
+            return F.struct(F.when(F.size(kept) > 0, taken).otherwise(acc["taken"]).alias("taken"), F.concat(acc["out"], rows).alias("out"))
 
-    def step(kept: Column, d: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        apart = (F.size(kept) == 0) | (d["start"] >= -last["neg_end"])
-        inside = d["neg_end"] >= last["neg_end"]
-        worse = d["priority"] > last["priority"]
-        swapped = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(d))
-        return F.when(apart, F.concat(kept, F.array(d))).when(inside | worse, kept).otherwise(swapped)
+        return bind(free, settled)
 
-    return F.aggregate(sorted_detections, empty, step)
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
@@ -200,36 +114,39 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     confidence of what was found, 0.5 at least if a base phrase was, and 0 if nothing was.
 
     Edge cases: a null text counts as empty: no words, null first_word and last_word, empty labels, score 0. Repeated
-    rows and null ids give a row each. Of matches with the same interval the rule of better priority stays. An empty
-    table gives no rows. Only the id and text columns are read.
+    rows and null ids give a row each. Of matches with the same interval the rule of better priority stays. Very long
+    texts are read whole, in time linear in their words. An empty table gives no rows. Only the id and text columns are
+    read, so names of others don't matter.
     """
     rules = signature_rules() if rules is None else rules
     rules_col = _rule_column(rules)
-    gates = sorted({*gate_words(rules), "license"})  # base phrases end in this word
+    # "license" is a keyword as base phrases end in it.
+    keywords = F.array(*[F.lit(w) for w in sorted({w for r in rules for w in r.keywords} | {"license"})])
 
-    def read(low: Column) -> Column:
-        gate = F.lit(False)
-        for word in gates:
-            gate = gate | F.contains(low, F.lit(word))
+    def counted(parts: Column) -> Column:
+        # Only the first and the last part can be empty.
+        return F.filter(parts, lambda w: w != "")
 
-        def counted(words: Column) -> Column:
-            n = F.when(words == "", F.lit(0)).otherwise(_n_words(words) + 1)
-            return F.struct(n.cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), words, F.lit(" "))).alias("norm"))
+    words = bind(F.split(lower_ascii(text_of(text_col)), NOT_WORDS, -1), counted)
 
-        return bind(F.trim(F.regexp_replace(low, NOT_WORDS, " ")), counted)
+    def read(words: Column) -> Column:
+        keys = F.array_intersect(words, keywords)
+        held = lambda k: F.struct(
+            F.size(words).cast("long").alias("n_words"), k.alias("keys"),
+            F.when(F.size(k) > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).alias("norm"),
+            F.when(F.array_contains(k, "license"), words).alias("words"),
+        )
+        return bind(keys, held)
 
-    step = docs.select(F.col(id_col).alias("id"), bind(lower_ascii(text_of(text_col)), read).alias("read"))
-    step = step.select("id", "read.n_words", "read.norm")
-    has_base = F.contains("norm", F.lit(" license "))
-    step = step.withColumn("words", F.when(has_base, F.split(F.trim("norm"), " ")))
+    step = docs.select(F.col(id_col).alias("id"), bind(words, read).alias("read")).select("id", "read.*")
     base = []
     for phrase, label in BASE:
         places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), _phrase_at(F.col("words"), phrase.split(" ")))
         base.append(F.transform(places, _labelled(label)))
     none = F.array().cast("array<struct<at:int,label:string>>")
-    step = step.withColumn("base", F.when(has_base, F.concat(*base)).otherwise(none)).drop("words")
-    step = step.withColumn("found", F.when(F.col("norm").isNotNull(), bind(F.col("norm"), lambda n: _detections(n, rules_col))))
-    step = step.withColumn("kept", F.coalesce(_survivors(F.col("found")), F.array().cast(f"array<{DETECTION}>"))).drop("norm", "found")
+    step = step.withColumn("base", F.when(F.col("words").isNotNull(), F.concat(*base)).otherwise(none)).drop("words")
+    found = F.when(F.col("norm").isNotNull(), _detections(F.col("norm"), F.col("keys"), F.col("n_words"), rules_col))
+    step = step.withColumn("kept", F.coalesce(F.array_sort(found), F.array().cast(f"array<{DETECTION}>"))).drop("norm", "keys")
     at = F.transform("base", lambda b: b["at"].cast("long"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
     score = F.greatest(
@@ -245,12 +162,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join(base_labels, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base_labels, F.transform("kept", lambda d: d["label"]))), ",").alias("labels"),
         score.alias("score"),
-        F.transform(
-            "kept",
-            lambda d: F.struct(
-                d["start"].alias("start"), (-d["neg_end"]).alias("end"), d["priority"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence")
-            ),
-        ).alias("detections"),
+        F.col("kept").alias("detections"),
     )
 
 

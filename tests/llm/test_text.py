@@ -8,12 +8,12 @@ import xxhash
 from pyspark.sql import functions as F
 
 from chainloom.llm import fingerprints as fp
-from chainloom.llm import licenses, packing, token_counts, toxicity
+from chainloom.llm import packing, token_counts, toxicity
 
 MASK = (1 << 64) - 1
 
 
-@pytest.mark.parametrize("module", [licenses, packing, token_counts, toxicity])
+@pytest.mark.parametrize("module", [packing, token_counts, toxicity])
 def test_doctests(module):
     assert doctest.testmod(module).failed == 0
 
@@ -100,78 +100,6 @@ def test_next_buckets_in_levels(spark):
     assert links == {b: a for a, b in zip([None, *ids], ids, strict=False)}
 
 
-# --- licenses
-
-
-def test_licenses_base_against_python(spark):
-    texts = [None, "", "MIT License", "mit\n\nLICENSE!", "the mit license mit license", "General Public licenSe, Apache License 2.0", "mitlicense", "É mit license", "licence", "license " * 3000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for r in licenses.license_scan(df).collect():
-        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.doc_id] or "")
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-        places = [(i, label) for phrase, label in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
-        at = [i for i, _ in places]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(at, default=None), max(at, default=None))
-        assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(r.base_labels.split(",")) <= set(r.labels.split(","))
-        assert 0 <= r.score <= 1
-
-
-def detect_by_hand(words, rules):
-    joined = " " + " ".join(words) + " "
-    found = []
-    for r in rules:
-        if r.held in joined and any(f in joined for f in r.families):
-            for m in re.finditer(r.pattern, joined):
-                a = joined[: m.start()].count(" ") - 1
-                found.append((a, -(a + m.group().count(" ") + 1), r.priority, r.label))
-    kept = []
-    for d in sorted(found):
-        if not kept or d[0] >= -kept[-1][1]:
-            kept.append(d)
-        elif d[1] >= kept[-1][1] or d[2] > kept[-1][2]:
-            continue
-        else:
-            kept[-1] = d
-    return [(a, -e, p, label) for a, e, p, label in kept]
-
-
-def test_license_rules_against_python(spark):
-    texts = [
-        "Licensed under CC BY-NC 4.0.\nfoo", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3",
-        "SPDX-License-Identifier: MIT\nand BSD 3-Clause license agreement", "dual licensed under the MIT license; see the Mozilla Public License", "unrelated words only",
-        "subject to the terms of the GNU Lesser General Public License version 2.1 or the GNU Affero General Public License", "license mit license mit",
-    ]
-    rules = licenses.signature_rules()
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for r in licenses.license_scan(df).collect():
-        words = re.findall(r"[a-z0-9]+", texts[r.doc_id].lower())
-        assert [(d.start, d.end, d.rule, d.label) for d in r.detections] == detect_by_hand(words, rules), texts[r.doc_id]
-
-
-def test_licenses_without_a_name_or_the_word(spark):
-    want = {
-        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files": "mit",
-        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted": "isc",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
-        "This program is free software; you can redistribute it and/or modify it": "gpl",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public": "lgpl",
-        "Distributed under the terms of the GPL v2": "gpl",
-        "Released under CC BY 4.0": "cc-by",
-        "It is available\nunder the Apache 2.0": "apache",
-        "See the GNU GPL v3": "",
-        "released under pressure": "",
-    }
-    df = spark.createDataFrame(list(enumerate(want)), "doc_id bigint, text string")
-    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
-    assert [got[i].labels for i in range(len(want))] == list(want.values())
-    assert all((got[i].score > 0) == bool(x) for i, x in enumerate(want.values()))
-
-
-def test_license_gate_lets_every_rule_through():
-    rules = licenses.signature_rules()
-    assert all(any(w in r.held for w in licenses.gate_words(rules)) for r in rules)
-
-
 # --- token counts
 
 
