@@ -1,16 +1,12 @@
 import doctest
 import random
-import re
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
-from chainloom.llm import fingerprints as fp
 from chainloom.llm import packing, token_counts, toxicity
 
-MASK = (1 << 64) - 1
 
 
 @pytest.mark.parametrize("module", [packing, token_counts, toxicity])
@@ -18,88 +14,6 @@ def test_doctests(module):
     assert doctest.testmod(module).failed == 0
 
 
-# --- fingerprints
-
-
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
-def winnow_by_hand(text, k=fp.GRAM, w=fp.WINDOW):
-    tokens = []
-    for run in re.split(r"[\x20\x09-\x0D]+", text or ""):
-        tokens += [run[i : i + fp.TOKEN_CHARS] for i in range(0, len(run), fp.TOKEN_CHARS)]
-    grams = []
-    for i in range(max(1, len(tokens) - k + 1) if tokens else 0):
-        h = 42
-        for t in tokens[i : i + k]:
-            h = xxhash.xxh64_intdigest(t.encode(), seed=h & MASK)
-        grams.append((h & MASK) >> (fp.PLACE_BITS + 1))
-    chosen = []
-    for i in range(max(1, len(grams) - w + 1) if grams else 0):
-        part = grams[i : i + w]
-        low = min(part)
-        at = i + max(j for j, h in enumerate(part) if h == low)
-        if (low, at) not in chosen:
-            chosen.append((low, at))
-    return chosen
-
-
-TEXTS = ["", None, "a", "a b c", "one two three four five six seven", "a b " * 40, "x" * 500, "Ünï çödé " * 9, " lead  and\ttrail \n"]
-
-
-def test_winnowing_against_python(spark):
-    rng = random.Random(1)
-    rows = list(enumerate(TEXTS + [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(80))) for _ in range(30)]))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for r in fp.fingerprint(df).collect():
-        assert [(x.hash, x.position) for x in r.selected] == winnow_by_hand(rows[r.doc_id][1])
-
-
-def test_shared_passage_is_always_found(spark):
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    passage = " ".join(word() for _ in range(fp.GRAM + fp.WINDOW - 1))
-    rows = [(i, " ".join([*(word() for _ in range(rng.randrange(50))), passage, *(word() for _ in range(rng.randrange(50)))])) for i in range(12)]
-    sets = [{x.hash for x in r.selected} for r in fp.fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
-    assert all(a & b for a in sets for b in sets)
-
-
-def test_edited_texts_against_python(spark):
-    import hashlib
-
-    rng = random.Random(5)
-    ids = rng.sample(range(-500, 4000), 90)
-    rows = [(i, rng.choice([None, "", "ab", "é" * 7, " ".join("".join(rng.choice("abc") for _ in range(4)) for _ in range(rng.randrange(70)))])) for i in ids]
-    order = sorted(rows, reverse=True)
-    got = {r.doc_id: r for r in fp.compare_edited(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    for k, (i, t) in enumerate(order):
-        t, after = t or "", order[(k + 1) % len(order)][1] or ""
-        cut = len(t) // 3
-        edited = t[: len(t) - cut] + after[:cut]
-        a, b, c = ({h for h, _ in winnow_by_hand(x)} for x in (t, edited, after))
-        r = got[i]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == ",".join(f"{h:x}" for h in sorted(a)) and r.edited_fingerprint == ",".join(f"{h:x}" for h in sorted(b))
-        assert abs(r.near_edited - like(a, b)) < 1e-12 and abs(r.near_next - like(a, c)) < 1e-12
-
-
-def test_edited_texts_of_odd_tables(spark):
-    kind = "doc_id bigint, text string, bucket int, row string"
-    assert fp.compare_edited(spark.createDataFrame([], kind)).count() == 0
-    one = fp.compare_edited(spark.createDataFrame([(1, "abc def", 0, "")], kind)).collect()
-    assert len(one) == 1 and one[0].near_next == 1.0
-    many = fp.compare_edited(spark.createDataFrame([(None, "x y", 0, ""), (7, "p", 0, ""), (7, "q", 0, ""), (7, "q", 0, "")], kind)).collect()
-    assert len(many) == 4
-
-
-def test_next_buckets_in_levels(spark):
-    ids = sorted(random.Random(2).sample(range(-(10**9), 10**9), 6000))
-    links = {r.bucket: r.next_bucket for r in fp._next_buckets(spark.createDataFrame([(i,) for i in ids], "bucket bigint")).collect()}
-    assert links == {b: a for a, b in zip([None, *ids], ids, strict=False)}
-
-
 # --- token counts
 
 
