@@ -46,10 +46,10 @@ def rotate(v: Vector, axis: Vector, angle: Column) -> Vector:
 
 
 def bond_angle(a: Vector, b: Vector, c: Vector) -> Column:
-    """The angle at ``b``."""
+    """The angle at ``b``, null where a point is."""
     u, w = sub(a, b), sub(c, b)
     cos = dot(u, w) / (norm(u) * norm(w))
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
+    return F.when(cos.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
 
 
 def dihedral(p0: Vector, p1: Vector, p2: Vector, p3: Vector) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.angles import TWO_PI
+from chainloom.operators.splits import quantiles
 
 
 def clean(rows: DataFrame, value: str) -> DataFrame:
@@ -26,7 +27,7 @@ def equal_width_edges(lo: float, hi: float, bins: int) -> list[float]:
 def quantile_edges(rows: DataFrame, value: str, bins: int) -> list[float]:
     """Edges that hold equally many values: exact quantiles with linear interpolation."""
     wanted = [i / bins for i in range(bins + 1)]
-    return [float(x) for x in rows.agg(F.percentile(value, F.array(*[F.lit(q) for q in wanted]))).first()[0]]
+    return [float(x) for x in quantiles(rows.select(value), value, wanted).first()]
 
 
 def bin_of(value: Column, edges: list[float], out_of_range: str = "error") -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chainloom.operators.splits import running_sum
+
 
 def in_order():
     """Each chain by position."""
@@ -75,11 +77,15 @@ def merge_pair(tokens: DataFrame, pair: DataFrame, joiner: str = "+") -> DataFra
 def token_ids(tokens: DataFrame) -> DataFrame:
     """Vocabulary (token, id, n): dense ids from 0 in the order of the tokens."""
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("id", (F.row_number().over(W.orderBy("token")) - 1).cast("long"))
+    numbered = running_sum(counts.withColumn("__one", F.lit(1).cast("long")), "token", "__one", "id")
+    return numbered.select("token", "n", F.col("id").cast("long").alias("id"))
 
 
-def encode_ids(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return tokens.join(vocabulary.select("token", "id"), "token").select("chain", "pos", "id")
+def encode_ids(tokens: DataFrame, vocabulary: DataFrame, unknown: int | None = None) -> DataFrame:
+    """(chain, pos, id); a token that the vocabulary doesn't hold becomes ``unknown``, or raises without it."""
+    missing = F.lit(unknown).cast("long") if unknown is not None else F.raise_error(F.concat(F.lit("unknown token: "), F.col("token"))).cast("long")
+    found = tokens.join(vocabulary.select("token", F.col("id").alias("__id")), "token", "left")
+    return found.select("chain", "pos", F.when(F.col("__id").isNotNull(), F.col("__id")).otherwise(missing).alias("id"))
 
 
 def decode_ids(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:

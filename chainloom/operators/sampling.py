@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chainloom.functions.angles import wrap
-from chainloom.operators.splits import unit_hash
+from chainloom.operators.splits import running_sum, unit_hash
 from chainloom.storage import settle
 
 
@@ -41,11 +41,15 @@ def noised(rows: DataFrame, chain: str, pos: str, value: str, alphas: DataFrame,
 def sampled_lengths(sizes: DataFrame, length: str, n: int, seed: int) -> DataFrame:
     """(draw, length): ``n`` lengths drawn with replacement from those observed, by their cumulative counts."""
     counts = sizes.groupBy(F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.orderBy("length").rowsBetween(W.unboundedPreceding, 0))
-    ranges = counts.select("length", (upto - F.col("c")).alias("lo"), upto.alias("hi"))  # one row for each distinct length
+    ranges = running_sum(counts, "length", "c", "lo").withColumn("hi", F.col("lo") + F.col("c"))
     total = sizes.count()
+    # Draws meet ranges by cell: a range lies in few of them unless it is long, and all ranges together in 4096 more than there are.
+    width = max(1, total // 4096)
+    cells = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))
+    ranges = ranges.select("length", "lo", "hi", cells.alias("cell"))
     draws = sizes.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(unit_hash(F.col("id"), seed) * total).alias("at"))
-    return draws.join(ranges, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw", "length")
+    draws = draws.withColumn("cell", F.floor(F.col("at") / width))
+    return draws.join(ranges, "cell").filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw", "length")
 
 
 def next_token_model(tokens: DataFrame) -> DataFrame:

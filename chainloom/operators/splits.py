@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chainloom.storage import settle
+
 
 def unit_hash(key: Column, seed: int) -> Column:
     """A number in [0, 1) from the first 13 hexadecimal digits of an MD5, which other engines can compute too."""
@@ -68,6 +70,47 @@ def with_rank(rows: DataFrame, order: str, width: int = 4096) -> DataFrame:
     return celled.withColumn("__n", nth).join(bases, "__cell").withColumn("rank", F.col("__base") + F.col("__n")).drop("__cell", "__n", "__base")
 
 
+def running_sum(rows: DataFrame, order: str, weight: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Rows with ``out``: the sum of ``weight`` over the rows before them in ``order``, within ``by`` if given.
+
+    Rows are dealt by ranges of the order, which need no single task even for one group; a range's sum comes first, and
+    the sums of the ranges before it, one number for each range and group, are added to the sums inside it.
+    """
+    by = by or []
+    placed = settle(rows.repartitionByRange(*by, order).withColumn("__cell", F.spark_partition_id()))
+    sums = placed.groupBy(*by, "__cell").agg(F.sum(weight).alias("__s"))
+    before = W.partitionBy(*by).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.withColumn("__base", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    bases = bases.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__cell").alias("__of"), "__base")
+    met = F.col("__cell") == F.col("__of")
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    inner = W.partitionBy(*by, "__cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    inside = placed.withColumn("__in", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+    return inside.join(bases, met).select(*rows.columns, (F.col("__base") + F.col("__in")).alias(out))
+
+
+def quantiles(rows: DataFrame, value: str, wanted: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., q0, q1, ...): exact quantiles with linear interpolation, null for groups without values.
+
+    Values are counted, their counts summed up over ranges; only the two values around each quantile are gathered.
+    """
+    by = by or []
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = settle(running_sum(counts, "__v", "__n", "__lo", by))
+    # A group's size is where its last value ends.
+    sizes = ranked.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(F.max(F.col("__lo") + F.col("__n")).alias("__all"))
+    met = F.lit(True)
+    for i, c in enumerate(by):
+        met = met & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    rows_ = ranked.join(sizes, met) if by else ranked.crossJoin(F.broadcast(sizes))
+    at = lambda q: F.lit(q) * (F.col("__all") - 1)
+    held = lambda r: (F.col("__lo") <= r) & (r < F.col("__lo") + F.col("__n"))
+    ends = [(F.max(F.when(held(F.floor(at(q))), F.col("__v"))), F.max(F.when(held(F.ceil(at(q))), F.col("__v")))) for q in wanted]
+    part = [F.max(at(q) - F.floor(at(q))) for q in wanted]
+    return rows_.groupBy(*by).agg(*[(a + (b - a) * t).alias(f"q{i}") for i, ((a, b), t) in enumerate(zip(ends, part, strict=True))])
+
+
 def random_cuts(chains: DataFrame, chain: str, length: str, pieces: str, rounds: int, seed: int) -> DataFrame:
     """(chain, round, lo, hi): random partitions into so many contiguous pieces, by hashed cut points.
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chainloom.operators.splits import quantiles, running_sum
+
 
 def codebook_utility(tokens: DataFrame, token: str, size: int | None = None, eps: float = 1e-8) -> DataFrame:
     """One row: perplexity, entropy, both by vocabulary size, and the share of tokens used. ``size`` counts unused ones."""
@@ -46,10 +48,11 @@ def histogram_2d(rows: DataFrame, x: Column, y: Column) -> DataFrame:
     return rows.select(x.alias("bx"), y.alias("by")).groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
 
 
-def five_numbers(value: str) -> list[Column]:
-    """Aggregates: minimum, quartiles and maximum."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.min(value).alias("lowest"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(value).alias("highest")]
+def five_numbers(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., lowest, q1, median, q3, highest)."""
+    names = dict(zip(("lowest", "q1", "median", "q3", "highest"), range(5), strict=True))
+    out = quantiles(rows, value, [0.0, 0.25, 0.5, 0.75, 1.0], by)
+    return out.select(*(by or []), *[F.col(f"q{i}").alias(n) for n, i in names.items()])
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -58,11 +61,10 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 def average_ranks(rows: DataFrame, value: str, out: str, partition: list[str] | None = None) -> DataFrame:
     """Ranks from 1, equal values share the mean of theirs. Values are counted first: ranks come from a running sum over
-    distinct values, not over rows."""
+    ranges of distinct values, not over rows, and no task holds them all."""
     by = partition or []
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    before = F.coalesce(F.sum("__c").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select(*by, value, (before + (F.col("__c") + 1) / 2).alias(out))
+    ranked = running_sum(counts, value, "__c", "__before", by).select(*by, value, (F.col("__before") + (F.col("__c") + 1) / 2).alias(out))
     return rows.join(ranked, [*by, value])
 
 

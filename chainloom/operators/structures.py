@@ -85,11 +85,12 @@ def clashes(points: DataFrame, chain: str = "chain_id", index: str = "k", radius
 
 
 def voxels(points: DataFrame, chain: str, grid: int = 64, padding: float = 2.0) -> DataFrame:
-    """(chain, vx, vy, vz): occupied cells of a grid over each chain's box with padding; sparse."""
+    """(chain, vx, vy, vz): occupied cells of a grid over each chain's box with padding; sparse. Each axis has its own
+    spacing, so that ``grid`` points reach from one end of the box to the other."""
     box = points.groupBy(chain).agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
     rows = points.join(box, chain)
-    step = F.greatest(*[F.col(f"hi{c}") - F.col(f"lo{c}") + 2 * padding for c in "xyz"]) / grid
-    return rows.select(F.col(chain).alias("chain"), *[F.least(F.lit(grid - 1), F.floor((F.col(c) - F.col(f"lo{c}") + padding) / step)).alias(f"v{c}") for c in "xyz"]).distinct()
+    step = lambda c: (F.col(f"hi{c}") - F.col(f"lo{c}") + 2 * padding) / (grid - 1)
+    return rows.select(F.col(chain).alias("chain"), *[F.floor((F.col(c) - F.col(f"lo{c}") + padding) / step(c)).alias(f"v{c}") for c in "xyz"]).distinct()
 
 
 def place(a: Vector, b: Vector, c: Vector, length: float, angle: float, torsion) -> Vector:

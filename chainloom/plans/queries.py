@@ -7,6 +7,7 @@ sessions. Floats are rounded to six places on both sides.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from chainloom.functions import features
 from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, motifs, sampling, sequences, splits, stats, structures
 from chainloom.plans.learn import encode, learn
 from chainloom.sources import sinks, text
+from chainloom.storage import shared_dir
 from chainloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,10 +124,10 @@ def encode_frozen(spark, d):
 
 @query("""WITH w AS (SELECT doc_id AS chain, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents),
 p AS (SELECT token AS l, lead(token) OVER (PARTITION BY chain ORDER BY pos) AS r, chain FROM w)
-SELECT l AS "left", r AS "right", count(*) AS n, count(DISTINCT chain) AS n_chains FROM p WHERE r IS NOT NULL GROUP BY l, r HAVING count(*) >= 5""")
+SELECT l AS "left", r AS "right", count(*) AS n, count(DISTINCT chain) AS n_chains FROM p WHERE r IS NOT NULL GROUP BY l, r""")
 def word_pair_counts(spark, d):
     words = chains.word_chains(table(spark, d, "documents"), "doc_id", "text")
-    return chains.pair_counts(words).filter("n >= 5")
+    return chains.pair_counts(words)
 
 
 def size_sql(k: int) -> str:
@@ -347,7 +349,7 @@ def hist_2d(spark, d):
 
 @query("SELECT l_returnflag, round(min(l_extendedprice), 6) AS lowest, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3, round(max(l_extendedprice), 6) AS highest FROM lineitem GROUP BY 1")
 def five_number_summary(spark, d):
-    return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(*stats.five_numbers("l_extendedprice")))
+    return rounded(stats.five_numbers(table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice"), "l_extendedprice", ["l_returnflag"]))
 
 
 @query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")
@@ -625,18 +627,19 @@ def prefix_join(spark, d):
 
 
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem WHERE l_returnflag = 'R')
-SELECT l.l_orderkey, l.l_linenumber, coalesce(f.l_orderkey, -1) AS first_order FROM (SELECT * FROM lineitem WHERE l_linenumber = 1) l LEFT JOIN (SELECT * FROM f WHERE rn = 1) f ON l.l_partkey = f.l_partkey AND l.l_suppkey = f.l_suppkey""")
+SELECT l.l_orderkey, l.l_linenumber, coalesce(f.l_orderkey, -1) AS first_order FROM lineitem l LEFT JOIN (SELECT * FROM f WHERE rn = 1) f ON l.l_partkey = f.l_partkey AND l.l_suppkey = f.l_suppkey""")
 def masked_lookup(spark, d):
     items = table(spark, d, "lineitem")
     labels = items.filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey", F.col("l_orderkey").alias("first_order"), F.col("l_linenumber").alias("ln"))
-    rows = items.filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return lookups.first_match(rows, labels, ["l_partkey", "l_suppkey"], ["first_order", "ln"]).select("l_orderkey", "l_linenumber", F.coalesce("first_order", F.lit(-1)).alias("first_order"))
 
 
-@query("SELECT doc_id FROM documents WHERE source IN (SELECT DISTINCT source FROM documents WHERE doc_id % 97 = 0) AND doc_id % 2 = 1")
+@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND text IN (SELECT text FROM documents JOIN labels USING (doc_id))""")
 def leakage_semijoin(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return lookups.leakage(docs.filter("doc_id % 97 = 0"), docs.filter("doc_id % 2 = 1"), ["source"]).select("doc_id")
+    """Training is what has labels, the test all other documents; a text in both leaks."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select("doc_id")
+    return lookups.leakage(docs.join(labels, "doc_id", "left_semi"), docs.join(labels, "doc_id", "left_anti"), ["text"]).select("doc_id")
 
 
 @query("WITH k AS (SELECT vec_id, label FROM embeddings WHERE label IN (1, 3, 4, 8)), m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS dense FROM (SELECT DISTINCT label FROM k)) SELECT vec_id, label, dense FROM k JOIN m USING (label)")
@@ -1091,3 +1094,165 @@ def sample_chains(spark, d):
 def grammatical(spark, d):
     table_, ids = learned_motifs(spark, d)
     return sampling.grammatical(motifs.id_sequence(table_, ids, (4, 1, 1)), ids.count(), (4, 1, 1))
+
+
+# --- structures: from lines of a file to residue tokens ---------------------------------------------------------------
+
+#: Every embedding is a chain of seven residues, three backbone atoms each, at whole hundredths of a unit. Even residues
+#: have a CB; chains whose number ends in 3 lack their last C.
+POINTS = """a AS (SELECT vec_id, i, i // 3 AS r, 'v' || vec_id AS chain_id, (i // 3 + 1)::INT AS res_id, ['N', 'CA', 'C'][(i % 3 + 1)::INT] AS atom,
+  round(embedding[(3 * i + 1)::INT]::DOUBLE * 1000) / 100.0 AS x, round(embedding[(3 * i + 2)::INT]::DOUBLE * 1000) / 100.0 AS y, round(embedding[(3 * i + 3)::INT]::DOUBLE * 1000) / 100.0 AS z
+  FROM embeddings, (SELECT unnest(range(0, 21)) AS i) WHERE NOT (vec_id % 10 = 3 AND i = 20))"""
+LETTER = "'ACDEFGHIKLMNPQRSTVWY'[((vec_id + r) % 20 + 1)::INT]"
+
+
+def structure_lines(spark, d) -> DataFrame:
+    """Lines (value, path) of structure files made of embeddings."""
+    code = {one: three for three, one in text.LETTERS.items()}
+    names = F.array(*[F.lit(code[x]) for x in text.ALPHABET])
+    at = lambda k: F.round(F.get("embedding", F.col("i") * 3 + k).cast("double") * 1000) / 100.0
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
+    rows = rows.filter("NOT (vec_id % 10 = 3 AND i = 20)").select("vec_id", "i", F.floor(F.col("i") / 3).cast("int").alias("r"), *[at(k).alias(c) for k, c in enumerate("xyz")])
+    own = rows.select("vec_id", "r", (F.col("i") * 2).alias("n"), F.element_at(F.array(F.lit("N"), F.lit("CA"), F.lit("C")), F.col("i") % 3 + 1).alias("atom"), "x", "y", "z")
+    side = rows.filter("i % 3 = 1 AND r % 2 = 0").select("vec_id", "r", (F.col("i") * 2 + 1).alias("n"), F.lit("CB").alias("atom"), (F.col("x") + 1.5).alias("x"), (F.col("y") - 0.25).alias("y"), (F.col("z") + 0.5).alias("z"))
+    res = F.get(names, ((F.col("vec_id") + F.col("r")) % 20).cast("int"))
+    line = F.format_string("ATOM  %5d  %-3s %3s A%4d    %8.3f%8.3f%8.3f  1.00  0.00", F.col("n") + 1, "atom", res, F.col("r") + 1, "x", "y", "z")
+    return own.unionByName(side).select(line.alias("value"), F.concat(F.lit("file:/data/train/v"), F.col("vec_id"), F.lit(".pdb")).alias("path"))
+
+
+def structure_atoms(spark, d) -> DataFrame:
+    return text.atoms(structure_lines(spark, d))
+
+
+def structure_backbone(spark, d) -> DataFrame:
+    return structures.backbone(structure_atoms(spark, d))
+
+
+@query(f"WITH {POINTS} SELECT chain_id, (row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1)::INT AS k, atom, {LETTER} AS aa, res_id, x, y, z FROM a")
+def structure_scan(spark, d):
+    rows = structure_backbone(spark, d)
+    return rows.select("chain_id", "k", "atom", text.one_letter(F.col("res")).alias("aa"), "res_id", "x", "y", "z")
+
+
+@query(f"WITH {POINTS} SELECT chain_id, count(DISTINCT r) AS n_residues, count(*) = 21 AS valid FROM a GROUP BY 1")
+def structure_valid(spark, d):
+    return structures.valid_chains(structure_backbone(spark, d))
+
+
+@query(f"WITH {POINTS} SELECT chain_id, string_agg({LETTER}, '' ORDER BY r) AS seq FROM a WHERE i % 3 = 1 GROUP BY 1")
+def structure_sequences(spark, d):
+    return structures.sequences(structure_atoms(spark, d))
+
+
+def vector_sql(a: str, b: str) -> str:
+    return ", ".join(f"{b}.{c} - {a}.{c}" for c in "xyz")
+
+
+#: Bonds by plain vector algebra: p, q, s, t are four atoms in a row, u, v, w the vectors between them.
+BOND_SQL = POINTS + """,
+f AS (SELECT vec_id, chain_id, i AS k, (i % 3)::INT AS kind, x - lag(x) OVER o AS vx, y - lag(y) OVER o AS vy, z - lag(z) OVER o AS vz, lead(x) OVER o - x AS wx, lead(y) OVER o - y AS wy, lead(z) OVER o - z AS wz,
+  lag(x) OVER o - lag(x, 2) OVER o AS ux, lag(y) OVER o - lag(y, 2) OVER o AS uy, lag(z) OVER o - lag(z, 2) OVER o AS uz FROM a WINDOW o AS (PARTITION BY vec_id ORDER BY i)),
+c AS (SELECT *, uy * vz - uz * vy AS mx, uz * vx - ux * vz AS my, ux * vy - uy * vx AS mz, vy * wz - vz * wy AS nx, vz * wx - vx * wz AS ny, vx * wy - vy * wx AS nz, sqrt(vx * vx + vy * vy + vz * vz) AS v FROM f WHERE wx IS NOT NULL),
+b AS (SELECT vec_id, chain_id, k, kind, sqrt(wx * wx + wy * wy + wz * wz) AS len, acos(greatest(-1, least(1, -(vx * wx + vy * wy + vz * wz) / (v * sqrt(wx * wx + wy * wy + wz * wz))))) AS ang,
+  atan2((my * nz - mz * ny) * vx / v + (mz * nx - mx * nz) * vy / v + (mx * ny - my * nx) * vz / v, mx * nx + my * ny + mz * nz) AS dih, vx IS NULL AS first FROM c)"""
+
+
+@query(f"WITH {BOND_SQL} SELECT chain_id, k::INT AS k, kind, round(len, 6) AS len, CASE WHEN NOT first THEN round(ang, 6) END AS ang, round(dih, 6) AS dih FROM b")
+def structure_bonds(spark, d):
+    return rounded(structures.bonds(structure_backbone(spark, d)))
+
+
+@query(f"""WITH {BOND_SQL} SELECT chain_id, (k - 2) // 3 AS r, round(max(CASE WHEN kind = 2 THEN dih END), 6) AS psi, round(max(CASE WHEN kind = 0 THEN dih END), 6) AS omega, round(max(CASE WHEN kind = 1 THEN dih END), 6) AS phi
+FROM b WHERE dih IS NOT NULL GROUP BY 1, 2""")
+def structure_dihedrals(spark, d):
+    return rounded(structures.named_dihedrals(structures.bonds(structure_backbone(spark, d))))
+
+
+@query(f"WITH {POINTS} SELECT chain_id, res_id, CASE WHEN r % 2 = 0 THEN x + 1.5 END AS x, CASE WHEN r % 2 = 0 THEN y - 0.25 END AS y, CASE WHEN r % 2 = 0 THEN z + 0.5 END AS z FROM a WHERE atom = 'CA'")
+def structure_c_betas(spark, d):
+    return structures.c_betas(structure_atoms(spark, d)).select("chain_id", "res_id", "x", "y", "z")
+
+
+FRAME_SQL = POINTS + """,
+h AS (SELECT chain_id, r, any_value(res_id) AS res_id, """ + ", ".join(f"max(CASE WHEN atom = '{t}' THEN {c} END) AS {t.lower()}{c}" for t in ("N", "CA", "C") for c in "xyz") + """ FROM a GROUP BY 1, 2),
+e AS (SELECT *, cx - cax AS ex, cy - cay AS ey, cz - caz AS ez, nx - cax AS gx, ny - cay AS gy, nz - caz AS gz FROM h WHERE cx IS NOT NULL),
+l AS (SELECT *, sqrt(ex * ex + ey * ey + ez * ez) AS el, ey * gz - ez * gy AS sx, ez * gx - ex * gz AS sy, ex * gy - ey * gx AS sz FROM e),
+t AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS sl FROM l)"""
+
+
+@query(f"""WITH {FRAME_SQL} SELECT chain_id, res_id, 'CB' AS atom, round((1.5 * ex - 0.25 * ey + 0.5 * ez) / el, 6) AS u,
+round((1.5 * (sy * ez - sz * ey) - 0.25 * (sz * ex - sx * ez) + 0.5 * (sx * ey - sy * ex)) / (el * sl), 6) AS v, round((1.5 * sx - 0.25 * sy + 0.5 * sz) / sl, 6) AS w FROM t WHERE r % 2 = 0""")
+def structure_side_chains(spark, d):
+    atoms = structure_atoms(spark, d)
+    return rounded(structures.local_side_chains(atoms, structures.backbone(atoms)))
+
+
+@query(f"""WITH {POINTS}, n AS (SELECT p.chain_id AS chain, p.i, arg_min(q.i, [sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)), q.i]) AS j FROM a p JOIN a q ON p.vec_id = q.vec_id AND p.i <> q.i WHERE p.atom = 'CA' AND q.atom = 'CA' GROUP BY 1, 2)
+SELECT chain, (i // 3)::INT AS i, (j // 3)::INT AS j FROM n""")
+def structure_partners(spark, d):
+    points = structure_backbone(spark, d).filter("atom = 'CA'").select(F.col("chain_id").alias("chain"), F.floor(F.col("k") / 3).cast("int").alias("r"), "x", "y", "z")
+    return structures.nearest_partners(points, "chain", "r")
+
+
+@query(f"""WITH {POINTS}, e AS (SELECT chain_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM a GROUP BY 1)
+SELECT DISTINCT chain_id AS chain, """ + ", ".join(f"floor(({c} - l{c} + 2.0) / ((h{c} - l{c} + 4.0) / 63))::BIGINT AS v{c}" for c in "xyz") + " FROM a JOIN e USING (chain_id)")
+def structure_voxels(spark, d):
+    return structures.voxels(structure_backbone(spark, d).select("chain_id", "x", "y", "z"), "chain_id")
+
+
+@query(f"""WITH {BOND_SQL}, g AS (SELECT *, """ + ", ".join(f"lead({c}, {n}) OVER o AS {c}{n}" for c in ("ang", "dih") for n in (1, 2, 3)) + """, max(k) OVER (PARTITION BY vec_id) AS last FROM b WINDOW o AS (PARTITION BY vec_id ORDER BY k))
+SELECT chain_id AS chain, (k // 3)::BIGINT AS pos, k AS start, least(3, last - k + 1) AS width FROM g WHERE kind = 0""")
+def structure_residues(spark, d):
+    """The first table of residue tokens, without its names: where each stands and how many bonds it holds."""
+    bonds = structures.bonds(structure_backbone(spark, d))
+    return motifs.residue_tokens(bonds, motifs.feature_edges(bonds, 8)).select("chain", "pos", "start", "width")
+
+
+@query(f"WITH {BOND_SQL} SELECT chain_id AS chain, k AS pos, kind::VARCHAR AS token, k AS start, 1::BIGINT AS width FROM b")
+def structure_bond_tokens(spark, d):
+    return motifs.bond_tokens(structures.bonds(structure_backbone(spark, d))).select("chain", "pos", "token", "start", "width")
+
+
+@query(None)
+def structure_motifs(spark, d):
+    """File lines to atoms, bonds, residue tokens, three learned merges and the chains encoded by them."""
+    bonds = structures.bonds(structure_backbone(spark, d))
+    first = motifs.residue_tokens(bonds, motifs.feature_edges(bonds, 2))
+    return motifs.encode_motifs(first, motifs.learn_motifs(first, 3)[0]).select("chain", "pos", "token", "start", "width")
+
+
+# --- text formats read from files -----------------------------------------------------------------------------------------
+
+
+def written(rows: DataFrame, kind: str) -> str:
+    """A folder of files of a format, in the shared folder."""
+    path = f"{shared_dir(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    rows.write.format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
+    return path
+
+
+@query("SELECT 'c' || c_custkey AS name, repeat('ACDEFGHIKL', (c_custkey % 13 + 1)::INT) || ['M', 'NP', 'QRS'][(c_custkey % 3 + 1)::INT] AS seq FROM customer")
+def fasta_scan(spark, d):
+    key = F.col("c_custkey")
+    seq = F.concat(F.repeat(F.lit("ACDEFGHIKL"), (key % 13 + 1).cast("int")), F.element_at(F.array(F.lit("M"), F.lit("NP"), F.lit("QRS")), (key % 3 + 1).cast("int")))
+    rows = table(spark, d, "customer").select(F.concat(F.lit("c"), key).alias("name"), seq.alias("seq"))
+    return text.fasta(spark, written(sinks.fasta_lines(rows), "text"))
+
+
+@query("SELECT r_name AS name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1 HAVING count(*) > 1")
+def fasta_duplicates(spark, d):
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = both.select(F.col("r_name").alias("name"), F.lit("ACDE").alias("seq"))
+    return text.duplicate_names(text.fasta(spark, written(sinks.fasta_lines(rows), "text")))
+
+
+@query("SELECT conv_id, turn, role, text, '' AS split FROM conversations")
+def json_lines_scan(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return text.json_lines(spark, written(rows, "json"), rows.schema)
+
+
+@query("SELECT epoch::INT AS epoch, name, value FROM (SELECT l_linenumber AS epoch, round(avg(l_discount), 4) AS train_loss, round(avg(l_tax), 4) AS val_loss FROM lineitem GROUP BY 1) UNPIVOT (value FOR name IN (train_loss, val_loss))")
+def training_log_scan(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("epoch")).agg(F.round(F.avg("l_discount"), 4).alias("train_loss"), F.round(F.avg("l_tax"), 4).alias("val_loss"), F.count(F.lit(1)).alias("rows"))
+    return text.training_log(spark, written(rows, "csv"))

@@ -211,3 +211,32 @@ def test_sweep_deletes_what_was_settled(spark):
     storage.sweep(spark)
     kept = storage.settle(spark.range(3))
     assert kept.count() == 3 and storage.sweep(spark) == 1 and storage.sweep(spark) == 0
+
+
+def test_quantiles_and_running_sums_over_ranges(spark):
+    import numpy as np
+    from chainloom.operators import splits
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=501).round(1), "b": np.full(300, 2.0), None: rng.normal(size=7)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    wanted = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(len(wanted))] for r in splits.quantiles(df, "v", wanted, ["g"]).collect()}
+    assert set(got) == set(groups)
+    assert all(np.allclose(got[g], np.quantile(values, wanted)) for g, values in groups.items())
+    whole = splits.quantiles(df, "v", wanted).first()
+    assert np.allclose(list(whole), np.quantile(np.concatenate(list(groups.values())), wanted))
+    sums = splits.running_sum(spark.createDataFrame([(f"k{i:03}", i) for i in range(200)], "k string, w bigint").repartition(7), "k", "w", "s")
+    assert {r.k: r.s for r in sums.collect()} == {f"k{i:03}": i * (i - 1) // 2 for i in range(200)}
+
+
+def test_unknown_tokens_raise_or_become_an_id(spark):
+    import pytest
+    from chainloom.operators import chains
+
+    tokens = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "chain bigint, pos bigint, token string")
+    vocabulary = chains.token_ids(tokens.filter("token = 'a'"))
+    assert [r.id for r in chains.encode_ids(tokens, vocabulary, unknown=-1).orderBy("pos").collect()] == [0, -1]
+    with pytest.raises(Exception, match="unknown token"):
+        chains.encode_ids(tokens, vocabulary).collect()
