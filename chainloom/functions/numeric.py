@@ -139,16 +139,14 @@ def best_hierarchy(unary: np.ndarray, split: np.ndarray) -> tuple[float, float,
     for width in range(1, n + 1):
         for i in range(n - width + 1):
             j = i + width
-            options_z, options_b = [], []
+            k = np.arange(i + 1, j)
+            z, b = inside[i, k] + inside[k, j] + split[i, j - 1], best[i, k] + best[k, j] + split[i, j - 1]
             if width <= most:
-                options_z.append(unary[i, width - 1])
-                options_b.append((unary[i, width - 1], 0))
-            for k in range(i + 1, j):
-                options_z.append(inside[i, k] + inside[k, j] + split[i, j - 1])
-                options_b.append((best[i, k] + best[k, j] + split[i, j - 1], k))
-            top = max(options_z)
-            inside[i, j] = top + np.log(np.exp(np.array(options_z) - top).sum())
-            best[i, j], cut[i, j] = max(options_b, key=lambda o: o[0])
+                z, b, k = np.append(unary[i, width - 1], z), np.append(unary[i, width - 1], b), np.append(0, k)
+            if len(k):
+                top = z.max()
+                inside[i, j] = top + np.log(np.exp(z - top).sum()) if np.isfinite(top) else top
+                best[i, j], cut[i, j] = b.max(), k[b.argmax()]
     leaves, todo = [], [(0, n)]
     while todo:
         i, j = todo.pop()
@@ -198,3 +196,177 @@ def fit_glue(lengths, angles, torsions, slots: list[tuple[str, int]], choices: l
         if best >= before - 1e-12:
             break
     return pick
+
+
+def monotone_path(score: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs (i, j), both increasing, with the largest sum of non-negative scores; gaps cost nothing.
+
+    >>> monotone_path(np.array([[0.0, 2.0, 0.0], [3.0, 0.0, 0.0], [0.0, 0.0, 1.0]]))
+    [(1, 0), (2, 2)]
+    """
+    n, m = score.shape
+    best = np.zeros((n + 1, m + 1))
+    for i in range(n):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, :-1] + score[i], best[i, 1:]))
+    path, i, j = [], n, m
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            path.append((i, j))
+    return path[::-1]
+
+
+def tm_align(p: np.ndarray, q: np.ndarray, starts: int = 5, rounds: int = 20, least: int = 3) -> tuple[float, list[tuple[int, int]]]:
+    """TM-score by the length of ``q`` and the residue pairs found by a search; NaN for chains of under ``least`` points.
+
+    Every gapless threading is scored, whole and by halves. From the best ``starts`` of them, the superposition on the
+    pairs and the pairs from superposed distances follow each other until the score stops growing. The best pairs count.
+    """
+    n, m = len(p), len(q)
+    if min(n, m) < least:
+        return float("nan"), []
+    d0 = max(0.5, 1.24 * np.cbrt(max(m - 15, 0)) - 1.8)
+
+    def scores(pairs: np.ndarray) -> np.ndarray:
+        r, t = kabsch(p[pairs[:, 0]], q[pairs[:, 1]])
+        off = ((p @ r.T + t)[:, None] - q[None]) ** 2
+        return 1 / (1 + off.sum(axis=2) / d0**2)
+
+    threads = []
+    for shift in range(least - n, m - least + 1):
+        i = np.arange(max(0, -shift), min(n, m - shift))
+        whole = np.stack([i, i + shift], axis=1)
+        for pairs in (whole, whole[: len(i) // 2], whole[len(i) // 2 :]):
+            if len(pairs) >= least:
+                table = scores(pairs)
+                threads.append((float(table[whole[:, 0], whole[:, 1]].sum()) / m, table))
+    best, found = -1.0, []
+    for _, table in sorted(threads, key=lambda x: -x[0])[:starts]:
+        last = -1.0
+        for _ in range(rounds):
+            pairs = monotone_path(table)
+            now = sum(table[i, j] for i, j in pairs) / m
+            if now > best:
+                best, found = now, pairs
+            if now <= last + 1e-9 or len(pairs) < least:
+                break
+            last, table = now, scores(np.array(pairs))
+    return float(best), found
+
+
+def average_linkage(distance: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """(a, b, height, size) of each join of the two clusters with the least mean distance; ties to the lower numbers.
+    Points are 0 to n - 1, the k-th join makes cluster n + k.
+
+    >>> average_linkage(np.array([[0, 1, 4], [1, 0, 6], [4, 6, 0.0]]))
+    [(0, 1, 1.0, 2), (2, 3, 5.0, 3)]
+    """
+    n = len(distance)
+    d = np.full((2 * n, 2 * n), np.inf)
+    d[:n, :n] = distance
+    np.fill_diagonal(d, np.inf)
+    size = np.concatenate([np.ones(n), np.zeros(n)])
+    joins = []
+    for new in range(n, 2 * n - 1):
+        a, b = sorted(int(x) for x in np.unravel_index(d.argmin(), d.shape))
+        height = float(d[a, b])
+        mean = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        size[new] = size[a] + size[b]
+        d[new], d[:, new] = mean, mean
+        d[[a, b, new], [a, b, new]] = np.inf
+        d[[a, b]], d[:, [a, b]] = np.inf, np.inf
+        joins.append((a, b, height, int(size[new])))
+    return joins
+
+
+def flat_clusters(joins: list[tuple[int, int, float, int]], n: int, cut: float) -> list[int]:
+    """The cluster of each point after all joins up to height ``cut``, named by its smallest point."""
+    inside: dict[int, list[int]] = {i: [i] for i in range(n)}
+    for k, (a, b, height, _) in enumerate(joins):
+        if height <= cut:
+            inside[n + k] = inside.pop(a) + inside.pop(b)
+    name = {point: min(points) for points in inside.values() for point in points}
+    return [name[i] for i in range(n)]
+
+
+def zernike_invariants(points: np.ndarray, order: int = 8, weights: np.ndarray | None = None) -> list[float]:
+    """Rotation-invariant 3-D Zernike descriptors of points in the unit ball: for every n up to ``order`` and every l of
+    its parity up to n, the norm over m of the moments. Points beyond the ball count for nothing.
+
+    The radial part is the orthonormal polynomial r^l P_k^(0, l + 1/2)(2 r^2 - 1) with k = (n - l) / 2; the norm over m of
+    the spherical harmonics is taken by the addition theorem from pairs of directions, in blocks.
+    """
+    r = np.linalg.norm(points, axis=1)
+    weights = np.ones(len(points)) if weights is None else weights
+    inside = r <= 1
+    r, w = r[inside], weights[inside]
+    unit = points[inside] / np.where(r > 0, r, 1.0)[:, None]
+    radial = {}
+    for l in range(order + 1):  # noqa: E741
+        for n in range(l, order + 1, 2):
+            radial[n, l] = np.sqrt(2 * n + 3) * r**l * jacobi((n - l) // 2, l + 0.5, 2 * r**2 - 1) * w
+    squared = dict.fromkeys(radial, 0.0)
+    for at in range(0, len(r), 1024):
+        cosine = np.clip(unit[at : at + 1024] @ unit.T, -1, 1)
+        for l in range(order + 1):  # noqa: E741
+            legendre = (2 * l + 1) / (4 * np.pi) * jacobi(l, 0.0, cosine)
+            for n in range(l, order + 1, 2):
+                squared[n, l] += float(radial[n, l][at : at + 1024] @ legendre @ radial[n, l])
+    return [float(np.sqrt(max(squared[n, l], 0.0))) for n in range(order + 1) for l in range(n % 2, n + 1, 2)]
+
+
+def jacobi(k: int, beta: float, x: np.ndarray) -> np.ndarray:
+    """The Jacobi polynomial P_k^(0, beta); Legendre's for beta = 0."""
+    before, here = np.ones_like(x), (beta + 2) / 2 * x - beta / 2
+    if k == 0:
+        return before
+    for j in range(2, k + 1):
+        s = 2 * j + beta
+        a = (s - 1) * (s * (s - 2) * x - beta**2)
+        b = 2 * (j - 1) * (j + beta - 1) * s
+        before, here = here, (a * here - b * before) / (2 * j * (j + beta) * (s - 2))
+    return here
+
+
+def fit_glue_smoothly(lengths, angles, torsions, slots: list[tuple[str, int]], target: tuple[np.ndarray, np.ndarray], prior: list[tuple[float, float]], weight_r: float = 0.5, weight_t: float = 0.1, weight_p: float = 1.0, rounds: int = 20) -> tuple[list[float], float]:
+    """Angles for the free slots, and their loss, by quasi-Newton steps (BFGS) on the loss of :func:`fit_glue` plus a von
+    Mises prior of (mean, kappa) on each slot; a caller snaps them to bin centres."""
+    angles, torsions, lengths = np.array(angles, float), np.array(torsions, float), np.asarray(lengths, float)
+
+    def loss(x: np.ndarray) -> float:
+        own, turns = angles.copy(), torsions.copy()
+        for (kind, at), v in zip(slots, x, strict=True):
+            (own if kind == "ang" else turns)[at] = v
+        r, t = end_frame(rebuild_chain(lengths, own, turns))
+        held = sum(kappa * (1 - np.cos(v - mean)) for v, (mean, kappa) in zip(x, prior, strict=True))
+        return weight_r * float(((r - target[0]) ** 2).sum()) + weight_t * float(((t - target[1]) ** 2).sum()) + weight_p * float(held)
+
+    def slope(x: np.ndarray) -> np.ndarray:
+        steps = 1e-6 * np.eye(len(x))
+        return np.array([(loss(x + h) - loss(x - h)) / 2e-6 for h in steps])
+
+    x = np.array([(angles if kind == "ang" else torsions)[at] for kind, at in slots])
+    now, g, inverse = loss(x), slope(x), np.eye(len(x))
+    for _ in range(rounds):
+        step = -inverse @ g
+        if g @ step >= 0:
+            inverse, step = np.eye(len(x)), -g
+        size = 1.0
+        while size > 1e-8 and loss(x + size * step) > now + 1e-4 * size * (g @ step):
+            size /= 2
+        if size <= 1e-8:
+            break
+        s = size * step
+        x, before = x + s, g
+        now, g = loss(x), slope(x)
+        y = g - before
+        if (sy := s @ y) > 1e-12:
+            left = np.eye(len(x)) - np.outer(s, y) / sy
+            inverse = left @ inverse @ left.T + np.outer(s, s) / sy
+        if np.abs(g).max() < 1e-6:
+            break
+    return [float(v) for v in x], now

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.numeric import best_segmentation, k_medoids, rebuild_chain, rmsd
+from chainloom.functions.numeric import average_linkage, best_hierarchy, best_segmentation, best_segmentation_2d, flat_clusters, k_medoids, rebuild_chain, rmsd, tm_align, zernike_invariants
 
 
 def points_of(embedding: Column, n: int) -> Column:
@@ -128,3 +128,112 @@ def greedy_unique(items: list, similar) -> list:
         if not any(similar(x, y) for y in kept):
             kept.append(x)
     return kept
+
+
+def tm_to(rows: DataFrame, key: str, flat: str, ref: str, references: dict[int, list[float]]) -> DataFrame:
+    """(key, ref, tm, n_aligned): the alignment search of each point set against the reference that ``ref`` names; null
+    scores where the name is unknown."""
+    refs = {k: np.array(v, float).reshape(-1, 3) for k, v in references.items()}
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [tm_align(np.array(v, float).reshape(-1, 3), refs[name]) if name in refs else (None, []) for v, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            tm, n = pa.array([s for s, _ in found], pa.float64()), pa.array([len(pairs) for _, pairs in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), tm, n], names=["key", "ref", "tm", "n_aligned"])
+
+    return rows.select(key, flat, F.col(ref).cast("bigint").alias(ref)).mapInArrow(run, f"key {kind}, ref bigint, tm double, n_aligned bigint")
+
+
+def linkage(names: list, distance: np.ndarray, cut: float) -> tuple[list[tuple[int, int, float, int]], dict]:
+    """Joins of average linkage and the cluster of each name up to a height; quadratic, for a table of references."""
+    joins = average_linkage(distance)
+    return joins, {a: names[c] for a, c in zip(names, flat_clusters(joins, len(names), cut), strict=True)}
+
+
+def angle_kmeans(rows: DataFrame, columns: list[str], starts: list[list[float]], rounds: int) -> tuple[list[list[float]], DataFrame]:
+    """Centres after up to ``rounds`` rounds of k-means on angles, and the rows with their ``cluster``.
+
+    The distance is the sum of 1 - cos over the angles, a centre the circular mean; ties go to the first centre, an empty
+    cluster keeps its centre. A round is one aggregate of k rows; rows with a null angle have a null cluster."""
+    centres = [list(map(float, c)) for c in starts]
+
+    def assigned() -> DataFrame:
+        cost = [F.struct(sum((1 - F.cos(F.col(c) - v) for c, v in zip(columns, centre, strict=True)), F.lit(0.0)).alias("d"), F.lit(i).alias("i")) for i, centre in enumerate(centres)]
+        whole = F.lit(True)
+        for c in columns:
+            whole = whole & F.col(c).isNotNull()
+        return rows.withColumn("cluster", F.when(whole, F.array_min(F.array(*cost))["i"]))
+
+    for _ in range(rounds):
+        means = [F.atan2(F.sum(F.sin(c)), F.sum(F.cos(c))).alias(f"c{i}") for i, c in enumerate(columns)]
+        found = {r["cluster"]: [r[f"c{i}"] for i in range(len(columns))] for r in assigned().filter("cluster IS NOT NULL").groupBy("cluster").agg(*means).collect()}
+        now = [found.get(i, c) for i, c in enumerate(centres)]
+        if now == centres:
+            break
+        centres = now
+    return centres, assigned()
+
+
+def span_scores_of(pdf, most: int) -> np.ndarray:
+    """The table of best_segmentation from rows (lo, hi, score); spans without a row score minus infinity."""
+    table = np.full((int(pdf["hi"].max()), most), -np.inf)
+    lo, width = pdf["lo"].to_numpy(int), (pdf["hi"] - pdf["lo"]).to_numpy(int)
+    table[lo, width - 1] = pdf["score"].to_numpy(float)
+    return table
+
+
+def segment_pairs(spans: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(chain, best, lo, hi): the best segmentation by scores of spans (chain, lo, hi, score) plus scores of neighbours
+    (chain, lo, mid, hi, score); a pair without a row adds nothing. A group is one chain."""
+    kind = spans.schema["chain"].dataType.simpleString()
+
+    def run(own, pairs):
+        import pandas as pd
+
+        if not len(own):
+            return pd.DataFrame({"chain": [], "best": [], "lo": [], "hi": []})
+        unary = span_scores_of(own, most)
+        edge = np.zeros((len(unary), most, most))
+        lo, mid, hi = (pairs[c].to_numpy(int) for c in ("lo", "mid", "hi"))
+        edge[mid, mid - lo - 1, hi - mid - 1] = pairs["score"].to_numpy(float)
+        best, found = best_segmentation_2d(unary, edge)
+        return pd.DataFrame({"chain": own["chain"].iloc[0], "best": best, "lo": [a for a, _ in found], "hi": [b for _, b in found]})
+
+    apart = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    return apart(spans).groupBy("chain").cogroup(apart(edges).groupBy("chain")).applyInPandas(run, f"chain {kind}, best double, lo bigint, hi bigint")
+
+
+def segment_tree(spans: DataFrame, most: int, node: float) -> DataFrame:
+    """(chain, log_z, best, lo, hi): leaves of the best binary tree by scores of spans (chain, lo, hi, score), where each
+    inner node adds ``node``; cubic in the chain, a group is one chain."""
+    kind = spans.schema["chain"].dataType.simpleString()
+
+    def run(pdf):
+        import pandas as pd
+
+        unary = span_scores_of(pdf, most)
+        log_z, best, leaves = best_hierarchy(unary, np.full((len(unary), len(unary)), node))
+        return pd.DataFrame({"chain": pdf["chain"].iloc[0], "log_z": log_z, "best": best, "lo": [a for a, _ in leaves], "hi": [b for _, b in leaves]})
+
+    return spans.groupBy("chain").applyInPandas(run, f"chain {kind}, log_z double, best double, lo bigint, hi bigint")
+
+
+def zernike(rows: DataFrame, key: str, flat: str, order: int = 8) -> DataFrame:
+    """(key, descriptor): Zernike descriptors of each point set, centred and scaled to the unit ball."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for values in batch.column(1).to_pylist():
+                p = np.array(values, float).reshape(-1, 3)
+                p = p - p.mean(axis=0)
+                out.append(zernike_invariants(p / (np.linalg.norm(p, axis=1).max() * (1 + 1e-9) or 1.0), order, np.full(len(p), 1 / len(p))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["key", "descriptor"])
+
+    return rows.select(key, flat).mapInArrow(run, f"key {kind}, descriptor array<double>")

@@ -220,3 +220,23 @@ def perplexity(losses: DataFrame, loss: str, n: str) -> DataFrame:
     """One row: the token-weighted mean loss and its exponential."""
     mean = F.sum(F.col(loss) * F.col(n)) / F.sum(n)
     return losses.agg(mean.alias("loss"), F.exp(mean).alias("perplexity"))
+
+
+def designability(designs: DataFrame, backbone: str, score: str, cutoff: float) -> DataFrame:
+    """(backbone, n_designs, best, designable): a backbone's best design, null scores being failures."""
+    best = F.max(score)
+    return designs.groupBy(backbone).agg(F.count(F.lit(1)).alias("n_designs"), best.alias("best"), F.coalesce(best >= cutoff, F.lit(False)).alias("designable"))
+
+
+def generation_metrics(designable: DataFrame, known: DataFrame, clusters: DataFrame, backbone: str, cutoff: float) -> DataFrame:
+    """One row on a generated set: (n, designable, novel, both, n_clusters, diversity).
+
+    ``known`` holds (backbone, score) against known chains, and a backbone without a score of at least ``cutoff`` is novel;
+    ``clusters`` holds (backbone, cluster), and diversity is the number of clusters by that of backbones.
+    """
+    near = known.groupBy(backbone).agg(F.max("score").alias("nearest"))
+    rows = designable.select(backbone, "designable").join(near, backbone, "left").join(clusters.select(backbone, "cluster"), backbone, "left")
+    rows = rows.withColumn("novel", F.coalesce(F.col("nearest") < cutoff, F.lit(True)))
+    share = lambda c: F.avg(c.cast("double"))
+    n, groups = F.count(F.lit(1)), F.countDistinct("cluster")
+    return rows.agg(n.alias("n"), share(F.col("designable")).alias("designable"), share(F.col("novel")).alias("novel"), share(F.col("designable") & F.col("novel")).alias("both"), groups.alias("n_clusters"), (groups / n).alias("diversity"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from chainloom.functions.angles import TWO_PI, circular_mean, circular_rmse, radian_l1, radian_smooth_l1, wrap
 from chainloom.functions import features
-from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, motifs, sampling, sequences, splits, stats, structures
+from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, models, motifs, sampling, sequences, spans, splits, stats, structures
 from chainloom.plans.learn import encode, learn
 from chainloom.sources import sinks, text
 from chainloom.storage import shared_dir
@@ -1256,3 +1256,154 @@ def json_lines_scan(spark, d):
 def training_log_scan(spark, d):
     rows = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("epoch")).agg(F.round(F.avg("l_discount"), 4).alias("train_loss"), F.round(F.avg("l_tax"), 4).alias("val_loss"), F.count(F.lit(1)).alias("rows"))
     return text.training_log(spark, written(rows, "csv"))
+
+
+# --- span scores, segmentations by scores, clusters, probes, generated sets -----------------------------------------------
+
+#: Weights of the networks that the queries run; any would do.
+SLOPE, GAMMA = 0.7, 0.1
+UNARY = [([[0.5, -0.3, -0.8, 2.0], [-0.4, 0.6, 0.2, -1.0]], [0.1, -0.2]), ([[1.0, -0.5]], [0.05])]
+PAIR = [([[0.3, -0.2, -0.1, 1.0, -0.3, 0.2, 0.1, -1.0], [-0.1, 0.4, 0.3, 0.5, 0.2, -0.6, 0.1, 0.5]], [0.0, 0.1]), ([[0.8, 0.6]], [-0.1])]
+
+
+def span_sql(most: int) -> str:
+    """f: the features of every span of up to ``most`` events."""
+    weight = f"exp({SLOPE} * v)"
+    return f"""{T0}, x AS (SELECT chain, pos, ln(1 + abs(value)) AS v FROM t0),
+s AS (SELECT a.chain, a.pos AS lo, b.pos + 1 AS hi FROM x a JOIN x b ON a.chain = b.chain AND b.pos BETWEEN a.pos AND a.pos + {most - 1}),
+f AS (SELECT s.chain, lo, hi, [sum({weight} * v) / sum({weight}), avg(v), var_pop(v), (hi - lo) / 500.0::DOUBLE] AS f FROM s JOIN x ON x.chain = s.chain AND x.pos >= lo AND x.pos < hi GROUP BY 1, 2, 3)"""
+
+
+def network_sql(vector: str, layers) -> str:
+    (first, b1), (second, b2) = layers
+    hidden = [f"greatest(0.0, {b} + " + " + ".join(f"({w}) * {vector}[{i + 1}]" for i, w in enumerate(row)) + ")" for row, b in zip(first, b1, strict=True)]
+    return f"{b2[0]} + " + " + ".join(f"({w}) * {h}" for w, h in zip(second[0], hidden, strict=True))
+
+
+def event_spans(spark, d, most: int) -> DataFrame:
+    return spans.spans(values(spark, d).withColumn("v", F.log1p(F.abs("value"))), "chain", "pos", "v", most)
+
+
+@query(f"WITH {span_sql(6)} SELECT chain, lo, hi, round({network_sql('f', UNARY)} - {GAMMA}, 6) AS score FROM f")
+def span_scores(spark, d):
+    return rounded(spans.score_spans(event_spans(spark, d, 6), SLOPE, UNARY, GAMMA))
+
+
+@query(f"WITH {span_sql(3)}, p AS (SELECT a.chain, a.lo, a.hi AS mid, b.hi, a.f || b.f AS f FROM f a JOIN f b ON a.chain = b.chain AND b.lo = a.hi) SELECT chain, lo, mid, hi, round({network_sql('f', PAIR)}, 6) AS score FROM p")
+def span_pair_scores(spark, d):
+    return rounded(spans.score_neighbours(event_spans(spark, d, 3), SLOPE, PAIR))
+
+
+@query()
+def segmentation_pairs(spark, d):
+    """The best segmentation by scores of spans and of neighbouring spans."""
+    held = event_spans(spark, d, 4)
+    return rounded(clusters.segment_pairs(spans.score_spans(held, SLOPE, UNARY, GAMMA), spans.score_neighbours(held, SLOPE, PAIR), 4))
+
+
+@query()
+def segmentation_tree(spark, d):
+    return rounded(clusters.segment_tree(spans.score_spans(event_spans(spark, d, 6), SLOPE, UNARY, GAMMA), 6, -0.05))
+
+
+@query(f"""WITH {TS}, g AS (SELECT user_id AS chain, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS block, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value FROM events)
+SELECT chain, block, (3 * (pos - 8 * block) + k)::INT AS at, CASE k WHEN 0 THEN value WHEN 1 THEN value * 2 ELSE value + 1 END AS value FROM g, (SELECT unnest(range(0, 3)) AS k)""")
+def span_flatten(spark, d):
+    """Spans of eight events, three values of each in a row."""
+    rows = values(spark, d).withColumn("block", F.floor(F.col("pos") / 8))
+    held = rows.groupBy("chain", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("v"))
+    flat = spans.interleave([F.col("v"), F.transform("v", lambda x: x * 2), F.transform("v", lambda x: x + 1)])
+    return held.select("chain", "block", F.posexplode(flat).alias("at", "value"))
+
+
+KMEANS_STARTS = [[-2.0, -2.0], [0.0, 0.5], [2.0, 2.0]]
+
+
+def kmeans_sql(rounds: int) -> str:
+    out = ["v AS (SELECT event_id, value % 6.283185307179586 - 3.141592653589793 AS phi, (value * 3) % 6.283185307179586 - 3.141592653589793 AS psi FROM events)"]
+    out += ["c0(i, phi, psi) AS (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(KMEANS_STARTS)) + ")"]
+    for k in range(rounds + 1):
+        cost = f"(1 - cos(v.phi - c{k}.phi)) + (1 - cos(v.psi - c{k}.psi))"
+        out += [f"a{k} AS (SELECT event_id, any_value(v.phi) AS phi, any_value(v.psi) AS psi, arg_min(i, [{cost}, i]) AS cluster FROM v, c{k} GROUP BY event_id)"]
+        out += [f"c{k + 1} AS (SELECT i, coalesce(m.phi, c{k}.phi) AS phi, coalesce(m.psi, c{k}.psi) AS psi FROM c{k} LEFT JOIN (SELECT cluster, atan2(sum(sin(phi)), sum(cos(phi))) AS phi, atan2(sum(sin(psi)), sum(cos(psi))) AS psi FROM a{k} GROUP BY 1) m ON m.cluster = i)"]
+    return "WITH " + ",\n".join(out) + f"\nSELECT event_id, cluster FROM a{rounds}"
+
+
+@query(kmeans_sql(3))
+def angle_kmeans(spark, d):
+    rows = table(spark, d, "events").select("event_id", *[(F.expr(f"{v} % 6.283185307179586D") - 3.141592653589793).alias(c) for v, c in (("value", "phi"), ("(value * 3)", "psi"))])
+    return clusters.angle_kmeans(rows, ["phi", "psi"], KMEANS_STARTS, 3)[1].select("event_id", "cluster")
+
+
+@query()
+def linkage(spark, d):
+    """Average linkage of the prototypes by their distance after superposition."""
+    from chainloom.functions.numeric import rmsd
+
+    import numpy as np
+
+    shapes_of = {k: np.array(v).reshape(-1, 3) for k, v in prototypes(spark, d).items()}
+    names = sorted(shapes_of)
+    distance = np.array([[rmsd(shapes_of[a], shapes_of[b]) for b in names] for a in names])
+    found = clusters.linkage(names, distance, float(np.median(distance)))[1]
+    return spark.createDataFrame(sorted(found.items()), "label int, cluster int")
+
+
+@query(None, "tm_align")
+def tm_align_query(spark, d):
+    """Every shape against the prototype of its label."""
+    return rounded(clusters.tm_to(shapes(spark, d), "vec_id", "flat", "label", prototypes(spark, d)))
+
+
+@query(None, "zernike")
+def zernike_query(spark, d):
+    held = clusters.zernike(shapes(spark, d), "vec_id", "flat")
+    return rounded(held.select("key", F.posexplode("descriptor").alias("at", "value")))
+
+
+@query()
+def glue_fit_smooth(spark, d):
+    """Three free angles of each prototype chain by quasi-Newton steps, from straightened ones."""
+    from chainloom.functions.numeric import end_frame, fit_glue_smoothly, rebuild_chain
+
+    import numpy as np
+
+    rows = []
+    for label, flat in prototypes(spark, d).items():
+        turn = np.array(flat[:9]) % 3
+        lengths, bend, bent = np.full(11, 1.5), np.full(10, 1.9), turn.copy()
+        bent[3:6] += 0.3
+        found, loss = fit_glue_smoothly(lengths, bend, bent, [("dih", 3), ("dih", 4), ("dih", 5)], end_frame(rebuild_chain(lengths, bend, turn)), [(float(t), 0.0) for t in turn[3:6]])
+        rows.append((label, *found, loss))
+    return rounded(spark.createDataFrame(rows, "label int, t1 double, t2 double, t3 double, loss double"))
+
+
+@query(None)
+def linear_probe(spark, d):
+    rows = table(spark, d, "embeddings")
+    return models.probe(rows, "vec_id", "embedding", "label", F.col("vec_id") % 5 == 0)
+
+
+@query(None)
+def network_probe(spark, d):
+    rows = table(spark, d, "embeddings")
+    return models.probe(rows, "vec_id", "embedding", "label", F.col("vec_id") % 5 == 0, hidden=[16])
+
+
+@query("SELECT l_orderkey AS backbone, count(*) AS n_designs, max(l_discount * 10) AS best, coalesce(max(l_discount * 10) >= 0.5, false) AS designable FROM lineitem GROUP BY 1")
+def designability(spark, d):
+    """Lines stand for the designs of an order."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("backbone"), (F.col("l_discount") * 10).alias("score"))
+    return stats.designability(rows, "backbone", "score", 0.5)
+
+
+@query("""WITH d AS (SELECT l_orderkey AS backbone, max(l_discount * 10) >= 0.5 AS designable FROM lineitem GROUP BY 1), k AS (SELECT l_orderkey AS backbone, max(l_tax * 10) AS nearest FROM lineitem GROUP BY 1),
+c AS (SELECT o_orderkey AS backbone, o_custkey AS cluster FROM orders)
+SELECT count(*) AS n, round(avg(designable::INT), 6) AS designable, round(avg((coalesce(nearest < 0.5, true))::INT), 6) AS novel, round(avg((designable AND coalesce(nearest < 0.5, true))::INT), 6) AS "both", count(DISTINCT cluster) AS n_clusters, round(count(DISTINCT cluster) / count(*), 6) AS diversity
+FROM d LEFT JOIN k USING (backbone) LEFT JOIN c USING (backbone)""")
+def generation_metrics(spark, d):
+    lines = table(spark, d, "lineitem")
+    designs = stats.designability(lines.select(F.col("l_orderkey").alias("backbone"), (F.col("l_discount") * 10).alias("score")), "backbone", "score", 0.5)
+    known = lines.select(F.col("l_orderkey").alias("backbone"), (F.col("l_tax") * 10).alias("score"))
+    groups = table(spark, d, "orders").select(F.col("o_orderkey").alias("backbone"), F.col("o_custkey").alias("cluster"))
+    return rounded(stats.generation_metrics(designs, known, groups, "backbone", 0.5))
