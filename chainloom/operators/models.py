@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def probe(rows: DataFrame, key: str, vector: str, label: str, held_out: Column, hidden: list[int] | None = None, rounds: int = 50, penalty: float = 1e-3, seed: int = 0) -> DataFrame:
-    """(key, label, predicted) of the held-out rows by a linear probe, or by a network where ``hidden`` names the sizes of
+    """(key, label, held_out, predicted) of all rows, trained on those not held out, by a linear probe, or by a network where ``hidden`` names the sizes of
     its layers. Labels may be any integers; those that training never sees are never predicted. Rows without a vector
     or label are left out."""
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
@@ -25,5 +25,5 @@ def probe(rows: DataFrame, key: str, vector: str, label: str, held_out: Column,
     else:
         width = len(train.first()["features"])
         model = MultilayerPerceptronClassifier(labelCol="y", layers=[width, *hidden, max(2, len(names))], maxIter=rounds, seed=seed).fit(train)
-    found = model.transform(whole.filter("held"))
-    return found.select(key, "label", F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).alias("predicted"))
+    found = model.transform(whole)
+    return found.select(key, "label", F.col("held").alias("held_out"), F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).alias("predicted"))

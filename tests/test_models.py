@@ -151,7 +151,10 @@ def test_probe_learns_labels_of_any_numbers(spark, hidden):
     rows = [(i, [float(RNG.normal() + 4 * (i % 3)), float(RNG.normal())], [7, -2, 30][i % 3]) for i in range(300)]
     df = spark.createDataFrame([*rows, (900, None, 7), (901, [1.0, 1.0], None)], "k int, v array<double>, y int")
     found = models.probe(df, "k", "v", "y", F.col("k") % 5 == 0, hidden=hidden, rounds=100).collect()
-    assert len(found) == 60 and {r.predicted for r in found} <= {7, -2, 30}
+    assert len(found) == 300
+    found = [r for r in found if r.held_out]
+    assert len(found) == 60 and all(r.k % 5 == 0 for r in found)
+    assert {r.predicted for r in found} <= {7, -2, 30}
     assert sum(r.predicted == r.label for r in found) >= 52
 
 
