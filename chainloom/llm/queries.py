@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chainloom.llm.alignment import align
 from chainloom.llm.common import table
 from chainloom.llm.exact_dedup import exact_dedup
 from chainloom.llm.fingerprints import compare_edited
@@ -78,6 +79,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), sample_edits())
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 
 SQL: dict[str, str] = {
