@@ -16,6 +16,7 @@ from chainloom.llm.line_dedup import line_dedup
 from chainloom.llm.mixing import mix
 from chainloom.llm.near_dedup import near_dedup
 from chainloom.llm.packing import pack
+from chainloom.llm.personal import scan_personal
 from chainloom.llm.token_counts import count_tokens, sample_edits
 from chainloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -83,6 +84,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_personal(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_personal_data": op12_personal_data,
 }
 
 SQL: dict[str, str] = {
