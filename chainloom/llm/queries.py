@@ -15,6 +15,7 @@ from chainloom.llm.licenses import license_scan
 from chainloom.llm.line_dedup import line_dedup
 from chainloom.llm.mixing import mix
 from chainloom.llm.near_dedup import near_dedup
+from chainloom.llm.negatives import mine, whole_vectors
 from chainloom.llm.packing import pack
 from chainloom.llm.personal import scan_personal
 from chainloom.llm.token_counts import count_tokens, sample_edits
@@ -88,6 +89,30 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_personal(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(whole_vectors(table(spark, sf_dir, "embeddings")))
+
+
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, x.id, a.label = x.label AS same, CAST(list_inner_product(a.v, x.v) AS BIGINT) AS score
+  FROM r a JOIN r x ON a.id <> x.id WHERE a.id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score
+  FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 5
+"""
+
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -122,9 +147,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_personal_data": op12_personal_data,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
