@@ -318,7 +318,8 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 
 def contributions(found: DataFrame, slot: int = SLOT, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Of settled postings: block, row, n_best, count_sum, in parts that are still to be added up by document."""
+    """Of settled postings: block, row, n_best, count_sum of each document that has links. A task's sums travel by block,
+    as lists of documents, and are added up there."""
     held = found.filter("kind = 1").select("a", "block", "size", "partners", "docs", "entries", "rows", "times")
     sizes = settle(held.groupBy("a").agg(F.sum("size").alias("all")).withColumn("slots", F.ceil(F.col("all") / F.lit(slot)).cast("int")))
     # One row for each id of side A at most: a vocabulary's size bounds what is broadcast.
@@ -339,10 +340,13 @@ def contributions(found: DataFrame, slot: int = SLOT, block_docs: int = BLOCK_DO
         sums = np.zeros((2, HELD_BLOCKS * block_docs))
 
         def rows_of(names: np.ndarray, at: np.ndarray, best: np.ndarray, total: np.ndarray) -> Iterator:
-            for lo in range(0, len(at), 100_000):
-                some = slice(lo, lo + 100_000)
-                columns = (names[at[some] // block_docs], (at[some] % block_docs).astype(np.int32), best[some].astype(np.int64), total[some].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["block", "row", "n_best", "count_sum"])
+            """Sums by place, which are in order, as a row for each block."""
+            edges = np.append(np.flatnonzero(np.diff(at // block_docs, prepend=-1)), len(at))
+            for lo in range(0, len(edges) - 1, 64):
+                ends = edges[lo : lo + 65]
+                some, cuts = slice(ends[0], ends[-1]), ends - ends[0]
+                columns = [_binary(x[some].astype(kind), cuts) for x, kind in ((at % block_docs, "<u2"), (best, "<i8"), (total, "<i8"))]
+                yield pa.RecordBatch.from_arrays([pa.array(names[at[ends[:-1]] // block_docs]), *columns], names=["block", "rows", "best", "total"])
 
         def hand_on() -> Iterator:
             at = np.flatnonzero(sums[1])
@@ -404,7 +408,29 @@ def contributions(found: DataFrame, slot: int = SLOT, block_docs: int = BLOCK_DO
             yield from add(rest)
         yield from hand_on()
 
-    return dealt.mapInArrow(walk, "block bigint, row int, n_best bigint, count_sum bigint")
+    def total(batches) -> Iterator:
+        import pyarrow as pa
+
+        now, sums = None, np.zeros((2, block_docs), np.int64)
+
+        def close() -> Iterator:
+            at = np.flatnonzero(sums[1])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), now)), pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in sums)], names=["block", "row", "n_best", "count_sum"])
+            sums[:] = 0
+
+        for batch in batches:
+            for block, rows, best, all_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    yield from close()
+                    now = block
+                at = np.frombuffer(rows, "<u2")  # each document once
+                sums[0, at] += np.frombuffer(best, "<i8")
+                sums[1, at] += np.frombuffer(all_, "<i8")
+        yield from close()
+
+    parts = dealt.mapInArrow(walk, "block bigint, rows binary, best binary, total binary")
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(total, "block bigint, row int, n_best bigint, count_sum bigint")
 
 
 def align(
@@ -422,8 +448,7 @@ def align(
     with small_batches(docs.sparkSession):
         found = settle(postings(docs, path_a, path_b, id_col, text_col, block_docs, block_chars))
     with small_batches(docs.sparkSession, 2000):
-        sums = contributions(found, slot, block_docs).groupBy("block", "row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-        sums = settle(sums)
+        sums = settle(contributions(found, slot, block_docs))
     digest = found.filter("kind = 0").select(F.col("id").alias(id_col), "block", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     out = digest.join(sums, ["block", "row"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
