@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.numeric import average_linkage, best_hierarchy, best_segmentation, best_segmentation_2d, flat_clusters, k_medoids, rebuild_chain, rmsd, tm_align, zernike_invariants
+from chainloom.functions.numeric import average_linkage, best_hierarchy, best_segmentation, best_segmentation_2d, flat_clusters, rebuild_chain, tm_align, zernike_invariants
+from chainloom.functions.rigid import superposed, superposed_pairs
+from chainloom.operators.medoids import LOCAL, Here, Spread, lloyd
 
 
 def points_of(embedding: Column, n: int) -> Column:
@@ -21,22 +23,19 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def rmsd_to(rows: DataFrame, key: str, flat: str, references: dict[int, list[float]]) -> DataFrame:
-    """(key, ref, rmsd) after superposition on each of a few reference point sets, given flat."""
-    refs = {k: np.array(v, float).reshape(-1, 3) for k, v in references.items()}
+    """(key, ref, rmsd) after superposition on each of a few reference point sets, given flat and of the rows' size."""
+    names = list(references)
+    refs = np.array([references[n] for n in names], float).reshape(len(names), -1, 3)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for i, values in enumerate(batch.column(1).to_pylist()):
-                p = np.array(values, float).reshape(-1, 3)
-                for name, q in refs.items():
-                    for column, v in zip(out, (i, name, rmsd(p, q)), strict=True):
-                        column.append(v)
-            at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["key", "ref", "rmsd"])
+            if batch.num_rows and names:
+                d = superposed(np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1, 3), refs)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(names * batch.num_rows, pa.int64()), pa.array(d.reshape(-1))], names=["key", "ref", "rmsd"])
 
     return rows.select(key, flat).mapInArrow(run, f"key {kind}, ref bigint, rmsd double")
 
@@ -46,42 +45,43 @@ def nearest_prototype(scores: DataFrame) -> DataFrame:
     return scores.groupBy("key").agg(F.min(F.struct("rmsd", "ref")).alias("m")).select("key", "m.ref", "m.rmsd")
 
 
-def group_medoids(rows: DataFrame, group: str, key: str, flat: str, k: int, most: int = 5000, seed: int = 0) -> DataFrame:
-    """(group, key, medoid, rmsd): k-medoids on superposed distances in each group.
+def group_medoids(rows: DataFrame, group: str, key: str, flat: str, k: int, local: int = LOCAL) -> DataFrame:
+    """(group, key, medoid, rmsd): exact k-medoids on superposed distances in each group, and every member's nearest, ties
+    to the first. Keys are whole numbers.
 
-    Medoids come from at most ``most`` members by hash, the operator's own bound on quadratic work; every member is then
-    assigned, in batches, to the nearest of its group's medoids.
-    """
-    from pyspark.sql import Window as W
+    Groups of up to ``local`` members are a task each; of a larger one, every pass is dealt over many tasks, whatever its
+    size, and its few medoids come to the driver."""
+    from chainloom.storage import settle
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, key)}
-    by = W.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
-    sample = rows.withColumn("__r", F.row_number().over(by)).filter(F.col("__r") <= most)
+    held = settle(rows.select(group, key, flat))
+    sizes = settle(held.groupBy(group).agg(F.count(F.lit(1)).alias("__n")))
+    schema = f"{group} {kinds[group]}, nth int, medoid {kinds[key]}, shape array<double>"
 
     def medoids(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(key)
-        sets = [np.array(v, float).reshape(-1, 3) for v in pdf[flat]]
-        cost = np.zeros((len(sets), len(sets)))
-        for i in range(len(sets)):
-            for j in range(i):
-                cost[i, j] = cost[j, i] = rmsd(sets[i], sets[j])
-        chosen, _ = k_medoids(cost, k, seed=seed)
-        return pd.DataFrame({group: pdf[group].iloc[0], "medoid": pdf[key].to_numpy()[chosen], "shape": [pdf[flat].iloc[i] for i in chosen]})
+        found = lloyd(Here([(0, x) for x in pdf[key]], list(pdf[flat])), k)
+        return pd.DataFrame({group: pdf[group].iloc[0], "nth": range(len(found)), "medoid": [m[0][1] for m in found], "shape": [m[1] for m in found]})
 
-    found = sample.select(group, key, flat).groupBy(group).applyInPandas(medoids, f"{group} {kinds[group]}, medoid {kinds[key]}, shape array<double>")
-    pairs = rows.select(group, key, flat).join(found, group)
+    small = held.join(sizes.filter(F.col("__n") <= local).select(group), group, "left_semi")
+    found = small.groupBy(group).applyInPandas(medoids, schema)
+    for r in sizes.filter(F.col("__n") > local).select(group).collect():  # one job after another, and as many as there are such groups
+        own = held.filter(F.col(group).eqNullSafe(F.lit(r[0]))).select(F.lit(0).alias("chain"), F.col(key).cast("long").alias("start"), F.col(flat).alias("shape"))
+        best = lloyd(Spread(own), k)
+        found = found.unionByName(rows.sparkSession.createDataFrame([(r[0], i, m[0][1], m[1]) for i, m in enumerate(best)], schema))
+    pairs = held.join(settle(found), group)
 
     def score(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            d = [rmsd(np.array(p, float).reshape(-1, 3), np.array(q, float).reshape(-1, 3)) for p, q in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(d, pa.float64())], names=[group, key, "medoid", "rmsd"])
+            if batch.num_rows:
+                p, q = (np.array(batch[c].to_pylist(), float).reshape(batch.num_rows, -1, 3) for c in (flat, "shape"))
+                yield pa.RecordBatch.from_arrays([batch[group], batch[key], batch["medoid"], batch["nth"], pa.array(superposed_pairs(p, q))], names=[group, key, "medoid", "nth", "rmsd"])
 
-    scored = pairs.mapInArrow(score, f"{group} {kinds[group]}, {key} {kinds[key]}, medoid {kinds[key]}, rmsd double")
-    best = scored.groupBy(group, key).agg(F.min(F.struct("rmsd", "medoid")).alias("m"))
+    scored = pairs.mapInArrow(score, f"{group} {kinds[group]}, {key} {kinds[key]}, medoid {kinds[key]}, nth int, rmsd double")
+    best = scored.groupBy(group, key).agg(F.min(F.struct(F.round("rmsd", 6).alias("r"), "nth", "rmsd", "medoid")).alias("m"))
     return best.select(group, key, "m.medoid", "m.rmsd")
 
 

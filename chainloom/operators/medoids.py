@@ -5,7 +5,7 @@ members; each further start is the member farthest from those before it. A round
 finds each class's own, until nothing changes.
 
 Distances of superposed shapes obey the triangle inequality, so a member's sum is at least |S(c) - n d(c, member)| for any
-c of its class. A pass sums up the CANDIDATES members with the least bounds and raises all others' bounds; a class is done
+c of its class. A pass sums up some members with the least bounds and raises all others' bounds; a class is done
 when no bound lies below its best sum. A pass reads the members once and hands the driver a few rows for each class, never
 members; up to LOCAL members, one task does the same by itself.
 """
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from chainloom.functions.rigid import rmsd_table
 from chainloom.storage import settle
 
-LOCAL = 1024
-CANDIDATES = 32
+LOCAL = 4096
+#: Candidates of the first pass over a class; later passes take four times as many as the one before, up to the last.
+CANDIDATES, MOST_CANDIDATES = 32, 2048
 ROUNDS = 10
 
 Member = tuple[tuple, list[float]]  # key (chain, start) and flat shape
@@ -57,9 +58,10 @@ class Here:
                 out.append(medoid)
                 continue
             least, sums, n = np.zeros(len(inside), np.int64), np.full(len(inside), -1), len(inside)
-            best = None
+            best, some = None, CANDIDATES
             while len(at := np.flatnonzero((sums < 0) & ((least <= best) if best is not None else True))):
-                at = at[np.argsort(least[at], kind="stable")][:CANDIDATES]
+                at = at[np.argsort(least[at], kind="stable")][:some]
+                some = min(MOST_CANDIDATES, 4 * some)
                 d = rmsd_table(self.x[inside[at]], self.x[inside])
                 sums[at] = d.sum(1)
                 best = int(sums[sums >= 0].min())
@@ -105,14 +107,16 @@ class Spread:
         held = settle(self.rows.mapInArrow(deal, schema))
         sizes = {r["own"]: r["n"] for r in held.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}
         best: dict[int, tuple[int, tuple, list[float]]] = {}
+        most = CANDIDATES
         while True:
             open_ = F.lit(False)
             for c in sizes:
                 open_ = open_ | ((F.col("own") == c) & (F.col("least") <= best[c][0] if c in best else F.lit(True)))
             nth = F.row_number().over(W.partitionBy("own").orderBy("least", "chain", "start"))
-            some = held.filter(~F.col("done") & open_).withColumn("nth", nth).filter(F.col("nth") <= CANDIDATES).select("own", "chain", "start", "shape").collect()
+            some = held.filter(~F.col("done") & open_).withColumn("nth", nth).filter(F.col("nth") <= most).select("own", "chain", "start", "shape").collect()
             if not some:
                 break
+            most = min(MOST_CANDIDATES, 4 * most)
             of: dict[int, list] = {}
             for r in some:
                 of.setdefault(r["own"], []).append(r)

@@ -63,7 +63,7 @@ def residue_shapes(bonds: DataFrame, atoms: DataFrame, edges: dict[str, list[flo
     rows = rows.select("*", *glue)
     middle = [F.get(F.array(*[F.lit(float(v)) for v in centres(edges[n])]), F.col(g)) for g, (n, _, _) in zip(GLUE, JUNCTION, strict=True)]
     angs = F.when(first, F.col("angs")).otherwise(F.concat(F.array(middle[1]), F.slice("angs", 2, F.greatest(F.size("angs") - 1, F.lit(0)))))
-    dihs = F.when(first, F.col("dihs")).otherwise(F.concat(F.array(middle[0], middle[2]), F.slice("dihs", 3, F.greatest(F.size("dihs") - 2, F.lit(0)))))
+    dihs = F.when(first, F.col("dihs")).otherwise(F.slice(F.concat(F.array(middle[0], middle[2]), F.slice("dihs", 3, F.greatest(F.size("dihs") - 2, F.lit(0)))), 1, F.size("dihs")))
     token = F.concat(F.lit("r"), F.col("width").cast("string")).alias("token")
     return rows.select("chain", "pos", token, (F.col("pos") * 3).alias("start"), "width", *GLUE, "lens", angs.alias("angs"), dihs.alias("dihs"), "xyz", F.lit(None).cast("array<double>").alias("sums"))
 

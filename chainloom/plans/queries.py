@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from chainloom.functions.angles import TWO_PI, circular_mean, circular_rmse, radian_l1, radian_smooth_l1, wrap
 from chainloom.functions import features
-from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, models, motifs, sampling, sequences, spans, splits, stats, structures
+from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, models, motifs, sampling, scans, sequences, spans, splits, stats, structures
+from chainloom.operators import shapes as shapes_of
 from chainloom.plans.learn import encode, learn
+from chainloom.plans.shapes import encode_shapes, learn_shapes
 from chainloom.sources import sinks, text
 from chainloom.storage import shared_dir
 from chainloom.streaming import streams
@@ -581,12 +583,32 @@ def prototypes(spark, d) -> dict[int, list[float]]:
     return {int(r["label"]): list(r["flat"]) for r in first.select("label", "m.flat").orderBy("label").collect()}
 
 
-@query()
+def superposed_sql(pairs: str, p: str, q: str, out: str) -> str:
+    """CTEs that end in ``out`` (a, b, rmsd): the closed form of the distance after superposition. ``pairs`` has (a, b), the
+    tables ``p`` and ``q`` the points (id, i, x, y, z); the eigenvalues of H'H come from its characteristic polynomial."""
+    cells = [(u, v) for u in "xyz" for v in "xyz"]
+    h = ", ".join(f"sum(p.{u} * q.{v}) - sum(p.{u}) * sum(q.{v}) / count(*) AS h{u}{v}" for u, v in cells)
+    both = " + ".join(f"sum({t}.{u} * {t}.{u}) - power(sum({t}.{u}), 2) / count(*)" for t in "pq" for u in "xyz")
+    k = ", ".join(f"h{'x'}{u} * h{'x'}{v} + h{'y'}{u} * h{'y'}{v} + h{'z'}{u} * h{'z'}{v} AS k{u}{v}" for u, v in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    det = "hxx * (hyy * hzz - hyz * hzy) - hxy * (hyx * hzz - hyz * hzx) + hxz * (hyx * hzy - hyy * hzx)"
+    return f"""{out}1 AS (SELECT s.a, s.b, count(*) AS n, {both} AS w, {h} FROM {pairs} s JOIN {p} p ON p.id = s.a JOIN {q} q ON q.id = s.b AND q.i = p.i GROUP BY 1, 2),
+{out}2 AS (SELECT a, b, n, w, {det} AS det, {k} FROM {out}1),
+{out}3 AS (SELECT *, (kxx + kyy + kzz) / 3 AS m, sqrt((power(kxx - (kxx + kyy + kzz) / 3, 2) + power(kyy - (kxx + kyy + kzz) / 3, 2) + power(kzz - (kxx + kyy + kzz) / 3, 2) + 2 * (kxy * kxy + kxz * kxz + kyz * kyz)) / 6) AS r FROM {out}2),
+{out}4 AS (SELECT *, acos(greatest(-1, least(1, ((kxx - m) * ((kyy - m) * (kzz - m) - kyz * kyz) - kxy * (kxy * (kzz - m) - kyz * kxz) + kxz * (kxy * kyz - (kyy - m) * kxz)) / (2 * r * r * r)))) / 3 AS t FROM {out}3),
+{out}5 AS (SELECT a, b, n, w, det, sqrt(greatest(0, m + 2 * r * cos(t))) AS s1, sqrt(greatest(0, m - r * cos(t) + r * sqrt(3) * sin(t))) AS s2 FROM {out}4),
+{out} AS (SELECT a, b, sqrt(greatest(0, w - 2 * (s1 + s2 + det / (s1 * s2))) / n) AS rmsd FROM {out}5)"""
+
+
+PROTOTYPE_SQL = """v AS (SELECT vec_id AS id, i, embedding[3 * i + 1]::DOUBLE AS x, embedding[3 * i + 2]::DOUBLE AS y, embedding[3 * i + 3]::DOUBLE AS z FROM embeddings, (SELECT unnest(range(0, 21)) AS i)),
+o AS (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY 1), s AS (SELECT vec_id AS a, first AS b FROM embeddings, o), """ + superposed_sql("s", "v", "v", "d")
+
+
+@query(f"WITH {PROTOTYPE_SQL} SELECT a AS key, label::BIGINT AS ref, round(rmsd, 6) AS rmsd FROM d JOIN o ON b = first")
 def kabsch_rmsd(spark, d):
     return rounded(clusters.rmsd_to(shapes(spark, d), "vec_id", "flat", prototypes(spark, d)))
 
 
-@query()
+@query(f"WITH {PROTOTYPE_SQL}, e AS (SELECT a, label, rmsd FROM d JOIN o ON b = first) SELECT a AS key, arg_min(label, [rmsd, label])::BIGINT AS ref, round(min(rmsd), 6) AS rmsd FROM e GROUP BY 1")
 def assign_prototype(spark, d):
     return rounded(clusters.nearest_prototype(clusters.rmsd_to(shapes(spark, d), "vec_id", "flat", prototypes(spark, d))))
 
@@ -1221,6 +1243,75 @@ def structure_motifs(spark, d):
     return motifs.encode_motifs(first, motifs.learn_motifs(first, 3)[0]).select("chain", "pos", "token", "start", "width")
 
 
+#: Bins of the junctions that the shape queries use: no centre is a straight angle.
+SHAPE_EDGES = {"omega": bins.equal_width_edges(0.0, TWO_PI, 3), "c_n_ca": bins.equal_width_edges(0.0, TWO_PI, 2), "phi": bins.equal_width_edges(0.0, TWO_PI, 3)}
+
+
+def residue_shapes(spark, d) -> DataFrame:
+    atoms = structure_backbone(spark, d)
+    return shapes_of.residue_shapes(structures.bonds(atoms), atoms, SHAPE_EDGES)
+
+
+def _turned_bin(column: str, n: int) -> str:
+    """SQL of the bin, of n equal ones over a whole turn, of an angle."""
+    v = f"({column} - {TWO_PI} * floor({column} / {TWO_PI}))"
+    return " + ".join(f"({v} >= {TWO_PI * i / n})::INT" for i in range(1, n))
+
+
+SHAPE_SQL = BOND_SQL + f""",
+e AS (SELECT chain_id AS chain, vec_id, k, kind, dih, ang, lead(dih) OVER o AS dih1, max(k) OVER (PARTITION BY vec_id) AS last FROM b WINDOW o AS (PARTITION BY vec_id ORDER BY k)),
+t0 AS (SELECT chain, vec_id, (k // 3)::BIGINT AS pos, 'r' || least(3, last - k + 1) || '.0' AS token, k AS start, least(3, last - k + 1)::BIGINT AS width, CASE WHEN k > 0 THEN {_turned_bin('dih', 3)} END AS g1, CASE WHEN k > 0 THEN {_turned_bin('ang', 2)} END AS g2, CASE WHEN k > 0 THEN {_turned_bin('dih1', 3)} END AS g3 FROM e WHERE kind = 0),
+p0 AS (SELECT *, lead(token) OVER w AS r, lead(g1) OVER w AS n1, lead(g2) OVER w AS n2, lead(g3) OVER w AS n3, lead(width) OVER w AS nw FROM t0 WINDOW w AS (PARTITION BY chain ORDER BY pos)),
+best AS (SELECT token AS l, r, n1, n2, n3, count(*) AS n FROM p0 WHERE r IS NOT NULL GROUP BY ALL ORDER BY n DESC, l, r, n1, n2, n3 LIMIT 1),
+h0 AS (SELECT p0.*, coalesce(p0.token = best.l AND p0.r = best.r AND p0.n1 = best.n1 AND p0.n2 = best.n2 AND p0.n3 = best.n3, false) AS hit FROM p0, best),
+i0 AS (SELECT *, pos - row_number() OVER (PARTITION BY chain, hit ORDER BY pos) AS run FROM h0),
+j0 AS (SELECT *, hit AND (row_number() OVER (PARTITION BY chain, hit, run ORDER BY pos) - 1) % 2 = 0 AS take FROM i0),
+t1 AS (SELECT *, lag(take, 1, false) OVER (PARTITION BY chain ORDER BY pos) AS dead FROM j0),
+oc AS (SELECT chain || ':' || start AS id, chain, vec_id, start, width + nw AS width FROM t1 WHERE take),
+pt AS (SELECT oc.id, a.i - oc.start AS i, x, y, z FROM oc JOIN a ON a.vec_id = oc.vec_id AND a.i BETWEEN oc.start AND oc.start + oc.width),
+s AS (SELECT a.id AS a, b.id AS b FROM oc a, oc b), """ + superposed_sql("s", "pt", "pt", "d") + """,
+md AS (SELECT a AS medoid FROM d JOIN oc ON oc.id = a GROUP BY a, chain, start ORDER BY sum(CASE WHEN a = b THEN 0 ELSE round(1000000 * rmsd)::BIGINT END), chain, start LIMIT 1)"""
+
+
+@query(f"""WITH {SHAPE_SQL} SELECT chain, (row_number() OVER (PARTITION BY chain ORDER BY pos) - 1)::BIGINT AS pos, CASE WHEN take THEN 'm1.0' ELSE token END AS token, start::BIGINT AS start, (CASE WHEN take THEN width + nw ELSE width END)::BIGINT AS width,
+CASE WHEN take THEN (SELECT medoid FROM md) END AS medoid FROM t1 WHERE NOT dead""")
+def motif_merge_shapes(spark, d):
+    """One merge with one class: its shape is the occurrence nearest to all others."""
+    vocabulary, held = learn_shapes(residue_shapes(spark, d), 1, {1: 1}, SHAPE_EDGES)
+    first = F.element_at("classes", 1)
+    medoid = vocabulary.filter("event = 1").select(F.concat_ws(":", first["chain"], first["start"].cast("string")).alias("m"))
+    out = held.crossJoin(F.broadcast(medoid))  # one row
+    return out.select("chain", "pos", "token", "start", "width", F.when(F.col("token") == "m1.0", F.col("m")).alias("medoid"))
+
+
+@query()
+def shape_learning(spark, d):
+    """Four merges with up to three classes each and fitted junctions: key and count of every event."""
+    vocabulary, _ = learn_shapes(residue_shapes(spark, d), 4, {1: 2, 6: 3}, SHAPE_EDGES, original=False, refit=True)
+    return vocabulary.select("event", "step", "name", "left", "right", *motifs.GLUE, "n", F.size("classes").alias("classes"))
+
+
+@query()
+def shape_errors(spark, d):
+    """The chains under a vocabulary of three merges learned from a fifth of them: tokens and error after each event."""
+    residues = residue_shapes(spark, d)
+    vocabulary, _ = learn_shapes(residues.filter("chain LIKE '%0' OR chain LIKE '%5' OR chain = 'v3'"), 3, {1: 2, 6: 3}, SHAPE_EDGES)
+    return rounded(encode_shapes(residues, vocabulary, SHAPE_EDGES)[1])
+
+
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, 1 + (o_custkey % 10) / 10.0 AS len, 2 + (o_custkey % 97) / 100.0 AS ang FROM orders),
+h AS (SELECT k, len, sum(CASE WHEN k = 0 THEN 0 ELSE 3.141592653589793::DOUBLE - ang END) OVER (ORDER BY k) AS h FROM l),
+q AS (SELECT k + 1 AS k, sum(len * cos(h)) OVER (ORDER BY k) AS x, sum(len * sin(h)) OVER (ORDER BY k) AS y FROM h UNION ALL SELECT 0, 0, 0)
+SELECT (k // 500)::BIGINT AS block, count(*) AS n, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM q GROUP BY 1""")
+def long_chain(spark, d):
+    """All orders as one chain in a plane, rebuilt over many tasks; means of every 500 points."""
+    key = F.col("o_custkey")
+    rows = table(spark, d, "orders").select("o_orderkey", (1 + (key % 10) / 10).alias("len"), (2 + (key % 97) / 100).alias("ang"))
+    rows = splits.with_rank(rows, "o_orderkey").select(F.lit("all").alias("chain"), F.col("rank").cast("long").alias("pos"), "len", "ang", F.lit(0.0).alias("dih"))
+    points = scans.rebuild_long(rows, "chain", "pos", "len", "ang", "dih")
+    return points.groupBy(F.floor(F.col("pos") / 500).cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 4).alias("x"), F.round(F.avg("y"), 4).alias("y"))
+
+
 # --- text formats read from files -----------------------------------------------------------------------------------------
 
 
