@@ -49,6 +49,10 @@ BLOCKS = frozenset(
 )
 #: An open element of these ends where the next one of the same kind begins.
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
+#: Blocks whose start ends an open paragraph, and elements that a paragraph outside of them doesn't end in.
+ENDS_P = BLOCKS - frozenset("br caption head html body legend tbody thead tfoot title".split())
+HOLDS_P = frozenset("button td th caption object".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 #: Names in a class, id or role that mark what isn't the article.
 MARKS = frozenset(
     "ad ads adbox advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
@@ -57,6 +61,8 @@ MARKS = frozenset(
     "social related recommended newsletter subscribe subscription widget widgets toolbar pagination pager skip search "
     "searchbox login signup copyright disclaimer alert dialog tags".split()
 )
+#: Marks that inside an article are as likely its own text.
+ALSO_TEXT = frozenset("header tags alert dialog disclaimer".split())
 #: Words beside them that change nothing: "site-footer" and "comment-list" are marks, "notice-board" is none.
 BESIDE = frozenset(
     "site page main global top bottom left right inner outer primary secondary list item items box container wrapper wrap "
@@ -90,7 +96,7 @@ class _Open:
 @dataclass
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
+    parts: list[tuple[str, str]] = field(default_factory=list)  # of the open block: text, and where it stands
     linked: int = 0
     stack: list[_Open] = field(default_factory=list)
     open_: Counter = field(default_factory=Counter)
@@ -104,20 +110,38 @@ class _Reader:
         if "&#" in piece:
             piece = _LONG_REFERENCE.sub("�", piece)  # no such character
         piece = html.unescape(piece)
-        self.parts.append(piece)
-        self.linked += len(piece) if self.in_link else 0
+        self.parts.append((piece, self.where))
+        self.linked += len(piece) if self.in_link and self.where != "out" else 0
 
     def flush(self) -> None:
+        """Close the open block. What an inline element rules out is cut from it without a space."""
         if not self.parts:
             return
-        raw = "".join(self.parts)
+        kept = [x for x in self.parts if x[1] != "out"]
+        raw = "".join(x for x, _ in kept)
         if text := " ".join(raw.split()):
-            where = self.where
+            where = kept[0][1]
             if where == "plain" and self.linked == len(raw) and self.open_["li"]:
                 where = "out"  # an entry of a list that is all link: a menu
             self.blocks.append(Block(text, where))
+        if len(kept) < len(self.parts) and (text := " ".join("".join(x for x, w in self.parts if w == "out").split())):
+            self.blocks.append(Block(text, "out"))
         self.parts, self.linked = [], 0
 
+    def end_paragraph(self) -> None:
+        """End the paragraph that a block begins in, if any; what it has of open formatting goes on behind it."""
+        again: list[_Open] = []
+        for o in reversed(self.stack):
+            if o.tag == "p":
+                self.close("p")
+                for x in reversed(again):
+                    self.push(x.tag, x.where)
+                return
+            if o.tag in FORMATTING:
+                again.append(o)
+            if o.tag in HOLDS_P or o.tag in BLOCKS:
+                return
+
     def push(self, tag: str, where: str) -> None:
         self.stack.append(_Open(tag, where))
         self.open_[tag] += 1
@@ -154,7 +178,7 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
                 return True
         elif name == "role" or name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for token in value.split():
-                if is_mark(token) and not (inside and token.lower() in ("header", "tags")):  # an article's own header holds its heading
+                if is_mark(token) and not (inside and token.lower() in ALSO_TEXT):  # an article's own header holds its heading
                     return True
     return False
 
@@ -230,6 +254,8 @@ def read_blocks(page: str, by_class: bool = True) -> list[Block]:
             r.close("head")
         if tag in RAW or tag in VOID or attributes.endswith("/"):
             continue
+        if tag in ENDS_P and r.open_["p"]:
+            r.end_paragraph()
         if tag in SELF_ENDING and r.stack and r.stack[-1].tag == tag:
             r.close(tag)
         if tag == "a":
@@ -243,21 +269,23 @@ def read_blocks(page: str, by_class: bool = True) -> list[Block]:
                 where = "article"
             elif tag == "main" and where == "plain":
                 where = "main"
-        if tag in BLOCKS or where != r.where or tag in DROPPED:
-            if tag not in BLOCKS and where != r.where:
-                r.flush()
+        if tag in BLOCKS or where != r.where or tag in DROPPED or r.open_[tag]:
             r.push(tag, where)
     r.flush()
     return r.blocks
 
 
 def judged(page: str) -> tuple[list[Block], str]:
-    """Blocks, and what markup knows: "article", "main", or "plain" where it has neither."""
+    """Blocks, and what markup knows: "article", "main" (with the articles in it), or "plain" where it has neither. Where a
+    page has both, articles that hold less text than the rest of main are teasers in it."""
     blocks = read_blocks(page)
     kinds = {b.where for b in blocks}
     if blocks and kinds == {"out"}:  # every block was ruled out: some outer element's class misled
         blocks = read_blocks(page, False)
         kinds = {b.where for b in blocks}
+    size = {k: sum(len(b.text) for b in blocks if b.where == k) for k in ("article", "main")}
+    if size["main"] > size["article"]:
+        return blocks, "main"
     return blocks, next((k for k in ("article", "main") if k in kinds), "plain")
 
 

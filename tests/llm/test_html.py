@@ -2,11 +2,14 @@ import doctest
 import random
 import time
 from collections import defaultdict
+from html.parser import HTMLParser
 from statistics import median
 
 import pytest
 
 from chainloom.llm import html_text
+from chainloom.llm.common import table
+from chainloom.llm.queries import op5_html_extract
 
 PAGE = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav>{}<footer>c</footer></body></html>"
 KIND = "page_id bigint, url string, html string, host string, name string, key string, marks int"
@@ -40,6 +43,18 @@ def test_doctests():
         ("<p><a href=x>one paragraph that is a link</a></p><p>b</p>", "one paragraph that is a link b"),
         ("<article><p title='class=ad'>a</p><p>b &#99999999999; &#xFFFFFFFFFFFF;</p></article>", "a b � �"),
         ("<article><p>a</p><p title=\"never closed>b</p></article>", "a b"),
+        ("<article><p>text<button>Click</button> more</p></article>", "text more"),
+        ("<article><p>wo<span class='ad'>x</span>rd <a class='share'>Share <b>it</b></a>and<span hidden>h</span> on</p></article>", "word and on"),
+        ("<article><p>pick<select><option>1<option>2</select> one<svg><text>t</text></svg>.</p></article>", "pick one."),
+        ("<article><p>a<span class='ad'>x<span>y</span>z</span>b</p></article>", "ab"),
+        ("<article><p>a<a class='share'><div>no</div></a>b</p></article>", "a b"),
+        ("<article><p class='share'>Share<h2>Head two</h2><p>Body</article>", "Head two Body"),
+        ("<article><p class='share'>Share<div>Head two</div><p>Body</article>", "Head two Body"),
+        ("<article><p>a<table><tr><td><p class='ad'>no<td>c</table></article>", "a c"),
+        ("<main><p>A</p><article><p>teaser</p></article><p>long true text</p></main>", "A teaser long true text"),
+        ("<main><p>A</p><article><p>the long text of an article</p></article><p>b</p></main>", "the long text of an article"),
+        ("<article><p class='dialog'>Hello there</p><div class='alert'>mind</div><p class='disclaimer'>c</p></article><p class='alert'>no</p>", "Hello there mind c"),
+        ("<div class='alert'>no</div><main>a</main>", "a"),
     ],
 )
 def test_main_text(body, text):
@@ -54,6 +69,48 @@ def test_broken_markup_is_linear(part):
         assert time.perf_counter() - began < 8  # about a second; quadratic time would be minutes
 
 
+class Plain(HTMLParser):
+    """What the text of a page with an article is, by the standard library's parser: whole blocks, no shared code."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.now = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "li", "ul", "div", "article", "nav", "footer", "br", "body", "title", "script", "style", "head"):
+            self.cut()
+        if tag == "p" and "p" in self.open:
+            self.open.remove("p")
+        if tag not in ("br", "meta", "img", "link"):
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "li", "ul", "div", "article", "nav", "footer", "body", "title", "script", "style", "head"):
+            self.cut()
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if "article" in self.open and not {"script", "style", "nav", "footer"} & set(self.open):
+            self.now.append(data)
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        self.blocks += [text] if text else []
+        self.now = []
+
+
+def test_given_pages_against_another_parser(spark):
+    """Every page of the given tables has an article; nothing of it may be lost or added."""
+    for r in table(spark, "/root/testdata/sf0.01", "pages").join(op5_html_extract(spark, "/root/testdata/sf0.01").select("page_id", "text", "n_chars"), "page_id").collect():
+        reader = Plain()
+        reader.feed(r.html)
+        reader.close()
+        reader.cut()
+        assert r.text == " ".join(reader.blocks) and r.n_chars == len(r.text)
+
+
 def extracted_by_hand(rows, least=8, share=html_text.ARTICLE_SHARE, articles=html_text.ARTICLES):
     """The whole query by its definition, over tuples of tokens."""
     pages, where, whole, all_articles = [], defaultdict(set), defaultdict(set), defaultdict(set)
