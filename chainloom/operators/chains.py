@@ -88,8 +88,11 @@ def encode_ids(tokens: DataFrame, vocabulary: DataFrame, unknown: int | None = N
     return found.select("chain", "pos", F.when(F.col("__id").isNotNull(), F.col("__id")).otherwise(missing).alias("id"))
 
 
-def decode_ids(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return ids.join(vocabulary.select("token", "id"), "id").select("chain", "pos", "token")
+def decode_ids(ids: DataFrame, vocabulary: DataFrame, unknown: str | None = None) -> DataFrame:
+    """(chain, pos, token); an id that the vocabulary doesn't hold becomes ``unknown``, or raises without it."""
+    missing = F.lit(unknown) if unknown is not None else F.raise_error(F.concat(F.lit("unknown id: "), F.col("id").cast("string"))).cast("string")
+    found = ids.join(vocabulary.select(F.col("token").alias("__token"), "id"), "id", "left")
+    return found.select("chain", "pos", F.when(F.col("__token").isNotNull(), F.col("__token")).otherwise(missing).alias("token"))
 
 
 def start_pointers(tokens: DataFrame, joiner: str = "+") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.numeric import average_linkage, best_hierarchy, best_segmentation, best_segmentation_2d, flat_clusters, rebuild_chain, tm_align, zernike_invariants
+from chainloom.functions.numeric import best_hierarchy, best_segmentation, best_segmentation_2d, rebuild_chain, tm_align, zernike_invariants
 from chainloom.functions.rigid import superposed, superposed_pairs
 from chainloom.operators.medoids import LOCAL, Here, Spread, lloyd
 
@@ -121,15 +121,6 @@ def segment(rows: DataFrame, chain: str, pos: str, value: str, most: int, penalt
     return rows.select(chain, pos, value).groupBy(chain).applyInPandas(run, f"chain {kind}, log_z double, best double, lo bigint, hi bigint")
 
 
-def greedy_unique(items: list, similar) -> list:
-    """Items kept in order unless similar to one kept before; for small lists on the driver."""
-    kept: list = []
-    for x in items:
-        if not any(similar(x, y) for y in kept):
-            kept.append(x)
-    return kept
-
-
 def tm_to(rows: DataFrame, key: str, flat: str, ref: str, references: dict[int, list[float]]) -> DataFrame:
     """(key, ref, tm, n_aligned): the alignment search of each point set against the reference that ``ref`` names; null
     scores where the name is unknown."""
@@ -147,12 +138,6 @@ def tm_to(rows: DataFrame, key: str, flat: str, ref: str, references: dict[int,
     return rows.select(key, flat, F.col(ref).cast("bigint").alias(ref)).mapInArrow(run, f"key {kind}, ref bigint, tm double, n_aligned bigint")
 
 
-def linkage(names: list, distance: np.ndarray, cut: float) -> tuple[list[tuple[int, int, float, int]], dict]:
-    """Joins of average linkage and the cluster of each name up to a height; quadratic, for a table of references."""
-    joins = average_linkage(distance)
-    return joins, {a: names[c] for a, c in zip(names, flat_clusters(joins, len(names), cut), strict=True)}
-
-
 def angle_kmeans(rows: DataFrame, columns: list[str], starts: list[list[float]], rounds: int) -> tuple[list[list[float]], DataFrame]:
     """Centres after up to ``rounds`` rounds of k-means on angles, and the rows with their ``cluster``.
 

@@ -59,29 +59,34 @@ def products(rows: DataFrame, product: Product = product_of_summaries, block: in
     return rows.select("chain", "sums")
 
 
-def running_motions(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(chain, pos, sums): the product of the motions (12 numbers: rotation, move) before each row of a chain, the same
-    way down: each level hands every block what lies before it."""
+Then = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def running(rows: DataFrame, unit: np.ndarray, then: Then, block: int = BLOCK, apply: Then | None = None) -> DataFrame:
+    """(chain, pos, sums): the product of all that stands before each row of a chain, from ``unit`` on, by the associative
+    ``then``. Each level multiplies its blocks by themselves; on the way back it hands every block what lies before it.
+    Where a product acts on something smaller than itself, as a matrix on a vector, ``apply`` and its ``unit`` say so."""
     kind = rows.schema["chain"].dataType.simpleString()
     schema = f"chain {kind}, pos bigint, sums array<double>"
+    act = apply or then
 
-    def walk(first: bool):
+    def walk(up: bool):
         def run(batches) -> Iterator:
             import pyarrow as pa
 
             for batch in batches:
                 out: tuple[list, list, list] = ([], [], [])
                 for i, (at, own, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                    r, t = np.eye(3), np.zeros(3)
-                    if before is not None:
-                        r, t = np.array(before[:9]).reshape(3, 3), np.array(before[9:])
+                    if up:
+                        now = np.array(own[0])
+                        for x in own[1:]:
+                            now = then(now, np.array(x))
+                        out[0].append(i), out[1].append(at), out[2].append(now)
+                        continue
+                    now = unit if before is None else np.array(before)
                     for j, x in enumerate(own):
-                        if not first:
-                            out[0].append(i), out[1].append(at * block + j), out[2].append(np.concatenate([r.reshape(-1), t]))
-                        m = np.array(x)
-                        t, r = t + r @ m[9:], r @ m[:9].reshape(3, 3)
-                    if first:
-                        out[0].append(i), out[1].append(at), out[2].append(np.concatenate([r.reshape(-1), t]))
+                        out[0].append(i), out[1].append(at * block + j), out[2].append(now)
+                        now = act(now, np.array(x))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
 
         return run
@@ -107,6 +112,20 @@ def running_motions(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return before
 
 
+NO_MOTION = np.concatenate([np.eye(3).reshape(-1), np.zeros(3)])
+
+
+def motion_then(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One rigid motion (12 numbers: rotation, move) after another."""
+    r = a[:9].reshape(3, 3)
+    return np.concatenate([(r @ b[:9].reshape(3, 3)).reshape(-1), a[9:] + r @ b[9:]])
+
+
+def running_motions(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(chain, pos, sums): the motion before each row of a chain."""
+    return running(rows, NO_MOTION, motion_then, block)
+
+
 def rebuild_long(rows: DataFrame, chain: str, pos: str, length: str, angle: str, torsion: str, block: int = BLOCK) -> DataFrame:
     """(chain, pos, x, y, z) of every point from internal coordinates, as ``clusters.rebuild`` gives it, where a chain is
     dealt over many tasks. Bonds are numbered from 0 without gaps; the first angle and the first two torsions don't count.
@@ -129,3 +148,115 @@ def rebuild_long(rows: DataFrame, chain: str, pos: str, length: str, angle: str,
     points = both.select("chain", (F.col("pos") + 1).alias("pos"), *[m.alias(c) for m, c in zip(move, "xyz", strict=True)])
     first = before.filter("pos = 0").select("chain", F.lit(0).cast("long").alias("pos"), *[F.lit(0.0).alias(c) for c in "xyz"])
     return first.unionByName(points)
+
+
+def segment_long(rows: DataFrame, chain: str, pos: str, value: str, most: int, penalty: float, block: int = BLOCK) -> DataFrame:
+    """(chain, best, lo, hi): the best segmentation of each chain as ``clusters.segment`` scores it (minus the squared
+    deviation from the segment's mean, minus a penalty), where a chain is dealt over many tasks.
+
+    A block of items turns the best scores at the last ``most`` cuts before it into those at its own last cuts: a matrix
+    of maxima and sums. Their products reach every block; backwards, each block says from which cut before it the best way
+    to any of its own comes, maps that are put together the same way; then each block traces its own part. A segment
+    belongs to the block that it ends in. Positions count from 0 without gaps; ties go to the shorter last segment."""
+    if block < most:
+        raise ValueError("a block must hold the longest segment")
+    kind = rows.schema[chain].dataType.simpleString()
+    own = rows.select(F.col(chain).alias("chain"), F.col(pos).cast("long").alias("pos"), F.col(value).cast("double").alias("v"))
+    at = F.floor(F.col("pos") / block).cast("long")
+    # The last items before a block are needed there as well.
+    places = F.when((F.col("pos") % block) >= block - (most - 1), F.array(at, at + 1)).otherwise(F.array(at))
+    each = own.select("chain", F.explode(places).alias("at"), "pos", "v").groupBy("chain", "at").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("all"))
+    each = settle(each.select("chain", F.col("at").alias("pos"), F.transform("all", lambda x: x["v"]).alias("v"), F.element_at("all", -1)["pos"].alias("last")).filter(F.col("last") >= F.col("pos") * block))
+
+    def scores(values: list[float], at: int) -> np.ndarray:
+        """score[e, l]: of the segment of l + 1 items that ends with item e of the block."""
+        x = np.array(values)
+        before = min(most - 1, at * block)
+        s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+        n = len(x) - before
+        table = np.full((n, most), -np.inf)
+        for width in range(1, most + 1):
+            e = np.arange(n) + before + 1
+            ok = e - width >= 0
+            total = s[e[ok]] - s[e[ok] - width]
+            table[ok, width - 1] = -(q[e[ok]] - q[e[ok] - width] - total**2 / width) - penalty
+        return table
+
+    def forward(table: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best scores at the cuts (most before the block, newest last, then its own) for columns of starts; back pointers."""
+        n = len(table)
+        best = np.concatenate([start, np.full((n, start.shape[1]), -np.inf)])
+        back = np.zeros((n, start.shape[1]), np.int64)
+        for e in range(n):
+            ways = best[e : e + most][::-1] + table[e][:, None]
+            back[e] = ways.argmax(0) + 1
+            best[most + e] = ways.max(0)
+        return best, back
+
+    def states(best: np.ndarray) -> np.ndarray:
+        return best[-most:]
+
+    def matrices(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for at_, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                start = np.where(np.eye(most, dtype=bool), 0.0, -np.inf)
+                out.append(states(forward(scores(values, at_), start)[0]).reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
+
+    def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a.reshape(most, most), b.reshape(most, most)
+        return (b[:, :, None] + a[None]).max(1).reshape(-1)
+
+    steps = settle(each.select("chain", "pos", "v").mapInArrow(matrices, f"chain {kind}, pos bigint, sums array<double>"))
+    start = np.full(most, -np.inf)
+    start[-1] = 0.0
+    entry = running(steps, start, product, block, lambda v, m: (m.reshape(most, most) + v).max(1))
+
+    def traced(back_: np.ndarray, e: int) -> list[tuple[int, int]]:
+        """Segments (first item, length) backwards from a cut, up to the one that begins at or before the block's start."""
+        out = []
+        while e > 0:
+            length = int(back_[e - 1, 0])
+            e -= length
+            out.append((e, length))
+        return out
+
+    def maps(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for at_, values, entry_ in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                table = scores(values, at_)
+                back_ = forward(table, np.array(entry_)[:, None])[1]
+                ends = [len(table) - (most - 1 - j) for j in range(most)]
+                out.append([float(most - 1 + ((traced(back_, e) or [(e, 0)])[-1][0])) if e > -most else 0.0 for e in ends])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
+
+    lasts = each.groupBy("chain").agg(F.max("pos").alias("end"))
+    both = each.select("chain", "pos", "v").join(entry.select("chain", "pos", F.col("sums").alias("entry")), ["chain", "pos"])
+    back = both.mapInArrow(maps, f"chain {kind}, pos bigint, sums array<double>").join(lasts, "chain")
+    back = back.select("chain", (F.col("end") - F.col("pos")).alias("pos"), "sums")  # from the last block on
+    exits = running(back, np.array([most - 1.0]), lambda a, b: b[a.astype(int)], block, lambda v, m: m[v.astype(int)])
+    exits = exits.join(lasts, "chain").select("chain", (F.col("end") - F.col("pos")).alias("pos"), F.col("sums").alias("exit"))
+
+    def trace(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for i, (at_, values, entry_, exit_) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                table = scores(values, at_)
+                best, back_ = forward(table, np.array(entry_)[:, None])
+                for lo, length in traced(back_, len(table) - (most - 1 - int(exit_[0]))):
+                    hi = lo + length
+                    out[0].append(i), out[1].append(at_ * block + lo), out[2].append(at_ * block + hi), out[3].append(float(best[most + hi - 1, 0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, k) for x, k in zip(out[1:], (pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["chain", "lo", "hi", "so_far"])
+
+    met = each.select("chain", "pos", "v").join(entry.select("chain", "pos", F.col("sums").alias("entry")), ["chain", "pos"]).join(exits, ["chain", "pos"])
+    found = settle(met.select("chain", "pos", "v", "entry", "exit").mapInArrow(trace, f"chain {kind}, lo bigint, hi bigint, so_far double"))
+    total = found.groupBy("chain").agg(F.max_by("so_far", "hi").alias("best"))
+    return found.join(total, "chain").select("chain", "best", "lo", "hi")

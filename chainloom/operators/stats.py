@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chainloom.operators.rounds import front
 from chainloom.operators.splits import quantiles, running_sum
 
 
@@ -126,28 +127,8 @@ def clustering_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def pareto_front(points: DataFrame, key: str, axes: dict[str, str], eps: float = 1e-12) -> DataFrame:
-    """Rows that no other row beats: ``axes`` maps a column to "min" or "max".
-
-    Candidates are first thinned to the best of each value of the first axis, which is one partial aggregate; only what
-    is left meets in the anti-join.
-    """
-    signed = points.select(key, *[(F.col(c) if s == "min" else -F.col(c)).cast("double").alias(f"x{i}") for i, (c, s) in enumerate(axes.items())])
-    names = [f"x{i}" for i in range(len(axes))]
-    if len(names) == 2:
-        # Two axes: sorted by the first, a point is beaten if an earlier value of the second is as good.
-        best = signed.groupBy("x0").agg(F.min("x1").alias("m"))
-        before = F.min("m").over(W.orderBy("x0").rowsBetween(W.unboundedPreceding, -1))
-        kept = best.withColumn("b", before).filter(F.col("b").isNull() | (F.col("m") < F.col("b") - eps)).select("x0", F.col("m").alias("x1"))
-        return points.join(signed.join(kept, ["x0", "x1"]).select(key), key)
-    distinct = signed.select(*names).distinct()
-    thin = distinct.groupBy(*names[:-1]).agg(F.min(names[-1]).alias(names[-1]))
-    a, b = thin.alias("a"), thin.alias("b")
-    no_worse, better = F.lit(True), F.lit(False)
-    for n in names:
-        no_worse = no_worse & (F.col(f"b.{n}") <= F.col(f"a.{n}") + eps)
-        better = better | (F.col(f"b.{n}") < F.col(f"a.{n}") - eps)
-    front = a.join(b, no_worse & better, "left_anti")
-    return points.join(signed.join(front, names).select(key), key)
+    """Rows that no other row beats: ``axes`` maps a column to "min" or "max"."""
+    return front(points, key, axes, eps)
 
 
 def capacity_bits(n_prototypes: int, lengths: list[int], k: int, m: float, bins: int) -> float:

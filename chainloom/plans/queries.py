@@ -12,14 +12,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from chainloom.functions.angles import TWO_PI, circular_mean, circular_rmse, radian_l1, radian_smooth_l1, wrap
 from chainloom.functions import features
-from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, models, motifs, sampling, scans, sequences, spans, splits, stats, structures
+from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, models, motifs, rounds, sampling, scans, sequences, spans, splits, stats, structures
 from chainloom.operators import shapes as shapes_of
 from chainloom.plans.learn import encode, learn
 from chainloom.plans.shapes import encode_shapes, learn_shapes
+from chainloom import storage
 from chainloom.sources import sinks, text
 from chainloom.storage import shared_dir
 from chainloom.streaming import streams
@@ -837,7 +839,6 @@ def semi_anti(spark, d):
 
 @query("""SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS nt, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY CAST(o_totalprice AS INT) // 1000)""")
 def window_frames(spark, d):
-    from pyspark.sql import Window as W
 
     by = W.partitionBy("o_orderpriority")
     thousand = by.orderBy(F.floor(F.round("o_totalprice") / 1000))
@@ -1312,12 +1313,26 @@ def long_chain(spark, d):
     return points.groupBy(F.floor(F.col("pos") / 500).cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 4).alias("x"), F.round(F.avg("y"), 4).alias("y"))
 
 
+@query(f"""WITH {TS}, {PAIRS.replace('FROM t0', 'FROM t0 WHERE chain % 3 <> 0')} SELECT l AS "left", r AS "right", count(*) AS n FROM p WHERE r IS NOT NULL GROUP BY 1, 2""")
+def stream_pair_counts(spark, d):
+    """Chains of events arrive as a stream, every third is withdrawn in a later trigger; counts of pairs after the last."""
+    tokens = event_chains(spark, d).groupBy("chain").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+    gone = tokens.filter("chain % 3 = 0").select("chain", F.lit(2).cast("long").alias("version"), F.lit(None).cast("array<string>").alias("tokens"))
+    first = tokens.select("chain", F.lit(1).cast("long").alias("version"), "tokens")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for rows in (first, gone):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        streams.follow_pairs(streams.read_parquet_stream(spark, f"{folder}/in", rows.schema), f"{folder}/counts", f"{folder}/checkpoint")
+    storage.note(folder)
+    return streams.pair_counts_at(spark, f"{folder}/counts")
+
+
 # --- text formats read from files -----------------------------------------------------------------------------------------
 
 
 def written(rows: DataFrame, kind: str) -> str:
     """A folder of files of a format, in the shared folder."""
-    path = f"{shared_dir(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    path = storage.note(f"{shared_dir(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}")
     rows.write.format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
     return path
 
@@ -1428,16 +1443,61 @@ def angle_kmeans(spark, d):
 
 @query()
 def linkage(spark, d):
-    """Average linkage of the prototypes by their distance after superposition."""
-    from chainloom.functions.numeric import rmsd
+    """Average linkage of all suppliers by balance and nation, in rounds over a table of pairs; clusters at a height of 500."""
+    rows = table(spark, d, "supplier")
+    other = rows.select(F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"), F.col("s_nationkey").alias("m"))
+    key = lambda c, w: F.floor(F.col(c) / w).cast("long")
+    pairs = rows.withColumn("at", F.explode(F.sequence(F.lit(0), key("s_suppkey", 64)))).join(other.withColumn("at", key("b", 64)), "at").filter("b < s_suppkey")
+    pairs = pairs.select(F.col("b").alias("a"), F.col("s_suppkey").alias("b"), (F.abs(F.col("s_acctbal") - F.col("y")) + F.when(F.col("m") == F.col("s_nationkey"), 0).otherwise(100)).alias("d"))
+    return rounds.average_joins(pairs, 500.0)[1].select(F.col("id").alias("s_suppkey"), "cluster")
+
+
+UNIQUE_AT = 0.15
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT a.vec_id, list(b.vec_id) FILTER (b.vec_id IS NOT NULL) AS near FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id
+AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {UNIQUE_AT} GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS r FROM p),
+g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT n.r, CASE WHEN len(list_intersect(coalesce(near, []), kept)) > 0 THEN kept ELSE list_append(kept, vec_id) END FROM g JOIN n ON n.r = g.r + 1)
+SELECT vec_id, list_contains((SELECT kept FROM g ORDER BY r DESC LIMIT 1), vec_id) AS kept FROM n""")
+def unique_vectors(spark, d):
+    """Vectors in order of their number, each kept unless like one of its label kept before it."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    other = rows.select(F.col("vec_id").alias("b"), "label", F.col("e").alias("f"))
+    product = F.aggregate(F.zip_with("e", "f", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    similar = rows.join(other, "label").filter(F.col("b") < F.col("vec_id")).filter(product >= UNIQUE_AT).select(F.col("vec_id").alias("a"), "b")
+    found = rounds.first_unique(rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank")), similar)
+    return found.select(F.col("id").alias("vec_id"), "kept")
 
-    import numpy as np
 
-    shapes_of = {k: np.array(v).reshape(-1, 3) for k, v in prototypes(spark, d).items()}
-    names = sorted(shapes_of)
-    distance = np.array([[rmsd(shapes_of[a], shapes_of[b]) for b in names] for a in names])
-    found = clusters.linkage(names, distance, float(np.median(distance)))[1]
-    return spark.createDataFrame(sorted(found.items()), "label int, cluster int")
+@query("""WITH p AS (SELECT p_partkey, p_size AS a, -p_retailprice AS b, p_partkey % 101 AS c, -((p_partkey * 7) % 103) AS e FROM part)
+SELECT p_partkey FROM p x WHERE NOT EXISTS (SELECT 1 FROM p y WHERE y.a <= x.a AND y.b <= x.b AND y.c <= x.c AND y.e <= x.e AND (y.a < x.a OR y.b < x.b OR y.c < x.c OR y.e < x.e))""")
+def pareto_4d(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 101).alias("c"), (F.col("p_partkey") * 7 % 103).alias("e"))
+    return stats.pareto_front(rows, "p_partkey", {"p_size": "min", "p_retailprice": "max", "c": "min", "e": "max"}).select("p_partkey")
+
+
+@query()
+def long_segmentation(spark, d):
+    """All orders as one chain, cut into its best segments over many tasks."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.log1p("o_totalprice").alias("v"))
+    rows = splits.with_rank(rows, "o_orderkey").select(F.lit("all").alias("chain"), F.col("rank").cast("long").alias("pos"), "v")
+    return rounded(scans.segment_long(rows, "chain", "pos", "v", 12, 0.5))
+
+
+TREE_UP = {"l": ([[0.5, -0.2], [0.1, 0.4]], [0.05, 0.0]), "r": ([[-0.3, 0.6], [0.2, 0.3]], [0.0, -0.1])}
+TREE_DOWN = {"l": ([[0.4, 0.1], [-0.2, 0.5]], [0.0, 0.1]), "r": ([[0.3, -0.4], [0.2, 0.2]], [0.1, 0.0]), "own": ([[0.6, 0.0], [0.0, 0.6]], [0.0, 0.0])}
+
+
+@query()
+def tree_messages(spark, d):
+    """The events of each user as a tree (children of place p stand at 2 p + 1 and 2 p + 2): values sent up and down."""
+    rows = values(spark, d).withColumn("last", F.max("pos").over(W.partitionBy("chain")))
+    node = lambda c: F.concat_ws(":", "chain", c)
+    leaves = rows.filter("2 * pos + 1 > last").select(node("pos").alias("node"), F.array(F.log1p(F.abs("value")) / 5, F.sin("value")).alias("x"))
+    edges = rows.filter("pos > 0").select(node(F.floor((F.col("pos") - 1) / 2)).alias("parent"), node("pos").alias("child"), F.when(F.col("pos") % 2 == 1, "l").otherwise("r").alias("side"))
+    found = rounds.encode_trees(leaves, edges, TREE_UP, TREE_DOWN)
+    return rounded(found.select("node", F.get("up", F.lit(0)).alias("up0"), F.get("up", F.lit(1)).alias("up1"), F.get("down", F.lit(0)).alias("down0"), F.get("down", F.lit(1)).alias("down1")))
 
 
 @query(None, "tm_align")

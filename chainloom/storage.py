@@ -34,6 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def note(path: str) -> str:
+    """A folder that a job has written beside its settled tables, for :func:`sweep` to delete with them."""
+    _SETTLED.append(path)
+    return path
+
+
 def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     """Delete what this process has settled, but for the first ``since`` tables and the last ``keep``; for when no result
     that reads it is needed any more."""

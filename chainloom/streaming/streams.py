@@ -77,3 +77,77 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def pair_changes(arriving: DataFrame) -> DataFrame:
+    """(left, right, n): how arriving chains change the counts of neighbouring tokens. ``arriving`` is a stream of chain,
+    version and tokens: a chain's tokens as of a version, or null where it is withdrawn.
+
+    State is a chain's last version and tokens. A row replaces what the chain had, which is taken back: old pairs count
+    minus, new ones plus. Rows that are no newer than the state change nothing, so repeated or late ones do no harm; of
+    several rows in one trigger the newest counts, ties to the longer tokens. Null chains are one chain."""
+    from collections import Counter
+
+    kind = arriving.schema["chain"].dataType.simpleString()
+
+    def follow(key, frames, state):
+        import pandas as pd
+
+        held = state.get if state.exists else None
+        before = list(held[1]) if held and held[1] is not None else []
+        newest = held[0] if held else None
+        now = None
+        for frame in frames:
+            for version, tokens in zip(frame["version"], frame["tokens"], strict=True):
+                tokens = None if tokens is None else list(tokens)
+                if newest is None or version > newest or now is not None and version == now[0] and len(tokens or ()) > len(now[1] or ()):
+                    newest, now = int(version), (int(version), tokens)
+        if now is None:
+            return
+        state.update((now[0], now[1]))
+        after = now[1] or []
+        change = Counter(zip(after, after[1:], strict=False))
+        change.subtract(Counter(zip(before, before[1:], strict=False)))
+        rows = [(a, b, n) for (a, b), n in change.items() if n]
+        if rows:
+            yield pd.DataFrame(rows, columns=["left", "right", "n"])
+
+    rows = arriving.select(F.col("chain").cast(kind).alias("chain"), F.col("version").cast("long").alias("version"), "tokens").filter("version IS NOT NULL")
+    return rows.groupBy("chain").applyInPandasWithState(follow, "left string, right string, n bigint", "version bigint, tokens array<string>", "append", "NoTimeout")
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().split("-")[1]) for p in done if p.getName().startswith("counts-"))
+
+
+def pair_counts_at(spark: SparkSession, folder: str, batch: int | None = None) -> DataFrame:
+    """(left, right, n) after a trigger, or the last one."""
+    found = [v for v in _versions(spark, folder) if batch is None or v <= batch]
+    if not found:
+        return spark.createDataFrame([], "left string, right string, n bigint")
+    return spark.read.parquet(f"{folder}/counts-{found[-1]}")
+
+
+def follow_pairs(arriving: DataFrame, folder: str, checkpoint: str, keep: int = 3):
+    """Run a stream of chains over what is there now; after every trigger, ``folder`` holds the counts of all pairs.
+
+    A trigger's counts are those of the one before plus its changes, written under its own number, so a trigger that is run
+    again after a failure writes the same once more. The last ``keep`` versions stay."""
+
+    def merge(changes: DataFrame, batch: int) -> None:
+        spark = changes.sparkSession
+        before = pair_counts_at(spark, folder, batch - 1)
+        now = before.unionByName(changes).groupBy("left", "right").agg(F.sum("n").alias("n")).filter("n <> 0")
+        now.write.mode("overwrite").parquet(f"{folder}/counts-{batch}")
+        for old in _versions(spark, folder)[:-keep]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/counts-{old}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    query = pair_changes(arriving).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
