@@ -68,3 +68,57 @@ def score_neighbours(table: DataFrame, slope: float, layers: list[Layer]) -> Dat
 def interleave(columns: list[Column]) -> Column:
     """Arrays of one length read across: first items of all, then second items of all."""
     return F.flatten(F.transform(F.arrays_zip(*[c.alias(f"c{k}") for k, c in enumerate(columns)]), lambda x: F.array(*[x[f"c{k}"] for k in range(len(columns))])))
+
+
+def span_shapes(rows: DataFrame, chain: str, pos: str, values: list[str], most: int, order: int = 8, block: int = 256) -> DataFrame:
+    """(chain, lo, hi, descriptor, radius, means, variances) of every span of up to ``most`` points: its Zernike descriptors
+    and radius of gyration from running sums of moments, and of each value column the mean and population variance from
+    running sums as well. ``rows`` has x, y, z; positions count from 0 without gaps, nothing is null.
+
+    A chain is dealt by blocks of starts, each with the ``most`` - 1 points that follow it; sums begin anew at each block,
+    about its first point, so they stay small however far a chain goes. Equal points have the descriptors of one."""
+    from collections.abc import Iterator
+
+    if block < most:
+        raise ValueError("a block must hold the longest span")
+    kind = rows.schema[chain].dataType.simpleString()
+    at = F.floor(F.col(pos) / block).cast("long")
+    own = rows.select(F.col(chain).alias("chain"), F.col(pos).cast("long").alias("pos"), F.array("x", "y", "z", *[F.col(v).cast("double") for v in values]).alias("p"))
+    places = F.when((F.col("pos") % block < most - 1) & (F.col("pos") >= block), F.array(at, at - 1)).otherwise(F.array(at))
+    each = own.select("chain", F.explode(places).alias("at"), "pos", "p").groupBy("chain", "at").agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("all"))
+    each = each.select("chain", "at", F.transform("all", lambda x: x["p"]).alias("p"))
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from chainloom.functions.moments import descriptors, powers
+
+        for batch in batches:
+            for i, (first, points) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                x = np.array(points, float)
+                n = min(block, len(x))
+                moments = powers(x[:, :3] - x[0, :3], order)
+                moments = np.concatenate([np.zeros_like(moments[:1]), np.cumsum(moments, 0)])
+                shift = x[0, 3:]
+                other = x[:, 3:] - shift
+                sums, squares = (np.concatenate([np.zeros((1, other.shape[1])), np.cumsum(v, 0)]) for v in (other, other**2))
+                for width in range(1, min(most, len(x)) + 1):
+                    lo = np.arange(min(n, len(x) - width + 1))
+                    d, radius = descriptors(moments[lo + width] - moments[lo], order)
+                    mean = (sums[lo + width] - sums[lo]) / width
+                    var = np.maximum(0, (squares[lo + width] - squares[lo]) / width - mean**2)
+                    columns = [batch.column(0).take(pa.array(np.full(len(lo), i))), pa.array(first * block + lo), pa.array(first * block + lo + width)]
+                    lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (d, mean + shift, var)]
+                    yield pa.RecordBatch.from_arrays([*columns, lists[0], pa.array(radius), *lists[1:]], names=["chain", "lo", "hi", "descriptor", "radius", "means", "variances"])
+
+    return each.mapInArrow(run, f"chain {kind}, lo bigint, hi bigint, descriptor array<double>, radius double, means array<double>, variances array<double>")
+
+
+def score_shapes(table: DataFrame, layers: list[Layer], gamma: float) -> DataFrame:
+    """(chain, lo, hi, score): a network on all features of ``span_shapes``: descriptors, radius, means, variances, length
+    / 500 and ln(length + 1e-6) / 6; less ``gamma``."""
+    n = F.col("hi") - F.col("lo")
+    vector = F.concat("descriptor", F.array("radius"), "means", "variances", F.array(n / 500, F.log(n + 1e-6) / 6))
+    held = table.select("chain", "lo", "hi", vector.alias("f"))
+    return held.select("chain", "lo", "hi", (F.get(network(F.col("f"), layers), F.lit(0)) - gamma).alias("score"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from chainloom.functions.angles import TWO_PI, circular_mean, circular_rmse, radian_l1, radian_smooth_l1, wrap
 from chainloom.functions import features
+from chainloom.functions.moments import names as descriptor_names
 from chainloom.operators import align, bins, chains, clusters, filters, intervals, lookups, models, motifs, rounds, sampling, scans, sequences, spans, splits, stats, structures
 from chainloom.operators import shapes as shapes_of
 from chainloom.plans.learn import encode, learn
@@ -1400,6 +1401,36 @@ def span_pair_scores(spark, d):
     return rounded(spans.score_neighbours(event_spans(spark, d, 3), SLOPE, PAIR))
 
 
+def moment_sql(most: int) -> str:
+    """Second moments of spans of CA atoms about their centres, as m (chain, lo, hi, n, xx, ..., mean, variance)."""
+    two = ", ".join(f"avg(q.{a} * q.{b}) - avg(q.{a}) * avg(q.{b}) AS {a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    return f"""{POINTS}, ca AS (SELECT chain_id AS chain, r AS pos, x, y, z, (r * 7 + vec_id) % 5 AS v FROM a WHERE i % 3 = 1),
+m AS (SELECT s.chain, s.pos AS lo, e.pos + 1 AS hi, {two}, avg(q.v) AS mean, var_pop(q.v) AS variance FROM ca s JOIN ca e ON s.chain = e.chain AND e.pos BETWEEN s.pos AND s.pos + {most - 1} JOIN ca q ON q.chain = s.chain AND q.pos BETWEEN s.pos AND e.pos GROUP BY 1, 2, 3)"""
+
+
+def ca_spans(spark, d) -> DataFrame:
+    rows = structure_backbone(spark, d).filter("atom = 'CA'")
+    pos, vec = F.floor(F.col("k") / 3).cast("long"), F.substring("chain_id", 2, 20).cast("long")
+    rows = rows.select(F.col("chain_id").alias("chain"), pos.alias("pos"), "x", "y", "z", ((pos * 7 + vec) % 5).cast("double").alias("v"))
+    return spans.span_shapes(rows, "chain", "pos", ["v"], 5)
+
+
+@query(f"""WITH {moment_sql(5)} SELECT chain, lo::BIGINT AS lo, hi::BIGINT AS hi, round(sqrt(greatest(0, xx + yy + zz)), 6) AS radius,
+round(CASE WHEN hi - lo = 1 THEN 0 ELSE sqrt(greatest(0, 5 / (4 * pi()) * 7 * (1.5 * (xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)) / power(xx + yy + zz, 2) - 0.5))) * 0.6 END, 6) AS d22, round(mean, 6) AS mean, round(variance, 6) AS variance FROM m""")
+def span_descriptors(spark, d):
+    """Spans of CA atoms from running moments; of the descriptors, SQL states that of n = l = 2."""
+    at = [i for i, nl in enumerate(descriptor_names(8)) if nl == (2, 2)][0]
+    return rounded(ca_spans(spark, d).select("chain", "lo", "hi", "radius", F.get("descriptor", F.lit(at)).alias("d22"), F.get("means", F.lit(0)).alias("mean"), F.get("variances", F.lit(0)).alias("variance")))
+
+
+@query()
+def span_shape_scores(spark, d):
+    """Scores of spans by a network on all their features, by given weights."""
+    size = len(descriptor_names(8)) + 5
+    layers = [([[math.sin(i * 3 + j) / 4 for j in range(size)] for i in range(4)], [0.1, 0.0, -0.1, 0.2]), ([[0.5, -0.4, 0.3, 0.6]], [0.05])]
+    return rounded(spans.score_shapes(ca_spans(spark, d), layers, GAMMA))
+
+
 @query()
 def segmentation_pairs(spark, d):
     """The best segmentation by scores of spans and of neighbouring spans."""
