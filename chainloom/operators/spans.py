@@ -95,6 +95,15 @@ def span_shapes(rows: DataFrame, chain: str, pos: str, values: list[str], most:
         from chainloom.functions.moments import descriptors, powers
 
         for batch in batches:
+            held: list[tuple] = []  # of many chains: row, lo, hi, moments, means, variances
+
+            def hand_on(batch=batch, held=held):
+                row, lo, hi, moments, means, variances = (np.concatenate(v) for v in zip(*held, strict=True))
+                d, radius = descriptors(moments, order)
+                lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (d, means, variances)]
+                held.clear()
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(lo), pa.array(hi), lists[0], pa.array(radius), *lists[1:]], names=["chain", "lo", "hi", "descriptor", "radius", "means", "variances"])
+
             for i, (first, points) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 x = np.array(points, float)
                 n = min(block, len(x))
@@ -105,12 +114,13 @@ def span_shapes(rows: DataFrame, chain: str, pos: str, values: list[str], most:
                 sums, squares = (np.concatenate([np.zeros((1, other.shape[1])), np.cumsum(v, 0)]) for v in (other, other**2))
                 for width in range(1, min(most, len(x)) + 1):
                     lo = np.arange(min(n, len(x) - width + 1))
-                    d, radius = descriptors(moments[lo + width] - moments[lo], order)
                     mean = (sums[lo + width] - sums[lo]) / width
                     var = np.maximum(0, (squares[lo + width] - squares[lo]) / width - mean**2)
-                    columns = [batch.column(0).take(pa.array(np.full(len(lo), i))), pa.array(first * block + lo), pa.array(first * block + lo + width)]
-                    lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (d, mean + shift, var)]
-                    yield pa.RecordBatch.from_arrays([*columns, lists[0], pa.array(radius), *lists[1:]], names=["chain", "lo", "hi", "descriptor", "radius", "means", "variances"])
+                    held.append((np.full(len(lo), i), first * block + lo, first * block + lo + width, moments[lo + width] - moments[lo], mean + shift, var))
+                    if sum(len(h[0]) for h in held) > 2000:
+                        yield hand_on()
+            if held:
+                yield hand_on()
 
     return each.mapInArrow(run, f"chain {kind}, lo bigint, hi bigint, descriptor array<double>, radius double, means array<double>, variances array<double>")
 

@@ -142,3 +142,25 @@ def nearest_partners(points: DataFrame, chain: str, index: str) -> DataFrame:
     d = norm(sub(tuple(F.col(f"a{c}") for c in "xyz"), tuple(F.col(f"b{c}") for c in "xyz")))
     best = a.join(b, chain).filter("i <> j").groupBy(chain, "i").agg(F.min(F.struct(d.alias("d"), "j")).alias("m"))
     return best.select(chain, "i", "m.j")
+
+
+def lddt(reference: DataFrame, model: DataFrame, radius: float = 15.0, steps: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)) -> DataFrame:
+    """(chain, n, lddt): the share of the reference's distances below ``radius`` that the model keeps within each of some
+    steps, over all steps; both tables have chain, k, x, y, z.
+
+    Near pairs meet in cells of the radius, each point in its own and the half of its neighbours that come later, so a chain's
+    pairs are never all listed. A distance that the model lacks is not kept; a chain without near pairs has no row."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
+    rows = reference.select("chain", "k", "x", "y", "z", *[cell(c).alias(f"c{c}") for c in "xyz"])
+    later = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+    near = F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy"), (F.col("cz") + c).alias("cz"), F.lit((a, b, c) == (0, 0, 0)).alias("own")) for a, b, c in later])
+    left = rows.select("chain", F.col("k").alias("i"), *[F.col(c).alias(f"{c}1") for c in "xyz"], F.explode(near).alias("to"))
+    left = left.select("chain", "i", "x1", "y1", "z1", "to.cx", "to.cy", "to.cz", "to.own")
+    pairs = left.join(rows.withColumnRenamed("k", "j"), ["chain", "cx", "cy", "cz"]).filter(~F.col("own") | (F.col("i") < F.col("j")))
+    apart = norm((F.col("x1") - F.col("x"), F.col("y1") - F.col("y"), F.col("z1") - F.col("z")))
+    pairs = pairs.select("chain", "i", "j", apart.alias("d")).filter(F.col("d") < radius)
+    end = lambda name, p: model.select("chain", F.col("k").alias(name), *[F.col(c).alias(f"{p}{c}") for c in "xyz"])
+    both = pairs.join(end("i", "s"), ["chain", "i"], "left").join(end("j", "t"), ["chain", "j"], "left")
+    off = F.abs(F.col("d") - norm(tuple(F.col(f"s{c}") - F.col(f"t{c}") for c in "xyz")))
+    kept = sum((F.coalesce(off < s, F.lit(False)).cast("int") for s in steps), F.lit(0)) / len(steps)
+    return both.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.avg(kept).alias("lddt"))

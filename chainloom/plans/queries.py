@@ -743,10 +743,11 @@ def prefix_span_means(spark, d):
     return rounded(sequences.span_means(prefix, spans.select("chain", "lo", "hi"), "chain", "pos"))
 
 
-@query("""WITH b AS (SELECT t, 0.0001 + 0.0199 * t / 99 AS beta FROM (SELECT unnest(range(0, 100)) AS t)), a AS (SELECT t, beta, 1 - beta AS alpha, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS ab FROM b), c AS (SELECT *, lag(ab, 1, 1.0) OVER (ORDER BY t) AS pb FROM a)
+@query("""WITH n AS (SELECT count(*) AS n FROM customer), b AS (SELECT t, 0.0001 + 0.0199 * t / (n - 1) AS beta FROM n, (SELECT unnest(range(0, n)) AS t FROM n)), a AS (SELECT t, beta, 1 - beta AS alpha, exp(sum(ln(1 - beta)) OVER (ORDER BY t)) AS ab FROM b), c AS (SELECT *, lag(ab, 1, 1.0) OVER (ORDER BY t) AS pb FROM a)
 SELECT t, round(beta, 6) AS beta, round(alpha, 6) AS alpha, round(ab, 6) AS alpha_bar, round(pb, 6) AS alpha_bar_before, round(beta * (1 - pb) / (1 - ab), 6) AS posterior_variance FROM c""")
 def alpha_schedule(spark, d):
-    return rounded(sequences.alpha_terms(sequences.beta_schedule(spark, "linear", 100)))
+    """A schedule with as many steps as there are customers."""
+    return rounded(sequences.alpha_terms(sequences.beta_schedule(spark, "linear", table(spark, d, "customer").count())))
 
 
 @query("""WITH l AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch, value AS loss FROM events),
@@ -855,36 +856,43 @@ def intersect(spark, d):
     return table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).intersect(table(spark, d, "customer").filter("c_acctbal > 5000").select("c_nationkey"))
 
 
-# --- text formats on literals -------------------------------------------------------------------------------------
+# --- text formats, from lines made of table rows --------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('q1', 'm1', 12.5::DOUBLE, 3, 77, 5, 70), ('q2', 'm2', 8.0::DOUBLE, 1, 9, 1, 9)) v(query_id, match_id, score, boundaries_from, boundaries_to, resolved_from, resolved_to)")
+@query("""SELECT 'q' || l_orderkey AS query_id, 'm' || l_partkey AS match_id, l_quantity AS score, l_linenumber AS boundaries_from, (l_linenumber + l_suppkey)::INT AS boundaries_to, l_linenumber + 1 AS resolved_from, (l_linenumber + l_suppkey + 1)::INT AS resolved_to FROM lineitem""")
 def range_expand(spark, d):
-    rows = [("#FIELDS query-id match-id score boundaries resolved",), ("q1 m1 12.5 3-77 5-70",), ("q2 m2 8.0 1-9 1-9",)]
-    return text.resolved_hits(spark.createDataFrame(rows, "value string"))
+    n, m = F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_suppkey")
+    line = F.concat_ws(" ", F.concat(F.lit("q"), "l_orderkey"), F.concat(F.lit("m"), "l_partkey"), "l_quantity", F.concat_ws("-", n, m), F.concat_ws("-", n + 1, m + 1))
+    header = "#FIELDS query-id match-id score boundaries resolved"
+    rows = table(spark, d, "lineitem").select(line.alias("value")).unionByName(spark.createDataFrame([(header,)], "value string"))
+    return text.resolved_hits(rows, header.split()[1:])
 
 
-@query("SELECT 'dom1' AS target_name, 120 AS tlen, 'chain1' AS query_name, 300 AS qlen, 1.5e-10::DOUBLE AS e_value, 11 AS env_from, 99 AS env_to, 'a long description' AS description")
+@query("""SELECT p_brand AS target_name, p_size AS tlen, 'part' || p_partkey AS query_name, (p_partkey % 500)::INT AS qlen, p_retailprice / 1000000 AS e_value, p_size AS env_from, p_size + 7 AS env_to, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS description
+FROM part WHERE p_brand NOT LIKE '% %'""")
 def domtbl_parse(spark, d):
-    line = "dom1 PF1.1 120 chain1 - 300 1.5e-10 40.1 0.1 1 1 2e-13 1e-10 39.0 0.1 2 90 12 98 11 99 0.93 a long  description"
-    out = text.domain_table(spark.createDataFrame([("# comment",), (line,)], "value string"))
-    return out.select("target_name", "tlen", "query_name", "qlen", "e_value", "env_from", "env_to", "description")
+    size = F.col("p_size")
+    fields = ["p_brand", F.lit("PF1.1"), size, F.concat(F.lit("part"), "p_partkey"), F.lit("-"), F.col("p_partkey") % 500, F.col("p_retailprice") / 1000000, *map(F.lit, ("40.1 0.1 1 1 2e-13 1e-10 39.0 0.1 2 90 12 98".split()))]
+    line = F.concat_ws(" ", *fields, size, size + 7, F.lit("0.93"), "p_name")
+    rows = table(spark, d, "part").filter("p_brand NOT LIKE '% %'").select(F.explode(F.array(F.lit("# comment"), line)).alias("value"))
+    return text.domain_table(rows).select("target_name", "tlen", "query_name", "qlen", "e_value", "env_from", "env_to", "description")
 
 
-@query("SELECT '>a' || chr(10) || repeat('ACDE', 20) || chr(10) || 'GG' AS value")
+@query("""WITH c AS (SELECT 'c' || c_custkey AS name, repeat('ACDEFGHIKL', (c_custkey % 13 + 1)::INT) || 'M' AS seq FROM customer)
+SELECT '>' || name || chr(10) || substr(seq, 1, 80) || CASE WHEN length(seq) > 80 THEN chr(10) || substr(seq, 81) ELSE '' END AS value FROM c""")
 def fasta_wrap(spark, d):
-    return sinks.fasta_lines(spark.createDataFrame([("a", "ACDE" * 20 + "GG")], "name string, seq string"))
+    seq = F.concat(F.repeat(F.lit("ACDEFGHIKL"), (F.col("c_custkey") % 13 + 1).cast("int")), F.lit("M"))
+    return sinks.fasta_lines(table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), seq.alias("seq")))
 
 
-@query("SELECT 'x_A' AS chain_id, 1 AS atom_id, 'N' AS atom, 'ALA' AS res, 5 AS res_id, 'B' AS ins_code, 11.104::DOUBLE AS x, -6.134::DOUBLE AS y, 1.0::DOUBLE AS z")
+@query("""SELECT 'x' || l_orderkey AS chain_id, l_linenumber AS atom_id, 'N' AS atom, 'ALA' AS res, (l_suppkey % 9999)::INT AS res_id, CASE l_linenumber % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE '' END AS ins_code, l_quantity AS x, -l_tax AS y, l_discount AS z FROM lineitem""")
 def pdb_parse(spark, d):
-    line = "ATOM      1  N   ALA A   5B     11.104  -6.134   1.000  1.00  5.00           N"
-    rows = spark.createDataFrame([(line, "file:/data/train/x_A.pdb"), ("TER", "file:/data/train/x_A.pdb")], "value string, path string")
+    code = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit(" ")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    line = F.format_string("ATOM  %5d  N   ALA A%4d%s   %8.3f%8.3f%8.3f  1.00  5.00           N", "l_linenumber", F.col("l_suppkey") % 9999, code, "l_quantity", -F.col("l_tax"), "l_discount")
+    rows = table(spark, d, "lineitem").select(F.explode(F.array(line, F.lit("TER"))).alias("value"), F.concat(F.lit("file:/data/train/x"), "l_orderkey", F.lit(".pdb")).alias("path"))
     return text.atoms(rows).select("chain_id", "atom_id", "atom", "res", "res_id", "ins_code", "x", "y", "z")
 
 
-
-
 # --- motifs with glue ---------------------------------------------------------------------------------------------
 
 
@@ -1245,6 +1253,18 @@ def structure_motifs(spark, d):
     return motifs.encode_motifs(first, motifs.learn_motifs(first, 3)[0]).select("chain", "pos", "token", "start", "width")
 
 
+@query(f"""WITH {POINTS}, q AS (SELECT p.vec_id, p.i, q.i AS j, sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)) AS d FROM a p JOIN a q ON p.vec_id = q.vec_id AND p.i < q.i WHERE p.vec_id % 2 = 0),
+m AS (SELECT q.*, abs(d - sqrt(power(s.x - t.x, 2) + power(s.y - t.y, 2) + power(s.z - t.z, 2))) AS off FROM q LEFT JOIN a s ON s.vec_id = q.vec_id + 1 AND s.i = q.i LEFT JOIN a t ON t.vec_id = q.vec_id + 1 AND t.i = q.j WHERE d < 4)
+SELECT 'v' || vec_id AS chain, count(*) AS n, round(avg((coalesce(off < 0.5, false)::INT + coalesce(off < 1, false)::INT + coalesce(off < 2, false)::INT + coalesce(off < 4, false)::INT) / 4), 6) AS lddt FROM m GROUP BY 1""")
+def lddt(spark, d):
+    """Every even chain against the chain after it as its model."""
+    points, vec = structure_backbone(spark, d).select("chain_id", "k", "x", "y", "z"), F.substring("chain_id", 2, 20).cast("long")
+    rows = points.withColumn("vec", vec)
+    reference = rows.filter("vec % 2 = 0").select(F.col("chain_id").alias("chain"), "k", "x", "y", "z")
+    model = rows.filter("vec % 2 = 1").select(F.concat(F.lit("v"), F.col("vec") - 1).alias("chain"), "k", "x", "y", "z")
+    return rounded(structures.lddt(reference, model, 4.0))
+
+
 #: Bins of the junctions that the shape queries use: no centre is a straight angle.
 SHAPE_EDGES = {"omega": bins.equal_width_edges(0.0, TWO_PI, 3), "c_n_ca": bins.equal_width_edges(0.0, TWO_PI, 2), "phi": bins.equal_width_edges(0.0, TWO_PI, 3)}
 
