@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.numeric import best_hierarchy, best_segmentation, best_segmentation_2d, rebuild_chain, tm_align, zernike_invariants
+from chainloom.functions.numeric import best_hierarchy, best_segmentation, best_segmentation_2d, end_frame, fit_glue, fit_glue_smoothly, rebuild_chain, tm_align, zernike_invariants
 from chainloom.functions.rigid import superposed, superposed_pairs
 from chainloom.operators.medoids import LOCAL, Here, Spread, lloyd
 
@@ -99,6 +99,32 @@ def rebuild(rows: DataFrame, chain: str, pos: str, length: str, angle: str, tors
     return rows.select(chain, pos, length, angle, torsion).groupBy(chain).applyInPandas(run, f"chain {kind}, pos bigint, x double, y double, z double")
 
 
+def fit_ends(chains: DataFrame, key: str, slots: list[tuple[str, int]], choices: list[list[float]] | None = None, kappa: float = 0.0) -> DataFrame:
+    """(key, values, loss): for each row's chain (lens, angs, dihs) the angles in some slots that bring its end back to
+    where the row's ``goal`` dihedrals have it. With ``choices``, values are numbers of bins and loss is null; without, they
+    are free angles found by quasi-Newton steps from the chain's own, with a von Mises prior about the goal's. Rows are
+    fitted side by side, each by itself; a chain must hold all slots."""
+    kind = chains.schema[key].dataType.simpleString()
+    grid = [np.array(c) for c in choices] if choices else None
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for lens, angs, dihs, goal in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+                target = end_frame(rebuild_chain(np.array(lens), np.array(angs), np.array(goal)))
+                if grid:
+                    found, loss = fit_glue(lens, angs, dihs, slots, grid, target), None
+                else:
+                    prior = [(float((angs if s == "ang" else goal)[at]), kappa) for s, at in slots]
+                    found, loss = fit_glue_smoothly(np.array(lens), np.array(angs), np.array(dihs), slots, target, prior)
+                out[0].append([float(v) for v in found]), out[1].append(loss)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.list_(pa.float64())), pa.array(out[1], pa.float64())], names=["key", "values", "loss"])
+
+    return chains.select(key, "lens", "angs", "dihs", "goal").mapInArrow(run, f"key {kind}, values array<double>, loss double")
+
+
 def segment(rows: DataFrame, chain: str, pos: str, value: str, most: int, penalty: float) -> DataFrame:
     """(chain, log_z, best, lo, hi): the best segmentation of each chain where a segment scores minus its squared
     deviation from its mean, minus a penalty; a group is one chain."""

@@ -966,21 +966,23 @@ def motif_encode_frozen(spark, d):
     return motifs.encode_motifs(first, motifs.learn_motifs(first, 3)[0]).select("chain", "pos", "token")
 
 
-@query()
-def glue_fit(spark, d):
-    """Bins of three free angles that bring each prototype chain's end nearest to where it was."""
-    from chainloom.functions.numeric import end_frame, fit_glue, rebuild_chain
+def short_chains(spark, d, turned_by: float = 0.0) -> DataFrame:
+    """Every shape as a chain of eleven bonds whose dihedrals are its first nine numbers; three of them turned on."""
+    numbers = F.transform(F.slice("flat", 1, 9), lambda x: F.pmod(x, F.lit(3.0)))
+    moved = F.transform(numbers, lambda x, i: F.when((i >= 3) & (i < 6), x + turned_by).otherwise(x))
+    of = lambda v, n: F.array_repeat(F.lit(v), n)
+    return shapes(spark, d).repartition(spark.sparkContext.defaultParallelism, "vec_id").select("vec_id", of(1.5, 11).alias("lens"), of(1.9, 10).alias("angs"), moved.alias("dihs"), numbers.alias("goal"))
+
 
-    import numpy as np
+FREE = [("dih", 3), ("dih", 4), ("dih", 5)]
 
-    rows = []
-    for label, flat in prototypes(spark, d).items():
-        turn = np.array(flat[:9]) % 3
-        lengths, bend = np.full(11, 1.5), np.full(10, 1.9)
-        target = end_frame(rebuild_chain(lengths, bend, turn))
-        centres = np.linspace(-math.pi, math.pi, 9)[:-1] + math.pi / 8
-        rows.append((label, *fit_glue(lengths, bend, turn, [("dih", 3), ("dih", 4), ("dih", 5)], [centres] * 3, target)))
-    return spark.createDataFrame(rows, "label int, b1 int, b2 int, b3 int")
+
+@query()
+def glue_fit(spark, d):
+    """Bins of three free angles that bring each chain's end nearest to where it was."""
+    centres = [-math.pi + math.pi / 4 * i + math.pi / 8 for i in range(8)]
+    found = clusters.fit_ends(short_chains(spark, d), "vec_id", FREE, [centres] * 3)
+    return found.select("key", *[F.get("values", F.lit(i)).cast("int").alias(f"b{i + 1}") for i in range(3)])
 
 
 # --- filters, features, summaries ---------------------------------------------------------------------------------
@@ -1565,19 +1567,9 @@ def zernike_query(spark, d):
 
 @query()
 def glue_fit_smooth(spark, d):
-    """Three free angles of each prototype chain by quasi-Newton steps, from straightened ones."""
-    from chainloom.functions.numeric import end_frame, fit_glue_smoothly, rebuild_chain
-
-    import numpy as np
-
-    rows = []
-    for label, flat in prototypes(spark, d).items():
-        turn = np.array(flat[:9]) % 3
-        lengths, bend, bent = np.full(11, 1.5), np.full(10, 1.9), turn.copy()
-        bent[3:6] += 0.3
-        found, loss = fit_glue_smoothly(lengths, bend, bent, [("dih", 3), ("dih", 4), ("dih", 5)], end_frame(rebuild_chain(lengths, bend, turn)), [(float(t), 0.0) for t in turn[3:6]])
-        rows.append((label, *found, loss))
-    return rounded(spark.createDataFrame(rows, "label int, t1 double, t2 double, t3 double, loss double"))
+    """Three free angles of each chain by quasi-Newton steps, from where they were turned to."""
+    found = clusters.fit_ends(short_chains(spark, d, 0.3), "vec_id", FREE)
+    return rounded(found.select("key", *[F.get("values", F.lit(i)).alias(f"t{i + 1}") for i in range(3)], "loss"))
 
 
 @query(None)

@@ -10,7 +10,7 @@ from chainloom.functions.numeric import place_atom, rebuild_chain, rmsd
 from chainloom.functions.rigid import Summary, rmsd_table, start_summary, summary
 from chainloom.operators import medoids, shapes, structures
 from chainloom.operators.bins import equal_width_edges
-from chainloom.operators.clusters import rebuild
+from chainloom.operators.clusters import fit_ends, rebuild
 from chainloom.operators.scans import products, rebuild_long
 from chainloom.plans.shapes import classes_for, encode_shapes, learn_shapes
 
@@ -251,3 +251,34 @@ def test_long_chains_are_dealt_over_tasks(spark):
     got = np.array([(r.x, r.y, r.z) for r in rebuild_long(long, "chain", "pos", "len", "ang", "dih").orderBy("pos").collect()])
     flat = np.array([(r.len, r.ang, r.dih) for r in long.orderBy("pos").collect()])
     assert np.allclose(got, rebuild_chain(flat[:, 0], flat[1:, 1], flat[2:, 2]), atol=1e-5)
+
+
+def test_lddt_by_cells_and_fits_by_row(spark):
+    from chainloom.functions.numeric import lddt
+
+    rng = np.random.default_rng(6)
+    chains = {c: rng.normal(size=(30, 3)) * 8 for c in "ab"} | {"far": np.array([[0.0, 0, 0], [100.0, 0, 0]])}
+    models = {c: p + rng.normal(size=p.shape) for c, p in chains.items()}
+    rows = lambda of: spark.createDataFrame([(c, k, *map(float, x)) for c, p in of.items() for k, x in enumerate(p)], "chain string, k int, x double, y double, z double")
+    got = {r.chain: r.lddt for r in structures.lddt(rows(chains), rows(models), 10.0).collect()}
+    assert set(got) == {"a", "b"} and all(abs(got[c] - lddt(models[c], chains[c], 10.0)) < 1e-12 for c in got)
+    part = structures.lddt(rows(chains), rows(models).filter("k < 20"), 10.0).collect()
+    assert all(r.lddt < got[r.chain] for r in part)
+    assert structures.lddt(rows(chains).filter("false"), rows(models)).count() == 0
+    goal = [0.5, 1.0, -1.0, 2.0, 0.3, -0.7, 1.1, 0.2, 0.9]
+    df = spark.createDataFrame([(1, [1.5] * 11, [1.9] * 10, [*goal[:3], *(g + 0.3 for g in goal[3:6]), *goal[6:]], goal)], "id int, lens array<double>, angs array<double>, dihs array<double>, goal array<double>")
+    free = [("dih", 3), ("dih", 4), ("dih", 5)]
+    r = fit_ends(df, "id", free).first()
+    assert r.loss < 1e-4
+    grid = [[g - 1.0, g, g + 1.0] for g in goal[3:6]]
+    assert fit_ends(df, "id", free, grid).first()["values"] == [1.0, 1.0, 1.0]
+
+
+def test_unknown_ids_raise_or_are_named(spark):
+    from chainloom.operators.chains import decode_ids
+
+    ids = spark.createDataFrame([("a", 0, 7), ("a", 1, 9)], "chain string, pos int, id bigint")
+    vocabulary = spark.createDataFrame([("x", 7)], "token string, id bigint")
+    assert sorted(r.token for r in decode_ids(ids, vocabulary, "?").collect()) == ["?", "x"]
+    with pytest.raises(Exception, match="unknown id: 9"):
+        decode_ids(ids, vocabulary).collect()
