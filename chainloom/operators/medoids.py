@@ -8,6 +8,10 @@ Distances of superposed shapes obey the triangle inequality, so a member's sum i
 c of its class. A pass sums up some members with the least bounds and raises all others' bounds; a class is done
 when no bound lies below its best sum. A pass reads the members once and hands the driver a few rows for each class, never
 members; up to LOCAL members, one task does the same by itself.
+
+How many members the bounds rule out depends on the shapes: in the worst case all pairs of a class are measured. A
+``budget`` bounds that for very large classes: at most about so many members of a class are summed up (each over the whole class) and the
+best of them is its medoid, so that work is linear in the members. Without one, which is the default, medoids are exact.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ def _points(shapes) -> np.ndarray:
 class Here:
     """Members in memory, in the order of their keys."""
 
-    def __init__(self, keys: list[tuple], shapes):
+    def __init__(self, keys: list[tuple], shapes, budget: int | None = None):
+        self.budget = budget
         order = sorted(range(len(keys)), key=lambda i: keys[i])
         self.keys, self.x = [keys[i] for i in order], _points([shapes[i] for i in order])
 
@@ -66,6 +71,8 @@ class Here:
                 sums[at] = d.sum(1)
                 best = int(sums[sums >= 0].min())
                 least = np.maximum(least, (np.abs(sums[at][:, None] - n * d) - 2 * n).max(0))
+                if self.budget and (sums >= 0).sum() >= self.budget:
+                    break
             out.append(self._member(int(inside[np.flatnonzero(sums == best)[0]])))
         return out
 
@@ -73,7 +80,8 @@ class Here:
 class Spread:
     """Members of a table (chain, start, shape)."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, budget: int | None = None):
+        self.budget = budget
         self.rows = settle(rows.select("chain", "start", "shape"))
         self.kind = self.rows.schema["chain"].dataType.simpleString()
 
@@ -107,8 +115,8 @@ class Spread:
         held = settle(self.rows.mapInArrow(deal, schema))
         sizes = {r["own"]: r["n"] for r in held.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}
         best: dict[int, tuple[int, tuple, list[float]]] = {}
-        most = CANDIDATES
-        while True:
+        most, summed = CANDIDATES, 0
+        while not self.budget or summed < self.budget:
             open_ = F.lit(False)
             for c in sizes:
                 open_ = open_ | ((F.col("own") == c) & (F.col("least") <= best[c][0] if c in best else F.lit(True)))
@@ -116,7 +124,7 @@ class Spread:
             some = held.filter(~F.col("done") & open_).withColumn("nth", nth).filter(F.col("nth") <= most).select("own", "chain", "start", "shape").collect()
             if not some:
                 break
-            most = min(MOST_CANDIDATES, 4 * most)
+            summed, most = summed + most, min(MOST_CANDIDATES, 4 * most)
             of: dict[int, list] = {}
             for r in some:
                 of.setdefault(r["own"], []).append(r)
@@ -160,18 +168,18 @@ class Spread:
         return [(best[c][1], best[c][2]) if c in best else m for c, m in enumerate(medoids or [None])]
 
 
-def find_medoids(rows: DataFrame, k: int, local: int = LOCAL, rounds: int = ROUNDS) -> list[Member]:
+def find_medoids(rows: DataFrame, k: int, local: int = LOCAL, rounds: int = ROUNDS, budget: int | None = None) -> list[Member]:
     """At most ``k`` medoids of a table (chain, start, shape); fewer where there are fewer different shapes, none where it
     is empty. Keys must differ; shapes have equally many points."""
     rows = settle(rows.select("chain", F.col("start").cast("long").alias("start"), F.col("shape").cast("array<double>").alias("shape")))
     if rows.limit(local + 1).count() > local:
-        return lloyd(Spread(rows), k, rounds)
+        return lloyd(Spread(rows, budget), k, rounds)
     kind = rows.schema["chain"].dataType.simpleString()
 
     def run(pdf):
         import pandas as pd
 
-        found = lloyd(Here(list(zip(pdf["chain"], pdf["start"], strict=True)), list(pdf["shape"])), k, rounds)
+        found = lloyd(Here(list(zip(pdf["chain"], pdf["start"], strict=True)), list(pdf["shape"]), budget), k, rounds)
         return pd.DataFrame({"nth": range(len(found)), "chain": [m[0][0] for m in found], "start": [m[0][1] for m in found], "shape": [m[1] for m in found]})
 
     found = rows.groupBy(F.lit("all")).applyInPandas(run, f"nth bigint, chain {kind}, start bigint, shape array<double>").orderBy("nth").collect()

@@ -91,9 +91,9 @@ def _atoms(lens: np.ndarray, angs: np.ndarray, dihs: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((len(lens), 1, 3)), walk(lens, angs, dihs)[0]], 1)
 
 
-def shape_classes(rows: DataFrame, k: int, original: bool = True, local: int = LOCAL) -> list[Shape]:
+def shape_classes(rows: DataFrame, k: int, original: bool = True, local: int = LOCAL, budget: int | None = None) -> list[Shape]:
     """At most ``k`` classes of rows of one width, as their medoids."""
-    found = find_medoids(shape_of(rows, original), k, local)
+    found = find_medoids(shape_of(rows, original), k, local, budget=budget)
     if not found:
         return []
     spark = rows.sparkSession

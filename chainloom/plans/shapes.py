@@ -37,11 +37,12 @@ def first_shapes(residues: DataFrame, vocabulary: dict[str, list[Shape]], edges:
 
 def learn_shapes(
     residues: DataFrame, steps: int, classes: dict[int, int], edges: dict[str, list[float]], original: bool = True, refit: bool = False,
-    least: int = 2, local: int = LOCAL, watch=None,
+    least: int = 2, local: int = LOCAL, watch=None, budget: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, shapes) after up to ``steps`` new keys of at least ``least`` occurrences; ties go to the smaller key.
 
-    ``residues`` is a table of ``residue_shapes``. ``watch(event, shapes, counts)`` is called after each event. An empty
+    ``residues`` is a table of ``residue_shapes``. ``watch(event, shapes, counts)`` is called after each event; ``budget`` is that of
+    ``find_medoids``. An empty
     table has an empty vocabulary; a chain of one residue is never merged; repeated (chain, start) are not allowed."""
     spark = residues.sparkSession
     residues = settle(residues)
@@ -49,7 +50,7 @@ def learn_shapes(
     known: dict[str, list[Shape]] = {}
     rows: list[tuple] = []
     for r in residues.groupBy("token", "width").agg(F.count(F.lit(1)).alias("n")).orderBy("token").collect():  # widths of residues
-        known[r["token"]] = shape_classes(residues.filter(F.col("token") == r["token"]), classes_for(r["width"], classes), original, local)
+        known[r["token"]] = shape_classes(residues.filter(F.col("token") == r["token"]), classes_for(r["width"], classes), original, local, budget)
         rows.append((0, 0, r["token"], None, None, None, None, None, r["n"], [asdict(s) for s in known[r["token"]]]))
     held = first_shapes(residues, known, edges, original)
     counts = settle(shape_pair_counts(held))
@@ -71,7 +72,7 @@ def learn_shapes(
         found = settle(occurrences(marked, name))
         if new:
             width = found.select("width").first()["width"]
-            known[name] = shape_classes(found, classes_for(width, classes), original, local)
+            known[name] = shape_classes(found, classes_for(width, classes), original, local, budget)
         rows.append((event, step, name, *key, top["n"], [asdict(s) for s in known[name]]))
         after = settle(merged(marked, take_shapes(found, {name: known[name]}, edges, original, refit)))
         counts = settle(counts.unionByName(changed_counts(marked, after)).groupBy("left", "right", *GLUE).agg(F.sum("n").alias("n")).filter("n > 0"))

@@ -217,6 +217,8 @@ def test_medoids_without_a_cap(spark):
         assert [m[0] for m in medoids.lloyd(medoids.Here(keys, [p.reshape(-1) for p in own]), k)] == want
         assert [m[0] for m in medoids.find_medoids(rows, k)] == want
         assert [m[0] for m in medoids.find_medoids(rows, k, local=10)] == want
+        bounded = [m[0] for m in medoids.find_medoids(rows, k, budget=40)]
+        assert len(bounded) == k and bounded == [m[0] for m in medoids.find_medoids(rows, k, local=10, budget=40)]
     assert medoids.find_medoids(rows.filter("false"), 2) == []
     same = rows.filter("start >= 150")
     assert [m[0] for m in medoids.find_medoids(same, 3)] == [m[0] for m in medoids.find_medoids(same, 3, local=1)] == [("x", 150)]
