@@ -2,13 +2,18 @@
 
 One rule a line: label | confidence | keywords | pattern. Patterns match words of a lower-cased text between single
 spaces; of a rule's keywords every match holds one, as a word of its own. U, V and L stand for ways to say "licensed
-under the terms of", for a version, and for "license".
+under the terms of", for a version, and for "license". Names that also mean something else (a school, a language, a
+league) need more than "released under": "license" or a version behind them, "licensed" before them (G), or that the
+sentence goes on without a noun (E), as "released under MIT supervision" names no license.
 """
 
 from __future__ import annotations
 
 MACROS = {
     "{U}": "(?:licen[sc]ed|released|distributed|available|published|provided|offered|covered|shipped) under (?:the |an |a )?(?:terms (?:and conditions )?of (?:the |either the )?)?",
+    "{G}": "licen[sc]ed under (?:the |an |a )?(?:terms (?:and conditions )?of (?:the |either the )?)?",
+    "{E}": "(?= (?:$|(?:and|or|but|with|by|see|for|at|in|on|if|so|as|it|is|this|the|you|we|please|copyright|all|http|https|www) ))",
+    "{R}": " (?:version |v )?v?[0-9]+(?: [0-9]+)?",
     "{V}": "(?: (?:version |v )?v?[0-9]+(?: [0-9]+)?)?",
     "{L}": "licen[sc]e",
 }
@@ -19,7 +24,7 @@ mit | 0.95 | permission | permission is hereby granted free of charge to any per
 mit | 0.9 | permission | permission is hereby granted free of charge to any person obtaining a copy of this software
 mit | 0.9 | merge | without limitation the rights to use copy modify merge publish distribute sublicense and or sell
 mit | 0.9 | substantial | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
-mit | 0.9 | mit | {U}mit(?: x11)?(?: {L})?
+mit | 0.9 | mit | {U}mit(?: x11)? {L}|{G}mit(?: x11)?|{U}mit(?: x11)?{E}
 mit | 0.85 | opensource | opensource org licenses mit(?: {L})?(?: php)?
 mit | 0.8 | mit | mit x11 {L}|mit expat {L}|expat mit {L}
 mit | 0.8 | expat | {U}expat {L}|the expat {L}
@@ -29,7 +34,7 @@ apache | 1.0 | spdx | spdx {L} identifier apache 2 0
 apache | 0.95 | apache | licen[sc]ed under the apache {L} version 2 0 the {L} you may not use this file except in compliance with the {L}
 apache | 0.9 | apache | www apache org licenses(?: {L} 2 0)?
 apache | 0.9 | apache | licen[sc]ed to the apache software foundation asf under one or more contributor {L} agreements
-apache | 0.9 | apache | {U}apache(?: software)?(?: foundation)?(?: {L})?{V}
+apache | 0.9 | apache | {U}apache(?: software)?(?: foundation)?(?: {L}{V}|{R})|{G}apache(?: software)?(?: foundation)?|{U}apache{E}
 apache | 0.85 | contributor | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright {L}
 apache | 0.85 | apache | apache(?: software)? {L} (?:version |v )?v?[12](?: [01])?
 apache | 0.8 | asl | {U}asl 2 0
@@ -93,7 +98,7 @@ mpl | 0.95 | mozilla | the contents of this file are subject to the mozilla publ
 mpl | 0.9 | mpl | if a copy of the mpl was not distributed with this file you can obtain one at
 mpl | 0.9 | mozilla | (?:www )?mozilla org mpl(?: [12] [01])?
 mpl | 0.9 | mozilla | {U}mozilla public {L}{V}
-mpl | 0.9 | mpl | {U}mpl{V}(?: {L})?
+mpl | 0.9 | mpl | {U}mpl(?:{V} {L}|{R})|{G}mpl|{U}mpl{E}
 mpl | 0.8 | mozilla | mozilla public {L}{V}
 mpl | 0.7 | mpl | mpl {L}|mpl version [12]|mpl [12] [01]
 epl | 1.0 | spdx | spdx {L} identifier epl [12] 0
@@ -101,7 +106,7 @@ epl | 0.95 | eclipse | (?:this program and the )?accompanying materials are made
 epl | 0.9 | eclipse | (?:www )?eclipse org (?:legal|org documents) epl(?: v[12][0-9]*)?
 epl | 0.9 | eclipse | {U}eclipse (?:public|distribution) {L}{V}
 epl | 0.8 | eclipse | eclipse (?:public|distribution) {L}{V}
-epl | 0.8 | epl | {U}epl{V}
+epl | 0.8 | epl | {U}epl(?: {L}|{R})|{G}epl|{U}epl{E}
 epl | 0.7 | epl | epl {L}|epl v?[12](?: 0)?
 cddl | 1.0 | spdx | spdx {L} identifier cddl 1 [01]
 cddl | 0.95 | cddl | the contents of this file are subject to the terms of (?:either the gnu general public {L}(?: [a-z0-9]+){0,10} or )?the common development and distribution {L}(?: [a-z0-9]+){0,4} cddl
@@ -114,14 +119,14 @@ cpal | 0.9 | attribution | common public attribution {L}{V}|{U}common public att
 isc | 1.0 | spdx | spdx {L} identifier isc
 isc | 0.95 | permission | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc | 0.9 | permission | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
-isc | 0.9 | isc | {U}isc(?: {L})?
+isc | 0.9 | isc | {U}isc {L}|{G}isc|{U}isc{E}
 isc | 0.7 | isc | {L} isc|isc licen[sc]ed
 isc | 0.6 | isc | isc {L}
 zlib | 1.0 | spdx | spdx {L} identifier zlib(?: acknowledgement)?
 zlib | 0.95 | permission | permission is granted to anyone to use this software for any purpose including commercial applications
 zlib | 0.9 | misrepresented | the origin of this software must not be misrepresented you must not claim that you wrote the original software
 zlib | 0.9 | altered | altered source versions must be plainly marked as such
-zlib | 0.9 | zlib | {U}zlib(?: libpng)?(?: {L})?
+zlib | 0.9 | zlib | {U}zlib(?: libpng)? {L}|{G}zlib(?: libpng)?|{U}zlib(?: libpng)?{E}
 zlib | 0.7 | zlib | zlib libpng {L}|{L} zlib
 zlib | 0.6 | zlib | zlib {L}
 libpng | 0.8 | libpng | {U}libpng {L}|libpng {L}{V}
@@ -129,7 +134,7 @@ boost | 1.0 | spdx | spdx {L} identifier bsl 1 0
 boost | 0.95 | permission | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
 boost | 0.9 | boost | distributed under the boost software {L}{V}
 boost | 0.9 | boost | www boost org {L} 1 0
-boost | 0.9 | boost | {U}boost(?: software)?(?: {L})?{V}
+boost | 0.9 | boost | {U}boost(?: software)? {L}{V}|{G}boost{R}
 boost | 0.7 | boost | boost(?: software)? {L}{V}
 bsl | 0.95 | business | business source {L}{V}
 bsl | 0.9 | busl | spdx {L} identifier busl 1 1|{U}busl 1 1
@@ -138,11 +143,11 @@ sspl | 0.8 | sspl | {U}sspl{V}|sspl {L}|spdx {L} identifier sspl 1 0
 elastic | 0.9 | elastic | {U}elastic {L}{V}|elastic {L} (?:version )?v?2(?: 0)?
 artistic | 1.0 | spdx | spdx {L} identifier artistic [12] 0(?: [a-z0-9]+)?
 artistic | 0.95 | perl | you can redistribute it and or modify it under the same terms as perl itself
-artistic | 0.9 | artistic | {U}(?:perl )?artistic(?: {L})?{V}
+artistic | 0.9 | artistic | {U}(?:perl )?artistic(?: {L}{V}|{R})
 artistic | 0.8 | artistic | (?:perl )?artistic {L}{V}
 python | 1.0 | spdx | spdx {L} identifier (?:python 2 0|psf 2 0)
 python | 0.95 | python | this {L} agreement is between the python software foundation psf
-python | 0.9 | python|psf | {U}(?:python(?: software foundation)?|psf)(?: {L})?{V}
+python | 0.9 | python|psf | {U}(?:python(?: software foundation)?|psf) {L}{V}|{G}psf{V}
 python | 0.7 | python | python software foundation {L}
 python | 0.7 | psf | psf {L}
 postgresql | 1.0 | spdx | spdx {L} identifier postgresql

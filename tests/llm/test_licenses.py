@@ -95,6 +95,22 @@ SAMPLE = [
     ("python and ruby are gems and snakes", ""),
     ("cc by email the general manager", ""),
     ("permission was granted to enter, free of charge", ""),
+    ("the study was released under MIT supervision", ""),
+    ("courses offered under the Boost program", ""),
+    ("the package is available under Python", ""),
+    ("the module is available under Python 3.8 only", ""),
+    ("aid distributed under the ISC charter", ""),
+    ("games covered under EPL rules this season", ""),
+    ("files provided under zlib compression", ""),
+    ("maps published under artistic direction", ""),
+    ("flights offered under Apache command", ""),
+    ("Code released under MIT. See the file for more.", "mit"),
+    ("It is distributed under the MIT and Apache licenses", "apache,mit"),
+    ("released under Apache 2.0", "apache"),
+    ("Licensed under MIT, contributions welcome", "mit"),
+    ("available under the ISC license", "isc"),
+    ("distributed under the Python Software Foundation License Version 2", "python"),
+    ("made available under MPL 2.0", "mpl"),
 ]
 
 
