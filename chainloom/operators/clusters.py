@@ -164,6 +164,24 @@ def tm_to(rows: DataFrame, key: str, flat: str, ref: str, references: dict[int,
     return rows.select(key, flat, F.col(ref).cast("bigint").alias(ref)).mapInArrow(run, f"key {kind}, ref bigint, tm double, n_aligned bigint")
 
 
+def tm_pairs(pairs: DataFrame, key: str, model: str, native: str) -> DataFrame:
+    """(key, tm): the TM-score of each row's ``model`` against its ``native``, flat point sets of any sizes, by the length of
+    the native and the alignment search. Null without either or with under three points; a row is a task's own work."""
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for p, q in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                tm = tm_align(np.array(p, float).reshape(-1, 3), np.array(q, float).reshape(-1, 3))[0] if p and q else None
+                found.append(None if tm is None or np.isnan(tm) else tm)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["key", "tm"])
+
+    return pairs.select(key, model, native).mapInArrow(run, f"key {kind}, tm double")
+
+
 def angle_kmeans(rows: DataFrame, columns: list[str], starts: list[list[float]], rounds: int) -> tuple[list[list[float]], DataFrame]:
     """Centres after up to ``rounds`` rounds of k-means on angles, and the rows with their ``cluster``.
 

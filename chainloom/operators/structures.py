@@ -93,13 +93,13 @@ def voxels(points: DataFrame, chain: str, grid: int = 64, padding: float = 2.0)
     return rows.select(F.col(chain).alias("chain"), *[F.floor((F.col(c) - F.col(f"lo{c}") + padding) / step(c)).alias(f"v{c}") for c in "xyz"]).distinct()
 
 
-def place(a: Vector, b: Vector, c: Vector, length: float, angle: float, torsion) -> Vector:
+def place(a: Vector, b: Vector, c: Vector, length: float | Column, angle: float | Column, torsion: float | Column) -> Vector:
     """The point d with |cd| = length, angle bcd, torsion abcd, as columns."""
     bc = unit(sub(c, b))
     n = unit(cross(sub(b, a), bc))
     m = cross(n, bc)
-    t = torsion if not isinstance(torsion, float) else F.lit(torsion)
-    along, across = -length * F.cos(F.lit(angle)), length * F.sin(F.lit(angle))
+    t, angle = F.lit(torsion), F.lit(angle)
+    along, across = -length * F.cos(angle), length * F.sin(angle)
     return add(c, add(scale(bc, along), add(scale(m, across * F.cos(t)), scale(n, across * F.sin(t)))))
 
 
@@ -135,6 +135,41 @@ def local_side_chains(atoms: DataFrame, backbone_atoms: DataFrame) -> DataFrame:
     return side.select("chain_id", "res_id", "atom", *[dot(d, axis(p)).alias(n) for p, n in zip("xyz", "uvw", strict=True)])
 
 
+def whole_residues(backbone_atoms: DataFrame) -> DataFrame:
+    """(chain_id, r, res_id, ins_code, aa, a1..a3, b1..b3, c1..c3): residues with all of N, CA and C, and where those stand."""
+    rows = backbone_atoms.groupBy("chain_id", F.floor(F.col("k") / 3).alias("r")).agg(
+        *[F.min(F.when(F.col("atom") == "CA", F.col(c))).alias(c) for c in ("res_id", "ins_code", "res")],
+        *[F.max(F.when(F.col("atom") == atom, F.col(c))).alias(f"{p}{i}") for p, atom in zip("abc", BACKBONE, strict=True) for i, c in enumerate("xyz", 1)],
+    )
+    spots = [f"{p}{i}" for p in "abc" for i in (1, 2, 3)]
+    return rows.dropna(subset=spots).select("chain_id", "r", "res_id", "ins_code", one_letter(F.col("res")).alias("aa"), *spots)
+
+
+def side_chain_library(atoms: DataFrame, backbone_atoms: DataFrame) -> DataFrame:
+    """(aa, atom, dist, ang, dih): how the atoms beyond N, CA and C stand to them, in the first whole residue of each letter by
+    chain and place; a letter whose first residue has none has no row. Of atoms with one name the first counts.
+
+    The first residues come from one aggregate of a row for each letter, so a frequent letter is no burden."""
+    spots = [f"{p}{i}" for p in "abc" for i in (1, 2, 3)]
+    first = whole_residues(backbone_atoms).groupBy("aa").agg(F.min(F.struct("chain_id", "r", "res_id", "ins_code", *spots)).alias("m")).select("aa", "m.*")
+    side = atoms.filter(~F.col("atom").isin(*BACKBONE)).join(F.broadcast(first), ["chain_id", "res_id", "ins_code"])  # a row for each letter
+    side = side.groupBy("aa", "atom").agg(F.min(F.struct("atom_id", "x", "y", "z", *spots)).alias("m")).select("aa", "atom", "m.*")
+    a, b, c = (tuple(F.col(f"{p}{i}") for i in (1, 2, 3)) for p in "abc")
+    d = tuple(F.col(v) for v in "xyz")
+    return side.select("aa", "atom", norm(sub(d, c)).alias("dist"), bond_angle(d, c, b).alias("ang"), dihedral(a, b, c, d).alias("dih"))
+
+
+def side_chains(residues: DataFrame, library: DataFrame) -> DataFrame:
+    """(chain_id, r, res_id, atom, x, y, z): the library's atoms set on whole residues by their letter ``aa``, which may be
+    another one than the residue was read with. Letters that the library doesn't know get no atoms.
+
+    The library holds one residue for each letter, so it is broadcast: joining by twenty letters would make hot keys."""
+    a, b, c = (tuple(F.col(f"{p}{i}") for i in (1, 2, 3)) for p in "abc")
+    rows = residues.join(F.broadcast(library), "aa")
+    d = place(a, b, c, F.col("dist"), F.col("ang"), F.col("dih"))
+    return rows.select("chain_id", "r", "res_id", "atom", *[v.alias(n) for v, n in zip(d, "xyz", strict=True)])
+
+
 def nearest_partners(points: DataFrame, chain: str, index: str) -> DataFrame:
     """(chain, i, j): the nearest other point of the same chain, ties to the lower index; a chain bounds its pairs."""
     a = points.select(chain, F.col(index).alias("i"), *[F.col(c).alias(f"a{c}") for c in "xyz"])

@@ -23,7 +23,7 @@ from chainloom.operators import shapes as shapes_of
 from chainloom.plans.learn import encode, learn
 from chainloom.plans.shapes import encode_shapes, learn_shapes
 from chainloom import storage
-from chainloom.sources import sinks, text
+from chainloom.sources import cif, sinks, text
 from chainloom.storage import shared_dir
 from chainloom.streaming import streams
 
@@ -1255,6 +1255,89 @@ def structure_motifs(spark, d):
     return motifs.encode_motifs(first, motifs.learn_motifs(first, 3)[0]).select("chain", "pos", "token", "start", "width")
 
 
+@query(f"""WITH {POINTS}, w AS (SELECT chain_id, res_id, i, x, y, z, x - lag(x) OVER o AS bx, y - lag(y) OVER o AS by_, z - lag(z) OVER o AS bz, lead(x) OVER o - x AS nx, lead(y) OVER o - y AS ny, lead(z) OVER o - z AS nz
+  FROM a WINDOW o AS (PARTITION BY vec_id ORDER BY i)),
+b AS (SELECT *, sqrt(bx * bx + by_ * by_ + bz * bz) AS bl, (nx * bx + ny * by_ + nz * bz) / (bx * bx + by_ * by_ + bz * bz) AS f FROM w WHERE i % 3 = 2 AND nx IS NOT NULL),
+p AS (SELECT *, nx - f * bx AS px, ny - f * by_ AS py, nz - f * bz AS pz FROM b), l AS (SELECT *, sqrt(px * px + py * py + pz * pz) AS pl FROM p)
+SELECT chain_id, res_id, """ + ", ".join(f"round({c} - 1.2359 * (cos(2.0993) * {b} / bl + sin(2.0993) * p{c} / pl), 6) AS {c}" for c, b in zip("xyz", ("bx", "by_", "bz"), strict=True)) + " FROM l")
+def structure_oxygens(spark, d):
+    """The oxygen of every residue but the last; the SQL sets it across from the next nitrogen without any angle of turn."""
+    return rounded(structures.oxygens(structure_backbone(spark, d)))
+
+
+@query(f"""WITH {FRAME_SQL},
+f AS (SELECT chain_id, r, res_id, cx, cy, cz, el, ex / el AS xx, ey / el AS xy, ez / el AS xz, (sy * ez - sz * ey) / (sl * el) AS yx, (sz * ex - sx * ez) / (sl * el) AS yy, (sx * ey - sy * ex) / (sl * el) AS yz,
+  sx / sl AS zx, sy / sl AS zy, sz / sl AS zz, 'ACDEFGHIKLMNPQRSTVWY'[((substr(chain_id, 2)::BIGINT + r) % 20 + 1)::INT] AS aa FROM t),
+g AS (SELECT aa, r, 1.5 * xx - 0.25 * xy + 0.5 * xz - el AS u, 1.5 * yx - 0.25 * yy + 0.5 * yz AS v, 1.5 * zx - 0.25 * zy + 0.5 * zz AS w, row_number() OVER (PARTITION BY aa ORDER BY chain_id, r) AS nth FROM f)
+SELECT f.chain_id, f.r, f.res_id, 'CB' AS atom, """ + ", ".join(f"round(f.c{c} + g.u * f.x{c} + g.v * f.y{c} + g.w * f.z{c} + 0.0, 6) AS {c}" for c in "xyz") + " FROM f JOIN g ON g.aa = f.aa AND g.nth = 1 AND g.r % 2 = 0")
+def structure_placed_side_chains(spark, d):
+    """Side chains of the first residue of each letter, set on all residues of that letter."""
+    atoms = structure_atoms(spark, d)
+    bones = structures.backbone(atoms)
+    placed = structures.side_chains(structures.whole_residues(bones), structures.side_chain_library(atoms, bones))
+    return placed.select("chain_id", "r", "res_id", "atom", *[(r6(c) + 0.0).alias(c) for c in "xyz"])
+
+
+def glue_centre_sql(c: str) -> str:
+    turned = f"(CASE WHEN {c} < 0 THEN {c} + {TWO_PI!r} ELSE {c} END)"
+    return f"CASE WHEN {c} IS NOT NULL THEN round((least(7, floor({turned} / {TWO_PI / 8!r})) + 0.5) * {TWO_PI / 8!r}, 6) END"
+
+
+@query(f"""WITH {BOND_SQL}, g AS (SELECT chain_id, k, kind, lead(dih, 3) OVER o AS omega, lead(ang, 3) OVER o AS c_n_ca, lead(dih, 4) OVER o AS phi FROM b WINDOW o AS (PARTITION BY vec_id ORDER BY k))
+SELECT chain_id AS chain, (k // 3)::BIGINT AS pos, """ + ", ".join(f"{glue_centre_sql(c)} AS {c}" for c in ("omega", "c_n_ca", "phi")) + " FROM g WHERE kind = 0 AND omega IS NOT NULL")
+def structure_glue_values(spark, d):
+    """The angles of every junction as the centres of their bins."""
+    bonds = structures.bonds(structure_backbone(spark, d))
+    edges = motifs.feature_edges(bonds, 8)
+    return rounded(motifs.glue_values(motifs.residue_tokens(bonds, edges), edges))
+
+
+#: Every embedding as a CIF file of two chains: four residues of label A, which authors call H, and three of label B, which
+#: authors call A. Residue 3 is selenomethionine, its last atom selenium.
+CIF_SQL = """a AS (SELECT 'v' || vec_id || '.cif' AS path, i, i // 3 AS r, CASE WHEN i < 12 THEN 'A' ELSE 'B' END AS label_chain, CASE WHEN i < 12 THEN 'H' ELSE 'A' END AS auth_chain,
+  CASE WHEN i // 3 = 2 THEN 'MET' ELSE 'GLY' END AS res, (i // 3 + vec_id % 5)::INT AS res_id, CASE WHEN i = 8 THEN 'SD' ELSE ['N', 'CA', 'C'][(i % 3 + 1)::INT] END AS atom,
+  """ + ", ".join(f"round(embedding[(3 * i + {n})::INT]::DOUBLE * 1000) / 100.0 AS {c}" for n, c in enumerate("xyz", 1)) + " FROM embeddings, (SELECT unnest(range(0, 21)) AS i))"
+CIF_COLUMNS = "group_PDB label_atom_id label_comp_id label_asym_id auth_asym_id auth_seq_id pdbx_PDB_ins_code Cartn_x Cartn_y Cartn_z B_iso_or_equiv pdbx_PDB_model_num".split()
+
+
+def cif_files(spark, d) -> DataFrame:
+    """Whole texts (path, value) of such files."""
+    at = lambda i, k: F.round(F.get("embedding", i * 3 + k).cast("double") * 1000) / 100.0
+
+    def line(i: Column) -> Column:
+        r = F.floor(i / 3)
+        atom = F.when(i == 8, "SE").otherwise(F.element_at(F.array(F.lit("N"), F.lit("CA"), F.lit("C")), i % 3 + 1))
+        chain = lambda first, second: F.when(i < 12, first).otherwise(second)
+        res = F.when(r == 2, "MSE").otherwise("GLY")
+        return F.format_string("ATOM %s %s %s %s %d ? %.2f %.2f %.2f . 1", atom, res, chain("A", "B"), chain("H", "A"), r + F.col("vec_id") % 5, *[at(i, k) for k in range(3)])
+
+    head = "\n".join(["data_x", "#", "loop_", *[f"_atom_site.{c}" for c in CIF_COLUMNS]])
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20)), line), "\n")
+    return table(spark, d, "embeddings").select(F.format_string("v%d.cif", "vec_id").alias("path"), F.concat(F.lit(head + "\n"), body, F.lit("\n#")).alias("value"))
+
+
+@query(f"WITH {CIF_SQL} SELECT path, label_chain, auth_chain, res, res_id, atom, x, y, z FROM a")
+def cif_scan(spark, d):
+    return cif.file_atoms(cif_files(spark, d)).select("path", "label_chain", "auth_chain", "res", "res_id", "atom", "x", "y", "z")
+
+
+@query(f"WITH {CIF_SQL} SELECT DISTINCT path, auth_chain, label_chain, auth_chain <> label_chain AS changed FROM a")
+def cif_chain_names(spark, d):
+    return cif.chain_names(cif.file_atoms(cif_files(spark, d)))
+
+
+@query(f"""WITH {CIF_SQL}, w AS (SELECT 'v' || vec_id || '.cif' AS path, ['H', 'A', 'B', 'Q'][(vec_id % 4 + 1)::INT] AS chain FROM embeddings),
+k AS (SELECT w.*, EXISTS (SELECT 1 FROM a WHERE a.path = w.path AND a.auth_chain = w.chain) AS named FROM w)
+SELECT k.path, k.chain, count(a.path) AS n_atoms, min(a.res_id) AS first_res, max(a.res_id) AS last_res, round(sum(a.x), 6) AS sum_x
+FROM k LEFT JOIN a ON a.path = k.path AND k.chain = CASE WHEN named THEN a.auth_chain ELSE a.label_chain END GROUP BY 1, 2""")
+def cif_chains(spark, d):
+    """One wanted chain of each file, by its author's name or else by its label; a name that no chain has gives no atoms."""
+    names = F.array(*[F.lit(c) for c in "HABQ"])
+    wanted = table(spark, d, "embeddings").select(F.format_string("v%d.cif", "vec_id").alias("path"), F.get(names, (F.col("vec_id") % 4).cast("int")).alias("chain"))
+    rows = cif.chains_of(cif.file_atoms(cif_files(spark, d)), wanted)
+    return rounded(rows.groupBy("path", "chain").agg(F.count("atom").alias("n_atoms"), F.min("res_id").alias("first_res"), F.max("res_id").alias("last_res"), F.sum("x").alias("sum_x")))
+
+
 @query(f"""WITH {POINTS}, q AS (SELECT p.vec_id, p.i, q.i AS j, sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)) AS d FROM a p JOIN a q ON p.vec_id = q.vec_id AND p.i < q.i WHERE p.vec_id % 2 = 0),
 m AS (SELECT q.*, abs(d - sqrt(power(s.x - t.x, 2) + power(s.y - t.y, 2) + power(s.z - t.z, 2))) AS off FROM q LEFT JOIN a s ON s.vec_id = q.vec_id + 1 AND s.i = q.i LEFT JOIN a t ON t.vec_id = q.vec_id + 1 AND t.i = q.j WHERE d < 4)
 SELECT 'v' || vec_id AS chain, count(*) AS n, round(avg((coalesce(off < 0.5, false)::INT + coalesce(off < 1, false)::INT + coalesce(off < 2, false)::INT + coalesce(off < 4, false)::INT) / 4), 6) AS lddt FROM m GROUP BY 1""")
@@ -1601,3 +1684,40 @@ def generation_metrics(spark, d):
     known = lines.select(F.col("l_orderkey").alias("backbone"), (F.col("l_tax") * 10).alias("score"))
     groups = table(spark, d, "orders").select(F.col("o_orderkey").alias("backbone"), F.col("o_custkey").alias("cluster"))
     return rounded(stats.generation_metrics(designs, known, groups, "backbone", 0.5))
+
+
+def designed(spark, d) -> DataFrame:
+    """(vec_id, backbone, model, native): every eight vectors stand for a backbone, their first, and its eight designs, folded:
+    the backbone's points moved by a share of their own that grows with their number."""
+    rows = shapes(spark, d).select("vec_id", "flat", F.floor(F.col("vec_id") / 8).alias("backbone"))
+    first = rows.groupBy("backbone").agg(F.min(F.struct("vec_id", "flat")).alias("m")).select("backbone", F.col("m.vec_id").alias("first"), F.transform("m.flat", lambda x: x * 10).alias("native"))
+    moved = F.zip_with("native", "flat", lambda x, y: x + y * F.col("share"))
+    both = rows.join(first, "backbone").withColumn("share", (F.col("vec_id") - F.col("first") + F.col("backbone") % 7) * 1.5)
+    return both.select("vec_id", "backbone", moved.alias("model"), "native")
+
+
+@query()
+def fold_designability(spark, d):
+    """Backbones with their designs' best TM-score, found by the alignment search."""
+    rows = designed(spark, d)
+    scores = clusters.tm_pairs(rows, "vec_id", "model", "native").join(rows.select(F.col("vec_id").alias("key"), "backbone"), "key")
+    return rounded(stats.designability(scores.select("backbone", F.col("tm").alias("score")), "backbone", "score", 0.5))
+
+
+@query()
+def fold_generation_metrics(spark, d):
+    """The backbones as one generated set: designable by their designs, known by the TM-score against the first shape of their
+    label, in clusters by label."""
+    designs = fold_designability(spark, d)
+    held = shapes(spark, d)
+    firsts = held.groupBy(F.floor(F.col("vec_id") / 8).alias("backbone")).agg(F.min(F.struct("vec_id", "label", "flat")).alias("m")).select("backbone", "m.label", "m.flat")
+    known = clusters.tm_to(firsts, "backbone", "flat", "label", prototypes(spark, d)).select(F.col("key").alias("backbone"), F.col("tm").alias("score"))
+    return rounded(stats.generation_metrics(designs, known, firsts.select("backbone", F.col("label").alias("cluster")), "backbone", 0.5))
+
+
+@query()
+def watched_probe(spark, d):
+    """Labels of vectors by a probe that stops by its macro-F1 over a tenth of the rows."""
+    part = F.when(F.col("vec_id") % 10 == 0, "test").when(F.col("vec_id") % 10 == 1, "valid").otherwise("train")
+    found = models.watched_probe(table(spark, d, "embeddings"), "vec_id", "embedding", "label", part, patience=3, most=12)[1]
+    return rounded(found)

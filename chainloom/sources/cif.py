@@ -35,14 +35,19 @@ def loop_rows(text: str, category: str) -> Iterator[dict[str, str]]:
 
 
 def atom_sites(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Atoms of all chains; selenium of selenomethionine counts as the sulphur of methionine."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """Atoms of all chains in the files of some paths."""
+    return file_atoms(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def file_atoms(files: DataFrame) -> DataFrame:
+    """Atoms of all chains in whole texts (path, value); selenium of selenomethionine counts as the sulphur of methionine. A
+    null text or one without atoms gives no rows."""
 
     def run(batches) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            for path, text in zip(batch["path"], batch["value"], strict=True):
+            for path, text in zip(batch["path"], batch["value"].fillna(""), strict=True):
                 rows = []
                 for a in loop_rows(text, "_atom_site"):
                     mse = a.get("label_comp_id") == "MSE"
@@ -56,7 +61,7 @@ def atom_sites(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in ATOM_SITE.split(", ")])
 
-    return files.mapInPandas(run, ATOM_SITE)
+    return files.select("path", "value").mapInPandas(run, ATOM_SITE)
 
 
 def chain_names(sites: DataFrame) -> DataFrame:

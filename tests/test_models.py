@@ -158,6 +158,51 @@ def test_probe_learns_labels_of_any_numbers(spark, hidden):
     assert sum(r.predicted == r.label for r in found) >= 52
 
 
+def macro_f1_of(rows):
+    classes = {c for r in rows for c in (r.label, r.predicted)}
+    parts = [2 * sum(r.label == r.predicted == c for r in rows) / sum((r.label == c) + (r.predicted == c) for r in rows) for c in classes]
+    return sum(parts) / len(parts)
+
+
+@pytest.mark.parametrize("metric", ["macro_f1", "auroc"])
+def test_a_watched_probe_stops_and_keeps_its_best(spark, metric):
+    names = [7, -2, 30] if metric == "macro_f1" else [5, 9]
+    rows = [(i, [float(RNG.normal() + 1.5 * (i % len(names))), float(RNG.normal())], names[i % len(names)]) for i in range(240)]
+    df = spark.createDataFrame([*rows, (900, None, 7), (901, [1.0, 1.0], None)], "k int, v array<double>, y int")
+    part = F.when(F.col("k") % 5 == 0, "valid").when(F.col("k") % 5 == 1, "test").otherwise("train")
+    history, found = models.watched_probe(df, "k", "v", "y", part, metric, burst=2, patience=2, most=6)
+    history, found = history.orderBy("burst").collect(), found.collect()
+    assert len(found) == 240 and [r.burst for r in history] == list(range(1, len(history) + 1)) and sum(r.best for r in history) == 1
+    at = next(r.burst for r in history if r.best)
+    # The first of the best counts, and training ends `patience` bursts behind it, or at the last one allowed.
+    assert [r.value for r in history].index(max(r.value for r in history)) + 1 == at and len(history) == min(6, at + 2)
+    valid = [r for r in found if r.part == "valid"]
+    assert len(valid) == 48
+    if metric == "macro_f1":
+        value = macro_f1_of(valid)
+    else:
+        pairs = [(a.score, b.score) for a in valid for b in valid if a.label == 9 and b.label == 5]
+        value = sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
+    assert math.isclose(value, history[at - 1].value, abs_tol=1e-9)
+
+
+def test_a_watched_probe_says_what_it_lacks(spark):
+    df = spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 2), (3, [2.0], 3)], "k int, v array<double>, y int")
+    for part, metric in ((F.lit("train"), "macro_f1"), (F.lit("valid"), "macro_f1"), (F.when(F.col("k") < 9, "train"), "other")):
+        with pytest.raises(ValueError):
+            models.watched_probe(df, "k", "v", "y", part, metric)
+
+
+def test_tm_scores_of_pairs(spark):
+    p = RNG.normal(size=(20, 3)) * 8
+    turn = np.linalg.qr(RNG.normal(size=(3, 3)))[0]
+    turn *= np.sign(np.linalg.det(turn))
+    rows = [(0, (p @ turn.T + 3).ravel().tolist(), p.ravel().tolist()), (1, None, p.ravel().tolist()), (2, p[:2].ravel().tolist(), p.ravel().tolist()), (3, (p + RNG.normal(size=p.shape)).ravel().tolist(), p.ravel().tolist())]
+    found = {r.key: r.tm for r in clusters.tm_pairs(spark.createDataFrame(rows, "k int, a array<double>, b array<double>"), "k", "a", "b").collect()}
+    assert math.isclose(found[0], 1.0, abs_tol=1e-9) and found[1] is None and found[2] is None
+    assert math.isclose(found[3], numeric.tm_align(np.array(rows[3][1]).reshape(-1, 3), p)[0], abs_tol=1e-12)
+
+
 def test_generation_metrics(spark):
     designs = spark.createDataFrame([(1, 0.7), (1, 0.2), (2, 0.4), (3, None)], "b int, score double")
     held = stats.designability(designs, "b", "score", 0.5)

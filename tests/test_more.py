@@ -61,6 +61,30 @@ def test_structures_more(spark):
     assert structures.voxels(back, "chain_id").filter("vx < 0 OR vx > 63").count() == 0
 
 
+def test_side_chains_go_back_where_they_were(spark):
+    atoms = atom_rows(spark, {"a": chain_points(), "b": chain_points(12, 5)})
+    add = [("a", 99, "CB", "GLY", "A", 1, "", 1.0, 2.0, 3.0), ("a", 98, "OG", "GLY", "A", 1, "", 0.5, -2.0, 1.0), ("b", 97, "CB", "GLY", "A", 1, "", 7.0, 7.0, 7.0)]
+    full = atoms.union(spark.createDataFrame([*add, ("a", 100, "CB", "GLY", "A", 1, "", 9.0, 9.0, 9.0)], atoms.schema))
+    back = structures.backbone(full)
+    library = structures.side_chain_library(full, back)
+    # The first residue of the letter counts, and of two atoms with one name the first.
+    assert sorted(r.atom for r in library.collect()) == ["CB", "OG"]
+    residues = structures.whole_residues(back)
+    placed = {(r.chain_id, r.r, r.atom): (r.x, r.y, r.z) for r in structures.side_chains(residues, library).collect()}
+    assert len(placed) == 2 * (8 + 4)
+    assert np.allclose(placed["a", 0, "CB"], (1, 2, 3)) and np.allclose(placed["a", 0, "OG"], (0.5, -2, 1))
+    # Every other residue keeps the distances to CA and C, which bonds of one length allow.
+    points = {(r.chain_id, r.res_id - 1, r.atom): np.array([r.x, r.y, r.z]) for r in atoms.collect()}
+    for (chain, r, atom), p in placed.items():
+        for bone in ("C", "CA"):
+            far = np.linalg.norm(np.array(placed["a", 0, atom]) - points["a", 0, bone])
+            assert math.isclose(np.linalg.norm(np.array(p) - points[chain, r, bone]), far, abs_tol=1e-9)
+    other = residues.withColumn("aa", F.lit("W"))
+    assert structures.side_chains(other, library).count() == 0  # a letter that the library lacks
+    empty = structures.side_chain_library(full.filter("false"), back.filter("false"))
+    assert structures.side_chains(residues, empty).count() == 0
+
+
 def test_broken_chains_are_invalid(spark):
     good = atom_rows(spark, {"a": chain_points(9)})
     shifted = good.withColumn("res_id", F.when(F.col("atom_id") == 2, 9).otherwise(F.col("res_id"))).withColumn("chain_id", F.lit("b"))
@@ -126,6 +150,12 @@ def test_cif(spark, tmp_path):
     assert sorted((r.chain, r.atom or "-") for r in cif.chains_of(sites, wanted).collect()) == [("B", "CA"), ("Q", "-"), ("X", "CA"), ("X", "SD")]
 
 
+def test_cif_texts_without_atoms(spark):
+    files = spark.createDataFrame([("a", None, 1), ("b", "", 2), ("c", "loop_\n_atom_site.x\n#", 3)], "path string, value string, model int")
+    assert cif.file_atoms(files).count() == 0
+    assert cif.file_atoms(files.filter("false")).count() == 0
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "set_fold_test.jsonl"
     path.write_text(json.dumps({"prot1_pdb_id": "1abc", "tm_score": 0.5}) + "\n")
