@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chainloom.llm.common import SPACE, count_words, free_name, row_hash, settle, text_of
+from chainloom.operators.splits import running_sum
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -33,32 +34,25 @@ BUCKETS = 1024
 
 
 def _source_plan(sized: DataFrame, weights, slopes, share: float, most: float) -> DataFrame:
-    """One row for each source: size, target, slope. Resharing looks at one row for each source, never at documents;
-    it stops after as many rounds as sources fill up, each round a sum over that small table."""
+    """One row for each source: size, target, slope. Resharing looks at one row for each source, never at documents, and takes
+    the same few jobs however many sources fill up: ranks and sums over sources run over ranges of them."""
     plan = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # Rank by code point, null last; ties are impossible as a source has one row.
-    order = W.orderBy(F.col("source").isNull(), F.encode(F.col("source").cast("string"), "UTF-8"))
-    rank = F.row_number().over(order) - 1
+    at = F.struct(F.col("source").isNull().alias("none"), F.encode(F.col("source").cast("string"), "UTF-8").alias("bytes"))
+    plan = running_sum(plan.select("source", "source_size", at.alias("at"), F.lit(1).alias("one")), "at", "one", "rank")
     pick = lambda xs: F.element_at(F.array(*[F.lit(float(x)) for x in xs]), (F.col("rank") % len(xs) + 1).cast("int"))
-    plan = settle(plan.withColumn("rank", rank).withColumn("weight", pick(weights)).withColumn("slope", pick(slopes)).drop("rank"))
-    total = share * float(plan.agg(F.sum("source_size")).first()[0] or 0)
-    full_size = full_weight = 0.0
-    unit = 0.0
-    all_weight = float(plan.agg(F.sum("weight")).first()[0] or 0)
-    # Water filling: sources below a unit share fill up in the order of size / weight, so one threshold decides.
-    while True:  # each round fills one more source at least, or is the last
-        rest = all_weight - full_weight
-        if rest <= 1e-12:
-            break
-        unit = (total - most * full_size) / rest
-        row = plan.filter(F.col("weight") * F.lit(unit) > most * F.col("source_size")).agg(
-            F.sum("source_size"), F.sum("weight")
-        ).first()
-        now = (float(row[0] or 0), float(row[1] or 0))
-        if now == (full_size, full_weight):
-            break
-        full_size, full_weight = now
-    return plan.withColumn("target", F.least(F.col("weight") * F.lit(unit), most * F.col("source_size")))
+    plan = settle(plan.select("source", "source_size", pick(weights).alias("weight"), pick(slopes).alias("slope")))
+    all_size, all_weight = plan.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, all_weight = share * float(all_size or 0), float(all_weight or 0)
+    # Water filling: sources fill up in the order of size / weight. At the level at which a source is just full, the fuller ones
+    # hold their most and the others this level times their weight; the source is full if that is less than there is.
+    level = plan.filter("weight > 0").groupBy((F.lit(most) * F.col("source_size") / F.col("weight")).alias("level")).agg(F.sum("source_size").alias("own_size"), F.sum("weight").alias("own_weight"))
+    level = running_sum(running_sum(level, "level", "own_size", "size_before"), "level", "own_weight", "weight_before")
+    held = F.lit(most) * (F.col("size_before") + F.col("own_size")) + F.col("level") * (F.lit(all_weight) - F.col("weight_before") - F.col("own_weight"))
+    full = level.filter(held < total).agg(F.sum("own_size"), F.sum("own_weight")).first()
+    full_size, rest = float(full[0] or 0), all_weight - float(full[1] or 0)
+    unit = (total - most * full_size) / rest if rest > 1e-12 else math.inf
+    return plan.withColumn("target", F.when(F.col("weight") > 0, F.least(F.col("weight") * F.lit(unit), F.lit(most) * F.col("source_size"))).otherwise(0.0))
 
 
 def demand_time(done: Column, target: Column, slope: Column) -> Column:

@@ -121,6 +121,19 @@ def test_mix_against_python(spark):
     assert where == sorted(where) and all(0 <= p <= 1 for p in where)
 
 
+@pytest.mark.parametrize("share", [0.5, 1.5, 1.97, 2.0, 3.0])
+def test_many_sources_that_fill_up_one_by_one(spark, share):
+    """Each source is a little larger than the one before, so every level of resharing fills one more of them."""
+    sizes = {f"s{k:03d}": 1 + k * k for k in range(60)} | {None: 7, "zero": 0, "zz": 5}
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    want = targets_by_hand(sizes, weights, share * sum(sizes.values()), 2)
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items() if n] + [("zero", 0), ("zz", 0)], "source string, size bigint")
+    got = {r.source: r for r in mixing._source_plan(df, (3, 1, 2), (0.0,), share, 2.0).collect()}
+    assert len(got) == len(sizes)
+    assert all(got[s].source_size == sizes[s] and math.isclose(got[s].target, want[s], rel_tol=1e-9, abs_tol=1e-9) for s in sizes)
+
+
 def test_schedule_shapes_the_order(spark):
     rows = [(i, "w " * 5, "ab"[i % 2], 0, "") for i in range(2000)]
     got = mixing.mix(spark.createDataFrame(rows, KIND), weights=(1,), slopes=(0.8, -0.8), share=1.0).collect()
