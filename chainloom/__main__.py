@@ -41,7 +41,7 @@ def main(args: list[str] | None = None) -> None:
         learn(tokens, o.steps, least=o.least)[0].write.parquet(o.out)
     else:
         encode(tokens, spark.read.parquet(o.vocabulary)).write.parquet(o.out)
-    sweep(spark)
+    sweep(spark, everyone=True)
 
 
 if __name__ == "__main__":

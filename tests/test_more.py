@@ -1,12 +1,13 @@
 import doctest
 import json
 import math
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chainloom import schema
+from chainloom import schema, storage
 from chainloom.functions import features, numeric
 from chainloom.operators import align, filters, motifs, sequences, stats, structures
 from chainloom.plans import learn, runs
@@ -163,6 +164,21 @@ def test_json_lines(spark, tmp_path):
     assert r.prot1_pdb_id == "1abc" and r.tm_score == 0.5 and r.prot2_pdb_id is None and r.split == "fold"
 
 
+def test_jobs_side_by_side_sweep_their_own(spark):
+    before, other = storage.settled(), {}
+    worker = threading.Thread(target=lambda: other.update(df=storage.settle(spark.range(3)), n=storage.settled()))
+    worker.start()
+    mine = [storage.settle(spark.range(5)) for _ in range(2)]
+    worker.join()
+    assert other["n"] == 1 and storage.settled() == before + 2
+    assert storage.sweep(spark, before, keep=1) == 1
+    assert other["df"].count() == 3 and mine[1].count() == 5
+    with pytest.raises(Exception, match="(?i)does not exist|not_exist|file"):
+        mine[0].count()
+    assert storage.sweep(spark, before, keep=5) == 0
+    assert storage.sweep(spark, before, everyone=True) >= 1 and storage.settled() == before
+
+
 def test_training_log(spark, tmp_path):
     path = tmp_path / "log.csv"
     path.write_text("epoch,train_loss,val_loss,lr\n0,2.0,,0.1\n1,1.0,1.5,0.1\n")
