@@ -284,3 +284,15 @@ def test_unknown_ids_raise_or_are_named(spark):
     assert sorted(r.token for r in decode_ids(ids, vocabulary, "?").collect()) == ["?", "x"]
     with pytest.raises(Exception, match="unknown id: 9"):
         decode_ids(ids, vocabulary).collect()
+
+
+def test_medoids_where_bounds_rule_nothing_out(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 4, 3))
+    rows = [("c" + str(i % 7), i, v.reshape(-1).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "chain string, start long, shape array<double>").repartition(3)
+    asked = []
+    least = medoids.Spread._least
+    monkeypatch.setattr(medoids, "PART", 64), monkeypatch.setattr(medoids, "CANDIDATES", 4)
+    monkeypatch.setattr(medoids.Spread, "_least", lambda self, *a: asked.append(a[1:]) or least(self, *a))
+    assert medoids.find_medoids(df, 2, local=10) == medoids.find_medoids(df, 2, local=1000) and asked
