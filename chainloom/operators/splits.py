@@ -111,17 +111,25 @@ def quantiles(rows: DataFrame, value: str, wanted: list[float], by: list[str] |
     return rows_.groupBy(*by).agg(*[(a + (b - a) * t).alias(f"q{i}") for i, ((a, b), t) in enumerate(zip(ends, part, strict=True))])
 
 
-def random_cuts(chains: DataFrame, chain: str, length: str, pieces: str, rounds: int, seed: int) -> DataFrame:
-    """(chain, round, lo, hi): random partitions into so many contiguous pieces, by hashed cut points.
+def random_places(chains: DataFrame, length: str, pieces: str, rounds: int, seed: int, chain: str = "chain") -> DataFrame:
+    """Rows with ``round`` and ``cuts``, a random partition into so many contiguous pieces by hashed cut points: 0, places
+    in order, the length. Of the length - 1 places to cut, the pieces - 1 with the smallest hashes are taken; a row is one
+    chain, and a chain without length has none."""
+    n, k = F.col(length), F.col(pieces)
+    rows = chains.filter(n > 0).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    places = F.when(n > 1, F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long") - 1), lambda p: F.struct(F.xxhash64(F.lit(seed), chain, "round", p).alias("h"), p.alias("p"))))
+    chosen = F.slice(F.sort_array(F.coalesce(places, F.array().cast("array<struct<h:bigint,p:bigint>>"))), F.lit(1), F.greatest(F.least(k, n).cast("int") - 1, F.lit(0)))
+    return rows.withColumn("cuts", F.sort_array(F.concat(F.array(F.lit(0).cast("long"), n.cast("long")), F.transform(chosen, lambda x: x["p"]))))
 
-    Of the length - 1 places to cut, the pieces - 1 with the smallest hashes are taken; a group is one chain.
-    """
-    rows = chains.select(F.col(chain).alias("chain"), F.col(length).alias("n"), F.col(pieces).alias("k")).filter("n > 0")
-    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    places = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long") - 1), lambda p: F.struct(F.xxhash64(F.lit(seed), "chain", "round", p).alias("h"), p.alias("p"))))
-    chosen = F.slice(F.array_sort(F.coalesce(places, F.array().cast("array<struct<h:bigint,p:bigint>>"))), F.lit(1), F.greatest(F.least(F.col("k"), F.col("n")).cast("int") - 1, F.lit(0)))
-    cuts = F.array_sort(F.concat(F.array(F.lit(0).cast("long"), F.col("n").cast("long")), F.transform(chosen, lambda x: x["p"])))
-    rows = rows.withColumn("cuts", cuts)
+
+def longest_piece(cuts: Column) -> Column:
+    """The length of the longest piece between cuts in order."""
+    return F.array_max(F.zip_with(F.slice(cuts, 2, F.size(cuts) - 1), F.slice(cuts, 1, F.size(cuts) - 1), lambda hi, lo: hi - lo))
+
+
+def random_cuts(chains: DataFrame, chain: str, length: str, pieces: str, rounds: int, seed: int) -> DataFrame:
+    """(chain, round, lo, hi): the pieces of :func:`random_places`."""
+    rows = random_places(chains.select(F.col(chain).alias("chain"), F.col(length).alias("n"), F.col(pieces).alias("k")), "n", "k", rounds, seed)
     spans = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: F.struct(F.get("cuts", i).alias("lo"), F.get("cuts", i + 1).alias("hi")))
     return rows.select("chain", "round", F.explode(spans).alias("s")).select("chain", "round", "s.lo", "s.hi")
 

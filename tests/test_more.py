@@ -286,3 +286,16 @@ def test_unknown_tokens_raise_or_become_an_id(spark):
     assert [r.id for r in chains.encode_ids(tokens, vocabulary, unknown=-1).orderBy("pos").collect()] == [0, -1]
     with pytest.raises(Exception, match="unknown token"):
         chains.encode_ids(tokens, vocabulary).collect()
+
+
+def test_longest_pieces_are_those_of_the_random_cuts(spark):
+    from pyspark.sql import functions as F
+
+    from chainloom.operators import splits
+
+    chains = spark.createDataFrame([("a", 12, 4), ("b", 1, 1), ("c", 5, 9), ("d", 0, 1)], "chain string, n long, k long")
+    want = {(r.chain, r.round): r.m for r in splits.random_cuts(chains, "chain", "n", "k", 6, 5).groupBy("chain", "round").agg(F.max(F.col("hi") - F.col("lo")).alias("m")).collect()}
+    rows = splits.random_places(chains, "n", "k", 6, 5).select("chain", "round", splits.longest_piece(F.col("cuts")).alias("m"))
+    assert {(r.chain, r.round): r.m for r in rows.collect()} == want and len(want) == 18
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
