@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.rigid import Summary, bond_motions
+from chainloom.functions.rigid import Summary
+from chainloom.functions.rigid import walk as walk_bonds
 from chainloom.storage import settle
 
 BLOCK = 256
@@ -35,6 +36,30 @@ def product_of_summaries(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def arrays(column) -> list[np.ndarray]:
+    """Each row's numbers of an Arrow column of lists, nulls as NaN; of lists of equally long lists, a table a row."""
+    inner, ends = column.flatten(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1]
+    if hasattr(inner, "flatten") and hasattr(inner, "value_lengths"):
+        flat = inner.flatten().to_numpy(zero_copy_only=False)
+        return np.split(flat.reshape(len(inner), -1 if len(flat) else 0), ends)
+    return np.split(inner.to_numpy(zero_copy_only=False), ends)
+
+
+def few_rows(batches, rows: int) -> Iterator:
+    """The batches in slices of some rows, so that what a task makes of them stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def flat_lists(table: np.ndarray):
+    """An Arrow column with a row of a table in each row."""
+    import pyarrow as pa
+
+    table = np.ascontiguousarray(table, float)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.reshape(-1)))
+
+
 def products(rows: DataFrame, product: Product = product_of_summaries, block: int = BLOCK) -> DataFrame:
     """(chain, sums): the product over each chain of a table (chain, pos, sums), positions from 0 without gaps."""
     kind = rows.schema["chain"].dataType.simpleString()
@@ -42,11 +67,8 @@ def products(rows: DataFrame, product: Product = product_of_summaries, block: in
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                lists = [np.array(x, float) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(product(lists)), pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
+        for part in few_rows(batches, 64):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat_lists(product(arrays(part.column(2))))], names=["chain", "pos", "sums"])
 
     rows = rows.select("chain", F.col("pos").cast("long").alias("pos"), "sums")
     most = rows.agg(F.max("pos")).first()[0]
@@ -59,13 +81,15 @@ def products(rows: DataFrame, product: Product = product_of_summaries, block: in
     return rows.select("chain", "sums")
 
 
+#: Of rows of products: (n, width) and (n, width) -> (n, width).
 Then = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def running(rows: DataFrame, unit: np.ndarray, then: Then, block: int = BLOCK, apply: Then | None = None) -> DataFrame:
     """(chain, pos, sums): the product of all that stands before each row of a chain, from ``unit`` on, by the associative
-    ``then``. Each level multiplies its blocks by themselves; on the way back it hands every block what lies before it.
-    Where a product acts on something smaller than itself, as a matrix on a vector, ``apply`` and its ``unit`` say so."""
+    ``then``, which takes many rows at once. Each level multiplies its blocks by themselves; on the way back it hands every
+    block what lies before it. Where a product acts on something smaller than itself, as a matrix on a vector, ``apply`` and
+    its ``unit`` say so. A task holds a few blocks at a time, whose rows advance together."""
     kind = rows.schema["chain"].dataType.simpleString()
     schema = f"chain {kind}, pos bigint, sums array<double>"
     act = apply or then
@@ -74,20 +98,25 @@ def running(rows: DataFrame, unit: np.ndarray, then: Then, block: int = BLOCK, a
         def run(batches) -> Iterator:
             import pyarrow as pa
 
-            for batch in batches:
+            for part in few_rows(batches, 64):
+                own = arrays(part.column(2))
+                order = sorted(range(len(own)), key=lambda i: -len(own[i]))
+                sizes = np.array([len(own[i]) for i in order])
+                sorted_ = part.take(pa.array(order, pa.int64()))
+                at = sorted_.column(1).to_numpy()
+                if up:
+                    now = np.stack([own[i][0] for i in order])
+                else:
+                    before = arrays(sorted_.column(3))
+                    now = np.stack([b if len(b) else unit for b in before])
                 out: tuple[list, list, list] = ([], [], [])
-                for i, (at, own, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                    if up:
-                        now = np.array(own[0])
-                        for x in own[1:]:
-                            now = then(now, np.array(x))
-                        out[0].append(i), out[1].append(at), out[2].append(now)
-                        continue
-                    now = unit if before is None else np.array(before)
-                    for j, x in enumerate(own):
-                        out[0].append(i), out[1].append(at * block + j), out[2].append(now)
-                        now = act(now, np.array(x))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
+                for k in range(1 if up else 0, int(sizes[0])):
+                    n = int((sizes > k).sum())
+                    if not up:
+                        out[0].append(np.arange(n)), out[1].append(at[:n] * block + k), out[2].append(now[:n].copy())
+                    now[:n] = (then if up else act)(now[:n], np.stack([own[i][k] for i in order[:n]]))
+                rows_, places, sums = (np.arange(len(own)), at, now) if up else (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([sorted_.column(0).take(pa.array(rows_, pa.int64())), pa.array(places, pa.int64()), flat_lists(sums)], names=["chain", "pos", "sums"])
 
         return run
 
@@ -98,7 +127,7 @@ def running(rows: DataFrame, unit: np.ndarray, then: Then, block: int = BLOCK, a
     level = settle(rows.select("chain", F.col("pos").cast("long").alias("pos"), "sums"))
     most, levels = level.agg(F.max("pos")).first()[0], [level]
     while most is not None and most >= block:
-        level = settle(lists(level).withColumn("before", F.lit(None).cast("array<double>")).mapInArrow(walk(True), schema))
+        level = settle(lists(level).mapInArrow(walk(True), schema))
         levels.append(level)
         most //= block
     before = None
@@ -116,9 +145,9 @@ NO_MOTION = np.concatenate([np.eye(3).reshape(-1), np.zeros(3)])
 
 
 def motion_then(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One rigid motion (12 numbers: rotation, move) after another."""
-    r = a[:9].reshape(3, 3)
-    return np.concatenate([(r @ b[:9].reshape(3, 3)).reshape(-1), a[9:] + r @ b[9:]])
+    """Rows of rigid motions (12 numbers: rotation, move), each after another."""
+    r, s = a[:, :9].reshape(-1, 3, 3), b[:, :9].reshape(-1, 3, 3)
+    return np.concatenate([(r @ s).reshape(-1, 9), a[:, 9:] + np.einsum("nij,nj->ni", r, b[:, 9:])], 1)
 
 
 def running_motions(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -130,24 +159,45 @@ def rebuild_long(rows: DataFrame, chain: str, pos: str, length: str, angle: str,
     """(chain, pos, x, y, z) of every point from internal coordinates, as ``clusters.rebuild`` gives it, where a chain is
     dealt over many tasks. Bonds are numbered from 0 without gaps; the first angle and the first two torsions don't count.
 
-    Edge cases: a chain of no bonds has no rows; equal chain names are one chain."""
+    Only the motions of whole blocks are multiplied up; then each block walks its own bonds from the motion before it, a few
+    blocks of a task side by side. Edge cases: a chain of no bonds has no rows; equal chain names are one chain."""
     kind = rows.schema[chain].dataType.simpleString()
     bonds = rows.select(F.col(chain).alias("chain"), F.col(pos).cast("long").alias("pos"), F.col(length).cast("double").alias("len"), F.when(F.col(pos) > 0, F.col(angle)).cast("double").alias("ang"), F.when(F.col(pos) > 1, F.col(torsion)).cast("double").alias("dih"))
+    each = bonds.groupBy("chain", F.floor(F.col("pos") / block).cast("long").alias("at")).agg(F.sort_array(F.collect_list(F.struct("pos", "len", "ang", "dih"))).alias("all"))
+    each = settle(each.select("chain", F.col("at").alias("pos"), *[F.col(f"all.{c}").alias(c) for c in ("len", "ang", "dih")]))
+
+    def walked(batches) -> Iterator:
+        """Of rows with equally many bonds: these rows, their atoms, and their motions."""
+        import pyarrow as pa
+
+        for part in few_rows(batches, 64):
+            sizes = part.column(2).value_lengths().to_numpy()
+            for n in np.unique(sizes):
+                own = part.filter(pa.array(sizes == n))
+                atoms, r, t = walk_bonds(*(np.stack(arrays(own.column(c))) for c in (2, 3, 4)))
+                yield own, atoms, np.concatenate([r.reshape(-1, 9), t], 1)
 
     def motion(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            turn, move = bond_motions(*(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (2, 3, 4)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(np.concatenate([turn.reshape(-1, 9), move], 1)), pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
+        for own, _, sums in walked(batches):
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), flat_lists(sums)], names=["chain", "pos", "sums"])
+
+    def place(batches) -> Iterator:
+        import pyarrow as pa
+
+        for own, atoms, _ in walked(batches):
+            m, at, n = np.stack(arrays(own.column(5))), own.column(1).to_numpy(), atoms.shape[1]
+            points = np.einsum("nij,nkj->nki", m[:, :9].reshape(-1, 3, 3), atoms) + m[:, None, 9:]
+            first = np.flatnonzero(at == 0)  # these chains' own first points
+            which = pa.array(np.concatenate([first, np.repeat(np.arange(len(at)), n)]), pa.int64())
+            places = np.concatenate([np.zeros(len(first), np.int64), (at[:, None] * block + 1 + np.arange(n)).reshape(-1)])
+            xyz = np.concatenate([np.zeros((len(first), 3)), points.reshape(-1, 3)])
+            yield pa.RecordBatch.from_arrays([own.column(0).take(which), pa.array(places, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in xyz.T)], names=["chain", "pos", "x", "y", "z"])
 
-    motions = settle(bonds.mapInArrow(motion, f"chain {kind}, pos bigint, sums array<double>"))
-    before = running_motions(motions, block)
-    both = before.select("chain", "pos", F.col("sums").alias("b")).join(motions, ["chain", "pos"])
-    move = [F.get("b", F.lit(9 + i)) + sum((F.get("b", F.lit(3 * i + j)) * F.get("sums", F.lit(9 + j)) for j in range(3)), F.lit(0.0)) for i in range(3)]
-    points = both.select("chain", (F.col("pos") + 1).alias("pos"), *[m.alias(c) for m, c in zip(move, "xyz", strict=True)])
-    first = before.filter("pos = 0").select("chain", F.lit(0).cast("long").alias("pos"), *[F.lit(0.0).alias(c) for c in "xyz"])
-    return first.unionByName(points)
+    before = running_motions(each.mapInArrow(motion, f"chain {kind}, pos bigint, sums array<double>"), block)
+    both = each.join(before.select("chain", "pos", F.col("sums").alias("before")), ["chain", "pos"])
+    return both.select("chain", "pos", "len", "ang", "dih", "before").mapInArrow(place, f"chain {kind}, pos bigint, x double, y double, z double")
 
 
 def segment_long(rows: DataFrame, chain: str, pos: str, value: str, most: int, penalty: float, block: int = BLOCK) -> DataFrame:
@@ -207,13 +257,13 @@ def segment_long(rows: DataFrame, chain: str, pos: str, value: str, most: int, p
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
 
     def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        a, b = a.reshape(most, most), b.reshape(most, most)
-        return (b[:, :, None] + a[None]).max(1).reshape(-1)
+        a, b = a.reshape(-1, most, most), b.reshape(-1, most, most)
+        return (b[:, :, :, None] + a[:, None]).max(2).reshape(len(a), -1)
 
     steps = settle(each.select("chain", "pos", "v").mapInArrow(matrices, f"chain {kind}, pos bigint, sums array<double>"))
     start = np.full(most, -np.inf)
     start[-1] = 0.0
-    entry = running(steps, start, product, block, lambda v, m: (m.reshape(most, most) + v).max(1))
+    entry = running(steps, start, product, block, lambda v, m: (m.reshape(-1, most, most) + v[:, None]).max(2))
 
     def traced(back_: np.ndarray, e: int) -> list[tuple[int, int]]:
         """Segments (first item, length) backwards from a cut, up to the one that begins at or before the block's start."""
@@ -240,7 +290,8 @@ def segment_long(rows: DataFrame, chain: str, pos: str, value: str, most: int, p
     both = each.select("chain", "pos", "v").join(entry.select("chain", "pos", F.col("sums").alias("entry")), ["chain", "pos"])
     back = both.mapInArrow(maps, f"chain {kind}, pos bigint, sums array<double>").join(lasts, "chain")
     back = back.select("chain", (F.col("end") - F.col("pos")).alias("pos"), "sums")  # from the last block on
-    exits = running(back, np.array([most - 1.0]), lambda a, b: b[a.astype(int)], block, lambda v, m: m[v.astype(int)])
+    picked = lambda a, b: np.take_along_axis(b, a.astype(int), 1)
+    exits = running(back, np.array([most - 1.0]), picked, block)
     exits = exits.join(lasts, "chain").select("chain", (F.col("end") - F.col("pos")).alias("pos"), F.col("sums").alias("exit"))
 
     def trace(batches) -> Iterator:
