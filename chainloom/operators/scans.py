@@ -18,6 +18,9 @@ from chainloom.storage import settle
 
 BLOCK = 256
 
+#: So many numbers, about, stand in a list of products.
+NUMBERS = 4096
+
 #: Products of many lists of rows at once: (lists of flat rows) -> one flat row each.
 Product = Callable[[list[np.ndarray]], np.ndarray]
 
@@ -218,96 +221,99 @@ def segment_long(rows: DataFrame, chain: str, pos: str, value: str, most: int, p
     each = own.select("chain", F.explode(places).alias("at"), "pos", "v").groupBy("chain", "at").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("all"))
     each = settle(each.select("chain", F.col("at").alias("pos"), F.transform("all", lambda x: x["v"]).alias("v"), F.element_at("all", -1)["pos"].alias("last")).filter(F.col("last") >= F.col("pos") * block))
 
-    def scores(values: list[float], at: int) -> np.ndarray:
-        """score[e, l]: of the segment of l + 1 items that ends with item e of the block."""
-        x = np.array(values)
-        before = min(most - 1, at * block)
-        s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-        n = len(x) - before
-        table = np.full((n, most), -np.inf)
+    def scores(x: np.ndarray, before: int) -> np.ndarray:
+        """score[i, e, l]: of the segment of l + 1 items that ends with item e of block i; ``before`` items come first."""
+        zero = np.zeros((len(x), 1))
+        s, q = np.concatenate([zero, np.cumsum(x, 1)], 1), np.concatenate([zero, np.cumsum(x * x, 1)], 1)
+        n = x.shape[1] - before
+        table = np.full((len(x), n, most), -np.inf)
         for width in range(1, most + 1):
             e = np.arange(n) + before + 1
             ok = e - width >= 0
-            total = s[e[ok]] - s[e[ok] - width]
-            table[ok, width - 1] = -(q[e[ok]] - q[e[ok] - width] - total**2 / width) - penalty
+            total = s[:, e[ok]] - s[:, e[ok] - width]
+            table[:, ok, width - 1] = -(q[:, e[ok]] - q[:, e[ok] - width] - total**2 / width) - penalty
         return table
 
     def forward(table: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best scores at the cuts (most before the block, newest last, then its own) for columns of starts; back pointers."""
-        n = len(table)
-        best = np.concatenate([start, np.full((n, start.shape[1]), -np.inf)])
-        back = np.zeros((n, start.shape[1]), np.int64)
+        """Best scores at the cuts (most before the block, newest last, then its own) of each block for columns of starts;
+        back pointers."""
+        k, n = table.shape[:2]
+        best = np.concatenate([start, np.full((k, n, start.shape[2]), -np.inf)], 1)
+        back = np.zeros((k, n, start.shape[2]), np.int64)
         for e in range(n):
-            ways = best[e : e + most][::-1] + table[e][:, None]
-            back[e] = ways.argmax(0) + 1
-            best[most + e] = ways.max(0)
+            ways = best[:, e : e + most][:, ::-1] + table[:, e, :, None]
+            back[:, e] = ways.argmax(1) + 1
+            best[:, most + e] = ways.max(1)
         return best, back
 
-    def states(best: np.ndarray) -> np.ndarray:
-        return best[-most:]
+    def alike(batches) -> Iterator:
+        """Rows with equally many items, and their scores."""
+        import pyarrow as pa
+
+        for part in few_rows(batches, 64):
+            at, values = part.column(1).to_numpy(), arrays(part.column(2))
+            shapes = np.array([(min(most - 1, int(a) * block), len(v)) for a, v in zip(at, values, strict=True)])
+            for before, n in np.unique(shapes, axis=0):
+                same = (shapes == (before, n)).all(1)
+                yield part.filter(pa.array(same)), scores(np.stack([values[i] for i in np.flatnonzero(same)]), int(before))
+
+    def starts(column) -> np.ndarray:
+        return np.stack(arrays(column))[:, :, None]
 
     def matrices(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for at_, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                start = np.where(np.eye(most, dtype=bool), 0.0, -np.inf)
-                out.append(states(forward(scores(values, at_), start)[0]).reshape(-1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
+        for own, table in alike(batches):
+            start = np.broadcast_to(np.where(np.eye(most, dtype=bool), 0.0, -np.inf), (len(table), most, most))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), flat_lists(forward(table, start)[0][:, -most:].reshape(len(table), -1))], names=["chain", "pos", "sums"])
 
     def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = a.reshape(-1, most, most), b.reshape(-1, most, most)
         return (b[:, :, :, None] + a[:, None]).max(2).reshape(len(a), -1)
 
-    steps = settle(each.select("chain", "pos", "v").mapInArrow(matrices, f"chain {kind}, pos bigint, sums array<double>"))
+    steps = each.select("chain", "pos", "v").mapInArrow(matrices, f"chain {kind}, pos bigint, sums array<double>")
     start = np.full(most, -np.inf)
     start[-1] = 0.0
-    entry = running(steps, start, product, block, lambda v, m: (m.reshape(-1, most, most) + v[:, None]).max(2))
-
-    def traced(back_: np.ndarray, e: int) -> list[tuple[int, int]]:
-        """Segments (first item, length) backwards from a cut, up to the one that begins at or before the block's start."""
-        out = []
-        while e > 0:
-            length = int(back_[e - 1, 0])
-            e -= length
-            out.append((e, length))
-        return out
+    # Matrices are wide: so few in a list that it stays small.
+    entry = running(steps, start, product, max(2, min(block, NUMBERS // most**2)), lambda v, m: (m.reshape(-1, most, most) + v[:, None]).max(2))
 
     def maps(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for at_, values, entry_ in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                table = scores(values, at_)
-                back_ = forward(table, np.array(entry_)[:, None])[1]
-                ends = [len(table) - (most - 1 - j) for j in range(most)]
-                out.append([float(most - 1 + ((traced(back_, e) or [(e, 0)])[-1][0])) if e > -most else 0.0 for e in ends])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["chain", "pos", "sums"])
+        for own, table in alike(batches):
+            back_, n = forward(table, starts(own.column(3)))[1][:, :, 0], table.shape[1]
+            # origin[:, most - 1 + e]: of the cut that the best way to cut e of the block comes from, at or before its start
+            origin = np.tile(np.arange(most + n), (len(table), 1))
+            for e in range(1, n + 1):
+                origin[:, most - 1 + e] = np.take_along_axis(origin, most - 1 + e - back_[:, e - 1 : e], 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), flat_lists(origin[:, n : n + most])], names=["chain", "pos", "sums"])
 
-    lasts = each.groupBy("chain").agg(F.max("pos").alias("end"))
+    # Settled, so that the plan knows how few there are: one chain's blocks don't gather in one task for its end.
+    lasts = settle(each.groupBy("chain").agg(F.max("pos").alias("end")))
     both = each.select("chain", "pos", "v").join(entry.select("chain", "pos", F.col("sums").alias("entry")), ["chain", "pos"])
     back = both.mapInArrow(maps, f"chain {kind}, pos bigint, sums array<double>").join(lasts, "chain")
     back = back.select("chain", (F.col("end") - F.col("pos")).alias("pos"), "sums")  # from the last block on
-    picked = lambda a, b: np.take_along_axis(b, a.astype(int), 1)
-    exits = running(back, np.array([most - 1.0]), picked, block)
+    exits = running(back, np.array([most - 1.0]), lambda a, b: np.take_along_axis(b, a.astype(int), 1), block)
     exits = exits.join(lasts, "chain").select("chain", (F.col("end") - F.col("pos")).alias("pos"), F.col("sums").alias("exit"))
 
     def trace(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for own, table in alike(batches):
+            best, back_ = (x[:, :, 0] for x in forward(table, starts(own.column(3))))
+            at, i = own.column(1).to_numpy(), np.arange(len(table))
+            e = table.shape[1] - (most - 1) + np.stack(arrays(own.column(4)))[:, 0].astype(int)
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for i, (at_, values, entry_, exit_) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
-                table = scores(values, at_)
-                best, back_ = forward(table, np.array(entry_)[:, None])
-                for lo, length in traced(back_, len(table) - (most - 1 - int(exit_[0]))):
-                    hi = lo + length
-                    out[0].append(i), out[1].append(at_ * block + lo), out[2].append(at_ * block + hi), out[3].append(float(best[most + hi - 1, 0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, k) for x, k in zip(out[1:], (pa.int64(), pa.int64(), pa.float64()), strict=True))], names=["chain", "lo", "hi", "so_far"])
+            while len(i := i[e[i] > 0]):
+                lo = e[i] - back_[i, e[i] - 1]
+                for column, v in zip(out, (i, at[i] * block + lo, at[i] * block + e[i], best[i, most - 1 + e[i]]), strict=True):
+                    column.append(v)
+                e[i] = lo
+            if out[0]:
+                which, lo, hi, so_far = (pa.array(np.concatenate(c)) for c in out)
+                yield pa.RecordBatch.from_arrays([own.column(0).take(which), lo, hi, so_far], names=["chain", "lo", "hi", "so_far"])
 
     met = each.select("chain", "pos", "v").join(entry.select("chain", "pos", F.col("sums").alias("entry")), ["chain", "pos"]).join(exits, ["chain", "pos"])
     found = settle(met.select("chain", "pos", "v", "entry", "exit").mapInArrow(trace, f"chain {kind}, lo bigint, hi bigint, so_far double"))
-    total = found.groupBy("chain").agg(F.max_by("so_far", "hi").alias("best"))
+    total = settle(found.groupBy("chain").agg(F.max_by("so_far", "hi").alias("best")))
     return found.join(total, "chain").select("chain", "best", "lo", "hi")
