@@ -5,6 +5,9 @@ A chain table has the columns chain, pos (from 0, without gaps) and token.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,6 +28,30 @@ def chains(rows: DataFrame, chain: str, order: list[str], token: str, *carried:
     return rows.select(F.col(chain).alias("chain"), pos.alias("pos"), F.col(token).alias("token"), *carried)
 
 
+def numbered(rows: DataFrame, chain: str, *order: str) -> DataFrame:
+    """Rows with ``nth``, from 1 in each chain: a chain's rows stand together in its task, in order."""
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy(chain).orderBy(*order)))
+
+
+def whole_chains(batches, rows: int = 65536) -> Iterator:
+    """Arrow tables of whole chains of :func:`numbered` rows, each with the places of its chains' first rows: about so many
+    rows at a time, or one chain."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= rows and (batch["nth"].to_numpy() == 1).any():
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = np.flatnonzero(table["nth"].to_numpy() == 1)
+            if len(starts) > 1:
+                yield table.slice(0, starts[-1]), starts[:-1]
+                held, n = table.slice(starts[-1]).to_batches(), table.num_rows - int(starts[-1])
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.flatnonzero(table["nth"].to_numpy() == 1)
+
+
 def word_chains(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Words of a text as a chain: cut at single spaces."""
     return docs.select(F.col(id_col).alias("chain"), F.posexplode(F.split(text_col, " ")).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))

@@ -223,3 +223,17 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "coded")).select("pos", "token").orderBy("pos").collect() == wanted
     with pytest.raises(SystemExit):
         command.main(["learn", *same, "--steps", "0", "--out", str(tmp_path / "x")])
+
+
+def test_many_hierarchies_side_by_side(spark):
+    sizes, most = np.array([9, 7, 7, 1, 2]), 3
+    unary = RNG.normal(size=(5, 9, most))
+    for c, n in enumerate(sizes):
+        for i in range(9):
+            unary[c, i, max(0, n - i) :] = -np.inf
+    want = [numeric.best_hierarchy(unary[c, :n], np.full((n, n), -0.2)) for c, n in enumerate(sizes)]
+    for got, (log_z, best, leaves) in zip(numeric.best_hierarchies(unary, sizes, -0.2), want, strict=True):
+        assert got[2] == leaves and got[1] == best and math.isclose(got[0], log_z)
+    rows = [(c, i, i + w + 1, float(unary[c, i, w])) for c, n in enumerate(sizes) for i in range(n) for w in range(min(most, n - i))]
+    found = clusters.segment_tree(spark.createDataFrame(rows, "chain int, lo long, hi long, score double").repartition(3), most, -0.2).collect()
+    assert sorted((r.chain, r.lo, r.hi) for r in found) == sorted((c, *s) for c, w in enumerate(want) for s in w[2])
