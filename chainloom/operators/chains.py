@@ -67,6 +67,22 @@ def pair_counts(tokens: DataFrame) -> DataFrame:
     return adjacent_pairs(tokens).groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chain").alias("n_chains"))
 
 
+def word_pair_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """:func:`pair_counts` of :func:`word_chains`. Where no id stands twice, a text is a chain, so its pairs are found, and
+    told apart for ``n_chains``, in its own row; what is shuffled is the texts, to deal them evenly, and counts of pairs."""
+    if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return pair_counts(word_chains(docs, id_col, text_col))
+    words = docs.select(id_col, text_col).repartition(id_col).select(F.col(id_col).isNotNull().cast("long").alias("named"), F.split(text_col, " ").alias("w"))
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = words.select("named", F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b)).alias("p"))  # no word has a space
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    every = F.transform("p", lambda p: F.struct(p.alias("pair"), one.alias("n"), zero.alias("c")))
+    first = F.transform(F.array_distinct("p"), lambda p: F.struct(p.alias("pair"), zero.alias("n"), F.col("named").alias("c")))
+    counts = pairs.select(F.explode(F.concat(every, first)).alias("x")).groupBy("x.pair").agg(F.sum("x.n").alias("n"), F.sum("x.c").alias("n_chains"))
+    both = F.split("pair", " ")
+    return counts.select(F.get(both, F.lit(0)).alias("left"), F.get(both, F.lit(1)).alias("right"), "n", "n_chains")
+
+
 def best_pair(counts: DataFrame, known: DataFrame | None = None, secondary: str | None = None) -> DataFrame:
     """One row: the most frequent pair, ties by key. Pairs in ``known`` (left, right) come first, then, if a column of
     secondary counts is named, those with the most of it. A top-k plan: no sort of all pairs."""

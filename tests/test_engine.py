@@ -257,3 +257,14 @@ def test_chains_stay_whole_in_batches(spark):
         own = np.array([b[2:] for b in bonds if b[0] == c])
         got = np.array([(r.x, r.y, r.z) for r in sorted((r for r in out if r.chain == c), key=lambda r: r.pos)])
         assert np.allclose(got, numeric.rebuild_chain(own[:, 0], own[1:, 1], own[2:, 2]), atol=1e-9)
+
+
+def test_word_pairs_are_counted_in_their_texts(spark):
+    rows = [(1, "a b a b  c"), (2, "a b"), (None, "a b"), (4, None), (5, ""), (6, "x"), (7, " a b ")]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    found = chains.word_pair_counts(docs, "id", "text")
+    want = chains.pair_counts(chains.word_chains(docs, "id", "text"))
+    assert found.dtypes == want.dtypes and sorted(found.collect()) == sorted(want.collect())
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    again = docs.union(spark.createDataFrame([(6, "a b")], "id int, text string"))
+    assert chains.word_pair_counts(again, "id", "text").filter("left = 'a' AND right = 'b'").first()["n_chains"] == 4
