@@ -299,3 +299,15 @@ def test_longest_pieces_are_those_of_the_random_cuts(spark):
     assert {(r.chain, r.round): r.m for r in rows.collect()} == want and len(want) == 18
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_wanted_chains_read_their_files_once(spark):
+    text = "loop_\n" + "".join(f"_atom_site.{c}\n" for c in ("label_atom_id", "label_asym_id", "auth_asym_id", "auth_seq_id")) + "CA A B 1\nCA B C 2\n'C A' B C 3\n#"
+    files = spark.createDataFrame([("f", text), ("g", None)], "path string, value string")
+    wanted = spark.createDataFrame([("f", "B"), ("f", "A"), ("f", "C"), ("f", "C"), ("f", "Z"), ("g", "A"), ("f", None)], "path string, chain string")
+    found = cif.chains_of(cif.file_atoms(files), wanted)
+    got = sorted((r.path, r.chain or "", r.res_id or 0, r.atom or "-") for r in found.collect())
+    c = [("f", "C", 2, "CA"), ("f", "C", 3, "C A")]
+    assert got == sorted([("f", "B", 1, "CA"), ("f", "A", 1, "CA"), *c, *c, ("f", "Z", 0, "-"), ("g", "A", 0, "-"), ("f", "", 0, "-")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1
