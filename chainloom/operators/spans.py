@@ -65,6 +65,38 @@ def score_neighbours(table: DataFrame, slope: float, layers: list[Layer]) -> Dat
     return pairs.select("chain", "lo", "mid", "hi", F.get(network(F.concat("f", "g"), layers), F.lit(0)).alias("score"))
 
 
+def span_lists(rows: DataFrame, chain: str, pos: str, value: str, most: int, slope: float) -> DataFrame:
+    """(chain, lo, f, g): in a row for each place, the features of the spans that begin there by length, and for each of them
+    those of the spans behind it by length; null beyond the chain's end, and in rows of no chain. As :func:`spans`, ``pos``
+    counts from 0 without gaps and values are not null. The rows are dealt by chain once; spans and pairs get no rows."""
+    order = W.partitionBy("chain").orderBy("lo")
+    held = rows.select(F.col(chain).alias("chain"), F.col(pos).alias("lo"), F.col(value).alias("v"))
+    held = held.select("chain", "lo", F.collect_list("v").over(order.rowsBetween(0, most - 1)).alias("ahead"))
+    items = F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.slice("ahead", F.lit(1), n))
+    held = held.select("chain", "lo", F.transform(items, lambda x: span_features(x, slope)).alias("f"))
+    behind = F.array(*[F.lead("f", k).over(order) for k in range(1, most + 1)])
+    return held.select("chain", "lo", "f", F.when(F.col("chain").isNotNull(), behind).alias("g"))
+
+
+def score_lists(lists: DataFrame, layers: list[Layer], gamma: float, neighbours: list[Layer]) -> DataFrame:
+    """(chain, lo, scores, edges): :func:`score_spans` and :func:`score_neighbours` of :func:`span_lists`, a row for each
+    place: the scores of the spans that begin there by length, and for each of them those of the pairs with it by length."""
+    scores = F.transform("f", lambda f: F.get(network(f, layers), F.lit(0)) - gamma)
+    return lists.select("chain", "lo", scores.alias("scores"), neighbour_scores(neighbours).alias("edges"))
+
+
+def neighbour_scores(layers: list[Layer]) -> Column:
+    """For each span of a row of :func:`span_lists` the first outputs of a network on it and each span behind it."""
+    return F.transform("f", lambda f, a: F.transform(F.get("g", a), lambda g: F.get(network(F.concat(f, g), layers), F.lit(0))))
+
+
+def neighbour_rows(lists: DataFrame, layers: list[Layer]) -> DataFrame:
+    """(chain, lo, mid, hi, score): :func:`score_neighbours` of :func:`span_lists`, without a join."""
+    held = lists.select("chain", "lo", F.posexplode(neighbour_scores(layers)).alias("a", "scores"))
+    held = held.select("chain", "lo", (F.col("lo") + F.col("a") + 1).alias("mid"), F.posexplode("scores").alias("b", "score"))
+    return held.select("chain", "lo", "mid", (F.col("mid") + F.col("b") + 1).alias("hi"), "score")
+
+
 def interleave(columns: list[Column]) -> Column:
     """Arrays of one length read across: first items of all, then second items of all."""
     return F.flatten(F.transform(F.arrays_zip(*[c.alias(f"c{k}") for k, c in enumerate(columns)]), lambda x: F.array(*[x[f"c{k}"] for k in range(len(columns))])))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chainloom import __main__ as command
 from chainloom.functions import numeric
 from chainloom.operators import chains, clusters, models, spans, stats
+from chainloom.plans import queries
 from chainloom.plans.learn import learn
 
 RNG = np.random.default_rng(5)
@@ -237,3 +238,29 @@ def test_many_hierarchies_side_by_side(spark):
     rows = [(c, i, i + w + 1, float(unary[c, i, w])) for c, n in enumerate(sizes) for i in range(n) for w in range(min(most, n - i))]
     found = clusters.segment_tree(spark.createDataFrame(rows, "chain int, lo long, hi long, score double").repartition(3), most, -0.2).collect()
     assert sorted((r.chain, r.lo, r.hi) for r in found) == sorted((c, *s) for c, w in enumerate(want) for s in w[2])
+
+
+@pytest.mark.parametrize("sizes", [[3, 1, 3, 2], [9, 1, 4, 3, 0, 6]])
+def test_segmentations_from_a_row_for_each_place(spark, sizes):
+    # 0: six values of no chain, whose spans have no neighbours
+    rows = [(c if n else None, i, float(RNG.normal())) for c, n in enumerate(sizes) for i in range(n or 6)]
+    rows = spark.createDataFrame(rows, "chain int, pos long, v double").repartition(3)
+    own, pair = [([[3.0, -2.0, 1.0, 60.0]], [-0.3])], [([[1.0, -2.0, 0.5, 9.0, -1.0, 2.0, -0.5, 40.0], [0.3] * 8], [0.1, 0.2]), ([[1.0, -0.7]], [0.05])]
+    table, lists = spans.spans(rows, "chain", "pos", "v", 4), spans.span_lists(rows, "chain", "pos", "v", 4, 0.7)
+    pairs = spans.score_neighbours(table, 0.7, pair)
+    assert sorted(spans.neighbour_rows(lists, pair).collect()) == sorted(pairs.collect())
+    want = clusters.segment_pairs(spans.score_spans(table, 0.7, own, 0.1), pairs, 4).collect()
+    found = clusters.segment_pair_lists(spans.score_lists(lists, own, 0.1, pair), 4)
+    by = lambda r: (str(r.chain), r.lo)
+    assert sorted(found.collect(), key=by) == sorted(want, key=by) and max(r.hi - r.lo for r in want) > 1
+    assert clusters.segment_pair_lists(spans.score_lists(lists.limit(0), own, 0.1, pair), 4).count() == 0
+
+
+@pytest.mark.parametrize("name", ["segmentation_pairs", "span_pair_scores"])
+def test_neighbouring_spans_are_not_shuffled(spark, tmp_path, name):
+    rows = [(i, i // 20 % 3, f"2024-01-01 00:00:{i:02}", "view", i * 0.7) for i in range(60)]
+    rows = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double")
+    rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "CoGroup" not in plan and found.count() >= 60 / 4
