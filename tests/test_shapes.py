@@ -298,6 +298,34 @@ def test_medoids_where_bounds_rule_nothing_out(spark, monkeypatch):
     assert medoids.find_medoids(df, 2, local=10) == medoids.find_medoids(df, 2, local=1000) and asked
 
 
+def test_bounds_without_decompositions_stay_below_distances():
+    from chainloom.functions.rigid import Floors, floor_blocks, floor_sums, superposed
+
+    rng = np.random.default_rng(13)
+    for atoms in (1, 2, 3, 4, 7, 11):
+        base = rng.normal(size=(60, atoms, 3))
+        flat, thin, twin = base.copy(), base.copy(), base * np.array([1, 1, -1])
+        flat[..., 2], thin[..., 1:] = 0, 1e-5 * thin[..., 1:]
+        x = np.concatenate([base, flat, thin, twin, 1e-3 * base, 300 * base, base + 1e-6, np.zeros((1, atoms, 3))])
+        d, f = superposed(x, x), Floors(x)
+        for rows, columns, low in floor_blocks(f, f):
+            assert (low <= d[rows, columns] * (1 + 1e-6)).all()
+        own, w = Floors(base), rng.integers(1, 9, len(base))
+        sums = superposed(base, base) @ w
+        assert (floor_sums(own, own, w) <= sums).all() and (atoms < 3 or (floor_sums(own, own, w) >= 0.95 * sums).all())
+
+
+def test_medoids_of_open_classes_meet_shares(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(500, 4, 3))
+    x[400:] = x[:100]  # copies count, and the smaller key of equal shapes comes first
+    df = spark.createDataFrame([("c" + str(i % 7), i, v.reshape(-1).tolist()) for i, v in enumerate(x)], "chain string, start long, shape array<double>")
+    want = medoids.lloyd(medoids.Here([("c" + str(i % 7), i) for i in range(500)], [v.reshape(-1) for v in x]), 1)
+    monkeypatch.setattr(medoids, "CANDIDATES", 4), monkeypatch.setattr(medoids, "AT_ONCE", 0), monkeypatch.setattr(medoids, "PER_PIVOT", 8)
+    monkeypatch.setattr(medoids, "SHARES", (1, 3)), monkeypatch.setattr(medoids, "CHECKED", 2), monkeypatch.setattr(medoids, "TASKS", 4)
+    assert medoids.lloyd(medoids.Spread(df), 1) == want
+
+
 def test_fits_of_many_rows_are_those_of_each(monkeypatch):
     from chainloom.functions import numeric
 
